@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from convlog.llm.byte_bpe import op5_byte_bpe
 from convlog.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 
 QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
 }
 
