@@ -16,13 +16,12 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlog.llm.common import table
-from convlog.llm.tokenize import units
+from convlog.llm.tokenize import slices, units
 
 NONE = np.int32(2**31 - 1)
 _WORD = re.compile(r" ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+").fullmatch
@@ -164,16 +163,6 @@ def _bpe(rank_file: bytes, pattern: str) -> ByteBpe:
     return ByteBpe(rank_file, pattern)
 
 
-def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
-    """Runs of rows of a batch (id, text) with about limit bytes of text, one row at least."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-    at, before = 0, 0
-    while at < batch.num_rows:
-        end = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
-        yield batch.slice(at, end - at)
-        at, before = end, int(ends[end - 1])
-
-
 def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids (array of int), decoded (binary: the bytes of the ids). Null text counts as empty: no ids, no bytes.
 

@@ -46,3 +46,9 @@ def n_words(text: Column) -> Column:
     """Number of runs without white space (space and U+0009..U+000D); null counts as none."""
     t = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("long")
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df with a broadcast hint if it has no more than so many (narrow) rows; else as it is, for a shuffled join that AQE
+    may split. df is counted, so it should be a stored table."""
+    return F.broadcast(df) if df.count() <= rows else df
