@@ -6,9 +6,11 @@ from convlog.llm.byte_bpe import op5_byte_bpe
 from convlog.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from convlog.llm.mixing import op2_mixing
 from convlog.llm.token_output import op6_token_output
+from convlog.llm.toxicity import op4_toxicity
 
 QUERIES = {
     "op2_mixing": op2_mixing,
+    "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_output": op6_token_output,
     "op7_exact_dedup": op7_exact_dedup,
