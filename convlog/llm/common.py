@@ -52,3 +52,25 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df with a broadcast hint if it has no more than so many (narrow) rows; else as it is, for a shuffled join that AQE
     may split. df is counted, so it should be a stored table."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (the smallest node reachable, itself included) for the nodes of edges (a, b).
+
+    Alternating large and small stars: each round hangs neighbours below the smallest one, until nothing changes. Only
+    joins and minima by node; each round is written to the shared folder.
+    """
+    edges = stored(edges.filter("a <> b").select("a", "b").distinct(), "components")
+    while True:
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+        small_ = down.join(lowest, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b")
+        after = stored(small_.filter("a <> b").distinct(), "components")
+        same = after.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() == edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        edges = after
+        if same:
+            roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
