@@ -6,6 +6,7 @@ from convlog.llm.byte_bpe import op5_byte_bpe
 from convlog.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from convlog.llm.mixing import op2_mixing
 from convlog.llm.ngram_join import op8_ngram_join
+from convlog.llm.substring_dedup import op9_substring_dedup
 from convlog.llm.token_output import op6_token_output
 from convlog.llm.toxicity import op4_toxicity
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_token_output": op6_token_output,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_join": op8_ngram_join,
+    "op9_substring_dedup": op9_substring_dedup,
 }
 
 SQL = {
