@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from convlog.llm.byte_bpe import op5_byte_bpe
 from convlog.llm.exact_dedup import OP7_SQL, op7_exact_dedup
+from convlog.llm.line_dedup import op1_line_dedup
 from convlog.llm.mixing import op2_mixing
 from convlog.llm.ngram_join import op8_ngram_join
+from convlog.llm.quality import op3_quality
 from convlog.llm.substring_dedup import op9_substring_dedup
 from convlog.llm.token_output import op6_token_output
 from convlog.llm.toxicity import op4_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_mixing": op2_mixing,
+    "op3_quality": op3_quality,
     "op4_toxicity": op4_toxicity,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_token_output": op6_token_output,
