@@ -52,23 +52,28 @@ def _keys(edits: int) -> Column:
     return F.array(*out)
 
 
-def _finer(edits: int, i: int, d: int, s: int) -> Column:
-    """Finer keys of a line that has segment i of a line of d characters less, s further on: (key, own)."""
-    size = F.col("n") - d
-    begin, length = _cut(F.lit(0), size, i, edits + 1)
-    end = begin + length
+def _finer(spark: SparkSession, edits: int) -> DataFrame:
+    """What to take for the finer keys of a line whose probe has segment i: pieces a of pa left of it and b of pb right of
+    it, shifted by ta and tb. One row a kind of key, so a table of fixed size."""
+    rows = []
+    for k, (i, d, s) in enumerate(_probes(edits)):
+        left = [(a, i, t) for a in range(1, i + 1) for t in _shifts(a, i, s)] if i > 1 else [(0, 1, 0)]
+        right = [(b, edits + 2 - i, t) for b in range(1, edits + 3 - i) for t in _shifts(b, edits + 2 - i, d - s)] if i <= edits else [(0, 1, 0)]
+        rows += [(k, i, d, s, *x, *y, d == 0 and s == 0 and x[2] == 0 and y[2] == 0) for x in left for y in right]
+    return spark.createDataFrame(rows, "probe int, i int, d int, s int, a int, pa int, ta int, b int, pb int, tb int, own boolean")
 
-    def side(start: Column, rest: Column, pieces: int, longer: int, base: int) -> list[tuple[int, Column, bool]]:
-        found = []
-        for j in range(1, pieces + 1):
-            for t in _shifts(j, pieces, longer):
-                b, n = _cut(start, rest, j, pieces)
-                found.append((j, _text(b + base + t, n), base + t == 0))
-        return found
 
-    left = side(F.lit(0), begin, i, s, 0) if i > 1 else [(0, F.lit(""), True)]
-    right = side(end, size - end, edits + 2 - i, d - s, s) if i <= edits else [(0, F.lit(""), True)]
-    return F.array(*(F.struct(F.xxhash64(F.col("key"), F.lit(a), x, F.lit(b), y).alias("fine"), F.lit(d == 0 and s == 0 and p and q).alias("own")) for a, x, p in left for b, y, q in right))
+def _fine_key(edits: int) -> Column:
+    c = F.col
+    size = c("n") - c("d")
+    begin = F.floor(size * (c("i") - 1) / (edits + 1)).cast("int")
+    end = F.floor(size * c("i") / (edits + 1)).cast("int")
+
+    def piece(start: Column, length: Column, k: Column, pieces: Column, shift: Column) -> Column:
+        low, high = F.floor(length * (k - 1) / pieces).cast("int"), F.floor(length * k / pieces).cast("int")
+        return F.when(k > 0, _text(start + low + shift, high - low)).otherwise("")
+
+    return F.xxhash64("key", "a", piece(F.lit(0), begin, c("a"), c("pa"), c("ta")), "b", piece(end, size - end, c("b"), c("pb"), c("s") + c("tb")))
 
 
 def edit_distance(a: Column, b: Column, most: int) -> Column:
@@ -129,13 +134,10 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     keyed = lines.select("h1", F.explode(_keys(edits)).alias("key"))
     shared = stored(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("key"), "line-keys")
     few = small(shared, 1_000_000)
-    probes = _probes(edits)
     place = lines.select("h1", "h2", "n", "line", F.posexplode(_keys(edits)).alias("probe", "key"))
     rows = stored(place.join(few, "key").distinct(), "line-rows")
-    finer = F.array().cast("array<struct<fine:bigint,own:boolean>>")
-    for k in range(len(probes) - 1, -1, -1):
-        finer = F.when(F.col("probe") == k, _finer(edits, *probes[k])).otherwise(finer)
-    fine = rows.select("h1", "h2", "n", F.explode(finer).alias("f")).select("h1", "h2", "n", "f.fine", "f.own").distinct()
+    kinds = F.broadcast(_finer(lines.sparkSession, edits))
+    fine = rows.join(kinds, "probe").select("h1", "h2", "n", _fine_key(edits).alias("fine"), "own").distinct()
     live = fine.groupBy("fine").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.bool_or("own").alias("any_own")).filter("a < b and any_own").select("fine")
     fine = stored(fine.join(live, "fine"), "line-fine")
     other = fine.select("fine", F.col("h1").alias("near1"), F.col("h2").alias("near2"), F.col("n").alias("near_n"))
