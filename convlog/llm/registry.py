@@ -10,6 +10,7 @@ from convlog.llm.ngram_join import op8_ngram_join
 from convlog.llm.quality import op3_quality
 from convlog.llm.substring_dedup import op9_substring_dedup
 from convlog.llm.token_output import op6_token_output
+from convlog.llm.topk_search import OP10_SQL, op10_topk_search
 from convlog.llm.toxicity import op4_toxicity
 
 QUERIES = {
@@ -22,8 +23,10 @@ QUERIES = {
     "op7_exact_dedup": op7_exact_dedup,
     "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
+    "op10_topk_search": op10_topk_search,
 }
 
 SQL = {
     "op7_exact_dedup": OP7_SQL,
+    "op10_topk_search": OP10_SQL,
 }
