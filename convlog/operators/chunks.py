@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlog.functions.text import utf16_length
-from convlog.operators.turns import BY, ORD, turn_flags
+from convlog.operators.turns import by, ordered, turn_flags
 
 CHUNK = "conv_id long, chunk long, start_id long, end_id long"
 
@@ -14,7 +14,7 @@ CHUNK = "conv_id long, chunk long, start_id long, end_id long"
 def plan_by_turns(messages: DataFrame, turns: int, boundary: Column | None = None) -> DataFrame:
     """conv_id, chunk, start_id, end_id, turns_done: a chunk closes with its last completed turn; a boundary row (a new
     phase) starts a new one. For logs in which no limit on characters can bind: windows alone."""
-    rows = turn_flags(messages).withColumn("phase", F.sum((boundary if boundary is not None else F.lit(False)).cast("long")).over(ORD))
+    rows = turn_flags(messages).withColumn("phase", F.sum((boundary if boundary is not None else F.lit(False)).cast("long")).over(ordered()))
     phase = Window.partitionBy("conv_id", "phase").orderBy("message_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.col("completes").cast("long")).over(phase), F.lit(0))
     chunks = rows.withColumn("part", F.floor(before / turns)).groupBy("conv_id", "phase", "part").agg(
@@ -26,7 +26,7 @@ def plan_by_turns(messages: DataFrame, turns: int, boundary: Column | None = Non
 def _segments(messages: DataFrame, boundary: Column) -> DataFrame:
     """One row a turn (the rest of the log is an open one): first and last id, characters, and the boundary rows in it with
     the characters from there on."""
-    done = F.coalesce(F.sum(F.col("completes").cast("long")).over(ORD.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    done = F.coalesce(F.sum(F.col("completes").cast("long")).over(ordered().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = turn_flags(messages).withColumn("segment", done).withColumn("chars", utf16_length(F.coalesce("text", F.lit("")))).withColumn("new_phase", boundary)
     rest = F.sum("chars").over(Window.partitionBy("conv_id", "segment").orderBy(F.col("message_id").desc()))
     rows = rows.withColumn("rest", rest)
@@ -100,7 +100,7 @@ def ready_chunks(messages: DataFrame, chunks: DataFrame, turns: int, chars: int,
     before the log does, or some visible non-system text ahead of a phase cut, or complete turns over the limit."""
     marked = chunk_rows(turn_flags(messages).withColumn("size", utf16_length(F.coalesce("text", F.lit("")))).withColumn("seen", visible & ~F.col("is_system")), chunks)
     facts = marked.groupBy("conv_id", "chunk", "start_id", "end_id").agg(F.count_if("completes").alias("t"), F.sum("size").alias("chars"), F.bool_or("seen").alias("seen"))
-    last = facts.withColumn("last", F.max("end_id").over(BY))
+    last = facts.withColumn("last", F.max("end_id").over(by()))
     ready = (F.col("t") >= turns) | ((F.col("end_id") < F.col("last")) & F.col("seen")) | ((F.col("t") > 0) & (F.col("chars") > chars))
-    first_open = F.min(F.when(~ready, F.col("chunk"))).over(BY)
+    first_open = F.min(F.when(~ready, F.col("chunk"))).over(by())
     return last.withColumn("stop", first_open).filter(F.col("stop").isNull() | (F.col("chunk") < F.col("stop"))).select("conv_id", "chunk", "start_id", "end_id")

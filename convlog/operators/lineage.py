@@ -6,11 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlog.operators.chunks import chunk_rows
+from convlog.operators.turns import by
 
 UNIT, RECORD = "\x1f", "\x1e"
-BY = Window.partitionBy("conv_id")
-
-
 def payload(*cols: Column) -> Column:
     """A row's fields in one string, null and empty told apart."""
     return F.concat_ws(UNIT, *(F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("~")) for c in cols))
@@ -43,15 +41,15 @@ def valid_prefix(entries: DataFrame, messages: DataFrame) -> DataFrame:
     joined = entries.join(now.distinct(), ["conv_id", "start_id", "end_id"], "left").join(size, "conv_id", "left")
     stored = F.nullif("source_hash", F.lit(""))
     bad = F.col("now").isNull() | F.col("last").isNull() | (F.col("end_id") > F.col("last")) | F.coalesce(stored != F.col("now"), F.lit(False))
-    first_bad = F.min(F.when(bad, F.col("seq"))).over(BY)
+    first_bad = F.min(F.when(bad, F.col("seq"))).over(by())
     kept = joined.withColumn("first_bad", first_bad).filter(F.col("first_bad").isNull() | (F.col("seq") < F.col("first_bad")))
     return kept.withColumn("source_hash", F.coalesce(stored, "now")).select(*entries.columns)
 
 
 def contiguous_prefix(entries: DataFrame) -> DataFrame:
     """The entries (conv_id, seq, start_id, end_id) before the first gap; the first starts at 0."""
-    gap = F.col("start_id") != F.coalesce(F.lag("end_id").over(BY.orderBy("seq")) + 1, F.lit(0))
-    first = F.min(F.when(gap, F.col("seq"))).over(BY)
+    gap = F.col("start_id") != F.coalesce(F.lag("end_id").over(by().orderBy("seq")) + 1, F.lit(0))
+    first = F.min(F.when(gap, F.col("seq"))).over(by())
     return entries.withColumn("gap", gap).withColumn("first", first).filter(F.col("first").isNull() | (F.col("seq") < F.col("first"))).drop("gap", "first")
 
 
@@ -69,7 +67,7 @@ def changed_from(snapshot: DataFrame, live: DataFrame) -> DataFrame:
 def carried_text(entries: DataFrame, most: int, notice: str = "") -> DataFrame:
     """entries with carried: the text of the last entry before that isn't deleted, its last characters, the notice ahead
     where it is cut counting too."""
-    before = F.last(F.when(~F.col("deleted"), F.col("text")), ignorenulls=True).over(BY.orderBy("start_id").rowsBetween(Window.unboundedPreceding, -1))
+    before = F.last(F.when(~F.col("deleted"), F.col("text")), ignorenulls=True).over(by().orderBy("start_id").rowsBetween(Window.unboundedPreceding, -1))
     text = F.coalesce(before, F.lit(""))
     cut = F.concat(F.lit(notice), F.substring(text, -(most - len(notice)), most - len(notice)))
     return entries.withColumn("carried", F.when(F.length(text) <= most, text).otherwise(cut))

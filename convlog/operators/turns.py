@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY = Window.partitionBy("conv_id")
-ORD = BY.orderBy("message_id")
+def by() -> WindowSpec:
+    return Window.partitionBy("conv_id")
+
+
+def ordered() -> WindowSpec:
+    return by().orderBy("message_id")
 
 
 def non_system(messages: DataFrame) -> DataFrame:
@@ -15,13 +19,13 @@ def non_system(messages: DataFrame) -> DataFrame:
 
 def turn_flags(messages: DataFrame) -> DataFrame:
     """completes: an assistant row whose previous non-system row is the user's."""
-    last = F.last(F.when(~F.col("is_system"), F.col("is_user")), ignorenulls=True).over(ORD.rowsBetween(Window.unboundedPreceding, -1))
+    last = F.last(F.when(~F.col("is_system"), F.col("is_user")), ignorenulls=True).over(ordered().rowsBetween(Window.unboundedPreceding, -1))
     return messages.withColumn("completes", ~F.col("is_system") & ~F.col("is_user") & F.coalesce(last, F.lit(False)))
 
 
 def turn_segments(messages: DataFrame) -> DataFrame:
     """segment: rows after one completion up to and with the next share a number."""
-    done = F.sum(F.col("completes").cast("long")).over(ORD.rowsBetween(Window.unboundedPreceding, -1))
+    done = F.sum(F.col("completes").cast("long")).over(ordered().rowsBetween(Window.unboundedPreceding, -1))
     return turn_flags(messages).withColumn("segment", F.coalesce(done, F.lit(0)))
 
 
@@ -38,11 +42,11 @@ def recent_window(messages: DataFrame, size: int, unit: str = "turns") -> DataFr
     """conv_id, current_input, retained_start, removable: the size-th user row (turns) or non-system row (messages) before
     the current input starts what stays; fewer: all stays; size 0: from the current input on."""
     counts = ~F.col("is_system") if unit == "messages" else F.col("is_user") & ~F.col("is_system")
-    current = F.max(F.when(F.col("is_user") & ~F.col("is_system"), F.col("message_id"))).over(BY)
+    current = F.max(F.when(F.col("is_user") & ~F.col("is_system"), F.col("message_id"))).over(by())
     marked = messages.select("conv_id", "message_id", "is_system", counts.alias("counts"), current.alias("current_input")).filter("current_input is not null")
-    units = F.sum((F.col("counts") & (F.col("message_id") < F.col("current_input"))).cast("long")).over(BY.orderBy(F.col("message_id").desc()))
+    units = F.sum((F.col("counts") & (F.col("message_id") < F.col("current_input"))).cast("long")).over(by().orderBy(F.col("message_id").desc()))
     placed = marked.withColumn("units", units)
-    start = F.max(F.when(F.col("counts") & (F.col("message_id") < F.col("current_input")) & (F.col("units") == size), F.col("message_id"))).over(BY)
+    start = F.max(F.when(F.col("counts") & (F.col("message_id") < F.col("current_input")) & (F.col("units") == size), F.col("message_id"))).over(by())
     start = F.col("current_input") if size <= 0 else F.coalesce(start, F.lit(0))
     return placed.withColumn("retained_start", start).groupBy("conv_id").agg(
         F.first("current_input").alias("current_input"), F.first("retained_start").alias("retained_start"), F.count_if((F.col("message_id") < F.col("retained_start")) & ~F.col("is_system")).alias("removable")
@@ -53,8 +57,8 @@ def align_to_turn(messages: DataFrame, starts: DataFrame) -> DataFrame:
     """conv_id, aligned: starts (conv_id, start) moved to the start of a turn: past system rows, then to the user row there
     or the nearest one before it, or 0; unchanged at the ends and where only system rows follow."""
     rows = messages.join(starts, "conv_id")
-    first = F.min(F.when((F.col("message_id") >= F.col("start")) & ~F.col("is_system"), F.col("message_id"))).over(BY)
-    rows = rows.withColumn("first", first).withColumn("n", F.max("message_id").over(BY) + 1)
+    first = F.min(F.when((F.col("message_id") >= F.col("start")) & ~F.col("is_system"), F.col("message_id"))).over(by())
+    rows = rows.withColumn("first", first).withColumn("n", F.max("message_id").over(by()) + 1)
     found = rows.groupBy("conv_id").agg(
         F.first("start").alias("start"),
         F.first("first").alias("first"),

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from convlog.functions.text import token_estimate
 from convlog.operators import chunks, turns
-from convlog.plans import log_queries
+from convlog.plans import log_queries, table_queries
 from convlog.sources.messages import from_events
 
-QUERIES = {**log_queries.QUERIES}
-SQL = {**log_queries.SQL}
+QUERIES = {**log_queries.QUERIES, **table_queries.QUERIES}
+SQL = {**log_queries.SQL, **table_queries.SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
