@@ -81,10 +81,14 @@ def edit_distance(a: Column, b: Column, most: int) -> Column:
 
     Bit k of the vectors stands for the row k - most of the band around the diagonal; each character of b is one step.
     """
+    # held in a lambda's variable, so that the characters are split once and not at each step
+    held = F.array(F.struct(F.split(a, "").alias("x"), F.split(b, "").alias("y"), F.length(a).alias("la"), F.length(b).alias("lb")))
+    return F.transform(held, lambda p: _banded(p["x"], p["y"], p["la"], p["lb"], most))[0]
+
+
+def _banded(x: Column, y: Column, la: Column, lb: Column, most: int) -> Column:
     bits = 2 * most + 1
     mask, top = (1 << bits) - 1, 1 << (bits - 1)
-    x, y = F.split(a, ""), F.split(b, "")
-    la, lb = F.length(a), F.length(b)
 
     def step(state: Column, i: Column) -> Column:
         c = F.get(y, i)
@@ -145,7 +149,8 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     pairs = stored(pairs.select("h1", "h2", "near1", "near2").distinct(), "line-pairs")
     texts = rows.select("h1", "h2", "line").distinct()
     both = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("near1"), F.col("h2").alias("near2"), F.col("line").alias("near")), ["near1", "near2"])
-    found = stored(both.filter(edit_distance(F.col("near"), F.col("line"), edits) <= edits).select("h1", "h2", "near1", "near2"), "line-links")
+    spread = both.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1", "near1")  # few bytes, much work
+    found = stored(spread.filter(edit_distance(F.col("near"), F.col("line"), edits) <= edits).select("h1", "h2", "near1", "near2"), "line-links")
     return found.unionByName(found.select(F.col("near1").alias("h1"), F.col("near2").alias("h2"), F.col("h1").alias("near1"), F.col("h2").alias("near2"))).distinct()
 
 

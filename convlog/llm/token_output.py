@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlog.llm.common import scratch_dir, table
-from convlog.llm.tokenize import slices, units
+from convlog.llm.tokenize import Memory, slices, units
 
 BLOCK_TOKENS = 1 << 16
-REMEMBERED = 300_000  # units that a Python worker keeps
+REMEMBERED = 500_000  # units in a generation that a Python worker keeps
 BLOCK = "shard int, block int, start long, n_tokens int, width int, doc_ids array<long>, doc_tokens array<int>, payload binary"
 
 
@@ -60,22 +60,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_buffer(file)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.memory = Memory(REMEMBERED)
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
         cuts = [units(t) for t in texts]
-        new: set[str] = set()
-        new.update(*cuts)
-        new.difference_update(self.known)
-        listed = list(new)
+        listed, known = self.memory.missing(cuts), self.memory.known
         for lo in range(0, len(listed), 20_000):
             part = listed[lo : lo + 20_000]
             for unit, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[unit] = np.array(x.ids, "<u4").tobytes()
+                known[unit] = np.array(x.ids, "<u4").tobytes()
         for cut in cuts:
-            yield b"".join(map(self.known.__getitem__, cut))
+            yield b"".join(map(known.__getitem__, cut))
 
 
 @lru_cache(maxsize=2)

@@ -32,3 +32,22 @@ def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBat
         end = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, end - at)
         at, before = end, int(ends[end - 1])
+
+
+class Memory:
+    """Ids of units in two generations: when the younger one is full it becomes the older, and what is used again moves
+    back. So frequent units stay known and the memory of a Python worker stays bounded."""
+
+    def __init__(self, limit: int):
+        self.limit, self.known, self.older = limit, {}, {}
+
+    def missing(self, cuts: list[list[str]]) -> list[str]:
+        """The units that are in neither generation; all others are in `known` afterwards."""
+        if len(self.known) > self.limit:
+            self.older, self.known = self.known, {}
+        wanted: set[str] = set()
+        wanted.update(*cuts)
+        wanted.difference_update(self.known)
+        again = wanted & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        return list(wanted - again)

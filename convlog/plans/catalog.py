@@ -9,9 +9,10 @@ from convlog.functions.text import token_estimate
 from convlog.operators import chunks, turns
 from convlog.plans import log_queries, table_queries
 from convlog.sources.messages import from_events
+from convlog.streaming.refresh import r1_incremental_refresh
 
-QUERIES = {**log_queries.QUERIES, **table_queries.QUERIES}
-SQL = {**log_queries.SQL, **table_queries.SQL}
+QUERIES = {**log_queries.QUERIES, **table_queries.QUERIES, "r1_incremental_refresh": r1_incremental_refresh}
+SQL = {**log_queries.SQL, **table_queries.SQL, "r1_incremental_refresh": log_queries.SQL["w8_chunk_plan"]}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

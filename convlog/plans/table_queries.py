@@ -298,6 +298,11 @@ SQL = {
     "a19_stream_completion": f"""WITH {L.CONV} SELECT conv_id, string_agg(name, '' ORDER BY message_id) AS response, NULL::VARCHAR AS finish_reason, 'm0' AS model, max(message_id * 3 % 7) AS prompt_tokens, NULL::BIGINT AS completion_tokens FROM m
       WHERE conv_id % 4 <> 0 GROUP BY conv_id""",
     "p9_available": "SELECT item_id AS uid FROM benchmark WHERE item_id % 17 <> 1 AND trim(text) <> ''",
-    "w19_budgeted": f"""{L.STACK}, b AS (SELECT conv_id AS text_id, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) AS place, length(text) + start_id % 11 AS chars FROM entries)
-      SELECT * FROM (SELECT *, sum(chars + CASE WHEN place > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY place)::BIGINT AS used FROM b) WHERE used <= 60""",
+    "w19_budgeted": f"""{L.STACK}, bl AS (SELECT conv_id AS text_id, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) AS place, length(text) + start_id % 11 AS chars FROM entries)
+      SELECT * FROM (SELECT *, sum(chars + CASE WHEN place > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY place)::BIGINT AS used FROM bl) WHERE used <= 60""",
+    "x7_assembled_context": f"""{L.STACK}, {L.window_sql('turns', L.SIZE)}, e AS (SELECT * FROM entries WHERE end_id < 30), cov AS (SELECT conv_id, max(end_id) AS covered FROM e GROUP BY conv_id),
+      st AS (SELECT conv_id, least(retained_start, greatest(0, coalesce(covered + 1, 0))) AS start FROM win LEFT JOIN cov USING (conv_id)), {L._ALIGN}
+      SELECT m.conv_id, message_id::DOUBLE AS place, name, text FROM m JOIN aligned USING (conv_id) WHERE message_id >= aligned OR is_system UNION ALL
+      SELECT e.conv_id, any_value(aligned) - 0.5::DOUBLE, 'history', string_agg('<log_summary>' || chr(10) || 'level L1' || chr(10) || 'messages ' || start_id || '-' || end_id || chr(10) || text || chr(10) || '</log_summary>', chr(10) ORDER BY start_id)
+      FROM e JOIN aligned USING (conv_id) WHERE NOT deleted AND aligned > 0 GROUP BY e.conv_id""",
 }
