@@ -83,6 +83,16 @@ def _whole(bins: pd.DataFrame) -> pd.DataFrame:
         k = int(min(max(math.floor(left / size + 0.5), 0), most * n)) if size else 0
         left -= k * size
         copies.append(k)
+    # one copy more of a size and one less of another bring what is left nearer to nothing
+    sizes, k, n = bins["size"].to_numpy(), np.array(copies, np.int64), bins["n"].to_numpy()
+    more = np.append(sizes[(k < bins["most"].to_numpy() * n) & (sizes > 0)], 0)[::-1]
+    less = np.append(sizes[(k > 0) & (sizes > 0)], 0)
+    near = np.clip(np.searchsorted(more, left + less), 1, len(more) - 1) if len(more) > 1 else np.zeros(len(less), np.int64)
+    near = np.where(np.abs(more[near] - less - left) < np.abs(more[near - 1] - less - left), near, near - 1) if len(more) > 1 else near
+    pick = int(np.argmin(np.abs(more[near] - less - left)))
+    if abs(more[near[pick]] - less[pick] - left) < abs(left):
+        k = k + (sizes == more[near[pick]]) * (sizes > 0) - (sizes == less[pick]) * (sizes > 0)
+    copies = k
     return bins[["sid", "size", "n"]].assign(copies=np.array(copies, np.int64))
 
 
