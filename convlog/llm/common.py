@@ -17,16 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named in spark.checkpoint.dir; a temporary one is set where the setting is absent, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path is None:
-        path = tempfile.mkdtemp(prefix="spark-scratch-")
-        spark.conf.set("spark.checkpoint.dir", path) if spark.conf.isModifiable("spark.checkpoint.dir") else None
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        spark.sparkContext.setCheckpointDir(path)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return path
+    if path := spark.conf.get("spark.checkpoint.dir", None):
+        return path
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-scratch-"))
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
