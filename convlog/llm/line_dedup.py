@@ -5,19 +5,21 @@ longer one is probed at the few places where a segment can lie, given the length
 of segments are hashed and counted first; only keys that different lines share go on. Those are refined once more: with
 segment i in place, at most i - 1 edits lie left of it and edits + 1 - i right of it, so each rest again shares one of its
 own pieces. A segment that thousands of variants of a line have so falls into many small keys, exactly. What remains is
-verified with a banded bit-parallel edit distance, one step of 64-bit operations a character.
+compared piece by piece, cut down to where it differs, and verified with a banded bit-parallel edit distance, one step of
+64-bit operations a character.
 """
 
 from __future__ import annotations
 
 from decimal import Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlog.llm.common import small, stored, table
 
 BLANK = " \t\r\x0b\x0c"
+SIEVE, PIECES = 24, 10  # pieces in which two lines are compared, and by which they are cut down, before their edit distance
 
 
 def _shifts(piece: int, pieces: int, longer: int) -> range:
@@ -52,15 +54,17 @@ def _keys(edits: int) -> Column:
     return F.array(*out)
 
 
-def _finer(spark: SparkSession, edits: int) -> DataFrame:
-    """What to take for the finer keys of a line whose probe has segment i: pieces a of pa left of it and b of pb right of
-    it, shifted by ta and tb. One row a kind of key, so a table of fixed size."""
-    rows = []
-    for k, (i, d, s) in enumerate(_probes(edits)):
+def _kinds(edits: int) -> Column:
+    """By probe, what to take for the finer keys of a line that has segment i there: pieces a of pa left of it and b of pb
+    right of it, shifted by ta and tb. A constant array whose size depends on the edits alone."""
+    by_probe = []
+    for i, d, s in _probes(edits):
         left = [(a, i, t) for a in range(1, i + 1) for t in _shifts(a, i, s)] if i > 1 else [(0, 1, 0)]
         right = [(b, edits + 2 - i, t) for b in range(1, edits + 3 - i) for t in _shifts(b, edits + 2 - i, d - s)] if i <= edits else [(0, 1, 0)]
-        rows += [(k, i, d, s, *x, *y, d == 0 and s == 0 and x[2] == 0 and y[2] == 0) for x in left for y in right]
-    return spark.createDataFrame(rows, "probe int, i int, d int, s int, a int, pa int, ta int, b int, pb int, tb int, own boolean")
+        rows = [(i, d, s, *x, *y) for x in left for y in right]
+        names = ("i", "d", "s", "a", "pa", "ta", "b", "pb", "tb")
+        by_probe.append(F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, r, strict=True)), F.lit(not any((d, s, r[5], r[8]))).alias("own")) for r in rows)))
+    return F.array(*by_probe)
 
 
 def _fine_key(edits: int) -> Column:
@@ -124,6 +128,38 @@ def _banded(x: Column, y: Column, la: Column, lb: Column, most: int) -> Column:
     )
 
 
+def _possible(edits: int) -> Column:
+    """Whether all but `edits` pieces of a line occur in a near one about where they must within so many edits. Plain
+    expressions, compiled with the rest of the stage."""
+    n, missing = F.length("line"), F.lit(0)
+    for i in range(SIEVE):
+        begin, end = (n * i / SIEVE).cast("int"), (n * (i + 1) / SIEVE).cast("int")
+        low = F.greatest(begin - edits, F.lit(0))
+        there = F.substr("near", low + 1, end + edits - low).contains(F.substr("line", begin + 1, end - begin))
+        missing = missing + F.when(there, 0).otherwise(1)
+    return missing <= edits
+
+
+def _middle() -> Column:
+    """Begin and length of what is left of a line without the pieces that it and a near one, no shorter, begin and end with
+    alike; a piece of the common beginning stays."""
+    k, n, longer = PIECES, F.length("line"), F.length("near") - F.length("line")
+    steps = F.sequence(F.lit(0), F.lit(k - 1))
+
+    def alike(i: Column, shift: Column) -> Column:
+        begin, end = F.floor(n * i / k).cast("int"), F.floor(n * (i + 1) / k).cast("int")
+        return F.substr("line", begin + 1, end - begin) == F.substr("near", begin + 1 + shift, end - begin)
+
+    def run(flags: Column) -> Column:
+        at = F.array_position(flags, False).cast("int")
+        return F.when(at == 0, k).otherwise(at - 1)
+
+    lead = F.greatest(run(F.transform(steps, lambda i: alike(i, F.lit(0)))) - 1, F.lit(0))
+    trail = F.least(run(F.reverse(F.transform(steps, lambda i: alike(i, longer)))), k - 1 - lead)
+    begin = F.floor(n * lead / k).cast("int")
+    return F.struct(begin.alias("begin"), (F.floor(n * (k - trail) / k).cast("int") - begin).alias("rest"))
+
+
 def line_occurrences(docs: DataFrame, least: int) -> DataFrame:
     """id, print (hash of the whole text), no, pos (order of all lines), line, n, h1, h2 of the lines that count."""
     lines = docs.select("id", F.xxhash64("text").alias("print"), F.posexplode(F.split("text", "\n")).alias("no", "line")).withColumn("line", F.btrim("line", F.lit(BLANK)))
@@ -140,17 +176,23 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     few = small(shared, 1_000_000)
     place = lines.select("h1", "h2", "n", "line", F.posexplode(_keys(edits)).alias("probe", "key"))
     rows = stored(place.join(few, "key").distinct(), "line-rows")
-    kinds = F.broadcast(_finer(lines.sparkSession, edits))
-    fine = rows.join(kinds, "probe").select("h1", "h2", "n", _fine_key(edits).alias("fine"), "own").distinct()
-    live = fine.groupBy("fine").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.bool_or("own").alias("any_own")).filter("a < b and any_own").select("fine")
-    fine = stored(fine.join(live, "fine"), "line-fine")
+    fine = rows.withColumn("kind", F.explode(F.element_at(_kinds(edits), F.col("probe") + 1))).select("h1", "h2", "n", "line", "key", "kind.*")
+    fine = fine.select("h1", "h2", "n", _fine_key(edits).alias("fine"), "own").distinct()
+    w = Window.partitionBy("fine")
+    met = fine.withColumn("a", F.min("h1").over(w)).withColumn("b", F.max("h1").over(w)).withColumn("any_own", F.max("own").over(w))
+    fine = stored(met.filter("a < b and any_own").select("h1", "h2", "n", "fine", "own"), "line-fine")
     other = fine.select("fine", F.col("h1").alias("near1"), F.col("h2").alias("near2"), F.col("n").alias("near_n"))
     pairs = fine.filter("own").join(other, "fine").filter((F.col("h1") != F.col("near1")) & F.col("near_n").between(F.col("n"), F.col("n") + edits))
     pairs = stored(pairs.select("h1", "h2", "near1", "near2").distinct(), "line-pairs")
     texts = rows.select("h1", "h2", "line").distinct()
     both = pairs.join(texts, ["h1", "h2"]).join(texts.select(F.col("h1").alias("near1"), F.col("h2").alias("near2"), F.col("line").alias("near")), ["near1", "near2"])
     spread = both.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1", "near1")  # few bytes, much work
-    found = stored(spread.filter(edit_distance(F.col("near"), F.col("line"), edits) <= edits).select("h1", "h2", "near1", "near2"), "line-links")
+    close = stored(spread.filter(_possible(edits)).select("h1", "h2", "near1", "near2", "line", "near"), "line-close")
+    close = close.repartition(int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), "h1", "near1")
+    close = close.select("h1", "h2", "near1", "near2", "line", "near", _middle().alias("m"), (F.length("near") - F.length("line")).alias("longer"))
+    one, two = F.substr("near", F.col("m.begin") + 1, F.col("m.rest") + F.col("longer")), F.substr("line", F.col("m.begin") + 1, F.col("m.rest"))
+    close = close.select("h1", "h2", "near1", "near2", one.alias("a"), two.alias("b"))
+    found = stored(close.filter(edit_distance(F.col("a"), F.col("b"), edits) <= edits).select("h1", "h2", "near1", "near2"), "line-links")
     return found.unionByName(found.select(F.col("near1").alias("h1"), F.col("near2").alias("h2"), F.col("h1").alias("near1"), F.col("h2").alias("near2"))).distinct()
 
 
@@ -163,7 +205,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 30, id_col: str = "
     left whole and drop nothing. Rows of equal id and text are one document. Other columns are ignored. An empty table
     gives an empty result.
     """
-    if edits < 1 or least < (edits + 1) * (edits + 2):
+    if edits < 1 or least < PIECES * (edits + 1):
         raise ValueError("lines are too short for so many edits")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = line_occurrences(rows.filter("id is not null"), least)
