@@ -27,6 +27,7 @@ from convlog.llm.tokenize import Memory, slices, units
 BLOCK_TOKENS = 1 << 16
 LISTED = 500  # units in one string
 _ALONE = re.compile(r" \S+").fullmatch
+_TAILED = re.compile(r"( ?[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 REMEMBERED = 600_000  # units in a generation that a Python worker keeps
 BLOCK = "shard int, block int, start long, n_tokens int, width int, doc_ids array<long>, doc_tokens array<int>, payload binary"
 
@@ -71,10 +72,14 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         cuts = [units(t) for t in texts]
-        new = self.memory.missing(cuts)
-        known = self.memory.known
-        alone = list(filter(_ALONE, new))
-        rest = [u for u in new if not _ALONE(u)]
+        new, known = self.memory.missing(cuts), self.memory.known
+        # a word with a tail of punctuation is two matches of the pattern, and the word is often known
+        pairs = [(u, m[1], m[2]) for u in new if (m := _TAILED(u))]
+        whole = [u for u in new if not _TAILED(u)]
+        parts = self.memory.missing([[x for _, *cut in pairs for x in cut]], turn=False)
+        wanted = list({*whole, *parts})
+        alone = list(filter(_ALONE, wanted))
+        rest = [u for u in wanted if not _ALONE(u)]
         for lo in range(0, len(alone), LISTED * 64):
             lists = [alone[k : min(k + LISTED, lo + LISTED * 64)] for k in range(lo, min(lo + LISTED * 64, len(alone)), LISTED)]
             for part, x in zip(lists, self.tokenizer.encode_batch_fast(["\n".join(u) for u in lists], add_special_tokens=False), strict=True):
@@ -91,6 +96,7 @@ class Encoder:
             part = rest[lo : lo + 20_000]
             for unit, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[unit] = np.array(x.ids, "<u4").tobytes()
+        known.update((u, known[a] + known[b]) for u, a, b in pairs)
         for cut in cuts:
             yield b"".join(map(known.__getitem__, cut))
 

@@ -41,9 +41,9 @@ class Memory:
     def __init__(self, limit: int):
         self.limit, self.known, self.older = limit, {}, {}
 
-    def missing(self, cuts: list[list[str]]) -> list[str]:
-        """The units that are in neither generation; all others are in `known` afterwards."""
-        if len(self.known) > self.limit:
+    def missing(self, cuts: list[list[str]], turn: bool = True) -> list[str]:
+        """The units that are in neither generation; all others are in `known` afterwards. turn: a new generation may begin."""
+        if turn and len(self.known) > self.limit:
             self.older, self.known = self.known, {}
         wanted: set[str] = set()
         wanted.update(*cuts)
