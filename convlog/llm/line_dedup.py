@@ -50,7 +50,7 @@ def _keys(edits: int) -> Column:
     for i, d, s in _probes(edits):
         size = F.col("n") - d
         begin, length = _cut(F.lit(0), size, i, edits + 1)
-        out.append(F.xxhash64(F.lit(i), size, _text(begin + s, length)))
+        out.append(F.when(size > edits, F.xxhash64(F.lit(i), size, _text(begin + s, length))))  # no segment is empty
     return F.array(*out)
 
 
@@ -170,8 +170,9 @@ def line_occurrences(docs: DataFrame, least: int) -> DataFrame:
 
 def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     """(h1, h2, near1, near2): each line and a different one within `edits` edits of it, both ways, from rows (h1, h2, n,
-    line) that may repeat."""
-    keyed = lines.select("h1", F.explode(_keys(edits)).alias("key"))
+    line) that may repeat. Lines of fewer than edits + 1 characters have empty segments and aren't compared."""
+    lines = lines.filter(F.col("n") > edits)
+    keyed = lines.select("h1", F.explode(_keys(edits)).alias("key")).filter("key is not null")
     shared = stored(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("key"), "line-keys")
     few = small(shared, 1_000_000)
     place = lines.select("h1", "h2", "n", "line", F.posexplode(_keys(edits)).alias("probe", "key"))
@@ -192,7 +193,7 @@ def near_lines(lines: DataFrame, edits: int) -> DataFrame:
     close = close.select("h1", "h2", "near1", "near2", "line", "near", _middle().alias("m"), (F.length("near") - F.length("line")).alias("longer"))
     one, two = F.substr("near", F.col("m.begin") + 1, F.col("m.rest") + F.col("longer")), F.substr("line", F.col("m.begin") + 1, F.col("m.rest"))
     close = close.select("h1", "h2", "near1", "near2", one.alias("a"), two.alias("b"))
-    found = stored(close.filter(edit_distance(F.col("a"), F.col("b"), edits) <= edits).select("h1", "h2", "near1", "near2"), "line-links")
+    found = stored(close.filter((F.length("b") == 0) | (edit_distance(F.col("a"), F.col("b"), edits) <= edits)).select("h1", "h2", "near1", "near2"), "line-links")
     return found.unionByName(found.select(F.col("near1").alias("h1"), F.col("near2").alias("h2"), F.col("h1").alias("near1"), F.col("h2").alias("near2"))).distinct()
 
 
@@ -200,13 +201,14 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 30, id_col: str = "
     """id, text, kept_text, n_lines, n_dropped: one row per input row.
 
     A line (white space at its ends aside) of at least `least` characters is dropped if a line within `edits` edits of
-    it, or equal to it, comes earlier in the corpus: in a document of smaller id, or above it in the same one. Lines are
-    judged on the input, not on what is left of it; shorter lines stay. Null text counts as empty; rows without id are
-    left whole and drop nothing. Rows of equal id and text are one document. Other columns are ignored. An empty table
-    gives an empty result.
+    it, or equal to it, comes earlier in the corpus: in a document of smaller id, or above it in the same one. Lines of up
+    to `edits` characters, all of which are within so many edits of each other, are dropped for equal ones only. Lines are
+    judged on the input, not on what is left of it; blank lines and those shorter than `least` stay. Null text counts as
+    empty; rows without id are left whole and drop nothing. Rows of equal id and text are one document. Other columns are
+    ignored. An empty table gives an empty result.
     """
-    if edits < 1 or least < PIECES * (edits + 1):
-        raise ValueError("lines are too short for so many edits")
+    if edits < 1 or least < 1:
+        raise ValueError("at least one edit and one character")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     lines = line_occurrences(rows.filter("id is not null"), least)
     first = stored(lines.groupBy("h1", "h2").agg(F.min("pos").alias("first"), F.count("*").alias("copies")), "line-first")
@@ -223,4 +225,4 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 30, id_col: str = "
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return line_dedup(table(spark, sf_dir, "documents"), least=1).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -26,7 +26,7 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that came before in the corpus; a text without any other line stays empty."""
-    told = line_dedup(docs)
+    told = line_dedup(docs, least=1)
     changed = told.filter("n_dropped > 0").select("doc_id", F.xxhash64("text").alias("print"), "kept_text").dropDuplicates(["doc_id", "print"])
     joined = docs.withColumn("print", F.xxhash64(F.coalesce("text", F.lit("")))).join(changed, ["doc_id", "print"], "left")
     text = F.coalesce("kept_text", "text")

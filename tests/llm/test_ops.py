@@ -6,13 +6,14 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
 from convlog.llm.byte_bpe import encode_digests, encode_documents
 from convlog.llm.common import components
 from convlog.llm.exact_dedup import exact_dedup
-from convlog.llm.line_dedup import edit_distance, line_dedup
+from convlog.llm.line_dedup import edit_distance, line_dedup, op1_line_dedup
 from convlog.llm.mixing import mix
 from convlog.llm.ngram_join import ngram_join
 from convlog.llm.quality import label_model, quality
@@ -209,6 +210,49 @@ def test_lines(spark, empty, odd_ids):
     assert sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup(odd_ids).collect()) == [(0, 0), (0, 0), (5, 0), (5, 0), (6, 1)]
 
 
+def test_short_lines(spark, tmp_path):
+    """Lines of all lengths: equal ones go, near ones from three characters on; in the query and in the pipeline."""
+    rnd = random.Random(23)
+
+    def lev(a, b):
+        p = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            q = [i]
+            for j, y in enumerate(b, 1):
+                q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+            p = q
+        return p[-1]
+
+    lines = ["All rights reserved.", "}", "no", "", " \t"]
+    for n in range(1, 34):
+        for _ in range(12):
+            a = [rnd.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(n)]
+            lines.append("".join(a))
+            for _ in range(rnd.randint(1, 4)):
+                k = rnd.randint(0, len(a))
+                a[k : k + rnd.randint(0, 1)] = rnd.choice([[], ["z"]])
+            lines.append("".join(a))
+    rows = [(i, "\n".join(rnd.choice(lines) + rnd.choice(["", " "]) for _ in range(rnd.randint(1, 12))), "en", "s", 1) for i in range(120)]
+    rows += [(500, "All rights reserved.\n\n}\nno", "en", "s", 1), (501, "\n}\nAll rights reserved.\nno\n", "en", "s", 1)]
+    seen, want = [], {}
+    for i, t, *_ in rows:
+        kept = []
+        for line in t.split("\n"):
+            s = line.strip(" \t\r\x0b\x0c")
+            if s:
+                gone = any(s == x or (min(len(s), len(x)) > 2 and abs(len(s) - len(x)) <= 2 and lev(s, x) <= 2) for x in seen)
+                seen.append(s)
+                if gone:
+                    continue
+            kept.append(line)
+        want[i] = "\n".join(kept)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert {r.doc_id: r.kept_text for r in line_dedup(df, least=1).collect()} == want
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.kept_sha256 for r in op1_line_dedup(spark, str(tmp_path)).collect()} == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
+    assert {r.doc_id: r.text for r in corpus_pipeline.drop_lines(spark, df, "").collect()} == want
+
+
 def test_mixing(docs, plain, empty, odd_ids):
     got = mix(docs).collect()
     again = {r.doc_id: r.taken for r in mix(docs).collect()}
