@@ -8,9 +8,10 @@ its stem, and one whose stem is rare too by the shared counts, which tell nothin
 difference of the two log-likelihoods divided by its number of words, calibrated on labelled documents that were not
 counted.
 
-Counts are DataFrame aggregations keyed by 64-bit hashes, combined within tasks first. For scoring, log-ratios are
-averaged into a fixed number of hash slots, so what is sent to the tasks is bounded by the parameter `slots`, whatever
-the corpus.
+Counts are DataFrame aggregations keyed by hashes of 62 bits (stems: 64), combined within tasks first. For scoring,
+the log-ratios of all words are a table. Only those of the most frequent words, as many as the parameter `slots` allows,
+are sent to the tasks, by their whole hash; a document's other words are counted in the task and joined to the table, so
+all words are scored alike whatever the corpus.
 """
 
 from __future__ import annotations
@@ -30,7 +31,6 @@ STEM = 5  # bytes
 DISCOUNT = 0.75
 TELLING = 3.0  # log-ratio of a word
 TOXIC, ORDINARY, UNLABELLED = 1, 0, 2
-ODD = 0x9E3779B97F4A7C15
 HELD_WORDS = 4_000_000  # words that a task holds before it counts them
 
 
@@ -96,43 +96,62 @@ def kneser_ney(words: DataFrame) -> tuple[DataFrame, DataFrame, float]:
     return of_word, of_stem, unseen
 
 
-def _slot(key: np.ndarray, bits: int) -> np.ndarray:
-    return ((key.astype(np.uint64) * np.uint64(ODD)) >> np.uint64(64 - bits)).astype(np.int64)
+def word_values(counts: DataFrame, of_word: DataFrame, of_stem: DataFrame, unseen: float) -> DataFrame:
+    """word, value, rare, often for every word counted: its log-ratio, or else that of its stem, or else unseen; whether
+    neither class has it; and the logarithm of its count in steps of an eighth of a doubling."""
+    known = of_word.select(F.col("key").alias("word"), F.col("ratio").alias("own"))
+    stems = of_stem.select(F.col("key").alias("stem"), F.col("ratio").alias("of_stem"))
+    value = F.coalesce("own", "of_stem", F.lit(unseen))
+    joined = counts.select("word", "stem", "seen").join(known, "word", "left").join(stems, "stem", "left")
+    return joined.select("word", value.alias("value"), F.col("own").isNull().cast("int").alias("rare"), F.floor(F.log2("seen") * 8).cast("int").alias("often"))
 
 
-def _slots(ratios: DataFrame, bits: int) -> np.ndarray:
-    """Mean log-ratio of each slot's keys, weighted by their counts; NaN where there are none. At most 2 ** bits rows
-    come to the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_slot(batch.column(0).to_numpy(), bits)), batch.column(1), batch.column(2)], ["slot", "ratio", "n"])
-
-    found = ratios.mapInArrow(run, "slot long, ratio double, n long").groupBy("slot").agg((F.sum(F.col("ratio") * F.col("n")) / F.sum("n")).cast("float").alias("ratio")).toArrow()
-    out = np.full(1 << bits, np.nan, np.float32)
-    out[found.column("slot").to_numpy()] = found.column("ratio").to_numpy()
-    return out
+def _frequent(values: DataFrame, most: int) -> tuple[int, pa.Table]:
+    """The step of counts from which on there are no more than so many words, and those words by their hash."""
+    least, n = 1 << 30, 0
+    for often, k in sorted(map(tuple, values.groupBy("often").count().collect()), reverse=True):
+        n += k
+        if n > most:
+            break
+        least = often
+    return least, values.filter(F.col("often") >= least).select("word", "value", "rare").toArrow().combine_chunks().sort_by("word")
 
 
-def log_ratios(docs: DataFrame, of_word: np.ndarray, of_stem: np.ndarray, unseen: float) -> DataFrame:
+def log_ratios(docs: DataFrame, values: DataFrame, most: int) -> DataFrame:
     """id, n_words, and means over the words of the whole text (0 if none): ratio, toxic minus ordinary log-likelihood;
-    telling, the part of it that lies beyond TELLING in single words; rare, the share of words that neither class has."""
+    telling, the part of it that lies beyond TELLING in single words; rare, the share of words that neither class has.
+    At most so many words are sent to the tasks; the others of each document are joined to values by their hash."""
+    least, sent = _frequent(values, most)
+    keys, of_key, rare_key = (sent.column(c).to_numpy() for c in ("word", "value", "rare"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, 4 << 20):
-                word, row, stem = hashed_words(batch.column(1), NOT_LETTERS, FOLD, STEM)
-                value = of_word[_slot(word >> np.uint64(2), len(of_word).bit_length() - 1)]
-                rest = np.flatnonzero(np.isnan(value))
-                value[rest] = np.nan_to_num(of_stem[_slot(stem[rest], len(of_stem).bit_length() - 1)], nan=unseen)
+                word, row, _ = hashed_words(batch.column(1), NOT_LETTERS, FOLD, STEM)
+                word = (word >> np.uint64(2)).astype(np.int64)
+                at = np.minimum(np.searchsorted(keys, word), max(len(keys) - 1, 0))
+                hit = keys[at] == word if len(keys) else np.zeros(len(word), bool)
+                value, hit_row = of_key[at[hit]], row[hit]
                 n = np.bincount(row, minlength=batch.num_rows)
-                rare = np.zeros(len(value))
-                rare[rest] = 1
-                means = [np.bincount(row, weights=x, minlength=batch.num_rows) / np.maximum(n, 1) for x in (value, np.maximum(value - TELLING, 0), rare)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, means)], ["id", "n_words", "ratio", "telling", "rare"])
+                sums = [np.bincount(hit_row, weights=x, minlength=batch.num_rows).astype(float) for x in (value, np.maximum(value - TELLING, 0), rare_key[at[hit]])]
+                other, other_row = word[~hit], row[~hit]
+                order = np.lexsort((other, other_row))
+                other, other_row = other[order], other_row[order]
+                new = np.flatnonzero(np.concatenate([[True], (other[1:] != other[:-1]) | (other_row[1:] != other_row[:-1])])) if len(other) else np.zeros(0, np.int64)
+                times = np.diff(np.append(new, len(other)))
+                ends = np.concatenate([[0], np.cumsum(np.bincount(other_row[new], minlength=batch.num_rows))]).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(other[new]), pa.array(times.astype(np.int64))], ["word", "times"]))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, sums), rest], ["id", "n_words", "ratio", "telling", "rare", "rest"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "text").mapInArrow(run, f"id {kind}, n_words long, ratio double, telling double, rare double")
+    found = docs.select("id", "text").mapInArrow(run, f"id {kind}, n_words long, ratio double, telling double, rare double, rest array<struct<word:bigint,times:bigint>>")
+    held = stored(found.withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")  # numbered once, as ids may repeat
+    rest = held.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.times").join(values.filter(F.col("often") < least), "word")
+    parts = {"ratio": F.col("value"), "telling": F.greatest(F.col("value") - TELLING, F.lit(0.0)), "rare": F.col("rare").cast("double")}
+    # sums of decimals agree to the last digit whatever the order of the tasks
+    more = rest.groupBy("row").agg(*(F.sum((x * F.col("times")).cast("decimal(28,12)")).cast("double").alias(f"more_{c}") for c, x in parts.items()))
+    means = ((F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0))) / F.greatest("n_words", F.lit(1)) for c in parts)
+    return held.drop("rest").join(more, "row", "left").select("id", "n_words", *(m.alias(c) for c, m in zip(parts, means, strict=True)))
 
 
 FEATURES = ["1.0", "ratio", "rare", "telling", "sqrt(telling)", "ln(1 + n_words) / 10", "ratio * ln(1 + n_words) / 10"]
@@ -156,7 +175,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels are used only of ids whose crc32(id as text) mod 3 is 0 (counted) or 2 (calibration, at most `sample` of them
     by the order of a hash). The score depends on the text alone. Null text counts as empty; empty texts get the score
     of a ratio of 0. If an id has several labels, the largest holds; ids without label count for the shared orders.
-    Without labels of both kinds every score is 0. Null ids aren't held out and have no label.
+    Without labels of both kinds every score is 0. Null ids aren't held out and have no label. At most 2 ** (slots - 2)
+    of the most frequent words are sent to the tasks; slots changes the work, not the scores.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     part = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(3))
@@ -165,7 +185,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     kind = F.coalesce(F.col("label"), F.lit(UNLABELLED))
     counts = stored(word_counts(rows.join(small(counted.select("id", "label"), 2_000_000), "id", "left").select("id", "text", kind.alias("kind"))), "toxicity-words")
     of_word, of_stem, unseen = kneser_ney(counts)
-    scored = stored(log_ratios(rows, _slots(of_word, slots), _slots(of_stem, slots - 2), unseen), "toxicity-ratios")
+    values = stored(word_values(counts, of_word, of_stem, unseen), "toxicity-values")
+    scored = stored(log_ratios(rows, values, 1 << max(slots - 2, 0)), "toxicity-ratios")
     features = scored.select("id", "n_words", "ratio", F.array(*(F.expr(x).cast("double") for x in FEATURES)).alias("features"))
     fit = features.join(marks.filter(part == 2), "id").orderBy(F.xxhash64("id"), "id").limit(sample).select("features", "label").toPandas()
     y = fit["label"].to_numpy(float)

@@ -375,3 +375,23 @@ def test_quality_and_toxicity(spark, empty, odd_ids):
     assert sum(p == t for p, t in held) / len(held) > 0.95 and 0 <= scored[9999].score <= 1
     assert quality(empty).count() == 0 and score_toxicity(empty, marks).count() == 0
     assert quality(odd_ids).count() == 5 and score_toxicity(odd_ids, marks.limit(0)).count() == 5
+
+
+def test_toxicity_words_apart(spark):
+    """No word takes another's ratio, however many are sent to the tasks; nulls, repeated ids and empty texts included."""
+    rnd = random.Random(4)
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(300):
+        w = [rnd.choice(vocab) for _ in range(rnd.randint(5, 30))] + ["zzvile", "zzfoul"] * (i % 3 == 1)
+        rows.append((i, " ".join(w), "en", "s", 1))
+        labels.append((i, 1, int(i % 3 == 1)))
+    rows += [(None, "zzvile unheard", "en", "s", 1), (None, None, "en", "s", 1), (5, "zzfoul zzfoul other", "en", "s", 1), (7, "", "en", "s", 1)]
+    df, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = []
+    for slots in (22, 8, 2):
+        told = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.ratio, r.score) for r in score_toxicity(df, marks, slots=slots).collect())
+        assert [x[:2] for x in told] == sorted((-1 if i is None else i, len((t or "").split())) for i, t, *_ in rows)
+        got.append(told)
+    for told in got[1:]:
+        assert all(a[2:] == pytest.approx(b[2:], abs=1e-6) for a, b in zip(told, got[0], strict=True))
