@@ -46,9 +46,9 @@ def current_rows(changes: DataFrame) -> DataFrame:
 
 
 def run_refresh(spark: SparkSession, source: str, folder: str, turns: int) -> DataFrame:
-    """Replay all change files of a folder, one a batch, and return the plans."""
+    """Take in the change files of a folder that are new since the last call, all in one batch, and return the plans."""
     refresher = PlanRefresher(folder, turns)
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     query = stream.writeStream.foreachBatch(refresher).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     return refresher.result(spark)
@@ -61,5 +61,6 @@ def r1_incremental_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = m.withColumn("changed_at", F.col("part")).unionByName(edit.withColumn("part", F.lit(1)).withColumn("changed_at", F.lit(1))).unionByName(m.filter("message_id = 5").withColumn("part", F.lit(2)).withColumn("changed_at", F.lit(2)))
     folder = shared_folder(spark)
     for k in range(3):
-        rows.filter(F.col("part") == k).select(*COLUMNS, "changed_at").coalesce(1).write.mode("append").parquet(f"{folder}/source")
-    return run_refresh(spark, f"{folder}/source", folder, 2)
+        rows.filter(F.col("part") == k).select(*COLUMNS, "changed_at").write.mode("append").parquet(f"{folder}/source")
+        plans = run_refresh(spark, f"{folder}/source", folder, 2)
+    return plans

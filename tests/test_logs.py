@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from convlog.functions import text as X
 from convlog.operators import chunks, lineage, rollup, turns
 from convlog.params import Params
+from convlog.plans.job_queries import model_bodies
+from convlog.streaming.refresh import run_refresh
 
 SCHEMA = "conv_id long, message_id long, is_user boolean, is_system boolean, name string, text string"
 
@@ -158,3 +160,16 @@ def test_text(spark):
 def test_params():
     p = Params(window_size=-3, turns_per_chunk=1e9, group_1=1, window_unit="days")
     assert (p.window_size, p.turns_per_chunk, p.group_1, p.window_unit) == (0, 100, 2, "turns")
+
+
+def test_model_bodies_are_bounded(spark):
+    bodies = model_bodies(spark.range(5000).withColumnRenamed("id", "p_partkey")).collect()
+    assert max(r.body.count('"id"') for r in bodies) <= 1000 and sum(r.body.count('"id"') for r in bodies) == 5000
+
+
+def test_refresh_takes_many_files_in_one_batch(spark, tmp_path):
+    for k, kinds in enumerate(("uaua", "uauaua")):
+        log(spark, *kinds).withColumn("changed_at", F.lit(k)).repartition(3).write.mode("append").parquet(f"{tmp_path}/source")
+        plans = run_refresh(spark, f"{tmp_path}/source", str(tmp_path), 2)
+    assert pairs(plans) == [(0, 3), (4, 5)]
+    assert sorted(p.name for p in (tmp_path / "plans").glob("batch=*")) == ["batch=0", "batch=1"]
