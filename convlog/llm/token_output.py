@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlog.llm.common import scratch_dir, table
-from convlog.llm.tokenize import Memory, slices, units
+from convlog.llm.tokenize import Memory, marked_units, slices
 
 BLOCK_TOKENS = 1 << 16
 LISTED = 500  # units in one string
@@ -56,33 +56,65 @@ def unpack(payload: bytes, width: int, begin: int, end: int) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by a tokenizer of the tokenizers library whose pattern lets units be encoded by themselves."""
+    """Ids of texts by a tokenizer of the tokenizers library whose pattern lets units be encoded by themselves. Special
+    tokens that stand in a text are taken for such, as the library does."""
 
     def __init__(self, file: bytes):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_buffer(file)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.special = re.compile("|".join(sorted((re.escape(t.content) for t in added), key=len, reverse=True)) or r"(?!)")
+        self.bound = [t.content for t in added if t.lstrip or t.rstrip or t.single_word or t.normalized]  # these reach beyond themselves
         self.memory = Memory(REMEMBERED)
         # units without white space but a first blank are encoded many in one string, if a line end stays by itself there
         one, two, both = (self.tokenizer.encode(t, add_special_tokens=False).ids for t in (" a", " b", " a\n b"))
         found = both[len(one) : len(both) - len(two)]
         self.between = found[0] if len(found) == 1 and both == [*one, *found, *two] else None
 
-    def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        cuts = [units(t) for t in texts]
-        new, known = self.memory.missing(cuts), self.memory.known
+    def __call__(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, each text's followed by end; and how many each has with it."""
+        aside = {k for k, t in enumerate(texts) if "\0" in t or any(x in t for x in self.bound)}
+        marked = [b"\0" if k in aside else self._marked(t).encode() for k, t in enumerate(texts)]
+        data = b"".join(marked)
+        offsets = np.concatenate([[0], np.flatnonzero(np.frombuffer(data, np.uint8) == 0) + 1]).astype(np.int64)
+        units_ = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(data)).dictionary_encode()
+        codes = units_.indices.to_numpy().astype(np.int64)
+        distinct = units_.dictionary.to_pylist()  # each with the mark at its end
+        ids = [*self._known(distinct), np.array([end], "<u4").tobytes()]
+        stops = np.searchsorted(offsets, np.cumsum([len(x) for x in marked]))  # units up to each text's end
+        codes = np.insert(codes, stops, len(distinct))
+        stops = stops + np.arange(1, len(texts) + 1)
+        for k in sorted(aside):  # the one, empty, unit of such a text stands for all of it
+            codes[stops[k] - 2] = len(ids)
+            ids.append(np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, "<u4").tobytes())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat, first = np.frombuffer(b"".join(ids), "<u4"), np.concatenate([[0], np.cumsum(size)])
+        long_ = size[codes]
+        begin = np.concatenate([[0], np.cumsum(long_)])
+        out = flat[np.repeat(first[codes] - begin[:-1], long_) + np.arange(begin[-1])]
+        return out, np.diff(begin[stops], prepend=0)
+
+    def _marked(self, text: str) -> str:
+        """The text with a mark after each unit."""
+        if self.special.search(text):
+            text = self.special.sub("\0\\g<0>\0", text)
+        return marked_units(text) + "\0"
+
+    def _known(self, distinct: list[str]) -> list[bytes]:
+        """Ids of units that have a mark at their ends."""
+        new, known = self.memory.missing([distinct]), self.memory.known
         # a word with a tail of punctuation is two matches of the pattern, and the word is often known
-        pairs = [(u, m[1], m[2]) for u in new if (m := _TAILED(u))]
-        whole = [u for u in new if not _TAILED(u)]
+        pairs = [(u, m[1] + "\0", m[2] + "\0") for u in new if (m := _TAILED(u, 0, len(u) - 1))]
+        tailed = {u for u, *_ in pairs}
         parts = self.memory.missing([[x for _, *cut in pairs for x in cut]], turn=False)
-        wanted = list({*whole, *parts})
-        alone = list(filter(_ALONE, wanted))
-        rest = [u for u in wanted if not _ALONE(u)]
+        wanted = list({*(u for u in new if u not in tailed), *parts})
+        alone = [u for u in wanted if _ALONE(u, 0, len(u) - 1)]
+        rest = [u for u in wanted if not _ALONE(u, 0, len(u) - 1)]
         for lo in range(0, len(alone), LISTED * 64):
             lists = [alone[k : min(k + LISTED, lo + LISTED * 64)] for k in range(lo, min(lo + LISTED * 64, len(alone)), LISTED)]
-            for part, x in zip(lists, self.tokenizer.encode_batch_fast(["\n".join(u) for u in lists], add_special_tokens=False), strict=True):
+            for part, x in zip(lists, self.tokenizer.encode_batch_fast(["".join(u).replace("\0", "\n")[:-1] for u in lists], add_special_tokens=False), strict=True):
                 ids = np.array(x.ids, "<u4")
                 ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)] if self.between is not None else []
                 if len(ends) != len(part):
@@ -94,11 +126,10 @@ class Encoder:
                     begin = end + 1
         for lo in range(0, len(rest), 20_000):
             part = rest[lo : lo + 20_000]
-            for unit, x in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for unit, x in zip(part, self.tokenizer.encode_batch_fast([u[:-1] for u in part], add_special_tokens=False), strict=True):
                 known[unit] = np.array(x.ids, "<u4").tobytes()
         known.update((u, known[a] + known[b]) for u, a, b in pairs)
-        for cut in cuts:
-            yield b"".join(map(known.__getitem__, cut))
+        return list(map(known.__getitem__, distinct))
 
 
 @lru_cache(maxsize=2)
@@ -112,31 +143,36 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: bytes, vocabulary:
     Null text counts as empty: the end id alone. Null ids come first; rows of equal id are ordered by text. A document
     is never cut: one larger than a block makes a block of its own. An empty table makes an empty folder of blocks.
     """
-    width, end = width_of(vocabulary), np.array([end_id], "<u4").tobytes()
+    width = width_of(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, block, start = _encoder(tokenizer_file), TaskContext.get().partitionId(), 0, 0
-        ids: list[int | None] = []
-        kept: list[bytes] = []
-        held = 0
+        held: list[tuple[list[int | None], np.ndarray, np.ndarray]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal block, start, held, ids, kept
-            flat = np.frombuffer(b"".join(kept), "<u4")
-            row = [[shard], [block], [start], [len(flat)], [width], [ids], [[len(x) // 4 for x in kept]], [pack(flat, width)]]
+            nonlocal block, start, held, size
+            flat = np.concatenate([x[1] for x in held])
+            row = [[shard], [block], [start], [len(flat)], [width], [[i for x in held for i in x[0]]], [np.concatenate([x[2] for x in held])], [pack(flat, width)]]
             out = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, _ARROW, strict=True)], _NAMES)
-            block, start, held, ids, kept = block + 1, start + len(flat), 0, [], []
+            block, start, held, size = block + 1, start + len(flat), [], 0
             return out
 
         for whole in batches:
             for batch in slices(whole):
-                for doc, x in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
-                    ids.append(doc)
-                    kept.append(x + end)
-                    held += len(x) // 4 + 1
-                    if held >= BLOCK_TOKENS:
+                ids = batch.column(0).to_pylist()
+                flat, counts = encode(batch.column(1).to_pylist(), end_id)
+                ends = np.cumsum(counts)
+                at = 0
+                while at < len(ids):  # up to the document that fills the block
+                    before = int(ends[at - 1]) if at else 0
+                    stop = min(int(np.searchsorted(ends, before + BLOCK_TOKENS - size)) + 1, len(ids))
+                    held.append((ids[at:stop], flat[before : ends[stop - 1]], counts[at:stop]))
+                    size += int(ends[stop - 1]) - before
+                    at = stop
+                    if size >= BLOCK_TOKENS:
                         yield flush()
-        if kept:
+        if held:
             yield flush()
 
     (

@@ -24,6 +24,11 @@ def units(text: str) -> list[str]:
     return text.replace(" ", "\0 ").split("\0")
 
 
+def marked_units(text: str) -> str:
+    """The text, which has no NUL, with a NUL between units."""
+    return _CUT.sub("\0", text) if _SPACE_AFTER_SPACE.search(text) else text.replace(" ", "\0 ")
+
+
 def slices(batch: pa.RecordBatch, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows of a batch (id, text) with about limit bytes of text, one row at least."""
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))

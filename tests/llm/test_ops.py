@@ -313,7 +313,6 @@ def test_token_files(spark, docs, plain, empty, tmp_path):
     with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
         file = f.read()
     tok = Tokenizer.from_buffer(file)
-    tok.encode_special_tokens = True
     write_tokens(docs, f"{tmp_path}/a", file, tok.get_vocab_size(), 0)
     got = {r.doc_id: r for r in read_documents(spark, f"{tmp_path}/a").collect()}
     stream = []
@@ -327,6 +326,29 @@ def test_token_files(spark, docs, plain, empty, tmp_path):
     assert read_documents(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_token_files_odd(spark, tmp_path):
+    """Special tokens in texts, marks, ids that are null or repeated, and columns named like the operator's own."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        file = f.read()
+    tok = Tokenizer.from_buffer(file)
+    texts = ["see <|endoftext|> here", "<|endoftext|><|endoftext|>", "a  <|endoftext|>  b\n <|endoftext|>", "x\0y <|endoftext|>\0 z", " <|endof text|> <|endoftext|", "\0", "w" * 50_000, "tail!?<|endoftext|>.", "\u00a0 \u2003 x  y \t z "]
+    rnd = random.Random(5)
+    texts += ["".join(rnd.choice([" ", "  ", "ab", "é", "\n", "<|endoftext|>", "1", ".", "\u3000", "'s", "\0"]) for _ in range(rnd.randint(0, 40))) for _ in range(300)]
+    rows = [*enumerate(texts), (7, texts[7]), (None, "no id <|endoftext|>"), (None, None)]
+    df = spark.createDataFrame([(i, t, 1, b"x") for i, t in rows], "doc_id long, text string, start int, payload binary")
+    write_tokens(df, f"{tmp_path}/c", file, tok.get_vocab_size(), 0)
+    want, at = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted((tuple(r) for r in read_documents(spark, f"{tmp_path}/c").collect()), key=lambda r: r[1]) == want
+
+
 def test_topk(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(64)]) for i in range(400)] + [(1000 + i, [1.0] * 64) for i in range(40)] + [(None, [1.0] * 64), (2000, None), (2001, []), (5, [0.5] * 64)]
