@@ -10,7 +10,7 @@ SPACE = r"\s\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{
 CJK = r"[\x{3400}-\x{9fff}\x{f900}-\x{faff}]"
 HIDDEN = ["think", "thinking", "analysis", "reasoning", "scratchpad", "internal_thought"]
 WRAPPERS = ["正文", "now_plot", "content"]
-TRUNCATED = ["length", "max_tokens", "max_output_tokens", "token_limit", "model_length", "incomplete"]
+TRUNCATED = ["length", "max_token", "max_tokens", "max_output_tokens", "token_limit", "output_token_limit"]
 
 
 def trim(c: Column) -> Column:
@@ -96,8 +96,9 @@ def trimmed_distinct(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(c, trim), lambda x: x != ""))
 
 
-def phase_boundary(text: Column, rules: list[str], hypothetical: str, negated: str, sentence_end: str = "。！？.!?\n") -> Column:
-    """Whether the first match of some rule stands in a sentence that is neither hypothetical nor negated."""
+def phase_boundary(text: Column, rules: list[str], hypothetical: str, negated: str, sentence_end: str = "。！？\n") -> Column:
+    """Whether the first match of some rule stands in a sentence that is neither hypothetical nor negated. Sentences end at
+    the marks of sentence_end and nowhere else."""
     found = F.lit(False)
     for rule in rules:
         at = F.regexp_instr(text, F.lit(f"({rule})"))

@@ -96,11 +96,17 @@ def chunk_rows(messages: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def ready_chunks(messages: DataFrame, chunks: DataFrame, turns: int, chars: int, visible: Column) -> DataFrame:
-    """The chunks of each conversation before its first one that isn't ready. Ready: all turns there, or the plan ends
-    before the log does, or some visible non-system text ahead of a phase cut, or complete turns over the limit."""
-    marked = chunk_rows(turn_flags(messages).withColumn("size", utf16_length(F.coalesce("text", F.lit("")))).withColumn("seen", visible & ~F.col("is_system")), chunks)
-    facts = marked.groupBy("conv_id", "chunk", "start_id", "end_id").agg(F.count_if("completes").alias("t"), F.sum("size").alias("chars"), F.bool_or("seen").alias("seen"))
+    """The chunks of each conversation before its first one that isn't ready. Ready: all turns there; or the plan ended
+    before the log did; or a phase cut it, and it has visible non-system text; or complete turns over the limit.
+
+    chunks may have planned_end, where a chunk would have ended without the phase that cut it; else none is taken as cut.
+    """
+    planned = F.col("planned_end") if "planned_end" in chunks.columns else F.col("end_id")
+    ranges = chunks.select("conv_id", "chunk", "start_id", "end_id", planned.alias("planned"))
+    marked = chunk_rows(turn_flags(messages).withColumn("size", utf16_length(F.coalesce("text", F.lit("")))).withColumn("seen", visible & ~F.col("is_system")), ranges)
+    facts = marked.groupBy("conv_id", "chunk", "start_id", "end_id", "planned").agg(F.count_if("completes").alias("t"), F.sum("size").alias("chars"), F.bool_or("seen").alias("seen"))
     last = facts.withColumn("last", F.max("end_id").over(by()))
-    ready = (F.col("t") >= turns) | ((F.col("end_id") < F.col("last")) & F.col("seen")) | ((F.col("t") > 0) & (F.col("chars") > chars))
+    cut = (F.col("end_id") < F.col("planned")) & F.col("seen")
+    ready = (F.col("t") >= turns) | (F.col("planned") < F.col("last")) | cut | ((F.col("t") > 0) & (F.col("chars") > chars))
     first_open = F.min(F.when(~ready, F.col("chunk"))).over(by())
     return last.withColumn("stop", first_open).filter(F.col("stop").isNull() | (F.col("chunk") < F.col("stop"))).select("conv_id", "chunk", "start_id", "end_id")

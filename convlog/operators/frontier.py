@@ -36,11 +36,13 @@ def latest_record(records: DataFrame, logs: DataFrame) -> DataFrame:
 
 def latest_within(left: DataFrame, right: DataFrame, key: str, seconds: int) -> DataFrame:
     """Each left row (key, id, at) with the latest right row (key, other, captured) of the same key that is at most so many
-    seconds older; one partner a row."""
-    age = F.unix_timestamp("at") - F.unix_timestamp("captured")
-    met = left.join(right, key).filter(age.between(0, seconds))
-    w = Window.partitionBy(key, "id").orderBy(F.col("captured").desc(), F.col("other").desc())
-    return met.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    seconds older, in whole seconds; no row where there is none. An as-of join: one sorted pass over a key's rows."""
+    one = left.select(*left.columns, F.unix_timestamp("at").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema["captured"].dataType).alias("captured"), F.lit(None).cast(right.schema["other"].dataType).alias("other"))
+    two = right.select(key, "other", "captured", F.unix_timestamp("captured").alias("_t"), F.lit(0).alias("_side"))
+    w = Window.partitionBy(key).orderBy("_t", "_side", "captured", "other").rowsBetween(Window.unboundedPreceding, -1)
+    seen = F.last(F.when(F.col("_side") == 0, F.struct("captured", "other", "_t")), ignorenulls=True).over(w)
+    met = one.unionByName(two, allowMissingColumns=True).withColumn("_seen", seen).filter((F.col("_side") == 1) & (F.col("_t") - F.col("_seen._t") <= seconds))
+    return met.select(*left.columns, F.col("_seen.other").alias("other"), F.col("_seen.captured").alias("captured"))
 
 
 def branch(entries: DataFrame, branches: DataFrame) -> DataFrame:

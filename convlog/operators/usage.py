@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convlog.functions.text import trim
 
-# fixed values: where providers put a counter, most telling first
+# fixed values: where providers put a counter, most telling first; statuses worth another try; events that end a stream
 PATHS = {
     "prompt_tokens": ["$.usage.prompt_tokens", "$.usage.input_tokens", "$.usageMetadata.promptTokenCount"],
     "completion_tokens": ["$.usage.completion_tokens", "$.usage.output_tokens", "$.usageMetadata.candidatesTokenCount"],
@@ -16,43 +16,51 @@ PATHS = {
     "finish_reason": ["$.choices[0].finish_reason", "$.choices[0].stop_reason", "$.finish_reason", "$.stop_reason", "$.stopReason", "$.candidates[0].finishReason"],
 }
 RETRIABLE = ["408", "502", "503", "504", "520", "521", "522", "523", "524"]
+STREAM_ENDS = ["message_stop", "message-end", "response.completed"]
+STREAM_REASON = ["$.choices[0].finish_reason", "$.choices[0].stop_reason", "$.finish_reason", "$.stop_reason", "$.stopReason", "$.delta.stop_reason", "$.candidates[0].finishReason"]
 
 
 def _count(payload: Column, paths: list[str]) -> Column:
-    """The first finite number of 0 or more, rounded down."""
-    found = []
-    for p in paths:
-        v = F.expr("null").cast("double") if p is None else F.get_json_object(payload, p).try_cast("double")
-        found.append(F.when((v >= 0) & (v < float("inf")), F.floor(v)))
-    return F.coalesce(*found)
+    """The first finite number of 0 or more, rounded down, in a parsed payload."""
+    found = (F.try_variant_get(payload, p, "double") for p in paths)
+    return F.coalesce(*(F.when((v >= 0) & (v < float("inf")), F.floor(v)) for v in found))
+
+
+def _string(payload: Column, paths: list[str], most: int = 200) -> Column:
+    """The first value that is there, trimmed and cut; null where it is blank."""
+    return F.substring(F.nullif(trim(F.coalesce(*(F.try_variant_get(payload, p, "string") for p in paths))), F.lit("")), 1, most)
 
 
 def completion_metadata(calls: DataFrame) -> DataFrame:
     """calls (…, payload, response) with counters, finish_reason and response_characters; total is the sum where it isn't
-    given. A payload that isn't JSON has none."""
-    p = F.col("payload")
-    out = calls
-    for name in ("prompt_tokens", "completion_tokens", "reasoning_tokens", "total_tokens"):
-        out = out.withColumn(name, _count(p, PATHS[name]))
-    out = out.withColumn("total_tokens", F.coalesce("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens")))
-    reason = F.substring(F.nullif(trim(F.coalesce(*(F.get_json_object(p, x) for x in PATHS["finish_reason"]))), F.lit("")), 1, 200)
-    return out.withColumn("finish_reason", reason).withColumn("response_characters", F.length("response").cast("long"))
+    given. A payload that isn't JSON has none. Each payload is parsed once."""
+    p = F.col("_parsed")
+    out = calls.withColumn("_parsed", F.try_parse_json("payload"))
+    counters = {name: _count(p, PATHS[name]) for name in ("prompt_tokens", "completion_tokens", "reasoning_tokens", "total_tokens")}
+    out = out.withColumns(counters | {"finish_reason": _string(p, PATHS["finish_reason"]), "response_characters": F.length("response").cast("long")})
+    return out.withColumn("total_tokens", F.coalesce("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))).drop("_parsed")
 
 
 def response_text(payload: Column) -> Column:
-    """The answer's text, wherever the provider put it."""
-    return F.coalesce(*(F.get_json_object(payload, p) for p in ("$.choices[0].message.content", "$.choices[0].text", "$.content")))
+    """The answer's text, wherever the provider put it; of a list of parts, their texts in turn."""
+    v = F.try_parse_json(payload)
+    content = "$.choices[0].message.content"
+    parts = F.transform(F.try_variant_get(v, content, "array<variant>"), lambda x: F.coalesce(F.try_variant_get(x, "$.text", "string"), F.lit("")))
+    return F.coalesce(F.array_join(parts, ""), *(F.try_variant_get(v, p, "string") for p in (content, "$.choices[0].text", "$.content")))
 
 
 def retriable(status: Column, message: Column) -> Column:
-    said = F.regexp_extract_all(message, F.lit(r"(?i)(?:HTTP|status)[\s:]+(\d{3})"), 1)
+    """Whether the status, or one that the message names as HTTP or status, is worth another try."""
+    said = F.regexp_extract_all(message, F.lit(r"(?i)\b(?:HTTP|status)\s*[:=]?\s*(\d{3})\b"), 1)
     return F.coalesce(status.cast("string").isin(RETRIABLE), F.lit(False)) | F.coalesce(F.exists(said, lambda s: s.isin(RETRIABLE)), F.lit(False))
 
 
 def stream_events(pieces: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
     """conv_id, no, event, data from chunks (conv_id, seq, bytes as text) of event streams: blocks end at a blank line,
-    comments are left out, several data lines are joined. Streams over the limit are left out."""
-    whole = pieces.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("s")).filter(F.octet_length("s") <= most_bytes)
+    comments are left out, several data lines are joined. Streams over the limit are left out before they are put together."""
+    size = F.sum(F.octet_length("piece")).over(Window.partitionBy("conv_id"))
+    short = pieces.withColumn("size", size).filter(F.col("size") <= most_bytes)
+    whole = short.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("s"))
     blocks = whole.select("conv_id", F.posexplode(F.split("s", r"\r\n\r\n|\n\n|\r\r")).alias("no", "block"))
     lines = F.split("block", r"\r\n|\n|\r")
     data = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, "^data: ?", ""))
@@ -61,17 +69,28 @@ def stream_events(pieces: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
 
 
 def stream_completion(events: DataFrame) -> DataFrame:
-    """conv_id, response, finish_reason, model, and the largest usage counters, of streams with an end."""
-    d = F.col("data")
-    text = F.coalesce(F.get_json_object(d, "$.choices[0].delta.content"), F.get_json_object(d, "$.delta.text"), F.lit(""))
-    reason, model = F.get_json_object(d, "$.choices[0].finish_reason"), F.get_json_object(d, "$.model")
-    rolled = events.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", text.alias("t")))), lambda x: x["t"]), "").alias("response"),
-        F.max_by(reason, F.when(reason.isNotNull(), F.col("no"))).alias("finish_reason"),
-        F.min_by(model, F.when(model.isNotNull(), F.col("no"))).alias("model"),
-        F.max(_count(d, PATHS["prompt_tokens"])).alias("prompt_tokens"),
-        F.max(_count(d, PATHS["completion_tokens"])).alias("completion_tokens"),
-        F.bool_or((d == "[DONE]") | (F.col("event") == "message_stop") | reason.isNotNull()).alias("ended"),
+    """conv_id, response, finish_reason, model, and the largest usage counters, of streams with an end.
+
+    A stream ends by [DONE], an event or type that says so, done = true, or any finish reason. Model and usage may also
+    stand under message or response, as in streams that open with one of them.
+    """
+    v = F.col("parsed")
+    parsed = events.withColumn("parsed", F.try_parse_json("data"))
+    text = F.coalesce(*(F.try_variant_get(v, p, "string") for p in ("$.choices[0].delta.content", "$.delta.text")), F.lit(""))
+    counters = {name: [q for p in PATHS[name] for q in (p, *(p.replace("$.", f"$.{at}.") for at in ("message", "response") if p.startswith("$.usage.")))] for name in ("prompt_tokens", "completion_tokens")}
+    kind = F.coalesce(_string(v, ["$.type"]), F.nullif(trim(F.col("event")), F.lit("")))
+    told = parsed.select(
+        "conv_id", "no", text.alias("t"), _string(v, STREAM_REASON).alias("reason"), _string(v, ["$.model", "$.message.model", "$.response.model"]).alias("model"),
+        *(F.greatest(F.lit(None).cast("bigint"), *(_count(v, [p]) for p in paths)).alias(name) for name, paths in counters.items()),
+        ((F.col("data") == "[DONE]") | kind.isin(STREAM_ENDS) | F.coalesce(F.try_variant_get(v, "$.done", "boolean"), F.lit(False))).alias("ends"),
+    )
+    rolled = told.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]), "").alias("response"),
+        F.max_by("reason", F.when(F.col("reason").isNotNull(), F.col("no"))).alias("finish_reason"),
+        F.min_by("model", F.when(F.col("model").isNotNull(), F.col("no"))).alias("model"),
+        F.max("prompt_tokens").alias("prompt_tokens"),
+        F.max("completion_tokens").alias("completion_tokens"),
+        F.bool_or(F.coalesce("ends", F.lit(False)) | F.col("reason").isNotNull()).alias("ended"),
     )
     return rolled.filter("ended").drop("ended")
 

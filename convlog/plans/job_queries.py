@@ -123,10 +123,12 @@ def f6_tagged_blocks(spark, d):
     return t.select("page_id", F.size(X.tagged_blocks(F.col("html"), "p")).cast("long").alias("blocks"))
 
 
+ANSWERS = ['{"choices":[{"message":{"content":"a#"}}]}', '{"choices":[{"text":"b#"}]}', '{"content":"c#"}', '{"choices":[{"message":{"content":[{"type":"text","text":"d"},{"type":"image"},{"text":"#"}]},"text":"no"}]}', '{"choices":[{"message":{"content":"[#]"}}]}', "not json #"]
+
+
 def f11_response_text(spark, d):
     t = spark.read.parquet(f"{d}/events.parquet")
-    v = F.col("event_id").cast("string")
-    p = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"choices":[{"message":{"content":"a'), v, F.lit('"}}]}'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"choices":[{"text":"b'), v, F.lit('"}]}'))).otherwise(F.concat(F.lit('{"content":"c'), v, F.lit('"}')))
+    p = F.replace(F.get(F.array(*map(F.lit, ANSWERS)), (F.col("event_id") % len(ANSWERS)).cast("int")), F.lit("#"), F.col("event_id").cast("string"))
     return t.select("event_id", usage.response_text(p).alias("response"))
 
 
@@ -206,7 +208,7 @@ SQL = {
     "u5_splice": f"{_RUNS} SELECT conv_id, 1 AS level, start_id, end_id FROM r WHERE rn // 2 >= k OR conv_id % 2 = 1 UNION ALL SELECT conv_id, 2, min(start_id), max(end_id) FROM r WHERE rn // 2 < k AND conv_id % 2 = 0 GROUP BY conv_id, rn // 2",
     "f4_history": f"{L.STACK} SELECT conv_id, 'Earlier history:' || chr(10) || string_agg({_BLOCK}, chr(10) ORDER BY start_id) AS history FROM entries WHERE text <> '' GROUP BY conv_id",
     "f6_tagged_blocks": "SELECT page_id, len(regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>.*?</p\\s*>')) AS blocks FROM pages",
-    "f11_response_text": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END || event_id AS response FROM events",
+    "f11_response_text": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN '[' || event_id || ']' END AS response FROM events",
     "f16_generation_signature": "SELECT DISTINCT conv_id, sha256('{\"id\":' || conv_id || ',\"tokens\":3000,\"model\":\"default\"}') AS signature FROM conversations",
     "s4_valid_provenance": f"""{L.STACK}, p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1) // 3 AS run FROM entries), q AS (SELECT * FROM p WHERE conv_id % 4 <> 0 OR start_id % 5 <> 0),
       g AS (SELECT *, lag(end_id) OVER (PARTITION BY conv_id, run ORDER BY start_id) AS before FROM q)

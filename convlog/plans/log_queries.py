@@ -136,7 +136,11 @@ def a3_chunk_sizes(spark, d):
 
 
 def w10_ready_chunks(spark, d):
-    return chunks.ready_chunks(from_events(spark, d), _plan(spark, d), TURNS, 10_000_000, F.length("text") > 0)
+    """The last chunk of every other log is cut by a phase after its first row; the limit on characters binds at times."""
+    plan = _plan(spark, d).withColumn("planned_end", F.col("end_id"))
+    last = F.col("chunk") == F.max("chunk").over(Window.partitionBy("conv_id"))
+    cut = plan.withColumn("end_id", F.when(last & (F.col("conv_id") % 2 == 0), F.col("start_id")).otherwise(F.col("end_id")))
+    return chunks.ready_chunks(from_events(spark, d), cut, TURNS, 60, F.col("name") != "view")
 
 
 def j1_entry_messages(spark, d):
@@ -244,7 +248,13 @@ SQL = {
     "w8_chunk_plan": f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL} SELECT * FROM chunks",
     "w8_chunk_fold": f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL} SELECT conv_id, chunk, start_id, end_id FROM chunks",
     "a3_chunk_sizes": f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL} SELECT c.conv_id, chunk, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM chunks c JOIN m ON m.conv_id = c.conv_id AND message_id BETWEEN start_id AND end_id GROUP BY ALL",
-    "w10_ready_chunks": f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL}, k AS (SELECT *, max(end_id) OVER (PARTITION BY conv_id) AS last_ FROM chunks) SELECT conv_id, chunk, start_id, end_id FROM k WHERE turns_done >= {TURNS} OR end_id < last_",
+    "w10_ready_chunks": f"""WITH {LOGS}, {FLAGS}, {CHUNKS_SQL}, k AS (SELECT *, max(chunk) OVER (PARTITION BY conv_id) = chunk AND conv_id % 2 = 0 AS cut, end_id AS planned FROM chunks),
+      e AS (SELECT conv_id, chunk, start_id, CASE WHEN cut THEN start_id ELSE planned END AS end_id, planned FROM k),
+      facts AS (SELECT e.*, count(*) FILTER (WHERE completes) AS t, sum(length(text)) AS chars, bool_or(name <> 'view' AND NOT is_system) AS seen FROM e JOIN f ON f.conv_id = e.conv_id AND f.message_id BETWEEN e.start_id AND e.end_id GROUP BY ALL),
+      g AS (SELECT *, max(end_id) OVER (PARTITION BY conv_id) AS last_ FROM facts),
+      h AS (SELECT *, t >= {TURNS} OR planned < last_ OR (end_id < planned AND seen) OR (t > 0 AND chars > 60) AS ready FROM g),
+      o AS (SELECT *, min(CASE WHEN NOT ready THEN chunk END) OVER (PARTITION BY conv_id) AS stop FROM h)
+      SELECT conv_id, chunk, start_id, end_id FROM o WHERE stop IS NULL OR chunk < stop""",
     "j1_entry_messages": f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL} SELECT c.conv_id, chunk, message_id, name FROM chunks c JOIN m ON m.conv_id = c.conv_id AND message_id BETWEEN start_id AND end_id",
     "a4_range_hashes": f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL}, {HASHES_SQL} SELECT * FROM hashed",
     "a6_frontier_signature": f"{STACK} SELECT conv_id, string_agg('1:' || start_id || ':' || end_id || ':' || source_hash, '|' ORDER BY start_id) AS signature FROM entries GROUP BY conv_id",

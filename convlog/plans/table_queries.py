@@ -93,13 +93,16 @@ def p3_summary_text(spark, d):
 
 def p4_phase_boundary(spark, d):
     """Sentences of documents that name a small word, unless it comes after another in the same sentence."""
-    t = spark.read.parquet(f"{d}/documents.parquet").filter("lang = 'en'")
-    return t.select("doc_id", X.phase_boundary(F.col("text"), ["of that", "to the", "on the"], r"\bfor\b", r"\bwas\b.{0,20}\bthe\b", ".!?\n").alias("boundary"))
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    return t.select("doc_id", X.phase_boundary(F.coalesce("text", F.lit("")), ["of that", "to the", "on the"], r"\bfor\b", r"\bwas\b.{0,20}\bthe\b", ".!?\n").alias("boundary"))
+
+
+REASONS = [" Max-Tokens ", "LENGTH", "max token", "max_output_tokens", "Token Limit", "output-token-limit", "model_length", "incomplete", "stop", "lengthy", "max_", None]
 
 
 def p6_truncated(spark, d):
     t = _events(spark, d)
-    reason = F.when(F.col("event_type") == "error", F.lit(" Max-Tokens ")).when(F.col("event_type") == "view", F.lit("LENGTH")).otherwise(F.col("event_type"))
+    reason = F.get(F.array(*map(F.lit, REASONS)), (F.col("event_id") % len(REASONS)).cast("int"))
     return t.select("event_id", X.truncated(reason, F.col("user_id") % 2 == 0).alias("truncated"))
 
 
@@ -172,10 +175,13 @@ def f8_completion_metadata(spark, d):
     return usage.completion_metadata(t).drop("payload", "response")
 
 
+SAID = ["call failed: HTTP {}", "status={}", "(HTTP{})", "HTTP {}0", "xhttp: {}", "Status : {}, giving up", "code {}"]
+
+
 def p14_retriable(spark, d):
     t = _events(spark, d)
-    said = F.concat(F.lit("call failed: HTTP "), (F.col("event_id") % 40 + 490).cast("string"))
-    return t.select("event_id", usage.retriable(F.col("event_id") % 600, said).alias("retriable"))
+    said = F.get(F.array(*map(F.lit, SAID)), (F.col("event_id") % len(SAID)).cast("int"))
+    return t.select("event_id", usage.retriable(F.col("event_id") % 600, F.replace(said, F.lit("{}"), (F.col("event_id") % 40 + 490).cast("string"))).alias("retriable"))
 
 
 def s12_stream_events(spark, d):
@@ -184,12 +190,16 @@ def s12_stream_events(spark, d):
     return usage.stream_events(m.select("conv_id", F.col("message_id").alias("seq"), piece.alias("piece")))
 
 
+ENDS = ["data: [DONE]", 'data: {"type":"response.completed","response":{"usage":{"output_tokens":9}}}', "event: message-end\ndata: {}", 'data: {"done":true}', 'data: {"delta":{"stop_reason":" end_turn "}}', 'data: {"candidates":[{"finishReason":"STOP"}]}', 'data: {"done":false}', ""]
+
+
 def a19_stream_completion(spark, d):
     m = from_conversations(spark, d)
     last = F.max("message_id").over(Window.partitionBy("conv_id"))
-    body = F.concat(F.lit('data: {"model":"m'), (F.col("message_id") % 3).cast("string"), F.lit('","usage":{"prompt_tokens":'), (F.col("message_id") * 3 % 7).cast("string"), F.lit('},"choices":[{"delta":{"content":"'), F.col("name"), F.lit('"}}]}\n\n'))
-    end = F.when((F.col("message_id") == last) & (F.col("conv_id") % 4 != 0), F.lit("data: [DONE]\n\n")).otherwise("")
-    return usage.stream_completion(usage.stream_events(m.select("conv_id", F.col("message_id").alias("seq"), F.concat(body, end).alias("piece"))))
+    opening = F.when(F.col("message_id") == 0, F.lit('data: {"message":{"model":"m","usage":{"input_tokens":3}}}\n\n')).otherwise("")
+    body = F.concat(F.lit('data: {"usage":{"prompt_tokens":'), (F.col("message_id") * 3 % 7).cast("string"), F.lit('},"choices":[{"delta":{"content":"'), F.col("name"), F.lit('"}}]}\n\n'))
+    end = F.when(F.col("message_id") == last, F.concat(F.get(F.array(*map(F.lit, ENDS)), (F.col("conv_id") % len(ENDS)).cast("int")), F.lit("\n\n"))).otherwise("")
+    return usage.stream_completion(usage.stream_events(m.select("conv_id", F.col("message_id").alias("seq"), F.concat(opening, body, end).alias("piece"))))
 
 
 def _book(spark, d) -> DataFrame:
@@ -272,7 +282,11 @@ SQL = {
       SELECT conv_id, chunk AS seq, least(greatest(chunk % 40, 1), 32) AS level, start_id, end_id, CASE WHEN chunk = 1 THEN '' ELSE 't' END AS text, chunk = 1 AS deleted FROM chunks LEFT JOIN bad USING (conv_id) WHERE b IS NULL OR chunk < b""",
     "p2_visible_text": _visible_sql(),
     "p3_summary_text": f"WITH {L.CONV} SELECT conv_id, message_id, nullif({_TRIM.format('text')}, '') AS summary FROM m",
-    "p6_truncated": "SELECT event_id, event_type IN ('error', 'view') AND user_id % 2 = 1 AS truncated FROM events",
+    "p6_truncated": "SELECT event_id, event_id % 12 < 6 AND user_id % 2 = 1 AS truncated FROM events",
+    "p4_phase_boundary": r"""WITH s AS (SELECT doc_id, unnest(string_split_regex(coalesce(text, ''), '[.!?\n]')) AS sentence, generate_subscripts(string_split_regex(coalesce(text, ''), '[.!?\n]'), 1) AS k FROM documents),
+      r AS (SELECT unnest(['of that', 'to the', 'on the']) AS rule),
+      f AS (SELECT doc_id, rule, arg_min(substring(sentence, 1, strpos(sentence, rule) + length(rule) - 1), k) AS upto FROM s, r WHERE contains(sentence, rule) GROUP BY ALL)
+      SELECT doc_id, coalesce(bool_or(NOT regexp_matches(upto, '\bfor\b') AND NOT regexp_matches(upto, '\bwas\b.{0,20}\bthe\b')), false) AS boundary FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id""",
     "p7_search": f"{L.STACK} SELECT conv_id, start_id FROM entries WHERE NOT deleted AND contains('l1' || chr(10) || start_id || '-' || end_id || chr(10) || source_hash || chr(10) || text, 'ab1')",
     "f3_summary_block": f"{L.STACK} SELECT conv_id, start_id, CASE WHEN text = '' THEN '' ELSE '<log_summary>' || chr(10) || 'level L1' || chr(10) || 'messages ' || start_id || '-' || end_id || chr(10) || text || chr(10) || '</log_summary>' END AS block FROM entries",
     "f5_escaped": "SELECT page_id, " + _TRIM.format("regexp_replace(translate(html, '<>', '＜＞'), '\\n{3,}', chr(10) || chr(10), 'g')") + " AS text FROM pages",
@@ -292,11 +306,11 @@ SQL = {
     "f8_completion_metadata": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 900 WHEN 1 THEN event_id % 800 END AS prompt_tokens, CASE event_id % 3 WHEN 0 THEN event_id % 70 END AS completion_tokens,
       CASE event_id % 3 WHEN 0 THEN event_id % 9 END AS reasoning_tokens, CASE event_id % 3 WHEN 0 THEN event_id % 900 + event_id % 70 WHEN 1 THEN event_id % 5000 END AS total_tokens,
       CASE event_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'max_tokens' END AS finish_reason, length(props) AS response_characters FROM events""",
-    "p14_retriable": "SELECT event_id, event_id % 600 IN (408, 502, 503, 504, 520, 521, 522, 523, 524) OR event_id % 40 + 490 IN (502, 503, 504, 520, 521, 522, 523, 524) AS retriable FROM events",
+    "p14_retriable": "SELECT event_id, event_id % 600 IN (408, 502, 503, 504, 520, 521, 522, 523, 524) OR (event_id % 7 IN (0, 1, 2, 5) AND event_id % 40 + 490 IN (502, 503, 504, 520, 521, 522, 523, 524)) AS retriable FROM events",
     "s12_stream_events": f"""WITH {L.CONV} SELECT conv_id, (2 * message_id)::INT AS no, 'message' AS event, '{{"n":' || message_id || '}}' || chr(10) || 'x' AS data FROM m
       UNION ALL SELECT conv_id, (2 * message_id + 1)::INT, 'end', name FROM m""",
-    "a19_stream_completion": f"""WITH {L.CONV} SELECT conv_id, string_agg(name, '' ORDER BY message_id) AS response, NULL::VARCHAR AS finish_reason, 'm0' AS model, max(message_id * 3 % 7) AS prompt_tokens, NULL::BIGINT AS completion_tokens FROM m
-      WHERE conv_id % 4 <> 0 GROUP BY conv_id""",
+    "a19_stream_completion": f"""WITH {L.CONV} SELECT conv_id, string_agg(name, '' ORDER BY message_id) AS response, CASE conv_id % 8 WHEN 4 THEN 'end_turn' WHEN 5 THEN 'STOP' END AS finish_reason, 'm' AS model,
+      max(greatest(message_id * 3 % 7, CASE WHEN message_id = 0 THEN 3 END)) AS prompt_tokens, CASE conv_id % 8 WHEN 1 THEN 9 END::BIGINT AS completion_tokens FROM m WHERE conv_id % 8 < 6 GROUP BY conv_id""",
     "p9_available": "SELECT item_id AS uid FROM benchmark WHERE item_id % 17 <> 1 AND trim(text) <> ''",
     "w19_budgeted": f"""{L.STACK}, bl AS (SELECT conv_id AS text_id, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) AS place, length(text) + start_id % 11 AS chars FROM entries)
       SELECT * FROM (SELECT *, sum(chars + CASE WHEN place > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY place)::BIGINT AS used FROM bl) WHERE used <= 60""",
