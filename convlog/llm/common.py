@@ -81,7 +81,7 @@ def n_words(text: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
-BROADCAST = 64 << 20  # bytes of a table's files, with compression
+BROADCAST = 16 << 20  # bytes of a table's files, with compression
 
 
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
