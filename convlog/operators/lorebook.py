@@ -1,13 +1,29 @@
-"""Dictionary entries whose keys occur in a text, picked under a budget."""
+"""Dictionary entries whose keys occur in a text, picked under a budget.
+
+Keys are found by equal parts: a text's words and the longest word of a key are cut into short grams, so that a word of
+the corpus meets only the keys whose longest word it may hold; each text then checks only the keys that its own words
+lead to. Keys without any word, and those that are patterns, are tried on every text: a small part of a dictionary.
+"""
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from convlog.functions.text import CJK, escaped, token_estimate, trim
+
+SMALL = 100_000  # rows of a table that is sent to every task
+WORD = r"[\p{L}\p{N}_]+"
+GRAM = 3  # characters
 
-from convlog.functions.text import CJK, escaped, trim
 
-DICTIONARY = 20_000  # entries
+def _few(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
 
 
 def available(entries: DataFrame) -> DataFrame:
@@ -17,41 +33,151 @@ def available(entries: DataFrame) -> DataFrame:
     return entries.filter(~F.coalesce("disable", F.lit(False)) & (trim(F.coalesce("content", F.lit(""))) != "") & ~off & (fires | F.array_contains("triggers", "normal")))
 
 
-def key_matches(text: Column, key: Column, case_sensitive: Column, whole_words: Column) -> Column:
-    """A key as a substring; whole words only where asked for, unless it has blanks or CJK characters. Keys and texts are
-    taken as they are written: normalise both beforehand if they mix forms."""
-    needle = F.when(case_sensitive, trim(key)).otherwise(F.lower(trim(key)))
-    hay = F.when(case_sensitive, text).otherwise(F.lower(text))
+def participates(names: Column, tags: Column, only_names: Column, only_tags: Column, exclude: Column) -> Column:
+    """Whether a filter lets a text through: by the names that are active in it, then by their tags; an empty list asks
+    for nothing, an excluding filter turns both tests around."""
+    none = F.array().cast("array<string>")
+
+    def passes(active: Column, wanted: Column) -> Column:
+        wanted = F.coalesce(wanted, none)
+        return (F.size(wanted) == 0) | (F.arrays_overlap(F.coalesce(active, none), wanted) != F.coalesce(exclude, F.lit(False)))
+
+    return passes(names, only_names) & passes(tags, only_tags)
+
+
+def active_tags(texts: DataFrame, tags: DataFrame) -> DataFrame:
+    """text_id, tags: those of the names (text_id, names) that the table (name, tag) knows."""
+    named = texts.select("text_id", F.explode("names").alias("name"))
+    return named.join(_few(tags), "name").groupBy("text_id").agg(F.collect_set("tag").alias("tags"))
+
+
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+
+def normalised(text: Column) -> Column:
+    """Compatibility forms composed (NFKC), for which Spark has no function."""
+    return _composed(text)
+
+
+def key_matches(text: Column, needle: Column, whole_words: Column) -> Column:
+    """A needle as a substring; whole words only where asked for, unless it has blanks or CJK characters. Both come
+    normalised, and lower-cased where case is of no matter."""
     loose = ~whole_words | needle.rlike(CJK) | needle.rlike(r"\s")
     quoted = F.regexp_replace(needle, r"([.*+?^${}()|\[\]\\])", r"\\$1")
     edge = r"[^\p{L}\p{N}_]"
-    strict = F.rlike(hay, F.concat(F.lit(f"(?:^|{edge})"), quoted, F.lit(f"(?:$|{edge})")))
-    return (needle != "") & hay.contains(needle) & (loose | strict)
-
-
-def selected(primary: Column, secondary: Column, logic: Column) -> Column:
-    """Any primary key, and of the secondary ones by logic: 0 any, 1 not all, 2 none, 3 all; without any: no matter."""
-    some, every = F.exists(secondary, lambda x: x), F.forall(secondary, lambda x: x)
-    second = F.when(F.size(secondary) == 0, True).when(logic == 1, ~every).when(logic == 2, ~some).when(logic == 3, every).otherwise(some)
-    return F.exists(primary, lambda x: x) & second
-
-
-def match(texts: DataFrame, entries: DataFrame, most: int) -> DataFrame:
-    """text_id, uid, place, truncated: entries (uid, key, keysecondary, selectiveLogic, constant, caseSensitive,
-    matchWholeWords) that fit each text (text_id, text): constants, then at most `most` by key, in order of uid. A
-    dictionary of up to DICTIONARY entries is sent to every task; a larger one is left to Spark's choice of join."""
-    book = F.broadcast(entries) if entries.count() <= DICTIONARY else entries
-    hit = lambda keys: F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: key_matches(F.col("text"), k, F.coalesce("caseSensitive", F.lit(False)), F.coalesce("matchWholeWords", F.lit(False))))
-    constant = F.coalesce("constant", F.lit(False))
-    fits = constant | selected(hit(F.col("key")), hit(F.col("keysecondary")), F.coalesce("selectiveLogic", F.lit(0)))
-    found = texts.join(book, fits).select("text_id", "uid", constant.alias("constant"))
+    strict = F.rlike(text, F.concat(F.lit(f"(?:^|{edge})"), quoted, F.lit(f"(?:$|{edge})")))
+    return (needle != "") & text.contains(needle) & (loose | strict)
+
+
+def pattern(key: str) -> tuple[str, int, bool] | None:
+    """Source, flags and whether it must match at the start, of a key /source/flags that is a valid pattern."""
+    end = key.rfind("/")
+    flags = key[end + 1 :]
+    if not key.startswith("/") or end <= 0 or set(flags) - set("dgimsuvy") or len(set(flags)) < len(flags):
+        return None
+    source = re.sub(r"\(\?<(?![=!])", "(?P<", key[1:end])
+    try:
+        re.compile(source)
+    except re.error:
+        return None
+    return source, sum(v for f, v in (("i", re.I), ("m", re.M), ("s", re.S)) if f in flags), "y" in flags
+
+
+def _by_pattern(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(text_id, raw) of the keys that are patterns and found in a text as it is written; and those keys. They are
+    compiled in the tasks, so they go there whole."""
+    found = [(r.raw, pattern(r.raw)) for r in keys.filter(F.col("raw").startswith("/")).select("raw").distinct().collect()]
+    found = [(k, p) for k, p in found if p]
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def hits(text: pd.Series) -> pd.Series:
+        tests = [(k, re.compile(p[0], p[1]).match if p[2] else re.compile(p[0], p[1]).search) for k, p in found]
+        return text.map(lambda t: [k for k, test in tests if test(t or "")])
+
+    return texts.select("text_id", F.explode(hits(F.col("text"))).alias("raw")), [k for k, _ in found]
+
+
+def _grams(word: Column, k: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(word) - k + 1, F.lit(1))), lambda i: F.substr(word, i, F.lit(k)))
+
+
+def _numbered(keys: Column, primary: bool) -> Column:
+    return F.transform(keys, lambda k, i: F.struct(F.lit(primary).alias("primary"), i.alias("no"), trim(k).alias("raw")))
+
+
+def _by_words(folded: DataFrame, needles: DataFrame) -> DataFrame:
+    """(text_id, needle, cased, whole) of the keys that may occur in a text: some word of it holds the key's longest."""
+    words = folded.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("lower", F.lit(WORD), 0))).alias("word"))
+    grams = F.flatten(F.array(*(_grams(F.col("word"), k) for k in range(1, GRAM + 1))))
+    keyed = _few(needles.select("needle", "cased", "whole", "longest", F.substr("longest", F.lit(1), F.lit(GRAM)).alias("gram")))
+    met = words.select("word").distinct().select("word", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, "gram")
+    met = met.filter(F.col("word").contains(F.col("longest"))).select("word", "needle", "cased", "whole")
+    return words.join(_few(met), "word").select("text_id", "needle", "cased", "whole").distinct()
+
+
+def key_hits(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """(text_id, raw, cased, whole): the keys (raw, cased, whole) that occur in each text (text_id, text)."""
+    keys = keys.filter("raw <> ''").distinct()
+    by_pattern, patterns = _by_pattern(texts, keys)
+    plain = keys.filter(~F.col("raw").isin(patterns)) if patterns else keys
+    composed = normalised(F.col("raw"))
+    plain = plain.withColumn("needle", composed).withColumn("needle", F.when(F.col("cased"), F.col("needle")).otherwise(F.lower("needle")))
+    runs = F.transform(F.regexp_extract_all(F.lower("needle"), F.lit(WORD), 0), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
+    plain = plain.withColumn("longest", F.array_max(runs)["w"])
+    folded = texts.select("text_id", normalised(F.col("text")).alias("whole_text")).withColumn("lower", F.lower("whole_text"))
+    needles = plain.filter("longest is not null").select("needle", "cased", "whole", "longest").distinct()
+    likely = _by_words(folded, needles)
+    wordless = plain.filter("longest is null").select("needle", "cased", "whole").distinct()
+    tried = folded.join(likely, "text_id").unionByName(folded.join(F.broadcast(wordless), F.col("whole_text").contains(F.col("needle")) | F.col("lower").contains(F.col("needle"))))
+    found = tried.filter(key_matches(F.when(F.col("cased"), F.col("whole_text")).otherwise(F.col("lower")), F.col("needle"), F.col("whole"))).select("text_id", "needle", "cased", "whole")
+    hits = found.join(_few(plain.select("raw", "needle", "cased", "whole")), ["needle", "cased", "whole"]).select("text_id", "raw", "cased", "whole")
+    return hits.unionByName(by_pattern.join(_few(keys), "raw").select("text_id", "raw", "cased", "whole"))
+
+
+def selected(primary: Column, secondary: Column, all_secondary: Column, selective: Column, logic: Column) -> Column:
+    """Any of the primary keys; and, of an entry that is selective and has secondary keys, of those by logic: 0 any, 1 not
+    all, 2 none, 3 all. The three counts are of primary and secondary keys found and of secondary keys."""
+    second = F.when(~selective | (all_secondary == 0), True).when(logic == 1, secondary < all_secondary).when(logic == 2, secondary == 0).when(logic == 3, secondary == all_secondary).otherwise(secondary > 0)
+    return (primary > 0) & second
+
+
+def match(texts: DataFrame, entries: DataFrame, most: int, tags: DataFrame | None = None) -> DataFrame:
+    """text_id, uid, place, constant, matched_keys, truncated: the entries that fit each text (text_id, text, names):
+    constants, then at most `most` by key, each in order of uid; truncated says that there were more.
+
+    entries: uid, world, comment, content, key, keysecondary, selective, selectiveLogic, constant, caseSensitive,
+    matchWholeWords, only_names, only_tags, exclude; of entries that agree in the first four the first counts. tags
+    (name, tag) are those of names. Empty and null texts have the constants alone.
+    """
+    none, off = F.array().cast("array<string>"), F.lit(False)
+    book = entries.dropDuplicates(["uid", "world", "comment", "content"]).select(
+        "uid", F.coalesce("key", none).alias("key"), F.coalesce("keysecondary", none).alias("keysecondary"), F.coalesce("selective", off).alias("selective"), F.coalesce("selectiveLogic", F.lit(0)).alias("logic"), F.coalesce("constant", off).alias("constant"),
+        F.coalesce("caseSensitive", off).alias("cased"), F.coalesce("matchWholeWords", off).alias("whole"), "only_names", "only_tags", "exclude",
+    )
+    numbered = F.concat(*(_numbered(F.col(c), p) for c, p in (("key", True), ("keysecondary", False))))
+    listed = book.filter("not constant").select("uid", "cased", "whole", F.explode(numbered).alias("k"))
+    listed = listed.select("uid", "cased", "whole", "k.*")
+    hits = key_hits(texts, listed.select("raw", "cased", "whole")).join(_few(listed), ["raw", "cased", "whole"])
+    counted = hits.groupBy("text_id", "uid").agg(F.count_if("primary").alias("one"), F.count_if(~F.col("primary")).alias("two"), F.sort_array(F.collect_list(F.when(F.col("primary"), F.struct("no", "raw")))).alias("found"))
+    by_key = counted.filter("one > 0").join(_few(book.drop("key", "constant")), "uid").filter(selected(F.col("one"), F.col("two"), F.size("keysecondary"), F.col("selective"), F.col("logic")))
+    by_key = by_key.select("text_id", "uid", F.lit(False).alias("constant"), F.transform("found", lambda x: x["raw"]).alias("matched_keys"), "only_names", "only_tags", "exclude")
+    # constants go with every text: there are as many rows as the result has
+    constants = book.filter("constant").agg(F.collect_list(F.struct("uid", "only_names", "only_tags", "exclude")).alias("c")).first()["c"]
+    fixed = F.array(*(F.struct(F.lit(c.uid).alias("uid"), *(F.lit(c[x]).cast("array<string>").alias(x) for x in ("only_names", "only_tags")), F.lit(c.exclude).cast("boolean").alias("exclude")) for c in constants)) if constants else None
+    found = by_key if fixed is None else by_key.unionByName(texts.select("text_id", F.explode(fixed).alias("e")).select("text_id", "e.uid", F.lit(True).alias("constant"), none.alias("matched_keys"), "e.only_names", "e.only_tags", "e.exclude"))
+    if "names" in texts.columns:
+        with_tags = texts.select("text_id", "names").join(active_tags(texts, tags), "text_id", "left") if tags is not None else texts.select("text_id", "names", none.alias("tags"))
+        found = found.join(with_tags, "text_id").filter(participates(F.col("names"), F.col("tags"), F.col("only_names"), F.col("only_tags"), F.col("exclude")))
     w = Window.partitionBy("text_id", "constant")
     ranked = found.withColumn("rn", F.row_number().over(w.orderBy("uid"))).withColumn("n", F.count("*").over(w))
     kept = ranked.filter(F.col("constant") | (F.col("rn") <= most)).withColumn("cut", ~F.col("constant") & (F.col("n") > most))
-    return kept.select("text_id", "uid", F.row_number().over(Window.partitionBy("text_id").orderBy(F.col("constant").desc(), "uid")).cast("long").alias("place"), F.max("cut").over(Window.partitionBy("text_id")).alias("truncated"))
+    per = Window.partitionBy("text_id")
+    return kept.select("text_id", "uid", F.row_number().over(per.orderBy(F.col("constant").desc(), "uid")).cast("long").alias("place"), "constant", "matched_keys", F.max("cut").over(per).alias("truncated"))
 
 
-def budgeted(blocks: DataFrame, most: int, separator: int = 2) -> DataFrame:
+def budgeted(blocks: DataFrame, most: int | Column, separator: int = 2) -> DataFrame:
     """The leading blocks (text_id, place, chars) whose running length, separators counted, fits; stops at the first misfit."""
     w = Window.partitionBy("text_id").orderBy("place")
     total = F.sum(F.col("chars") + F.when(F.col("place") > 1, separator).otherwise(0)).over(w)
@@ -60,3 +186,21 @@ def budgeted(blocks: DataFrame, most: int, separator: int = 2) -> DataFrame:
 
 def block_text(header: Column, content: Column) -> Column:
     return F.concat(F.lit("["), escaped(header), F.lit("]\n"), escaped(content))
+
+
+def references(matched: DataFrame, entries: DataFrame, budget: int) -> DataFrame:
+    """text_id, text, tokens, constant_chars, matched_chars, n_entries, truncated: the blocks of the entries matched, constants
+    first and the rest within what they leave of the budget; whole blocks only."""
+    book = entries.dropDuplicates(["uid", "world", "comment", "content"]).select("uid", "world", "comment", "content")
+    nth = F.row_number().over(Window.partitionBy("text_id", "constant").orderBy("place"))
+    header = F.concat_ws("|", F.concat(F.lit("entry "), nth.cast("string")), F.concat(F.coalesce(F.nullif(trim("world"), F.lit("")), F.lit("unnamed")), F.lit("#"), F.col("uid").cast("string")), F.nullif(trim("comment"), F.lit("")), F.when(F.col("constant"), F.lit("constant")).otherwise(F.concat(F.lit("keys="), F.array_join("matched_keys", ","))))
+    blocks = matched.join(_few(book), "uid").select("text_id", nth.cast("long").alias("place"), "constant", "truncated", block_text(header, trim("content")).alias("block")).withColumn("chars", F.length("block"))
+    fixed = budgeted(blocks.filter("constant"), budget)
+    spent = fixed.groupBy("text_id").agg(F.max("used").alias("spent"))
+    rest = budgeted(blocks.filter("not constant").join(spent, "text_id", "left"), F.lit(budget) - F.coalesce("spent", F.lit(0))).drop("spent")
+    kept = fixed.unionByName(rest).groupBy("text_id").agg(
+        F.sort_array(F.collect_list(F.struct((~F.col("constant")).alias("side"), "place", "block"))).alias("b"), F.coalesce(F.max(F.when(F.col("constant"), F.col("used"))), F.lit(0)).alias("constant_chars"), F.coalesce(F.max(F.when(~F.col("constant"), F.col("used"))), F.lit(0)).alias("matched_chars"), F.count("*").alias("n_entries"),
+    )
+    told = blocks.groupBy("text_id").agg(F.count("*").alias("n"), F.max("truncated").alias("over")).join(kept, "text_id", "left")
+    text = F.coalesce(F.array_join(F.transform("b", lambda x: x["block"]), "\n\n"), F.lit(""))
+    return told.select("text_id", text.alias("text"), token_estimate(text).alias("tokens"), *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("constant_chars", "matched_chars", "n_entries")), (F.col("over") | (F.col("n") > F.coalesce("n_entries", F.lit(0)))).alias("truncated"))

@@ -203,22 +203,38 @@ def a19_stream_completion(spark, d):
 
 
 def _book(spark, d) -> DataFrame:
+    """A dictionary of the benchmark's items; some of them twice."""
     b = spark.read.parquet(f"{d}/benchmark.parquet")
     words = F.split(F.regexp_replace("text", r"[^A-Za-z ]", ""), " +")
-    return b.select(
-        F.col("item_id").alias("uid"), F.array(F.array_join(F.slice(words, 1, 3), " "), F.array_join(F.slice(words, 4, 2), " ")).alias("key"), F.when(F.col("item_id") % 3 == 0, F.array(F.get(words, 1))).otherwise(F.array().cast("array<string>")).alias("keysecondary"),
-        (F.col("item_id") % 4).cast("int").alias("selectiveLogic"), (F.col("item_id") % 19 == 0).alias("constant"), (F.col("item_id") % 2 == 0).alias("caseSensitive"), (F.col("item_id") % 5 == 0).alias("matchWholeWords"),
-        (F.col("item_id") % 17 == 1).alias("disable"), F.col("text").alias("content"), F.array().cast("array<string>").alias("decorators"), F.array().cast("array<string>").alias("triggers"),
+    none = F.array().cast("array<string>")
+    uid = F.col("item_id")
+    book = b.select(
+        uid.alias("uid"), F.lit("w").alias("world"), F.lit(None).cast("string").alias("comment"), F.col("text").alias("content"),
+        F.when(uid % 6 == 0, F.array(F.lit("/(?<x>licen[sc]e)d? /i"))).when(uid % 6 == 1, F.array(F.get(words, 1))).otherwise(F.array(F.array_join(F.slice(words, 1, 3), " "), F.array_join(F.slice(words, 4, 2), " "))).alias("key"),
+        F.when(uid % 3 == 0, F.array(F.get(words, 1), F.get(words, 2))).otherwise(none).alias("keysecondary"), (uid % 2 == 0).alias("selective"),
+        (uid % 4).cast("int").alias("selectiveLogic"), (uid % 19 == 0).alias("constant"), (uid % 4 == 0).alias("caseSensitive"), (uid % 5 < 2).alias("matchWholeWords"), (uid % 17 == 1).alias("disable"), none.alias("decorators"), none.alias("triggers"),
+        F.when(uid % 7 == 3, F.array(F.lit("en"))).otherwise(none).alias("only_names"), F.when(uid % 7 == 5, F.array(F.lit("latin"))).otherwise(none).alias("only_tags"), (uid % 2 == 1).alias("exclude"),
     )
+    return book.unionByName(book.filter("uid % 5 = 0"))
 
 
 def p9_available(spark, d):
-    return lorebook.available(_book(spark, d)).select("uid")
+    return lorebook.available(_book(spark, d)).select("uid").distinct()
+
+
+def _matched(spark, d) -> DataFrame:
+    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("text_id"), "text", F.array("lang").alias("names"))
+    tags = spark.read.parquet(f"{d}/documents.parquet").select(F.col("lang").alias("name"), F.lit("latin").alias("tag")).filter("name in ('en', 'de')").distinct()
+    return lorebook.match(texts, lorebook.available(_book(spark, d)), 2, tags)
 
 
 def x13_match_lorebook(spark, d):
-    texts = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("text_id"), F.regexp_replace("text", r"[^A-Za-z \n]", "").alias("text"))
-    return lorebook.match(texts, lorebook.available(_book(spark, d)), 2)
+    return _matched(spark, d).select("text_id", "uid", "place", "constant", F.array_join("matched_keys", "|").alias("matched_keys"), "truncated")
+
+
+def x13_references(spark, d):
+    r = lorebook.references(_matched(spark, d), lorebook.available(_book(spark, d)), 400)
+    return r.select("text_id", F.length("text").cast("long").alias("chars"), "tokens", "constant_chars", "matched_chars", "n_entries", "truncated")
 
 
 def w19_budgeted(spark, d):
@@ -244,13 +260,30 @@ def x7_assembled_context(spark, d):
 QUERIES = {f.__name__: f for f in (
     j9_apply_edits, j9_rejected_edits, p17_apply_deletes, j4_latest_record, j5_latest_within, s8_branch, s9_renamed, t1_page, s2_normalised_state, p2_visible_text, p3_summary_text, p4_phase_boundary,
     p6_truncated, p7_search, f3_summary_block, f5_escaped, f14_bounded_error, u1_trimmed_distinct, u2_merge_by_id, w16_keep_latest, a12_allocate, a17_percentages, a7_run_metrics,
-    f8_completion_metadata, p14_retriable, s12_stream_events, a19_stream_completion, p9_available, x13_match_lorebook, w19_budgeted, x7_assembled_context,
+    f8_completion_metadata, p14_retriable, s12_stream_events, a19_stream_completion, p9_available, x13_match_lorebook, x13_references, w19_budgeted, x7_assembled_context,
 )}
 
 _K = f"{L.STACK}, k AS (SELECT *, max(start_id) OVER (PARTITION BY conv_id) AS last_ FROM entries)"
 _TRIM = "regexp_replace({0}, '^[\\s\\x{{00A0}}\\x{{FEFF}}\\x{{3000}}]+|[\\s\\x{{00A0}}\\x{{FEFF}}\\x{{3000}}]+$', '', 'g')"
 
 
+# a dictionary against all texts, without any index
+_FOUND_SQL = r"""WITH w AS (SELECT item_id AS uid, text AS content, string_split_regex(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +') AS words FROM benchmark WHERE item_id % 17 <> 1 AND trim(text) <> ''),
+      book AS (SELECT uid, content, uid % 19 = 0 AS constant, uid % 4 = 0 AS cased, uid % 5 < 2 AS whole, uid % 2 = 0 AS selective, uid % 4 AS logic, uid % 2 = 1 AS exclude, uid % 7 AS f,
+        CASE uid % 6 WHEN 0 THEN ['/(?<x>licen[sc]e)d? /i'] WHEN 1 THEN [words[2]] ELSE [array_to_string(words[1:3], ' '), array_to_string(words[4:5], ' ')] END AS keys, CASE WHEN uid % 3 = 0 THEN [words[2], words[3]] ELSE [] END AS seconds FROM w),
+      k AS (SELECT uid, cased, whole, true AS first_, unnest(keys) AS raw, generate_subscripts(keys, 1) AS no FROM book WHERE NOT constant UNION ALL SELECT uid, cased, whole, false, unnest(seconds), generate_subscripts(seconds, 1) FROM book WHERE NOT constant),
+      t AS (SELECT doc_id AS text_id, text, lower(text) AS low, lang FROM documents),
+      h AS (SELECT text_id, uid, first_, no, raw FROM t, k WHERE raw <> '' AND CASE WHEN raw LIKE '/%' THEN regexp_matches(text, 'licen[sc]e', 'i') AND regexp_matches(text, 'licen[sc]ed? ', 'i')
+        WHEN NOT contains(CASE WHEN cased THEN text ELSE low END, CASE WHEN cased THEN raw ELSE lower(raw) END) THEN false WHEN NOT whole OR contains(raw, ' ') THEN true
+        ELSE regexp_matches(CASE WHEN cased THEN text ELSE low END, '(?:^|[^\p{L}\p{N}_])' || CASE WHEN cased THEN raw ELSE lower(raw) END || '(?:$|[^\p{L}\p{N}_])') END),
+      c AS (SELECT text_id, uid, count(*) FILTER (WHERE first_) AS one, count(*) FILTER (WHERE NOT first_) AS two, string_agg(raw, '|' ORDER BY no) FILTER (WHERE first_) AS matched_keys FROM h GROUP BY text_id, uid),
+      s AS (SELECT text_id, uid, false AS constant, matched_keys FROM c JOIN book USING (uid) WHERE one > 0 AND (NOT selective OR len(seconds) = 0 OR CASE logic WHEN 1 THEN two < len(seconds) WHEN 2 THEN two = 0 WHEN 3 THEN two = len(seconds) ELSE two > 0 END)
+        UNION ALL SELECT text_id, uid, true, '' FROM t, book WHERE constant),
+      p AS (SELECT s.* FROM s JOIN book USING (uid) JOIN t USING (text_id) WHERE CASE f WHEN 3 THEN coalesce(lang = 'en', false) <> exclude WHEN 5 THEN coalesce(lang IN ('en', 'de'), false) <> exclude ELSE true END),
+      r AS (SELECT *, row_number() OVER (PARTITION BY text_id, constant ORDER BY uid) AS rn, count(*) OVER (PARTITION BY text_id, constant) AS n FROM p),
+      placed AS (SELECT text_id, uid, constant, matched_keys, row_number() OVER (PARTITION BY text_id ORDER BY constant DESC, uid) AS place, bool_or(NOT constant AND n > 2) OVER (PARTITION BY text_id) AS truncated FROM r WHERE constant OR rn <= 2)"""
+
+
 def _paired(tag: str) -> str:
     return f"(?is)<{tag}(?:\\s[^>]*)?>(.*?)</{tag}\\s*>"
 
@@ -312,6 +345,17 @@ SQL = {
     "a19_stream_completion": f"""WITH {L.CONV} SELECT conv_id, string_agg(name, '' ORDER BY message_id) AS response, CASE conv_id % 8 WHEN 4 THEN 'end_turn' WHEN 5 THEN 'STOP' END AS finish_reason, 'm' AS model,
       max(greatest(message_id * 3 % 7, CASE WHEN message_id = 0 THEN 3 END)) AS prompt_tokens, CASE conv_id % 8 WHEN 1 THEN 9 END::BIGINT AS completion_tokens FROM m WHERE conv_id % 8 < 6 GROUP BY conv_id""",
     "p9_available": "SELECT item_id AS uid FROM benchmark WHERE item_id % 17 <> 1 AND trim(text) <> ''",
+    "x13_match_lorebook": f"{_FOUND_SQL} SELECT text_id, uid, place, constant, matched_keys, truncated FROM placed",
+    "x13_references": f"""{_FOUND_SQL}, bl AS (SELECT text_id, constant, truncated, n, length('[entry ' || n || '|w#' || uid || '|' || CASE WHEN constant THEN 'constant' ELSE 'keys=' || replace(matched_keys, '|', ',') END || ']') + 1 + length(trim(content)) AS chars,
+        '[entry ' || n || '|w#' || uid || '|' || CASE WHEN constant THEN 'constant' ELSE 'keys=' || replace(matched_keys, '|', ',') END || ']' || chr(10) || trim(content) AS block FROM (SELECT *, row_number() OVER (PARTITION BY text_id, constant ORDER BY place) AS n FROM placed) JOIN (SELECT uid, content FROM book) USING (uid)),
+      us AS (SELECT *, sum(chars + CASE WHEN n > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY text_id, constant ORDER BY n) AS used FROM bl),
+      sp AS (SELECT text_id, coalesce(max(used) FILTER (WHERE constant AND used <= 400), 0) AS spent FROM us GROUP BY text_id),
+      kept AS (SELECT us.* FROM us JOIN sp USING (text_id) WHERE CASE WHEN constant THEN used <= 400 ELSE used <= 400 - spent END),
+      agg AS (SELECT text_id, coalesce(max(used) FILTER (WHERE constant), 0) AS constant_chars, coalesce(max(used) FILTER (WHERE NOT constant), 0) AS matched_chars, count(*) AS n_entries FROM kept GROUP BY text_id),
+      told AS (SELECT text_id, count(*) AS n_all, bool_or(truncated) AS over FROM bl GROUP BY text_id)
+      SELECT text_id, chars::BIGINT AS chars, ceil(chars / 4.0)::BIGINT AS tokens, constant_chars::BIGINT AS constant_chars, matched_chars::BIGINT AS matched_chars, n_entries, over OR n_all > n_entries AS truncated FROM (
+        SELECT text_id, over, n_all, coalesce(constant_chars, 0) AS constant_chars, coalesce(matched_chars, 0) AS matched_chars, coalesce(n_entries, 0) AS n_entries,
+          coalesce(constant_chars + matched_chars + CASE WHEN constant_chars > 0 AND matched_chars > 0 THEN 2 ELSE 0 END, 0) AS chars FROM told LEFT JOIN agg USING (text_id))""",
     "w19_budgeted": f"""{L.STACK}, bl AS (SELECT conv_id AS text_id, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) AS place, length(text) + start_id % 11 AS chars FROM entries)
       SELECT * FROM (SELECT *, sum(chars + CASE WHEN place > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY place)::BIGINT AS used FROM bl) WHERE used <= 60""",
     "x7_assembled_context": f"""{L.STACK}, {L.window_sql('turns', L.SIZE)}, e AS (SELECT * FROM entries WHERE end_id < 30), cov AS (SELECT conv_id, max(end_id) AS covered FROM e GROUP BY conv_id),
