@@ -96,6 +96,13 @@ def trimmed_distinct(c: Column) -> Column:
     return F.array_distinct(F.filter(F.transform(c, trim), lambda x: x != ""))
 
 
+def earlier_phase(text: Column, phase: str, cues: str, recall: str, matter: str) -> Column:
+    """Whether a text asks for what came before: names a past phase near a cue, either way round, or recalls the matter of
+    it. The four are patterns, by language."""
+    near = "{0,32}"
+    return F.coalesce(text.rlike(f"(?:{phase}).{near}(?:{cues})") | text.rlike(f"(?:{cues}).{near}(?:{phase})") | text.rlike(rf"(?:{recall}).{{0,20}}(?:{matter})"), F.lit(False))
+
+
 def phase_boundary(text: Column, rules: list[str], hypothetical: str, negated: str, sentence_end: str = "。！？\n") -> Column:
     """Whether the first match of some rule stands in a sentence that is neither hypothetical nor negated. Sentences end at
     the marks of sentence_end and nowhere else."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlog.functions.text import trim
+from convlog.functions.text import redacted, trim
 
 # fixed values: where providers put a counter, most telling first; statuses worth another try; events that end a stream
 PATHS = {
@@ -49,6 +49,82 @@ def response_text(payload: Column) -> Column:
     return F.coalesce(F.array_join(parts, ""), *(F.try_variant_get(v, p, "string") for p in (content, "$.choices[0].text", "$.content")))
 
 
+# fixed values: where a provider names the tokens of an input; names of fields that hold reasoning
+INPUT_TOTAL = ["total_input_tokens", "totalInputTokens", "prompt_tokens", "promptTokens", "prompt_token_count", "promptTokenCount"]
+INPUT_FRESH = ["input_tokens", "inputTokens"]
+INPUT_CACHED = [["cache_creation_input_tokens", "cacheCreationInputTokens"], ["cache_read_input_tokens", "cacheReadInputTokens"]]
+REASONING = r"(?i)(?:reason|thinking|thought|analysis)"
+PROVIDERS = ["main", "openai-compatible"]
+
+
+def input_tokens(payload: Column) -> Column:
+    """Tokens of an input, rounded: a stated total, else the fresh ones with what caches took and gave; null where none is
+    stated. Looked for under usage.usageMetadata, usage, usageMetadata or at the top, the first that is there."""
+    v = F.try_parse_json(payload)
+    at = F.coalesce(*(F.try_variant_get(v, p, "variant") for p in ("$.usage.usageMetadata", "$.usage", "$.usageMetadata")), v)
+
+    def count(name: str) -> Column:
+        n = F.try_variant_get(at, f"$.{name}", "double")
+        kind = F.schema_of_variant(F.try_variant_get(at, f"$.{name}", "variant"))
+        return F.when((n >= 0) & (n < float("inf")) & (kind != "BOOLEAN"), F.floor(n + 0.5))
+
+    cached = sum((F.coalesce(*map(count, names), F.lit(0)) for names in INPUT_CACHED), F.lit(0))
+    return F.coalesce(*map(count, INPUT_TOTAL), *(count(x) + cached for x in INPUT_FRESH))
+
+
+def stored_metadata(calls: DataFrame) -> DataFrame:
+    """calls (…, provider, requested_max_tokens, response_characters, counters, finish_reason, fallback_from) that are valid:
+    a known provider, and whole numbers of 0 or more for the limit and the length. Other counters that aren't such
+    numbers, blank reasons and unknown fall-backs become null."""
+    whole = lambda name: F.when((F.col(name) >= 0) & (F.col(name) == F.floor(name)), F.col(name).cast("long"))
+    counters = ("prompt_tokens", "completion_tokens", "reasoning_tokens", "total_tokens", "requested_max_tokens", "response_characters")
+    kept = calls.filter(F.col("provider").isin(PROVIDERS)).withColumns({name: whole(name) for name in counters})
+    kept = kept.withColumn("finish_reason", F.substring(F.nullif(trim(F.col("finish_reason")), F.lit("")), 1, 200)).withColumn("fallback_from", F.when(F.col("fallback_from").isin(PROVIDERS), F.col("fallback_from")))
+    return kept.filter("requested_max_tokens is not null and response_characters is not null")
+
+
+def value_type(payload: Column, path: str | None = None) -> Column:
+    """missing, null, array, object, string, number or boolean, of a JSON text or a path in it."""
+    v = F.try_parse_json(payload)
+    v = F.try_variant_get(v, path, "variant") if path else v
+    kind = F.schema_of_variant(v)
+    return F.when(v.isNull(), "missing").when(F.is_variant_null(v), "null").when(kind.startswith("ARRAY"), "array").when(kind.startswith("OBJECT"), "object").when(kind == "STRING", "string").when(kind == "BOOLEAN", "boolean").otherwise("number")
+
+
+def field_names(json: Column, secrets: list[str], most: int = 24, chars: int = 80) -> Column:
+    """The first names of an object's fields, without control characters and secrets, cut and sorted."""
+    names = F.slice(F.coalesce(F.json_object_keys(json), F.array().cast("array<string>")), 1, most)
+    return F.array_sort(F.filter(F.transform(names, lambda k: F.substring(redacted(F.regexp_replace(k, r"[\p{Cc}\p{Cf}]", ""), secrets), 1, chars)), lambda k: k != ""))
+
+
+def has_reasoning(payload: Column) -> Column:
+    """Whether a field, at any depth, or the type of a part in a list is named after reasoning."""
+    text = F.to_json(F.try_parse_json(payload))
+    word = REASONING.removeprefix("(?i)")
+    key = text.rlike(rf'(?i)"(?:[^"\\]|\\.)*{word}(?:[^"\\]|\\.)*":')
+    return F.coalesce(key | text.rlike(rf'(?i)"type":"(?:[^"\\]|\\.)*{word}'), F.lit(False))
+
+
+def response_shape(answers: DataFrame, secrets: list[str]) -> DataFrame:
+    """answers (…, payload) with what a diagnostic may tell of a payload without its content: types and names of fields."""
+    p = F.col("payload")
+    choice, message = F.get_json_object(p, "$.choices[0]"), F.get_json_object(p, "$.choices[0].message")
+    return answers.withColumns({
+        "response_type": value_type(p), "root_fields": field_names(p, secrets), "choice_fields": field_names(choice, secrets), "message_fields": field_names(message, secrets),
+        "content_type": value_type(p, "$.choices[0].message.content"), "text_type": value_type(p, "$.choices[0].text"), "root_content_type": value_type(p, "$.content"), "has_reasoning": has_reasoning(p),
+    })
+
+
+def stream_error(event: Column, data: Column, id_prefix: str = "error-") -> Column:
+    """Whether an event of a stream reports an error: by its name or type, a field error or detail, a message that is a
+    text, or an id with a prefix that says so."""
+    v = F.try_parse_json(data)
+    there = [F.try_variant_get(v, f"$.{x}", "variant").isNotNull() for x in ("error", "detail")]
+    text = F.schema_of_variant(F.try_variant_get(v, "$.message", "variant")) == "STRING"
+    said = (F.try_variant_get(v, "$.type", "string") == "error") | F.try_variant_get(v, "$.id", "string").startswith(id_prefix)
+    return F.coalesce(event == "error", F.lit(False)) | there[0] | there[1] | F.coalesce(text, F.lit(False)) | F.coalesce(said, F.lit(False))
+
+
 def retriable(status: Column, message: Column) -> Column:
     """Whether the status, or one that the message names as HTTP or status, is worth another try."""
     said = F.regexp_extract_all(message, F.lit(r"(?i)\b(?:HTTP|status)\s*[:=]?\s*(\d{3})\b"), 1)

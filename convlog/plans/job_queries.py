@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlog.functions import text as X
-from convlog.operators import chunks, jobs, rollup, tokens, turns, usage
+from convlog.operators import breakdown, chunks, jobs, rollup, tokens, turns, usage
 from convlog.operators.lineage import ordered_text
 from convlog.plans import log_queries as L
 from convlog.sources.messages import from_conversations, from_events
@@ -169,9 +169,74 @@ def x4_roll_up_all(spark, d):
     return rollup.roll_up(jobs.summarise(m, chunks.plan_by_turns(m, L.TURNS)), *L.CAPS, levels=4).select("conv_id", "level", "start_id", "end_id")
 
 
+def _records(spark, d):
+    """Records of the events' counts: chat completions with and without a total, text prompts, and prompts of neither."""
+    t = spark.read.parquet(f"{d}/events.parquet")
+    v, u = F.col("event_id"), F.col("user_id")
+    api = F.when(v % 4 < 2, "openai").when(v % 4 == 2, "text")
+    part = {"raw": v % 900, "summary": v % 71, "character": v % 53, "world_info": u % 47, "examples": v % 29, "anchors": v % 31, "instruction": u % 37, "story": F.when(v % 5 > 0, v % 300).otherwise(0), "chat": F.when(v % 5 > 0, v % 500).otherwise(0)}
+    part |= {"stored_total": F.when(v % 4 == 0, v % 800), "oai_system": v % 61 - 5, "oai_examples": v % 23, "oai_conversation": v % 700}
+    return t.select(v.alias("record_id"), api.alias("main_api"), *(x.alias(k) for k, x in part.items()))
+
+
+def a14_token_breakdown(spark, d):
+    return breakdown.token_breakdown(_records(spark, d))
+
+
+INPUTS = [
+    '{"usage":{"total_input_tokens":"#","prompt_tokens":1}}', '{"promptTokenCount":#.5}', '{"usage":{"usageMetadata":{"prompt_token_count":#}}}', '{"usage":{"input_tokens":#,"cache_creation_input_tokens":3,"cacheReadInputTokens":"4"}}',
+    '{"usageMetadata":{"inputTokens":#}}', '{"usage":{"prompt_tokens":-#,"input_tokens":null}}', "no json #", '{"usage":{"prompt_tokens":true,"inputTokens":#}}',
+]
+
+
+def _pick(texts: list[str]) -> Column:
+    return F.replace(F.get(F.array(*map(F.lit, texts)), (F.col("event_id") % len(texts)).cast("int")), F.lit("#"), F.col("event_id").cast("string"))
+
+
+def f10_input_tokens(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", usage.input_tokens(_pick(INPUTS)).alias("tokens"))
+
+
+def f9_stored_metadata(spark, d):
+    t = spark.read.parquet(f"{d}/events.parquet")
+    v = F.col("event_id")
+    calls = t.select(
+        "event_id", F.get(F.array(F.lit("main"), F.lit("openai-compatible"), F.lit("other"), F.lit(None)), (v % 4).cast("int")).alias("provider"), (v % 10 - 1).alias("requested_max_tokens"), (F.col("user_id") / 2).alias("response_characters"), (v % 7 - 3).alias("prompt_tokens"),
+        (v % 9).alias("completion_tokens"), F.lit(None).cast("long").alias("reasoning_tokens"), (v % 5 + 0.5).alias("total_tokens"), F.when(v % 3 == 0, "  ").otherwise(" stop ").alias("finish_reason"), F.when(v % 2 == 0, "main").otherwise("x").alias("fallback_from"),
+    )
+    return usage.stored_metadata(calls)
+
+
+SHAPES = [
+    '{"id":#,"choices":[{"message":{"content":[{"type":"thinking"}],"role":"a"},"index":0}]}', '{"choices":[{"text":"t#","finish_reason":"stop"}],"usage":{}}', '{"content":"#","secret-k":null}', "[#]", '"#"', "#", "null", "no json",
+    '{"choices":[{"message":{"reasoning_content":"x","content":null}}]}', '{"choices":[],"content":{"a":["the reason is \\"x\\": #"]}}',
+]
+
+
+def f12_response_shape(spark, d):
+    t = spark.read.parquet(f"{d}/events.parquet").select("event_id", _pick(SHAPES).alias("payload"))
+    return usage.response_shape(t, ["secret"]).select("event_id", "response_type", *(F.array_join(c, ",").alias(c) for c in ("root_fields", "choice_fields", "message_fields")), "content_type", "text_type", "root_content_type", "has_reasoning")
+
+
+FAULTS = ['{"type":"error"}', '{"error":null}', '{"message":"#"}', '{"message":{"role":"a"}}', '{"detail":#}', '{"id":"error-#"}', '{"id":"#"}', "[DONE]", '{"type":"ping"}']
+
+
+def p15_stream_error(spark, d):
+    t = spark.read.parquet(f"{d}/events.parquet")
+    return t.select("event_id", usage.stream_error(F.when(F.col("event_id") % 11 == 0, "error").otherwise("message"), _pick(FAULTS)).alias("fault"))
+
+
+PAST = ("(?:last|previous|first) (?:time|part|chapter)|before that", "who|what|which|where|recall|remember", "recall|remember|sum up", "earlier|before|so far")
+
+
+def p5_earlier_phase(spark, d):
+    t = spark.read.parquet(f"{d}/documents.parquet")
+    return t.select("doc_id", X.earlier_phase(F.coalesce("text", F.lit("")), *PAST).alias("asks"))
+
+
 QUERIES = {f.__name__: f for f in (
     w9_phase_chunks, w18_phase_start, p13_request_types, j7_unselected, j8_unfinished, j10_consumed, a5_parent_digest, a8_net_saved, a11_role_buckets, a13_token_breakdown, a20_injected_blocks,
-    a21_report_counts, t3_models, t4_newest, u4_frontiers_differ, u5_splice, f4_history, f6_tagged_blocks, f11_response_text, f16_generation_signature, s4_valid_provenance, s5_whole_checkpoints,
+    a21_report_counts, t3_models, t4_newest, u4_frontiers_differ, u5_splice, f4_history, f6_tagged_blocks, f11_response_text, a14_token_breakdown, f10_input_tokens, f9_stored_metadata, f12_response_shape, p15_stream_error, p5_earlier_phase, f16_generation_signature, s4_valid_provenance, s5_whole_checkpoints,
     s14_recent_errors, x2_chunk_prompts, x3_summarise, x4_roll_up_all,
 )}
 
@@ -180,6 +245,15 @@ _CONV_CHUNKS = L.CHUNKS_SQL.replace(f"// {L.TURNS}", "// 1")
 _RUNS = f"{L.STACK}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1 AS rn, (count(*) OVER (PARTITION BY conv_id) - 1) // 2 AS k FROM entries)"
 _BLOCK = "'<log_summary>' || chr(10) || 'level L1' || chr(10) || 'messages ' || start_id || '-' || end_id || chr(10) || text || chr(10) || '</log_summary>'"
 
+def _shares(t: str, b: str) -> str:
+    """Shares of a budget b among a list t, in SQL."""
+    exact = lambda k: f"({t}[{k}] * {b} / list_sum({t}))"
+    ahead = f"{exact('j')} - floor({exact('j')}) > {exact('i')} - floor({exact('i')}) OR ({exact('j')} - floor({exact('j')}) = {exact('i')} - floor({exact('i')}) AND j < i)"
+    left = f"{b} - list_sum(list_transform({t}, lambda x: floor(x * {b} / list_sum({t}))))"
+    each = f"CASE WHEN list_sum({t}) = 0 OR {b} = 0 THEN 0 WHEN list_sum({t}) <= {b} THEN {t}[i] ELSE floor({exact('i')}) + CASE WHEN 1 + len(list_filter(range(1, len({t}) + 1), lambda j: {ahead})) <= {left} THEN 1 ELSE 0 END END"
+    return f"list_transform(range(1, len({t}) + 1), lambda i: {each})"
+
+
 SQL = {
     "w9_phase_chunks": f"""WITH {L.LOGS}, {L.FLAGS}, ph AS (SELECT *, sum((name = 'click' AND message_id % 9 = 4)::INT) OVER (PARTITION BY conv_id ORDER BY message_id) AS phase FROM f),
       b AS (SELECT *, coalesce(sum(completes::INT) OVER (PARTITION BY conv_id, phase ORDER BY message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM ph),
@@ -208,6 +282,30 @@ SQL = {
     "u5_splice": f"{_RUNS} SELECT conv_id, 1 AS level, start_id, end_id FROM r WHERE rn // 2 >= k OR conv_id % 2 = 1 UNION ALL SELECT conv_id, 2, min(start_id), max(end_id) FROM r WHERE rn // 2 < k AND conv_id % 2 = 0 GROUP BY conv_id, rn // 2",
     "f4_history": f"{L.STACK} SELECT conv_id, 'Earlier history:' || chr(10) || string_agg({_BLOCK}, chr(10) ORDER BY start_id) AS history FROM entries WHERE text <> '' GROUP BY conv_id",
     "f6_tagged_blocks": "SELECT page_id, len(regexp_extract_all(html, '(?is)<p(?:\\s[^>]*)?>.*?</p\\s*>')) AS blocks FROM pages",
+    "a14_token_breakdown": f"""WITH r AS (SELECT event_id AS record_id, event_id % 4 AS k, event_id % 900 AS raw, event_id % 71 AS summary, event_id % 53 AS ch, user_id % 47 AS wi, event_id % 29 AS ex, event_id % 31 AS an, user_id % 37 AS ins,
+        CASE WHEN event_id % 5 > 0 THEN event_id % 300 ELSE 0 END AS story, CASE WHEN event_id % 5 > 0 THEN event_id % 500 ELSE 0 END AS chat, greatest(event_id % 61 - 5, 0) AS os, event_id % 23 AS oe, event_id % 700 AS oc FROM events),
+      f AS (SELECT *, CASE WHEN k = 0 AND record_id % 800 > 0 THEN 'c' WHEN k >= 2 AND (story > 0 OR chat > 0) THEN 't' ELSE 'p' END AS form FROM r),
+      a AS (SELECT *, CASE WHEN form = 'c' THEN record_id % 800 ELSE raw END AS total, CASE form WHEN 'c' THEN [os, oe, oc] WHEN 't' THEN [story, ex, chat] ELSE [ins, ch, wi, ex, summary, an] END AS t1 FROM f),
+      b AS (SELECT *, {_shares('t1', 'total')} AS o FROM a WHERE total > 0),
+      c AS (SELECT *, greatest(total - list_sum(o), 0) AS spare, CASE form WHEN 'c' THEN [0, ch, wi] WHEN 't' THEN [ins, ch, wi] ELSE [0] END AS t2, [summary, an] AS t3 FROM b),
+      d AS (SELECT *, CASE form WHEN 'c' THEN spare WHEN 't' THEN o[1] ELSE 0 END AS b2, CASE form WHEN 'p' THEN 0 ELSE o[3] END AS b3 FROM c),
+      e AS (SELECT *, {_shares('t2', 'b2')} AS i2, {_shares('t3', 'b3')} AS i3 FROM d),
+      g AS (SELECT *, CASE form WHEN 'p' THEN 0 ELSE greatest(o[3] - list_sum(i3), 0) END AS ctx FROM e)
+      SELECT record_id, total, (CASE form WHEN 'c' THEN o[1] WHEN 't' THEN i2[1] ELSE o[1] END)::BIGINT AS system, (CASE form WHEN 'p' THEN o[2] ELSE i2[2] END)::BIGINT AS character, (CASE form WHEN 'p' THEN o[3] ELSE i2[3] END)::BIGINT AS world_info,
+        (CASE form WHEN 'p' THEN o[4] ELSE o[2] END)::BIGINT AS examples, ctx::BIGINT AS recent_context, (CASE form WHEN 'p' THEN o[5] ELSE i3[1] END)::BIGINT AS summary,
+        (CASE form WHEN 'c' THEN spare - list_sum(i2) + i3[2] WHEN 't' THEN i3[2] ELSE o[6] END)::BIGINT AS other, (CASE form WHEN 'c' THEN 0 WHEN 't' THEN spare + o[1] - list_sum(i2) ELSE spare END)::BIGINT AS unclassified,
+        CASE WHEN form <> 'p' THEN ctx::BIGINT END AS context_tokens, form <> 'p' AS detailed, form = 'c' AS measured FROM g""",
+    "f10_input_tokens": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN event_id WHEN 1 THEN event_id + 1 WHEN 2 THEN event_id WHEN 3 THEN event_id + 7 WHEN 4 THEN event_id WHEN 7 THEN event_id END AS tokens FROM events",
+    "f9_stored_metadata": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'main' ELSE 'openai-compatible' END AS provider, event_id % 10 - 1 AS requested_max_tokens, user_id // 2 AS response_characters, CASE WHEN event_id % 7 >= 3 THEN event_id % 7 - 3 END AS prompt_tokens,
+      event_id % 9 AS completion_tokens, NULL::BIGINT AS reasoning_tokens, NULL::BIGINT AS total_tokens, CASE WHEN event_id % 3 <> 0 THEN 'stop' END AS finish_reason, CASE WHEN event_id % 2 = 0 THEN 'main' END AS fallback_from
+      FROM events WHERE event_id % 4 < 2 AND event_id % 10 > 0 AND user_id % 2 = 0""",
+    "f12_response_shape": """SELECT event_id, x.* EXCLUDE (k) FROM events JOIN (VALUES (0, 'object', 'choices,id', 'index,message', 'content,role', 'array', 'missing', 'missing', true), (1, 'object', 'choices,usage', 'finish_reason,text', '', 'missing', 'string', 'missing', true),
+      (2, 'object', '[REDACTED]-k,content', '', '', 'missing', 'missing', 'string', false), (3, 'array', '', '', '', 'missing', 'missing', 'missing', false), (4, 'string', '', '', '', 'missing', 'missing', 'missing', false),
+      (5, 'number', '', '', '', 'missing', 'missing', 'missing', false), (6, 'null', '', '', '', 'missing', 'missing', 'missing', false), (7, 'missing', '', '', '', 'missing', 'missing', 'missing', false),
+      (8, 'object', 'choices', 'message', 'content,reasoning_content', 'null', 'missing', 'missing', true), (9, 'object', 'choices,content', '', '', 'missing', 'missing', 'object', false))
+      x(k, response_type, root_fields, choice_fields, message_fields, content_type, text_type, root_content_type, has_reasoning) ON event_id % 10 = k""",
+    "p15_stream_error": "SELECT event_id, event_id % 11 = 0 OR event_id % 9 IN (0, 1, 2, 4, 5) AS fault FROM events",
+    "p5_earlier_phase": "SELECT doc_id, " + " OR ".join(f"regexp_matches(coalesce(text, ''), '{x}')" for x in (f"(?:{PAST[0]}).{{0,32}}(?:{PAST[1]})", f"(?:{PAST[1]}).{{0,32}}(?:{PAST[0]})", f"(?:{PAST[2]}).{{0,20}}(?:{PAST[3]})")) + " AS asks FROM documents",
     "f11_response_text": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN '[' || event_id || ']' END AS response FROM events",
     "f16_generation_signature": "SELECT DISTINCT conv_id, sha256('{\"id\":' || conv_id || ',\"tokens\":3000,\"model\":\"default\"}') AS signature FROM conversations",
     "s4_valid_provenance": f"""{L.STACK}, p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1) // 3 AS run FROM entries), q AS (SELECT * FROM p WHERE conv_id % 4 <> 0 OR start_id % 5 <> 0),
