@@ -2,15 +2,23 @@
 
 Texts are equal when they are identical after lower-casing A-Z. Rows are first combined within each task (map-side
 aggregation), then within salted digest groups, then the winners of the salts are combined globally. The grouping keys
-hold the whole text at each stage, so a digest collision can never merge different texts.
+hold the whole text at each stage, so a digest collision can never merge different texts. Rows look up their group by its
+digest, large groups at several places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlog.llm.common import fold_case, stored, table
+from convlog.llm.common import fold_case, small, stored, table
+
+
+PER_TASK = 1_000  # rows of a group that look it up in one place
+
+
+def _parts() -> Column:
+    return F.floor(F.col("group_size") / PER_TASK + 1).alias("parts")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = 16) -> DataFrame:
@@ -31,11 +39,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         winners.groupBy("digest").agg(F.count("*").alias("contents"), F.max("keep_id").alias("keep_id"), F.max("n").alias("group_size")),
         "exact-dedup",
     )
-    found = rows.select("id", "digest").join(by_digest.filter("contents = 1").drop("contents"), "digest")
+    # rows find their group by digest; a group of many rows is split over as many salts as its size asks for
+    heavy = small(by_digest.filter(F.col("group_size") > PER_TASK).select("digest", _parts()))
+    keyed = rows.select("id", "digest").join(heavy, "digest", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)))
+    groups = by_digest.filter("contents = 1").select("digest", "keep_id", "group_size", F.explode(F.sequence(F.lit(0).cast("long"), _parts() - 1)).alias("part"))
+    found = keyed.join(groups, ["digest", "part"]).select("id", "digest", "keep_id", "group_size")
     if not by_digest.filter("contents > 1").isEmpty():  # different texts with one digest: decide those by content
         clash = rows.join(by_digest.filter("contents > 1").select("digest"), "digest", "left_semi")
         found = found.unionByName(
-            clash.join(winners.withColumnRenamed("n", "group_size"), ["digest", "content"]).select("digest", "id", "keep_id", "group_size")
+            clash.join(winners.withColumnRenamed("n", "group_size"), ["digest", "content"]).select("id", "digest", "keep_id", "group_size")
         )
     return found.select(
         F.col("id").alias(id_col),
