@@ -17,6 +17,7 @@ runs, one step of 64-bit operations a character.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -167,19 +168,37 @@ def _alike(a: Column, b: Column, la: Column, lb: Column, most: Column, from_end:
     return F.aggregate(powers, F.lit(0), further)
 
 
-def _within(edits: int) -> Column:
+def _close(near: Column, line: Column, edits: int) -> Column:
+    """Whether near, no shorter than line, is within `edits` edits of it. What the steps share is held in variables of
+    lambdas, so that each is computed once for a pair, wherever the optimizer puts the condition."""
+
+    def held(value: Column, then: Callable[[Column], Column]) -> Column:
+        return F.exists(F.array(value), then)
+
+    def cut(p: Column, lead: Column) -> Column:
+        trail = _alike(near, line, p["la"], p["lb"], p["lb"] - lead, True)
+
+        def rest(t: Column) -> Column:
+            left = F.struct(F.substr(near, lead + 1, p["la"] - lead - t).alias("a"), F.substr(line, lead + 1, p["lb"] - lead - t).alias("b"), (p["la"] - lead - t).alias("la"), (p["lb"] - lead - t).alias("lb"))
+            return held(left, lambda q: _within(q["a"], q["b"], q["la"], q["lb"], edits))
+
+        return held(trail, rest)
+
+    sizes = F.struct(F.length(near).alias("la"), F.length(line).alias("lb"))
+    return held(sizes, lambda p: held(_alike(near, line, p["la"], p["lb"], p["lb"], False), lambda lead: cut(p, lead)))
+
+
+def _within(a: Column, b: Column, la: Column, lb: Column, edits: int) -> Column:
     """Whether a is within `edits` edits of b, which is no longer; both differ in their first and last characters."""
-    a, b, la, lb = F.col("a"), F.col("b"), F.length("a"), F.length("b")
     if edits > 2:
         return (lb == 0) | (edit_distance(a, b, edits) <= edits)
     if edits == 1:
         return (la <= 1) & (lb <= 1)
     # the first and the last column of an alignment are edits, so all between is equal: x of a and y of b go at either side
     ends = [(x1, y1, x2, y2) for x1, y1 in ((1, 1), (1, 0), (0, 1)) for x2, y2 in ((1, 1), (1, 0), (0, 1))]
-    inside = [(la - (x1 + x2) == lb - (y1 + y2)) & (lb >= y1 + y2) & (F.substr(a, F.lit(1 + x1), la - (x1 + x2)) == F.substr(b, F.lit(1 + y1), lb - (y1 + y2))) for x1, y1, x2, y2 in ends]
     out = (la <= 2) & (lb <= 2)
-    for x in inside:
-        out = out | x
+    for x1, y1, x2, y2 in ends:
+        out = out | ((la - (x1 + x2) == lb - (y1 + y2)) & (lb >= y1 + y2) & (F.substr(a, F.lit(1 + x1), la - (x1 + x2)) == F.substr(b, F.lit(1 + y1), lb - (y1 + y2))))
     return out
 
 
@@ -234,11 +253,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     spread = both.repartition(parts, "h1", "near1")  # few bytes, much work
     spread = spread.select(*LINE, "near1", "near2", F.when(longer, F.col("other")).otherwise(F.col("line")).alias("line"), F.when(longer, F.col("line")).otherwise(F.col("other")).alias("near"))
     close = spread.filter(F.length("near") - F.length("line") <= edits).filter(_possible(edits))
-    la, lb = F.length("near"), F.length("line")
-    close = close.withColumn("lead", _alike(F.col("near"), F.col("line"), la, lb, lb, False))
-    close = close.withColumn("trail", _alike(F.col("near"), F.col("line"), la, lb, lb - F.col("lead"), True))
-    rest = [F.substr(c, F.col("lead") + 1, F.length(c) - F.col("lead") - F.col("trail")) for c in ("near", "line")]
-    return close.select(*LINE, "near1", "near2", rest[0].alias("a"), rest[1].alias("b")).filter(_within(edits)).select(*LINE, "near1", "near2")
+    return close.filter(_close(F.col("near"), F.col("line"), edits)).select(*LINE, "near1", "near2")
 
 
 def late_lines(occurrences: DataFrame, docs: DataFrame, first: DataFrame, edits: int, least: int) -> DataFrame:
