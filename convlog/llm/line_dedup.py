@@ -291,8 +291,8 @@ def late_lines(occurrences: DataFrame, docs: DataFrame, first: DataFrame, edits:
     return late.unionByName(_verified(pairs, texts, edits).select(*LINE)).distinct()
 
 
-def line_dedup(docs: DataFrame, edits: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text, kept_text, n_lines, n_dropped: one row per input row.
+def line_dedup(docs: DataFrame, edits: int = 2, least: int = 30, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, text, kept_text, n_lines, n_dropped and the columns to carry: one row per input row.
 
     A line (white space at its ends aside) of at least `least` characters is dropped if a line within `edits` edits of
     it, or equal to it, comes earlier in the corpus: in a document of smaller id, or above it in the same one. Lines of up
@@ -306,8 +306,9 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 30, id_col: str = "
         raise ValueError("at least one edit and one character")
     if not isinstance(docs.schema[id_col].dataType, IntegralType):
         raise ValueError("ids must be integers")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    known = rows.filter("id is not null")
+    own = {c: f"carried_{k}" for k, c in enumerate(carry)}
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in own.items()))
+    known = rows.select("id", "text").filter("id is not null")
     lines = stored(line_occurrences(known, least, edits), "line-occurrences")
     first = stored(lines.groupBy(*LINE).agg(F.min("pos").alias("first"), F.count("*").alias("copies")), "line-first")
     late = stored(late_lines(lines, known, first, edits, least), "line-late").withColumn("late", F.lit(True))
@@ -320,7 +321,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 30, id_col: str = "
     stay = F.transform(held, lambda p: F.array_join(F.transform(p["stay"], lambda k: F.get(p["lines"], k)), "\n"))[0]
     marked = rows.withColumn("print", F.xxhash64("text")).join(small(dropped_, 500_000), ["id", "print"], "left")
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(stay)
-    return marked.select(F.col("id").alias(id_col), F.col("text").alias(text_col), kept.alias("kept_text"), F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"))
+    return marked.select(F.col("id").alias(id_col), F.col("text").alias(text_col), kept.alias("kept_text"), F.size(split).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), *(F.col(x).alias(c) for c, x in own.items()))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,7 +175,7 @@ def fit_scorer(rows: list, steps: int = 300, rate: float = 0.3) -> np.ndarray:
 
 
 def scored(docs: DataFrame, w: np.ndarray) -> DataFrame:
-    """id, n_words, score of rows (id, text)."""
+    """Rows (id, text, ...) with n_words and score in place of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -184,10 +184,12 @@ def scored(docs: DataFrame, w: np.ndarray) -> DataFrame:
                 total = np.concatenate([[0.0], np.cumsum(w[_features(data)])])
                 size = np.diff(ends, prepend=0)
                 z = (total[ends] - total[ends - size]) / (size + FEW) + w[_bins(m)].mean(1) + w[-1]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))], ["id", "n_words", "score"])
+                carried = [k for k in range(batch.num_columns) if k != 1]
+                new = [pa.array(n, pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in carried), *new], [*(batch.schema.names[k] for k in carried), "n_words", "score"])
 
-    kind = docs.schema["id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"id {kind}, n_words long, score double")
+    carried = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
+    return docs.mapInArrow(run, f"{carried}, n_words long, score double")
 
 
 def _first_by_hash(rows: DataFrame, n: int, sample: int) -> DataFrame:
@@ -199,8 +201,8 @@ def _first_by_hash(rows: DataFrame, n: int, sample: int) -> DataFrame:
     return few.orderBy(key, "id").limit(sample)
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = 10_000) -> DataFrame:
-    """id, n_words, score (0 to 1, higher: better), keep (score >= threshold); one row per input row.
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, sample: int = 10_000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, n_words, score (0 to 1, higher: better), keep (score >= threshold) and the columns to carry; one row per input row.
 
     The scorer learns from at most `sample` documents, taken by the order of a hash of id and text, and their posteriors;
     measures, votes, the label model and scores are of all documents. Null text counts as empty; empty texts get the
@@ -218,7 +220,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     labels = judged.join(F.broadcast(by_pattern), names).groupBy("id").agg(F.avg("good").alias("good"))  # at most 3 ** labellers patterns
     fitted = _sampled_features(chosen.join(labels, "id")).collect()
     fitted.sort(key=lambda r: (r["good"], r["keys"], r["values"]))
-    return scored(rows, fit_scorer(fitted)).select(F.col("id").alias(id_col), "n_words", "score", (F.col("score") >= threshold).alias("keep"))
+    own = {c: f"carried_{k}" for k, c in enumerate(carry)}
+    judged = scored(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *(F.col(c).alias(x) for c, x in own.items())), fit_scorer(fitted))
+    return judged.select(F.col("id").alias(id_col), "n_words", "score", (F.col("score") >= threshold).alias("keep"), *(F.col(x).alias(c) for c, x in own.items()))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

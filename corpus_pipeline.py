@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from convlog.llm.byte_bpe import encode_digests
-from convlog.llm.common import scratch_dir, table
+from convlog.llm.common import scratch_dir, small, stored, table
 from convlog.llm.line_dedup import line_dedup
 from convlog.llm.mixing import mix
 from convlog.llm.ngram_join import ngram_join
@@ -19,34 +19,47 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps; rows of one id stay or go together."""
-    good = quality(docs).groupBy("doc_id").agg(F.bool_or("keep").alias("keep")).filter("keep").select("doc_id")
-    return docs.join(good, docs["doc_id"].eqNullSafe(good["doc_id"]), "left_semi").select(*COLUMNS)
+    """The rows that the quality classifier keeps, each judged by its own text; null texts count as empty ones."""
+    return quality(docs, carry=("text", "lang", "source", "n_chars")).filter("keep").select(*COLUMNS)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that came before in the corpus; a text without any other line stays empty."""
-    told = line_dedup(docs, least=1)
-    changed = told.filter("n_dropped > 0").select("doc_id", F.xxhash64("text").alias("print"), "kept_text").dropDuplicates(["doc_id", "print"])
-    joined = docs.withColumn("print", F.xxhash64(F.coalesce("text", F.lit("")))).join(changed, ["doc_id", "print"], "left")
-    text = F.coalesce("kept_text", "text")
-    return joined.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("kept_text").cast("long")).alias("n_chars"))
+    """All rows, without the lines that came before in the corpus; a text without any other line stays empty. Null texts
+    become empty, rows without id stay whole, rows of equal id and text lose the same lines."""
+    told = line_dedup(docs, least=1, carry=("lang", "source", "n_chars"))
+    n = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
+    return told.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", n.alias("n_chars"))
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (shingles of five words, similarity 0.8) the document of smallest id."""
-    heads = ngram_join(docs, words=5, percent=80).filter("component_id is null or component_id = doc_id").select("doc_id").distinct()
-    return docs.join(heads, docs["doc_id"].eqNullSafe(heads["doc_id"]), "left_semi").select(*COLUMNS)
+    """Of each group of near duplicates (shingles of five words, similarity 0.8) the document of smallest id, and that once:
+    of rows of one id and text one stays. Rows without id are alike to nothing and stay; empty texts stay too."""
+    placed = stored(ngram_join(docs, words=5, percent=80).filter("doc_id is not null"), "near-duplicates")
+    gone = stored(placed.filter("component_id <> doc_id").select("doc_id").distinct(), "near-gone")
+    kept = docs.select(*COLUMNS).join(small(gone, 500_000), "doc_id", "left_anti")
+    twice = stored(placed.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "near-repeated")
+    if twice.isEmpty():
+        return kept
+    again = small(twice, 500_000)
+    once = kept.join(again, "doc_id", "left_semi").withColumn("print", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "print"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once.drop("print"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    copies = mix(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies")).withColumnRenamed("doc_id", "id")
-    return docs.join(copies, docs["doc_id"].eqNullSafe(F.col("id"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    """Each row as often as the mix takes it. Rows that agree in id, text and source share their copies; rows without id
+    are told apart by text and source."""
+    key = F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("print"), "source")
+    keyed = docs.select(*COLUMNS, key.alias("key"))
+    copies = mix(keyed, id_col="key").groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    copies = stored(copies.filter("copies > 0 or rows > 1"), "mix-copies")
+    taken = keyed.join(copies.withColumnRenamed("key", "same"), F.col("key") == F.col("same"))
+    if not copies.filter("rows > 1").isEmpty():  # equal rows: one of them stands for all
+        taken = taken.filter("rows = 1").unionByName(taken.filter("rows > 1").dropDuplicates(["key"]))
+    return taken.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and digests of the ids and of the decoded bytes, of each copy."""
+    """doc_id, n_tokens and digests of the ids and of the decoded bytes, of each row; null texts count as empty."""
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:

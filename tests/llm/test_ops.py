@@ -417,3 +417,110 @@ def test_toxicity_words_apart(spark):
         got.append(told)
     for told in got[1:]:
         assert all(a[2:] == pytest.approx(b[2:], abs=1e-6) for a, b in zip(told, got[0], strict=True))
+
+
+def test_toxicity_model(spark):
+    """Each text's ratio against plain Kneser-Ney models of pairs, words, stems and shared counts; a toxic expression of two
+    ordinary words among them."""
+    import math
+    import re
+
+    rnd = random.Random(14)
+    vocab = ["".join(rnd.choice("abcdé") for _ in range(rnd.randint(1, 8))) for _ in range(60)]
+    rows, labels = [], []
+    for i in range(160):
+        w = [rnd.choice(vocab) for _ in range(rnd.randint(0, 25))]
+        if i % 3 == 1:
+            w[len(w) // 2 : len(w) // 2] = vocab[:2]  # the two side by side
+        elif w:
+            w[0], w[-1] = vocab[0], vocab[1]
+        rows.append((i, rnd.choice([" ", ", "]).join(w).upper() if i % 2 else " ".join(w), "en", "s", 1))
+        if i % 4:
+            labels.append((i, 1, int(i % 3 == 1)))
+    rows += [(None, vocab[0] + " unheard of", "en", "s", 1), (500, None, "en", "s", 1), (1, vocab[1] + " " + vocab[0], "en", "s", 1)]
+    df, marks = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    label = {i: t for i, _, t in labels if zlib.crc32(str(i).encode()) % 3 == 0}
+    cut = lambda t: re.findall(r"[a-z0-9\u0080-\U0010ffff]+", fold(t or ""))
+    seen, pairs = Counter(), (Counter(), Counter())
+    for i, t, *_ in rows:
+        w = [*cut(t), "<end>"]
+        seen.update(w)
+        if i in label:
+            pairs[label[i]].update(zip(["<start>", *w[:-1]], w, strict=True))
+    stem = lambda w: w if w == "<end>" else w.encode()[:5]
+    kinds, stem_seen = Counter(map(stem, seen)), Counter()
+    for w, n in seen.items():
+        stem_seen[stem(w)] += n
+    d = 0.75
+
+    def model(c):
+        follows, every, after = Counter(w for _, w in c), Counter(), Counter(v for v, _ in c)
+        for (v, _), n in c.items():
+            every[v] += n
+        stems = Counter(map(stem, follows))
+
+        def word(w):
+            share = seen[w] / stem_seen[stem(w)]
+            low = max(stems[stem(w)] - d, 0) / stems.total() * share + d * len(stems) / stems.total() * share * kinds[stem(w)] / len(seen)
+            return max(follows[w] - d, 0) / follows.total() + d * len(follows) / follows.total() * low
+
+        return lambda v, w: max(c[v, w] - d, 0) / every[v] + d * after[v] / every[v] * word(w) if every[v] else word(w)
+
+    ordinary, toxic = map(model, pairs)
+    want = []
+    for i, t, *_ in rows:
+        w = cut(t)
+        total = sum(math.log(toxic(v, x) / ordinary(v, x)) for v, x in zip(["<start>", *w], [*w, "<end>"], strict=True))
+        want.append((-1 if i is None else i, len(w), total / (len(w) + 1) if w else 0.0))
+    for slots in (22, 5):
+        got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.ratio) for r in score_toxicity(df, marks, slots=slots).collect())
+        assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], abs=1e-6)
+
+
+def test_pipeline_stages(spark, texts, empty):
+    """Each stage on rows with repeated and null ids, against plain versions; and on an empty table."""
+    rows = [(i * 7 % 997, t, "en", None if i % 5 == 0 else f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    rows += [(None, texts[11], "en", "s1", 1), (None, texts[11], "en", "s1", 1), (None, None, None, None, None), (rows[11][0], texts[11], "de", "s2", 1), (rows[11][0], texts[11], "de", "s2", 1), (rows[20][0], texts[60], "en", "s0", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).cache()
+    order = lambda x: tuple((v is not None, v) if not isinstance(v, str) else (True, v) for v in x)
+    rows_of = lambda d: sorted(((r.doc_id, r.text or "", r.source) for r in d.collect()), key=lambda x: repr(order(x)))
+
+    good = {(r.doc_id, r.n_words) for r in quality(df).filter("keep").collect()}
+    kept = corpus_pipeline.keep_quality(spark, df, "")
+    assert rows_of(kept) == sorted(((i, t or "", s) for i, t, _, s, _ in rows if (i, len(words_of(t))) in good), key=lambda x: repr(order(x)))
+
+    def sets(t):
+        w = [fold(x.decode()) for x in words_of(t)]
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    known = sorted({(i, t or "") for i, t, *_ in rows if i is not None})
+    parent = {i: i for i, _ in known}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    cut = [(i, sets(t)) for i, t in known]
+    for k, (i, x) in enumerate(cut):
+        for j, y in cut[:k]:
+            if x and y and 100 * len(x & y) >= 80 * len(x | y):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    want = [(i, t) for i, t in known if root(i) == i] + [(i, t or "") for i, t, *_ in rows if i is None]
+    got = [(r.doc_id, r.text or "") for r in corpus_pipeline.one_of_each(spark, df, "").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+    mixed = corpus_pipeline.mix_sources(spark, df, "").collect()
+    sizes, target = Counter(), {r.source: r.target for r in mix(df).collect()}
+    for r in mixed:
+        sizes[r.source] += len(words_of(r.text))
+    longest = max(len(words_of(t)) for t in texts)
+    assert all(abs(sizes[s] - x) <= longest for s, x in target.items())
+    times = Counter((r.doc_id, r.text, r.source) for r in mixed)
+    there = Counter((i, t, s) for i, t, _, s, _ in rows)
+    assert all(n <= 3 * there[k] for k, n in times.items())
+
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, "").count() == 0
