@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlog.functions.text import summary_text, token_estimate, visible_text
-from convlog.operators.chunks import chunk_rows
+from convlog.functions.text import summary_text, token_estimate, utf16_length, visible_text
+from convlog.operators.chunks import chunk_rows, plan_chunks, ready_chunks
 from convlog.operators.lineage import ordered_text, payload, range_hashes
+from convlog.operators.turns import ready_target, turn_flags
 
 
 def extractive(chars: int = 40) -> Callable[[Column], Column]:
@@ -36,6 +37,52 @@ def summarise(messages: DataFrame, chunks: DataFrame, summariser: Callable[[Colu
     return done.select("conv_id", F.lit(1).alias("level"), "start_id", "end_id", F.lit(False).alias("deleted"), "text", "source_hash")
 
 
+def plan_ready(messages: DataFrame, size: int, turns: int, chars: int, visible: Column, boundary: Column | None = None) -> DataFrame:
+    """conv_id, chunk, start_id, end_id: the chunks of each log that may be summarised now. Rows up to the one that may leave
+    a window of `size` turns are planned in chunks of so many turns and characters, phases cut them, and a chunk waits
+    until it is ready, with all behind it."""
+    leaving = messages.join(ready_target(messages, size), "conv_id").filter("message_id <= target").select(*messages.columns)
+    plan = plan_chunks(leaving, turns, chars, boundary)
+    if boundary is None:
+        return ready_chunks(leaving, plan, turns, chars, visible)
+    # without its phase a chunk ends at the last row unless its turns or its characters are full before
+    flagged = turn_flags(leaving).withColumn("size", utf16_length(F.coalesce("text", F.lit(""))))
+    upto = Window.partitionBy("conv_id").orderBy("message_id").rowsBetween(Window.unboundedPreceding, -1)
+    last = F.max("message_id").over(Window.partitionBy("conv_id"))
+    so_far = flagged.select("conv_id", F.col("message_id").alias("start_id"), F.coalesce(F.count_if("completes").over(upto), F.lit(0)).alias("turns_before"), F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("chars_before"))
+    ends = flagged.withColumn("last", last).groupBy("conv_id").agg(F.first("last").alias("last"), F.count_if(F.col("completes") & (F.col("message_id") < F.col("last"))).alias("turns_all"), F.sum(F.when(F.col("message_id") < F.col("last"), F.col("size"))).alias("chars_all"))
+    placed = plan.join(so_far, ["conv_id", "start_id"]).join(ends, "conv_id")
+    full = (F.col("turns_all") - F.col("turns_before") >= turns) | (F.col("chars_all") - F.col("chars_before") >= chars)
+    planned = F.when(full, F.col("end_id")).otherwise(F.col("last"))
+    return ready_chunks(leaving, placed.select("conv_id", "chunk", "start_id", "end_id", planned.alias("planned_end")), turns, chars, visible)
+
+
+def rollup_prompts(entries: DataFrame, parents: DataFrame) -> DataFrame:
+    """conv_id, level, start_id, end_id, prompt for each parent: a JSON array of its children in order, with the text of
+    deleted ones empty, for batch inference."""
+    p = parents.select("conv_id", "level", "start_id", "end_id")
+    child = entries.select("conv_id", (F.col("level") + 1).alias("level"), F.col("start_id").alias("from"), F.col("end_id").alias("to"), F.when(F.col("deleted"), "").otherwise(F.coalesce("text", F.lit(""))).alias("text"))
+    inside = child.join(p, ["conv_id", "level"]).filter("from >= start_id and to <= end_id")
+    one = F.to_json(F.struct("from", "to", "text"))
+    return inside.groupBy("conv_id", "level", "start_id", "end_id").agg(F.concat(F.lit("["), ordered_text(one, F.col("from"), ","), F.lit("]")).alias("prompt"))
+
+
+def rebuild(entries: DataFrame, messages: DataFrame, chunks: DataFrame, drafts: DataFrame, summariser: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(entries, drafts) after another run of a rebuild of each log's level-1 entries from its chunks (with source_hash).
+
+    Drafts that still hold are kept, the chunks behind them summarised. A log is swapped whole or not at all: when all its
+    chunks have an entry, these replace what it had; otherwise its entries stay and the drafts wait for the next run.
+    """
+    open_ = unfinished(chunks, drafts)
+    made = summarise(messages, open_, summariser)
+    held = drafts.join(chunks.select("conv_id", "start_id", "end_id", "source_hash"), ["conv_id", "start_id", "end_id", "source_hash"], "left_semi").join(open_.select("conv_id", "start_id"), ["conv_id", "start_id"], "left_anti")
+    now = held.select(*made.columns).unionByName(made)
+    wanted, there = chunks.groupBy("conv_id").agg(F.count("*").alias("n")), now.groupBy("conv_id").agg(F.count("*").alias("n"))
+    whole = wanted.join(there, ["conv_id", "n"]).select("conv_id")
+    swapped = entries.join(whole, "conv_id", "left_anti").unionByName(now.join(whole, "conv_id", "left_semi").select(*entries.columns))
+    return swapped, now.join(whole, "conv_id", "left_anti")
+
+
 def unfinished(chunks: DataFrame, drafts: DataFrame) -> DataFrame:
     """Chunks (conv_id, chunk, start_id, end_id, source_hash) not among the drafts that still hold: the leading ones of each
     log with the same range and hash."""

@@ -169,6 +169,27 @@ def x4_roll_up_all(spark, d):
     return rollup.roll_up(jobs.summarise(m, chunks.plan_by_turns(m, L.TURNS)), *L.CAPS, levels=4).select("conv_id", "level", "start_id", "end_id")
 
 
+def x1_plan_ready(spark, d):
+    """Phases begin at some of the rows; the limit on characters isn't reached."""
+    return jobs.plan_ready(from_events(spark, d), L.SIZE, L.TURNS, 1_000_000, F.col("name") != "view", _boundary())
+
+
+def x5_rollup_prompts(spark, d):
+    e = L._entries(spark, d)
+    return jobs.rollup_prompts(e, rollup.roll_up(e, *L.CAPS, levels=2).filter("level = 2"))
+
+
+def x8_rebuild(spark, d):
+    """A third of the logs has drafts of its first chunks; some chunks see no text, so their logs stay as they were."""
+    m = from_events(spark, d)
+    c = L._hashed(spark, d)
+    drafts = c.filter("chunk < 2 and conv_id % 3 = 0").select("conv_id", F.lit(1).alias("level"), "start_id", "end_id", F.lit(False).alias("deleted"), F.lit("draft").alias("text"), F.when(F.col("conv_id") % 2 == 0, F.col("source_hash")).otherwise("old").alias("source_hash"))
+    seen = m.withColumn("text", F.when(F.col("conv_id") % 5 > 0, F.col("text")).otherwise(F.lit("")))
+    entries, waiting = jobs.rebuild(L._entries(spark, d), seen, c, drafts, lambda texts: F.size(texts).cast("string"))
+    both = entries.select("conv_id", "start_id", "text", F.lit("entry").alias("kind")).unionByName(waiting.select("conv_id", "start_id", "text", F.lit("draft").alias("kind")))
+    return both.withColumn("text", F.when(F.col("text") == "draft", "draft").when(F.length("text") < 4, "new").otherwise("old"))
+
+
 def _records(spark, d):
     """Records of the events' counts: chat completions with and without a total, text prompts, and prompts of neither."""
     t = spark.read.parquet(f"{d}/events.parquet")
@@ -237,7 +258,7 @@ def p5_earlier_phase(spark, d):
 QUERIES = {f.__name__: f for f in (
     w9_phase_chunks, w18_phase_start, p13_request_types, j7_unselected, j8_unfinished, j10_consumed, a5_parent_digest, a8_net_saved, a11_role_buckets, a13_token_breakdown, a20_injected_blocks,
     a21_report_counts, t3_models, t4_newest, u4_frontiers_differ, u5_splice, f4_history, f6_tagged_blocks, f11_response_text, a14_token_breakdown, f10_input_tokens, f9_stored_metadata, f12_response_shape, p15_stream_error, p5_earlier_phase, f16_generation_signature, s4_valid_provenance, s5_whole_checkpoints,
-    s14_recent_errors, x2_chunk_prompts, x3_summarise, x4_roll_up_all,
+    s14_recent_errors, x2_chunk_prompts, x3_summarise, x4_roll_up_all, x1_plan_ready, x5_rollup_prompts, x8_rebuild,
 )}
 
 _TEXT = "regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')"
@@ -306,6 +327,20 @@ SQL = {
       x(k, response_type, root_fields, choice_fields, message_fields, content_type, text_type, root_content_type, has_reasoning) ON event_id % 10 = k""",
     "p15_stream_error": "SELECT event_id, event_id % 11 = 0 OR event_id % 9 IN (0, 1, 2, 4, 5) AS fault FROM events",
     "p5_earlier_phase": "SELECT doc_id, " + " OR ".join(f"regexp_matches(coalesce(text, ''), '{x}')" for x in (f"(?:{PAST[0]}).{{0,32}}(?:{PAST[1]})", f"(?:{PAST[1]}).{{0,32}}(?:{PAST[0]})", f"(?:{PAST[2]}).{{0,20}}(?:{PAST[3]})")) + " AS asks FROM documents",
+    "x5_rollup_prompts": f"""{_RUNS} SELECT conv_id, 2 AS level, min(start_id) AS start_id, max(end_id) AS end_id, '[' || string_agg('{{"from":' || start_id || ',"to":' || end_id || ',"text":"' || text || '"}}', ',' ORDER BY start_id) || ']' AS prompt
+      FROM r WHERE rn // 2 < k GROUP BY conv_id, rn // 2""",
+    "x8_rebuild": f"""{L.STACK}, c AS (SELECT h.conv_id, h.chunk, h.start_id, h.conv_id % 6 = 0 AND h.chunk < 2 AS held, count(*) FILTER (WHERE NOT is_system AND h.conv_id % 5 > 0) > 0 AS made FROM hashed h JOIN m ON m.conv_id = h.conv_id AND m.message_id BETWEEN h.start_id AND h.end_id GROUP BY ALL),
+      w AS (SELECT conv_id, bool_and(held OR made) AS whole FROM c GROUP BY conv_id)
+      SELECT conv_id, start_id, CASE WHEN held THEN 'draft' ELSE 'new' END AS text, CASE WHEN whole THEN 'entry' ELSE 'draft' END AS kind FROM c JOIN w USING (conv_id) WHERE held OR made
+      UNION ALL SELECT conv_id, start_id, CASE WHEN deleted THEN 'new' ELSE 'old' END, 'entry' FROM entries JOIN w USING (conv_id) WHERE NOT whole""",
+    "x1_plan_ready": f"""WITH tg AS ({L.SQL['w7_ready_target']}), {L.LOGS}, lv AS (SELECT m.* FROM m JOIN tg USING (conv_id) WHERE message_id <= target), {L.FLAGS.replace('m.*', 'lv.*').replace('FROM m)', 'FROM lv)')},
+      ph AS (SELECT *, sum((name = 'click' AND message_id % 9 = 4)::INT) OVER (PARTITION BY conv_id ORDER BY message_id) AS phase FROM f),
+      b AS (SELECT *, coalesce(sum(completes::INT) OVER (PARTITION BY conv_id, phase ORDER BY message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM ph),
+      p AS (SELECT conv_id, phase, t // {L.TURNS} AS part, min(message_id) AS start_id, max(message_id) AS end_id, count(*) FILTER (WHERE completes) AS done, bool_or(name <> 'view' AND NOT is_system) AS seen FROM b GROUP BY ALL),
+      k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1 AS chunk, max(end_id) OVER (PARTITION BY conv_id) AS last_ FROM p),
+      q AS (SELECT k.conv_id, chunk, start_id, end_id, done, seen, last_, count(*) FILTER (WHERE f.completes AND f.message_id >= start_id AND f.message_id < last_) >= {L.TURNS} AS full_ FROM k JOIN f ON f.conv_id = k.conv_id GROUP BY ALL),
+      o AS (SELECT *, min(CASE WHEN NOT (done >= {L.TURNS} OR (full_ AND end_id < last_) OR (NOT full_ AND end_id < last_ AND seen)) THEN chunk END) OVER (PARTITION BY conv_id) AS stop FROM q)
+      SELECT conv_id, chunk, start_id, end_id FROM o WHERE stop IS NULL OR chunk < stop""",
     "f11_response_text": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN '[' || event_id || ']' END AS response FROM events",
     "f16_generation_signature": "SELECT DISTINCT conv_id, sha256('{\"id\":' || conv_id || ',\"tokens\":3000,\"model\":\"default\"}') AS signature FROM conversations",
     "s4_valid_provenance": f"""{L.STACK}, p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1) // 3 AS run FROM entries), q AS (SELECT * FROM p WHERE conv_id % 4 <> 0 OR start_id % 5 <> 0),
