@@ -341,6 +341,9 @@ SQL = {
       q AS (SELECT k.conv_id, chunk, start_id, end_id, done, seen, last_, count(*) FILTER (WHERE f.completes AND f.message_id >= start_id AND f.message_id < last_) >= {L.TURNS} AS full_ FROM k JOIN f ON f.conv_id = k.conv_id GROUP BY ALL),
       o AS (SELECT *, min(CASE WHEN NOT (done >= {L.TURNS} OR (full_ AND end_id < last_) OR (NOT full_ AND end_id < last_ AND seen)) THEN chunk END) OVER (PARTITION BY conv_id) AS stop FROM q)
       SELECT conv_id, chunk, start_id, end_id FROM o WHERE stop IS NULL OR chunk < stop""",
+    "x2_chunk_prompts": f"""WITH {L.CONV}, {L.FLAGS}, {_CONV_CHUNKS}, t AS (SELECT *, {_TEXT} AS content FROM m WHERE NOT is_system)
+      SELECT c.conv_id, chunk, '[' || string_agg('{{"id":' || message_id || ',"role":"' || CASE WHEN is_user THEN 'user' ELSE 'assistant' END || '","speaker":"' || name || '","content":' || to_json(content)::VARCHAR || '}}', ',' ORDER BY message_id) || ']' AS prompt
+      FROM chunks c JOIN t ON t.conv_id = c.conv_id AND message_id BETWEEN start_id AND end_id WHERE content <> '' GROUP BY c.conv_id, chunk""",
     "f11_response_text": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN '[' || event_id || ']' END AS response FROM events",
     "f16_generation_signature": "SELECT DISTINCT conv_id, sha256('{\"id\":' || conv_id || ',\"tokens\":3000,\"model\":\"default\"}') AS signature FROM conversations",
     "s4_valid_provenance": f"""{L.STACK}, p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1) // 3 AS run FROM entries), q AS (SELECT * FROM p WHERE conv_id % 4 <> 0 OR start_id % 5 <> 0),

@@ -324,6 +324,7 @@ SQL = {
     "f3_summary_block": f"{L.STACK} SELECT conv_id, start_id, CASE WHEN text = '' THEN '' ELSE '<log_summary>' || chr(10) || 'level L1' || chr(10) || 'messages ' || start_id || '-' || end_id || chr(10) || text || chr(10) || '</log_summary>' END AS block FROM entries",
     "f5_escaped": "SELECT page_id, " + _TRIM.format("regexp_replace(translate(html, '<>', '＜＞'), '\\n{3,}', chr(10) || chr(10), 'g')") + " AS text FROM pages",
     "f14_bounded_error": "SELECT page_id, substring(" + _TRIM.format("regexp_replace(html, '\\s+', ' ', 'g')") + ", 1, 500) AS error, replace(replace(url, 'example', '[REDACTED]'), 'http', '[REDACTED]') AS url FROM pages",
+    "u1_trimmed_distinct": f"WITH {L.CONV}, p AS (SELECT conv_id, message_id, list_transform(string_split_regex(text, '[.,]'), lambda x: " + _TRIM.format("x") + f") AS l FROM m) SELECT conv_id, message_id, array_to_string(list_filter(l, lambda x, i: x <> '' AND list_position(l, x) = i), '|') AS parts FROM p",
     "u2_merge_by_id": """WITH b AS (SELECT user_id, event_id % 40 AS id, event_id + CASE WHEN event_type IN ('view', 'click') THEN 0 ELSE 1000000000 END AS at_, event_type AS value FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error')),
       g AS (SELECT user_id, id, min(at_) AS at_, arg_max(value, at_) AS value FROM b GROUP BY user_id, id), k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY at_ DESC) AS r FROM g)
       SELECT user_id, id, value, row_number() OVER (PARTITION BY user_id ORDER BY at_) AS place FROM k WHERE r <= 10""",
