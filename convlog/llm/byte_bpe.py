@@ -167,7 +167,8 @@ def encode_documents(docs: DataFrame, rank_file: bytes, pattern: str, id_col: st
     """id, ids (array of int), decoded (binary: the bytes of the ids). Null text counts as empty: no ids, no bytes.
 
     rank_file holds the lines of a .tiktoken file (base64 token, rank); it is small and goes along with the tasks.
-    Rows with equal or null ids are encoded each by itself; other columns are ignored; an empty table gives none.
+    Rows with equal or null ids are encoded each by itself; other columns are ignored, whatever their names; an empty table
+    gives none. Very long texts are cut into units; the time for one unit without any blank grows with its square.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,7 +141,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: bytes, vocabulary:
     """Write the ids of all documents, each followed by end_id, in ascending id order, to part files under path.
 
     Null text counts as empty: the end id alone. Null ids come first; rows of equal id are ordered by text. A document
-    is never cut: one larger than a block makes a block of its own. An empty table makes an empty folder of blocks.
+    is never cut: one larger than a block makes a block of its own. An empty table makes an empty folder of blocks. Special
+    tokens in a text become their ids, as with the library. Other columns are ignored, whatever their names.
     """
     width = width_of(vocabulary)
 

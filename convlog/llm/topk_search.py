@@ -42,8 +42,9 @@ def topk_search(queries: DataFrame, rows: DataFrame, k: int = 10, bits: int = 64
 
     Both sides are (id, code), codes of so many bits in a long. A row isn't its own neighbour (equal ids). Rows or
     queries with a null id or code are left out. Repeated (id, code) rows count once. Fewer than k other rows: all of
-    them. Rows of one code are met together: the index holds each code once with its k + 1 smallest ids, since no query
-    can return more of one code. Segments get about as many bits as the number of rows has, if their number isn't given.
+    them; an empty side gives an empty result, and other columns are ignored. Rows of one code are met together: the index holds each code once with its k + 1 smallest ids, since no query
+    can return more of one code. Segments get about as many bits as the number of rows has, if their number isn't given. A query whose
+    neighbours are far probes ever more values of a segment, at the worst all of them.
     """
     spark = rows.sparkSession
     rows = rows.filter("id is not null and code is not null").select("id", "code").distinct()

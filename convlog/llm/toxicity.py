@@ -235,7 +235,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     Labels are used only of ids whose crc32(id as text) mod 3 is 0 (counted) or 2 (calibration, at most `sample` of them
     by the order of a hash). The score depends on the text alone. Null text counts as empty; empty texts get the score
     of a ratio of 0. If an id has several labels, the largest holds; ids without label count for the shared orders.
-    Without labels of both kinds every score is 0. Null ids aren't held out and have no label. At most 2 ** (slots - 2)
+    Without labels of both kinds every score is 0. Null ids aren't held out and have no label. Repeated rows are scored
+    alike, other columns ignored, whatever their names; an empty table gives an empty result. At most 2 ** (slots - 2)
     of the most frequent words are sent to the tasks; slots changes the work, not the scores.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -349,6 +349,27 @@ def test_token_files_odd(spark, tmp_path):
     assert sorted((tuple(r) for r in read_documents(spark, f"{tmp_path}/c").collect()), key=lambda r: r[1]) == want
 
 
+def test_long_texts_and_clashing_columns(spark):
+    """A line of 60,000 words twice and once with one more letter, beside nulls, repeated rows and columns named like the operators' own."""
+    rnd = random.Random(31)
+    vocab = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(5000)]
+    long_ = " ".join(rnd.choice(vocab) for _ in range(60_000))
+    rows = [(1, long_, "en", "s", 1), (2, long_, "en", "s", 1), (3, long_[:70_001] + "z" + long_[70_001:], "en", "s", 1), (4, None, "en", None, None), (4, None, "en", None, None), (None, "alone", "en", "s", 5), (6, "short", "en", "s", 5)]
+    names = ["h1", "h2", "line", "keys", "key", "class", "n", "near", "first", "late", "label", "kind", "word", "stem", "pair", "value", "row", "score", "keep", "print", "carried_0", "node", "component", "sketch", "token", "code", "rank", "copies"]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.array(F.lit(c)) for c in names}).cache()
+    marks = spark.createDataFrame([(1, 1, 1), (3, 1, 0)], "doc_id long, quality int, toxic int").withColumns({c: F.lit(c) for c in ("label", "kind", "id")})
+    assert sorted((r.doc_id or 0, r.n_dropped) for r in line_dedup(df, least=1).collect()) == [(0, 0), (1, 0), (2, 1), (3, 1), (4, 0), (4, 0), (6, 0)]
+    assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join(df).collect()) == [(0, 0), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (6, 6)]
+    assert sorted((r.doc_id or 0, r.keep_id) for r in exact_dedup(df).collect()) == [(0, None), (1, 2), (2, 2), (3, 3), (4, 4), (4, 4), (6, 6)]
+    assert quality(df).count() == 7 and score_toxicity(df, marks).count() == 7
+    removed = {r.doc_id: r.n_removed for r in substring_dedup(df)[0].collect()}
+    assert removed[1] == 0 and removed[2] == 60_000 and 59_950 < removed[3] < 60_000
+    codes = spark.createDataFrame([(k, k) for k in range(5)], "id long, code long").withColumns({c: F.lit(c) for c in ("query", "segment", "mask", "part", "distance", "rank")})
+    assert topk_search(codes, codes, k=2).count() == 10
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, df, "").columns == ["doc_id", "text", "lang", "source", "n_chars"]
+
+
 def test_topk(spark):
     rnd = random.Random(2)
     rows = [(i, [rnd.gauss(0, 1) for _ in range(64)]) for i in range(400)] + [(1000 + i, [1.0] * 64) for i in range(40)] + [(None, [1.0] * 64), (2000, None), (2001, []), (5, [0.5] * 64)]
