@@ -9,7 +9,8 @@ the rests left and right of the segment, with their bounds on edits, share a pie
 variants of a line have so falls into many small keys, exactly.
 
 A line goes if any near one comes earlier, so each line is first compared with the earliest of each of its buckets, over
-some rounds; only lines that stay open are compared with all earlier ones of their buckets. Pairs pass a sieve of pieces,
+some rounds; only lines that stay open are compared with all earlier ones of their buckets. The join itself compares the
+parities of 64 sorts of character pairs, of which an edit changes four at most; pairs then pass a sieve of pieces,
 are cut down to what lies between the first and the last place where they differ, and what is left is verified: with one
 or two edits these are the ends themselves and all between must be equal, with more a banded bit-parallel edit distance
 runs, one step of 64-bit operations a character.
@@ -218,14 +219,26 @@ def _lines(docs: DataFrame, least: int) -> DataFrame:
 LINE = ["h1", "h2"]
 
 
+def _parities(line: Column) -> Column:
+    """Bit k tells whether the line has an odd number of character pairs of sort k. An edit takes two pairs away and adds two
+    at most, the last character with what is behind it counting as one."""
+    chars = F.split(line, "")
+    sorts = F.transform(F.array(chars), lambda c: F.zip_with(c, F.slice(c, 2, F.size(c)), lambda x, y: F.pmod(F.xxhash64(x, y), F.lit(64)).cast("int")))[0]
+    return F.aggregate(sorts, F.lit(0).cast("long"), lambda bits, k: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k)))
+
+
+def _like(a: Column, b: Column, edits: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= 4 * edits
+
+
 def _buckets(occurrences: DataFrame, docs: DataFrame, first: DataFrame, edits: int, least: int) -> tuple[DataFrame, DataFrame]:
-    """(fine, h1, h2, n, own, first): lines by the finer keys that two lines share, one of them as its own; and the lines'
+    """(fine, h1, h2, n, parities, own, first): lines by the finer keys that two lines share, one of them as its own; and the lines'
     texts (h1, h2, line)."""
     keyed = occurrences.select(*LINE, "n", F.posexplode("keys").alias("probe", "key"))
     shared = stored(keyed.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).filter("a < b").select("key"), "line-keys")
     hits = stored(keyed.join(small(shared, 1_000_000), "key").distinct(), "line-hits")
     wanted = stored(hits.select(*LINE).distinct(), "line-wanted")
-    texts = stored(_lines(docs, least).select(*LINE, "line").join(small(wanted, 2_000_000), LINE).groupBy(*LINE, "line").agg(F.lit(1)).select(*LINE, "line"), "line-texts")
+    texts = stored(_lines(docs, least).select(*LINE, "line").join(small(wanted, 2_000_000), LINE).groupBy(*LINE, "line").agg(F.lit(1)).select(*LINE, "line", _parities(F.col("line")).alias("parities")), "line-texts")
     rows = hits.join(texts, LINE).withColumn("class", _class(F.col("n")))
     per_class = len(_cuts(edits))
     below = F.col("class")
@@ -235,9 +248,9 @@ def _buckets(occurrences: DataFrame, docs: DataFrame, first: DataFrame, edits: i
         steps.append(below)
     of_probe = F.floor(F.col("probe") / per_class).cast("int")
     rows = rows.withColumn("lower", of_probe).withColumn("class", F.get(F.array(*steps), of_probe))
-    kinds = rows.withColumn("kind", F.explode(F.element_at(_kinds(edits), F.pmod(F.col("probe"), F.lit(per_class)) + 1))).select(*LINE, "n", "line", "key", "class", "lower", "kind.*")
-    fine = kinds.select(*LINE, "n", _fine_key(edits).alias("fine"), (F.col("own") & (F.col("lower") == 0)).alias("own"))
-    fine = stored(fine.groupBy("fine", *LINE, "n").agg(F.max("own").alias("own")), "line-fine")
+    kinds = rows.withColumn("kind", F.explode(F.element_at(_kinds(edits), F.pmod(F.col("probe"), F.lit(per_class)) + 1))).select(*LINE, "n", "line", "parities", "key", "class", "lower", "kind.*")
+    fine = kinds.select(*LINE, "n", "parities", _fine_key(edits).alias("fine"), (F.col("own") & (F.col("lower") == 0)).alias("own"))
+    fine = stored(fine.groupBy("fine", *LINE, "n", "parities").agg(F.max("own").alias("own")), "line-fine")
     kept = fine.groupBy("fine").agg(F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("own").alias("any_own")).filter("low < high and any_own").select("fine")
     out = stored(fine.join(kept, "fine").join(first.select(*LINE, "first"), LINE), "line-buckets")
     dropped(shared, hits, wanted, fine)
@@ -247,7 +260,7 @@ def _buckets(occurrences: DataFrame, docs: DataFrame, first: DataFrame, edits: i
 def _verified(pairs: DataFrame, texts: DataFrame, edits: int) -> DataFrame:
     """The pairs (h1, h2, near1, near2) of different lines within `edits` edits."""
     other = texts.select(F.col("h1").alias("near1"), F.col("h2").alias("near2"), F.col("line").alias("other"))
-    both = pairs.join(texts, LINE).join(other, ["near1", "near2"])
+    both = pairs.join(texts.select(*LINE, "line"), LINE).join(other, ["near1", "near2"])
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     longer = F.length("line") > F.length("other")
     spread = both.repartition(parts, "h1", "near1")  # few bytes, much work
@@ -260,7 +273,7 @@ def late_lines(occurrences: DataFrame, docs: DataFrame, first: DataFrame, edits:
     """h1, h2 of the lines that have a different line within `edits` edits and earlier in the corpus. Lines of fewer than
     edits + 1 characters have empty segments and aren't compared."""
     buckets, texts = _buckets(occurrences, docs, first, edits, least)
-    here = F.struct("first", *LINE, "n")
+    here = F.struct("first", *LINE, "n", "parities")
     late, tested, after = None, None, {}
     open_ = buckets
     for _ in range(ROUNDS):
@@ -275,7 +288,7 @@ def late_lines(occurrences: DataFrame, docs: DataFrame, first: DataFrame, edits:
         )
         met = open_.join(least_, "fine")
         far = F.array(F.col("own_line"), F.when(F.col("own"), F.col("any_line")))
-        met = met.select(*LINE, "n", "own", "first", F.posexplode(far).alias("which", "e")).filter("e.first < first")
+        met = met.select(*LINE, "n", "parities", "first", F.posexplode(far).alias("which", "e")).filter("e.first < first").filter(_like(F.col("parities"), F.col("e.parities"), edits))
         fits = F.when(F.col("which") == 0, F.col("n") - F.col("e.n")).otherwise(F.col("e.n") - F.col("n")).between(0, edits)
         pairs = met.filter(fits).select(*LINE, F.col("e.h1").alias("near1"), F.col("e.h2").alias("near2")).distinct()
         pairs = stored(pairs.join(tested, [*LINE, "near1", "near2"], "left_anti") if tested is not None else pairs, "line-pairs")
@@ -284,9 +297,9 @@ def late_lines(occurrences: DataFrame, docs: DataFrame, first: DataFrame, edits:
         tested = pairs if tested is None else tested.unionByName(pairs)
         open_ = stored(open_.join(small(found, 1_000_000), LINE, "left_anti"), "line-open")
         after = least_.select("fine", F.col("own_line.first").alias("own_turn"), F.col("any_line.first").alias("turn"))
-    other = buckets.select("fine", F.col("h1").alias("near1"), F.col("h2").alias("near2"), F.col("n").alias("near_n"), F.col("own").alias("near_own"), F.col("first").alias("before"))
+    other = buckets.select("fine", F.col("h1").alias("near1"), F.col("h2").alias("near2"), F.col("n").alias("near_n"), F.col("own").alias("near_own"), F.col("first").alias("before"), F.col("parities").alias("near_parities"))
     apart = F.when(F.col("own"), F.col("near_n") - F.col("n")).between(0, edits) | F.when(F.col("near_own"), F.col("n") - F.col("near_n")).between(0, edits)
-    pairs = open_.join(other, "fine").filter((F.col("before") < F.col("first")) & apart).select(*LINE, "near1", "near2").distinct()
+    pairs = open_.join(other, "fine").filter((F.col("before") < F.col("first")) & apart & _like(F.col("parities"), F.col("near_parities"), edits)).select(*LINE, "near1", "near2").distinct()
     pairs = stored(pairs.join(tested, [*LINE, "near1", "near2"], "left_anti"), "line-pairs")
     return late.unionByName(_verified(pairs, texts, edits).select(*LINE)).distinct()
 
