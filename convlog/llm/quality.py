@@ -88,7 +88,7 @@ def measured(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2 << 20):
+            for batch in slices(whole, 1 << 20):
                 _, _, n, m = measures(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.ascontiguousarray(m[:, k])) for k in range(len(MEASURES)))], ["id", "n_words", *MEASURES])
 
@@ -140,7 +140,7 @@ def label_model(patterns: list[tuple[tuple[int, ...], int]], steps: int = 100) -
 def _sampled_features(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2 << 20):
+            for batch in slices(whole, 1 << 20):
                 data, ends, _, m = measures(batch.column(1))
                 at, bins, begin = _features(data), _bins(m), 0
                 keys, values = [], []
@@ -179,7 +179,7 @@ def scored(docs: DataFrame, w: np.ndarray) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2 << 20):
+            for batch in slices(whole, 1 << 20):
                 data, ends, n, m = measures(batch.column(1))
                 total = np.concatenate([[0.0], np.cumsum(w[_features(data)])])
                 size = np.diff(ends, prepend=0)
