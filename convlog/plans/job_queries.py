@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlog.functions import text as X
-from convlog.operators import breakdown, chunks, jobs, rollup, tokens, turns, usage
+from convlog.operators import breakdown, chunks, jobs, rollup, state, tokens, turns, usage
 from convlog.operators.lineage import ordered_text
 from convlog.plans import log_queries as L
 from convlog.sources.messages import from_conversations, from_events
@@ -190,6 +190,42 @@ def x8_rebuild(spark, d):
     return both.withColumn("text", F.when(F.col("text") == "draft", "draft").when(F.length("text") < 4, "new").otherwise("old"))
 
 
+PROMPTS = ['"one #"', '[{"content":"two"},{"text":"#"},{"image":1}]', '{"content":[{"type":"text","text":"three #"},"four"]}', '{"content":null,"text":"no"}', "{{user}} #", '[["a",[" b #"]],""]', '{"text":5}']
+
+
+def f7_prompt_text(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", state.prompt_text(_pick(PROMPTS)).alias("text"))
+
+
+def h3_substituted(spark, d):
+    t = spark.read.parquet(f"{d}/events.parquet")
+    return t.select("event_id", state.substituted(F.concat(F.lit("{{user}} and {{ user }}, {{other}}: "), F.col("event_type")), {"user": "U", "kind": "K"}).alias("text"))
+
+
+def s7_guarded(spark, d):
+    e = L._entries(spark, d).select("conv_id", "start_id", (F.col("conv_id") % 4).alias("owner"))
+    owners = from_events(spark, d).select("conv_id", (F.col("conv_id") % 3).alias("owner")).distinct()
+    kept, refused = state.guarded(e, owners)
+    return kept.withColumn("kept", F.lit(True)).unionByName(refused.withColumn("kept", F.lit(False))).select("conv_id", "start_id", "kept")
+
+
+def s6_regular_reports(spark, d):
+    t = spark.read.parquet(f"{d}/events.parquet")
+    v = F.col("event_id")
+    r = t.select(
+        F.col("user_id").alias("conv_id"), F.when(v % 5 > 0, v).alias("created_at"), F.when(v % 2 == 0, "swipe").alias("kind"), F.when(v % 3 > 0, v / 2).alias("retained_start"), F.when(v % 3 == 0, v).alias("retained_end"), (v % 7 - 3).alias("removed"), (v % 9 - 4.5).alias("tokens_removed"),
+        F.lit(None).cast("long").alias("tokens_injected"), v.alias("tokens_saved"), F.lit(None).cast("long").alias("covered"), (v % 100).alias("duration_ms"), F.when(v % 4 == 0, F.array(F.lit("a"), F.lit(None), F.lit("b"), F.lit("c"))).alias("warnings"),
+    )
+    return state.regular_reports(r, 2).withColumn("warnings", F.array_join("warnings", ","))
+
+
+def s6_regular_traces(spark, d):
+    t = spark.read.parquet(f"{d}/events.parquet")
+    v = F.col("event_id")
+    traces = t.select(F.col("user_id").alias("conv_id"), v.alias("pos"), F.when(v % 11 > 0, v).alias("id"), F.col("ts").alias("created_at"), F.when(v % 3 == 0, "error").when(v % 3 == 1, "summary").otherwise("other").alias("stage"), F.col("event_type").alias("message"))
+    return state.regular_traces(traces, 5).select("conv_id", "pos", "stage")
+
+
 def _records(spark, d):
     """Records of the events' counts: chat completions with and without a total, text prompts, and prompts of neither."""
     t = spark.read.parquet(f"{d}/events.parquet")
@@ -258,7 +294,7 @@ def p5_earlier_phase(spark, d):
 QUERIES = {f.__name__: f for f in (
     w9_phase_chunks, w18_phase_start, p13_request_types, j7_unselected, j8_unfinished, j10_consumed, a5_parent_digest, a8_net_saved, a11_role_buckets, a13_token_breakdown, a20_injected_blocks,
     a21_report_counts, t3_models, t4_newest, u4_frontiers_differ, u5_splice, f4_history, f6_tagged_blocks, f11_response_text, a14_token_breakdown, f10_input_tokens, f9_stored_metadata, f12_response_shape, p15_stream_error, p5_earlier_phase, f16_generation_signature, s4_valid_provenance, s5_whole_checkpoints,
-    s14_recent_errors, x2_chunk_prompts, x3_summarise, x4_roll_up_all, x1_plan_ready, x5_rollup_prompts, x8_rebuild,
+    s14_recent_errors, x2_chunk_prompts, x3_summarise, x4_roll_up_all, x1_plan_ready, x5_rollup_prompts, x8_rebuild, f7_prompt_text, h3_substituted, s7_guarded, s6_regular_reports, s6_regular_traces,
 )}
 
 _TEXT = "regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')"
@@ -344,6 +380,13 @@ SQL = {
     "x2_chunk_prompts": f"""WITH {L.CONV}, {L.FLAGS}, {_CONV_CHUNKS}, t AS (SELECT *, {_TEXT} AS content FROM m WHERE NOT is_system)
       SELECT c.conv_id, chunk, '[' || string_agg('{{"id":' || message_id || ',"role":"' || CASE WHEN is_user THEN 'user' ELSE 'assistant' END || '","speaker":"' || name || '","content":' || to_json(content)::VARCHAR || '}}', ',' ORDER BY message_id) || ']' AS prompt
       FROM chunks c JOIN t ON t.conv_id = c.conv_id AND message_id BETWEEN start_id AND end_id WHERE content <> '' GROUP BY c.conv_id, chunk""",
+    "f7_prompt_text": """SELECT event_id, CASE event_id % 7 WHEN 0 THEN 'one ' || event_id WHEN 1 THEN 'two' || chr(10) || event_id WHEN 2 THEN 'three ' || event_id || chr(10) || 'four' WHEN 5 THEN 'a' || chr(10) || ' b ' || event_id ELSE '' END AS text FROM events""",
+    "h3_substituted": "SELECT event_id, 'U and {{ user }}, {{other}}: ' || event_type AS text FROM events",
+    "s7_guarded": f"{L.STACK} SELECT conv_id, start_id, conv_id % 4 = conv_id % 3 AS kept FROM entries",
+    "s6_regular_reports": """SELECT user_id AS conv_id, event_id AS created_at, CASE WHEN event_id % 2 = 0 THEN 'swipe' ELSE 'normal' END AS kind, CASE WHEN event_id % 3 > 0 THEN event_id // 2 ELSE 0 END AS retained_start, CASE WHEN event_id % 3 = 0 THEN event_id ELSE -1 END AS retained_end,
+      greatest(event_id % 7 - 3, 0) AS removed, greatest(floor(event_id % 9 - 4.5), 0)::BIGINT AS tokens_removed, 0::BIGINT AS tokens_injected, event_id AS tokens_saved, -1::BIGINT AS covered, event_id % 100 AS duration_ms, CASE WHEN event_id % 4 = 0 THEN 'a,b' ELSE '' END AS warnings FROM events WHERE event_id % 5 > 0""",
+    "s6_regular_traces": """SELECT conv_id, pos, stage FROM (SELECT user_id AS conv_id, event_id AS pos, CASE event_id % 3 WHEN 0 THEN 'error' ELSE 'summary' END AS stage, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k
+      FROM events WHERE event_id % 11 > 0 AND event_id % 3 < 2) WHERE k <= 5""",
     "f11_response_text": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN '[' || event_id || ']' END AS response FROM events",
     "f16_generation_signature": "SELECT DISTINCT conv_id, sha256('{\"id\":' || conv_id || ',\"tokens\":3000,\"model\":\"default\"}') AS signature FROM conversations",
     "s4_valid_provenance": f"""{L.STACK}, p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1) // 3 AS run FROM entries), q AS (SELECT * FROM p WHERE conv_id % 4 <> 0 OR start_id % 5 <> 0),
