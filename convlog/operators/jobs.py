@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from convlog.functions.text import summary_text, token_estimate, utf16_length, visible_text
 from convlog.operators.chunks import chunk_rows, plan_chunks, ready_chunks
-from convlog.operators.lineage import ordered_text, payload, range_hashes
+from convlog.operators.lineage import frontier_signature, ordered_text, payload, range_hashes
 from convlog.operators.turns import ready_target, turn_flags
 
 
@@ -91,6 +91,36 @@ def unfinished(chunks: DataFrame, drafts: DataFrame) -> DataFrame:
     return same.withColumn("first_open", first_open).filter(F.col("chunk") >= F.col("first_open")).drop("held", "first_open")
 
 
+def still_valid(results: DataFrame, messages: DataFrame, entries: DataFrame) -> DataFrame:
+    """results (conv_id, start_id, end_id, source_hash, signature, ...) whose rows and whose log's entries are as they were when
+    the work on them began; to be asked when they are written, as either may have changed meanwhile."""
+    now = range_hashes(messages, results.select("conv_id", "start_id", "end_id").distinct())
+    same = results.join(now, ["conv_id", "start_id", "end_id", "source_hash"], "left_semi")
+    return same.join(frontier_signature(entries), ["conv_id", "signature"], "left_semi")
+
+
+def preferred_snapshots(logs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """conv_id, snapshot_id of the prompt that stands for the last row of each log (conv_id, last_id, run_id, sequence).
+
+    snapshots: conv_id, snapshot_id, run_id (null: a standard one), expected_id, sequence, captured_at. The snapshot of the last
+    row's own run is taken unless a standard one for that row has a later sequence; without a run the newest one for that
+    row and of the current sequence; and where there is none of these the standard one, if its sequence is current.
+    """
+    joined = snapshots.join(logs.select("conv_id", "last_id", F.col("run_id").alias("own_run"), F.col("sequence").alias("current")), "conv_id")
+    standard, here = F.col("run_id").isNull(), F.col("expected_id") == F.col("last_id")
+    newest = F.struct("captured_at", "snapshot_id")
+    picked = joined.groupBy("conv_id").agg(
+        F.max(F.when(standard & here, F.struct("sequence", "captured_at", "snapshot_id"))).alias("standard"),
+        F.max(F.when(F.col("run_id") == F.col("own_run"), F.struct("captured_at", "sequence", "snapshot_id"))).alias("own"),
+        F.max(F.when(~standard & here & (F.col("sequence") == F.col("current")), newest)).alias("latest"),
+        F.first("own_run").alias("own_run"), F.first("current").alias("current"),
+    )
+    own = F.when(F.col("own").isNotNull() & ~F.coalesce(F.col("standard.sequence") > F.col("own.sequence"), F.lit(False)), F.col("own.snapshot_id"))
+    agent = F.when(F.col("own_run").isNotNull(), own).otherwise(F.col("latest.snapshot_id"))
+    chosen = F.coalesce(agent, F.when(F.col("standard.sequence") == F.col("current"), F.col("standard.snapshot_id")))
+    return picked.select("conv_id", chosen.alias("snapshot_id")).filter("snapshot_id is not null")
+
+
 def splice(entries: DataFrame, parents: DataFrame) -> DataFrame:
     """entries with the children of each parent (conv_id, level, start_id, end_id) replaced by it."""
     p = parents.select("conv_id", (F.col("level") - 1).alias("level"), F.col("start_id").alias("p_start"), F.col("end_id").alias("p_end"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from convlog.functions import text as X
 from convlog.operators import breakdown, chunks, jobs, rollup, state, tokens, turns, usage
-from convlog.operators.lineage import ordered_text
+from convlog.operators.lineage import frontier_signature, ordered_text
 from convlog.plans import log_queries as L
 from convlog.sources.messages import from_conversations, from_events
 
@@ -226,6 +226,21 @@ def s6_regular_traces(spark, d):
     return state.regular_traces(traces, 5).select("conv_id", "pos", "stage")
 
 
+def r6_still_valid(spark, d):
+    """Results of chunks whose rows changed, or whose log's entries did, since they were begun."""
+    e = L._entries(spark, d)
+    begun = e.join(frontier_signature(e), "conv_id").select("conv_id", "start_id", "end_id", F.when(F.col("start_id") % 3 == 0, "old").otherwise(F.col("source_hash")).alias("source_hash"), F.when(F.col("conv_id") % 4 == 0, "old").otherwise(F.col("signature")).alias("signature"))
+    return jobs.still_valid(begun, from_events(spark, d), e).select("conv_id", "start_id")
+
+
+def j11_preferred_snapshots(spark, d):
+    m = from_events(spark, d)
+    v = F.col("message_id")
+    logs = m.groupBy("conv_id").agg((F.max("message_id") % 3).alias("last_id"), F.max(F.when(F.col("conv_id") % 3 == 0, "r1")).alias("run_id"), F.max(F.col("conv_id") % 4).alias("sequence"))
+    snapshots = m.select("conv_id", v.alias("snapshot_id"), F.when(F.col("name") != "click", F.concat(F.lit("r"), (v % 5).cast("string"))).alias("run_id"), (v % 3).alias("expected_id"), (v % 4).alias("sequence"), (v * 7 % 11).alias("captured_at"))
+    return jobs.preferred_snapshots(logs, snapshots)
+
+
 def _records(spark, d):
     """Records of the events' counts: chat completions with and without a total, text prompts, and prompts of neither."""
     t = spark.read.parquet(f"{d}/events.parquet")
@@ -294,7 +309,7 @@ def p5_earlier_phase(spark, d):
 QUERIES = {f.__name__: f for f in (
     w9_phase_chunks, w18_phase_start, p13_request_types, j7_unselected, j8_unfinished, j10_consumed, a5_parent_digest, a8_net_saved, a11_role_buckets, a13_token_breakdown, a20_injected_blocks,
     a21_report_counts, t3_models, t4_newest, u4_frontiers_differ, u5_splice, f4_history, f6_tagged_blocks, f11_response_text, a14_token_breakdown, f10_input_tokens, f9_stored_metadata, f12_response_shape, p15_stream_error, p5_earlier_phase, f16_generation_signature, s4_valid_provenance, s5_whole_checkpoints,
-    s14_recent_errors, x2_chunk_prompts, x3_summarise, x4_roll_up_all, x1_plan_ready, x5_rollup_prompts, x8_rebuild, f7_prompt_text, h3_substituted, s7_guarded, s6_regular_reports, s6_regular_traces,
+    s14_recent_errors, x2_chunk_prompts, x3_summarise, x4_roll_up_all, x1_plan_ready, x5_rollup_prompts, x8_rebuild, f7_prompt_text, h3_substituted, s7_guarded, s6_regular_reports, s6_regular_traces, r6_still_valid, j11_preferred_snapshots,
 )}
 
 _TEXT = "regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')"
@@ -387,6 +402,14 @@ SQL = {
       greatest(event_id % 7 - 3, 0) AS removed, greatest(floor(event_id % 9 - 4.5), 0)::BIGINT AS tokens_removed, 0::BIGINT AS tokens_injected, event_id AS tokens_saved, -1::BIGINT AS covered, event_id % 100 AS duration_ms, CASE WHEN event_id % 4 = 0 THEN 'a,b' ELSE '' END AS warnings FROM events WHERE event_id % 5 > 0""",
     "s6_regular_traces": """SELECT conv_id, pos, stage FROM (SELECT user_id AS conv_id, event_id AS pos, CASE event_id % 3 WHEN 0 THEN 'error' ELSE 'summary' END AS stage, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k
       FROM events WHERE event_id % 11 > 0 AND event_id % 3 < 2) WHERE k <= 5""",
+    "r6_still_valid": f"{L.STACK} SELECT conv_id, start_id FROM entries WHERE start_id % 3 <> 0 AND conv_id % 4 <> 0",
+    "j11_preferred_snapshots": f"""WITH {L.LOGS}, g AS (SELECT conv_id, max(message_id) % 3 AS last_id, CASE WHEN conv_id % 3 = 0 THEN 'r1' END AS own, conv_id % 4 AS cur FROM m GROUP BY conv_id),
+      s AS (SELECT m.conv_id, message_id AS id, CASE WHEN name <> 'click' THEN 'r' || message_id % 5 END AS run, message_id % 3 AS e, message_id % 4 AS q, message_id * 7 % 11 AS c, g.* EXCLUDE (conv_id) FROM m JOIN g USING (conv_id)),
+      st AS (SELECT conv_id, q, id FROM s WHERE run IS NULL AND e = last_id QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY q DESC, c DESC, id DESC) = 1),
+      ow AS (SELECT conv_id, q, id FROM s WHERE run = own QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY c DESC, q DESC, id DESC) = 1),
+      la AS (SELECT conv_id, id FROM s WHERE run IS NOT NULL AND e = last_id AND q = cur QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY c DESC, id DESC) = 1),
+      x AS (SELECT g.conv_id, coalesce(CASE WHEN own IS NOT NULL THEN CASE WHEN NOT coalesce(st.q > ow.q, false) THEN ow.id END ELSE la.id END, CASE WHEN st.q = cur THEN st.id END) AS snapshot_id FROM g LEFT JOIN st USING (conv_id) LEFT JOIN ow USING (conv_id) LEFT JOIN la USING (conv_id))
+      SELECT * FROM x WHERE snapshot_id IS NOT NULL""",
     "f11_response_text": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN '[' || event_id || ']' END AS response FROM events",
     "f16_generation_signature": "SELECT DISTINCT conv_id, sha256('{\"id\":' || conv_id || ',\"tokens\":3000,\"model\":\"default\"}') AS signature FROM conversations",
     "s4_valid_provenance": f"""{L.STACK}, p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1) // 3 AS run FROM entries), q AS (SELECT * FROM p WHERE conv_id % 4 <> 0 OR start_id % 5 <> 0),
