@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlog.functions import text as X
-from convlog.operators import breakdown, chunks, jobs, rollup, state, tokens, turns, usage
+from convlog.operators import breakdown, chunks, context, jobs, rollup, state, tokens, turns, usage
 from convlog.operators.lineage import frontier_signature, ordered_text
 from convlog.plans import log_queries as L
 from convlog.sources.messages import from_conversations, from_events
@@ -21,8 +21,7 @@ def w9_phase_chunks(spark, d):
 
 
 def w18_phase_start(spark, d):
-    m = from_events(spark, d)
-    return m.join(turns.current_input(m), "conv_id").filter(_boundary() & (F.col("message_id") <= F.col("current_input"))).groupBy("conv_id").agg(F.max("message_id").alias("phase_start"))
+    return context.phase_start(from_events(spark, d), _boundary())
 
 
 def p13_request_types(spark, d):
@@ -241,6 +240,10 @@ def j11_preferred_snapshots(spark, d):
     return jobs.preferred_snapshots(logs, snapshots)
 
 
+def x7_inspections(spark, d):
+    return context.inspections(from_events(spark, d), L._first_entries(spark, d), L.SIZE, _boundary(), F.col("message_id") % 2 == 0)
+
+
 def _records(spark, d):
     """Records of the events' counts: chat completions with and without a total, text prompts, and prompts of neither."""
     t = spark.read.parquet(f"{d}/events.parquet")
@@ -309,7 +312,7 @@ def p5_earlier_phase(spark, d):
 QUERIES = {f.__name__: f for f in (
     w9_phase_chunks, w18_phase_start, p13_request_types, j7_unselected, j8_unfinished, j10_consumed, a5_parent_digest, a8_net_saved, a11_role_buckets, a13_token_breakdown, a20_injected_blocks,
     a21_report_counts, t3_models, t4_newest, u4_frontiers_differ, u5_splice, f4_history, f6_tagged_blocks, f11_response_text, a14_token_breakdown, f10_input_tokens, f9_stored_metadata, f12_response_shape, p15_stream_error, p5_earlier_phase, f16_generation_signature, s4_valid_provenance, s5_whole_checkpoints,
-    s14_recent_errors, x2_chunk_prompts, x3_summarise, x4_roll_up_all, x1_plan_ready, x5_rollup_prompts, x8_rebuild, f7_prompt_text, h3_substituted, s7_guarded, s6_regular_reports, s6_regular_traces, r6_still_valid, j11_preferred_snapshots,
+    s14_recent_errors, x2_chunk_prompts, x3_summarise, x4_roll_up_all, x1_plan_ready, x5_rollup_prompts, x8_rebuild, f7_prompt_text, h3_substituted, s7_guarded, s6_regular_reports, s6_regular_traces, r6_still_valid, j11_preferred_snapshots, x7_inspections,
 )}
 
 _TEXT = "regexp_replace(text, '^[\\s]+|[\\s]+$', '', 'g')"
@@ -410,6 +413,13 @@ SQL = {
       la AS (SELECT conv_id, id FROM s WHERE run IS NOT NULL AND e = last_id AND q = cur QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY c DESC, id DESC) = 1),
       x AS (SELECT g.conv_id, coalesce(CASE WHEN own IS NOT NULL THEN CASE WHEN NOT coalesce(st.q > ow.q, false) THEN ow.id END ELSE la.id END, CASE WHEN st.q = cur THEN st.id END) AS snapshot_id FROM g LEFT JOIN st USING (conv_id) LEFT JOIN ow USING (conv_id) LEFT JOIN la USING (conv_id))
       SELECT * FROM x WHERE snapshot_id IS NOT NULL""",
+    "x7_inspections": f"""{L.STACK}, {L.window_sql('turns', L.SIZE)}, e AS (SELECT * FROM entries WHERE least(chunk, 9) < 5), cov AS (SELECT conv_id, max(end_id) AS covered FROM e GROUP BY conv_id),
+      st AS (SELECT conv_id, least(retained_start, greatest(0, coalesce(covered + 1, 0))) AS start FROM win LEFT JOIN cov USING (conv_id)), {L._ALIGN}, {L.PHASE_SQL},
+      g AS (SELECT m.conv_id, count(*) AS removed, sum(ceil(length(text) / 4.0))::BIGINT AS tokens_removed FROM m JOIN aligned USING (conv_id) WHERE message_id < aligned AND NOT is_system GROUP BY m.conv_id),
+      ca AS (SELECT e.* FROM e LEFT JOIN phase USING (conv_id) LEFT JOIN cur USING (conv_id) WHERE NOT deleted AND (phase_start IS NULL OR coalesce(current_input % 2 = 0, false) OR start_id >= phase_start)),
+      h AS (SELECT conv_id, count(*) AS n, ceil(length(string_agg({_BLOCK}, chr(10) ORDER BY start_id)) / 4.0)::BIGINT AS tokens FROM ca GROUP BY conv_id), lv AS (SELECT conv_id, count(*) AS n FROM e WHERE NOT deleted GROUP BY conv_id)
+      SELECT a.conv_id, aligned AS safe_start, coalesce(removed, 0) AS removed, coalesce(tokens_removed, 0) AS tokens_removed, CASE WHEN aligned > 0 THEN coalesce(h.n, 0) ELSE 0 END AS entries_carried,
+        CASE WHEN aligned > 0 THEN coalesce(lv.n, 0) - coalesce(h.n, 0) ELSE 0 END AS entries_left, CASE WHEN aligned > 0 THEN coalesce(tokens, 0) ELSE 0 END AS tokens_injected FROM aligned a LEFT JOIN g USING (conv_id) LEFT JOIN h USING (conv_id) LEFT JOIN lv USING (conv_id)""",
     "f11_response_text": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN '[' || event_id || ']' END AS response FROM events",
     "f16_generation_signature": "SELECT DISTINCT conv_id, sha256('{\"id\":' || conv_id || ',\"tokens\":3000,\"model\":\"default\"}') AS signature FROM conversations",
     "s4_valid_provenance": f"""{L.STACK}, p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1) // 3 AS run FROM entries), q AS (SELECT * FROM p WHERE conv_id % 4 <> 0 OR start_id % 5 <> 0),

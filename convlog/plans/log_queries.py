@@ -55,6 +55,13 @@ def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("conv_id", F.lit(1).alias("level"), "start_id", "end_id", gone.alias("deleted"), F.when(gone, "").otherwise(X.range_key(F.lit(1), F.col("start_id"), F.col("end_id"))).alias("text"), "source_hash")
 
 
+def _first_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of the first five chunks of each log, so that not all of it is covered."""
+    h = _hashed(spark, sf_dir).filter("chunk < 5").select("conv_id", "start_id")
+    return _entries(spark, sf_dir).join(h, ["conv_id", "start_id"], "left_semi")
+
+
+PHASE_SQL = "phase AS (SELECT conv_id, max(message_id) AS phase_start FROM m JOIN cur USING (conv_id) WHERE name = 'click' AND message_id % 9 = 4 AND message_id <= current_input GROUP BY conv_id)"
 ENTRIES_SQL = """entries AS (SELECT conv_id, 1 AS level, chunk, start_id, end_id, chunk % 7 = 6 AS deleted,
     CASE WHEN chunk % 7 = 6 THEN '' ELSE '1:' || start_id || ':' || end_id END AS text, source_hash FROM hashed)"""
 STACK = f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL}, {HASHES_SQL}, {ENTRIES_SQL}"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlog.functions import text as X
-from convlog.operators import frontier, lorebook, tokens, turns, usage
+from convlog.operators import context, frontier, lorebook, tokens, turns, usage
 from convlog.plans import log_queries as L
 from convlog.sources.messages import from_conversations, from_events
 
@@ -244,17 +244,10 @@ def w19_budgeted(spark, d):
 
 
 def x7_assembled_context(spark, d):
-    """The rows a request keeps, after one row that holds the summaries of what went."""
+    """Entries of the first chunks; phases begin at some rows, and every other input asks for an earlier one."""
     m = from_events(spark, d)
-    e = L._entries(spark, d).filter("end_id < 30")
-    covered = e.groupBy("conv_id").agg(F.max("end_id").alias("covered"))
-    start = turns.safe_start(m, covered, L.SIZE)
-    kept = m.join(start, "conv_id").filter("message_id >= safe_start or is_system").select("conv_id", F.col("message_id").cast("double").alias("place"), "name", "text")
-    block = X.summary_block(F.col("text"), F.col("start_id"), F.col("end_id"), F.col("level"))
-    from convlog.operators.lineage import ordered_text
-
-    history = e.filter("not deleted").join(start, "conv_id").filter("safe_start > 0").groupBy("conv_id").agg((F.first("safe_start") - 0.5).alias("place"), ordered_text(block, F.col("start_id"), "\n").alias("text"))
-    return kept.unionByName(history.select("conv_id", "place", F.lit("history").alias("name"), "text"))
+    boundary = (F.col("name") == "click") & (F.col("message_id") % 9 == 4)
+    return context.assembled(m, L._first_entries(spark, d), L.SIZE, boundary, F.col("message_id") % 2 == 0)
 
 
 QUERIES = {f.__name__: f for f in (
@@ -359,9 +352,10 @@ SQL = {
           coalesce(constant_chars + matched_chars + CASE WHEN constant_chars > 0 AND matched_chars > 0 THEN 2 ELSE 0 END, 0) AS chars FROM told LEFT JOIN agg USING (text_id))""",
     "w19_budgeted": f"""{L.STACK}, bl AS (SELECT conv_id AS text_id, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) AS place, length(text) + start_id % 11 AS chars FROM entries)
       SELECT * FROM (SELECT *, sum(chars + CASE WHEN place > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY text_id ORDER BY place)::BIGINT AS used FROM bl) WHERE used <= 60""",
-    "x7_assembled_context": f"""{L.STACK}, {L.window_sql('turns', L.SIZE)}, e AS (SELECT * FROM entries WHERE end_id < 30), cov AS (SELECT conv_id, max(end_id) AS covered FROM e GROUP BY conv_id),
-      st AS (SELECT conv_id, least(retained_start, greatest(0, coalesce(covered + 1, 0))) AS start FROM win LEFT JOIN cov USING (conv_id)), {L._ALIGN}
+    "x7_assembled_context": f"""{L.STACK}, {L.window_sql('turns', L.SIZE)}, e AS (SELECT * FROM entries WHERE least(chunk, 9) < 5), cov AS (SELECT conv_id, max(end_id) AS covered FROM e GROUP BY conv_id),
+      st AS (SELECT conv_id, least(retained_start, greatest(0, coalesce(covered + 1, 0))) AS start FROM win LEFT JOIN cov USING (conv_id)), {L._ALIGN}, {L.PHASE_SQL}
       SELECT m.conv_id, message_id::DOUBLE AS place, name, text FROM m JOIN aligned USING (conv_id) WHERE message_id >= aligned OR is_system UNION ALL
       SELECT e.conv_id, any_value(aligned) - 0.5::DOUBLE, 'history', string_agg('<log_summary>' || chr(10) || 'level L1' || chr(10) || 'messages ' || start_id || '-' || end_id || chr(10) || text || chr(10) || '</log_summary>', chr(10) ORDER BY start_id)
-      FROM e JOIN aligned USING (conv_id) WHERE NOT deleted AND aligned > 0 GROUP BY e.conv_id""",
+      FROM e JOIN aligned USING (conv_id) LEFT JOIN phase USING (conv_id) JOIN cur USING (conv_id) WHERE NOT deleted AND aligned > 0 AND (phase_start IS NULL OR current_input % 2 = 0 OR start_id >= phase_start) GROUP BY e.conv_id""",
+
 }
