@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlog.llm.common import small, stored, table
+from convlog.llm.common import dropped, small, stored, table
 from convlog.llm.tokenize import slices
 from convlog.llm.words import FOLD, NOT_LETTERS, hashed_words, mixed
 
@@ -100,12 +100,13 @@ CLASSES = ("toxic", "ordinary")
 
 
 def kneser_ney(seen: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame, float]:
-    """(word, value, rare, often) of every word that was counted: what it tells by itself and as the one before; whether no
+    """From two stored tables, which are deleted: (word, value, rare, often) of every word that was counted: what it tells by itself and as the one before; whether no
     class has it; and the logarithm of its count in steps of an eighth of a doubling. (pair, value, often) of every pair
     that a class has: what it tells beyond that. And what the beginning and the end of any text tell."""
     follows = stored(pairs.groupBy("word").agg(*(F.count_if(F.col(c) > 0).alias(c) for c in CLASSES)), "kn-follows")
     words = seen.join(follows, "word", "left").fillna(0, list(CLASSES))
     words = stored(words, "kn-words")
+    dropped(seen, follows)
     stems = stored(words.groupBy("stem").agg(F.count("*").alias("kinds"), F.sum("seen").alias("stem_seen"), *(F.count_if(F.col(c) > 0).alias(f"stem_{c}") for c in CLASSES)), "kn-stems")
     total = words.agg(*(F.sum(c).cast("double").alias(c) for c in CLASSES), *(F.count_if(F.col(c) > 0).alias(f"kinds_{c}") for c in CLASSES)).first()
     lower = stems.agg(F.sum("kinds").cast("double").alias("kinds"), *(F.sum(f"stem_{c}").cast("double").alias(c) for c in CLASSES), *(F.count_if(F.col(f"stem_{c}") > 0).alias(f"kinds_{c}") for c in CLASSES)).first()
@@ -126,6 +127,7 @@ def kneser_ney(seen: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame,
     freed = [F.when(F.col(f"all_{c}") > 0, DISCOUNT * F.col(f"after_{c}") / F.col(f"all_{c}")).otherwise(1.0).alias(f"freed_{c}") for c in CLASSES]
     before = stored(before.select("before", *(f"all_{c}" for c in CLASSES), *freed), "kn-before")
     probable = stored(probable, "kn-probable")
+    dropped(words, stems)
     ratio = lambda x: F.log(F.col(f"{x}_toxic") / F.col(f"{x}_ordinary"))
     as_before = before.select(F.col("before").alias("word"), ratio("freed").alias("as_before"))
     values = stored(probable.join(as_before, "word", "left").select("word", (ratio("p") + F.coalesce("as_before", F.lit(0.0))).alias("value"), "rare", often("seen")), "kn-values")
@@ -134,6 +136,7 @@ def kneser_ney(seen: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame,
     beyond = F.log(full["toxic"] / full["ordinary"]) - ratio("p") - ratio("freed")
     told = stored(joined.select("pair", beyond.alias("value"), often(F.col("toxic") + F.col("ordinary"))), "kn-pairs")
     at = values.filter(F.col("word") == int(END.view(np.int64))).first(), as_before.filter(F.col("word") == int(START.view(np.int64))).first()
+    dropped(pairs, probable, before)
     return values, told, (at[0]["value"] if at[0] else 0.0) + (at[1]["as_before"] if at[1] else 0.0)
 
 
@@ -246,7 +249,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     kind = F.coalesce(F.col("label"), F.lit(UNLABELLED))
     seen, pairs = counts(rows.join(small(counted.select("id", "label"), 2_000_000), "id", "left").select("id", "text", kind.alias("kind")))
     values, told, always = kneser_ney(stored(seen, "toxicity-words"), stored(pairs, "toxicity-pairs"))
-    scored = stored(log_ratios(rows, stored(values, "toxicity-values"), stored(told, "toxicity-told"), always, 1 << max(slots - 2, 0)), "toxicity-ratios")
+    scored = stored(log_ratios(rows, values, told, always, 1 << max(slots - 2, 0)), "toxicity-ratios")
     features = scored.select("id", "n_words", "ratio", F.array(*(F.expr(x).cast("double") for x in FEATURES)).alias("features"))
     fit = features.join(marks.filter(part == 2), "id").orderBy(F.xxhash64("id"), "id").limit(sample).select("features", "label").toPandas()
     y = fit["label"].to_numpy(float)
