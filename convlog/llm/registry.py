@@ -12,6 +12,7 @@ from convlog.llm.substring_dedup import op9_substring_dedup
 from convlog.llm.token_output import op6_token_output
 from convlog.llm.topk_search import OP10_SQL, op10_topk_search
 from convlog.llm.toxicity import op4_toxicity
+from convlog.llm.whitening import op11_whitening
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_topk_search": op10_topk_search,
+    "op11_whitening": op11_whitening,
 }
 
 SQL = {
