@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from convlog.llm.alignment import op13_tokenizer_alignment
 from convlog.llm.byte_bpe import op5_byte_bpe
 from convlog.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from convlog.llm.line_dedup import op1_line_dedup
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_topk_search": op10_topk_search,
     "op11_whitening": op11_whitening,
+    "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
 SQL = {
