@@ -10,6 +10,7 @@ from convlog.llm.mixing import op2_mixing
 from convlog.llm.ngram_join import op8_ngram_join
 from convlog.llm.quality import op3_quality
 from convlog.llm.substring_dedup import op9_substring_dedup
+from convlog.llm.suffix_dedup import op12_suffix_dedup
 from convlog.llm.token_output import op6_token_output
 from convlog.llm.topk_search import OP10_SQL, op10_topk_search
 from convlog.llm.toxicity import op4_toxicity
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_substring_dedup": op9_substring_dedup,
     "op10_topk_search": op10_topk_search,
     "op11_whitening": op11_whitening,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_tokenizer_alignment": op13_tokenizer_alignment,
 }
 
