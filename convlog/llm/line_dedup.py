@@ -30,7 +30,6 @@ from convlog.llm.common import dropped, small, stored, table
 BLANK = " \t\r\x0b\x0c"
 SIEVE = 24  # pieces in which two lines are compared before they are cut down
 ROUNDS = 3  # in which open lines are compared with one line of each bucket
-LONGEST_CUT = 24  # powers of two by which a common beginning or end is measured
 
 
 def _class(n: Column) -> Column:
@@ -160,7 +159,7 @@ def _possible(edits: int) -> Column:
 
 def _alike(a: Column, b: Column, la: Column, lb: Column, most: Column, from_end: bool) -> Column:
     """Characters, `most` at most, with which a and b both begin (or end). Halving steps: each compares one stretch."""
-    powers = F.array(*(F.lit(1 << k) for k in reversed(range(LONGEST_CUT))))
+    powers = F.transform(F.sequence(F.length(F.bin(most)) - 1, F.lit(0)), lambda k: F.call_function("shiftleft", F.lit(1), k))
 
     def further(got: Column, p: Column) -> Column:
         x, y = (F.substr(t, (n - got - p if from_end else got) + 1, p) for t, n in ((a, la), (b, lb)))

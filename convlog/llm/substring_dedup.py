@@ -161,14 +161,15 @@ def _cut(docs: DataFrame, window: int) -> DataFrame:
             for batch in slices(whole, 2 << 20):
                 word, row = hashed_words(batch.column(1), SPACE, AS_IS)
                 at = _starts(row, window)
-                one, _ = _prints(word, at, window)
+                one, two = _prints(word, at, window)
                 first = np.searchsorted(row[at], np.arange(batch.num_rows + 1))
                 begin = np.searchsorted(row, np.arange(batch.num_rows + 1))
                 digest, removed, text, sha = [], [], [], []
                 for k, (x, prints) in enumerate(zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2), strict=True)):
                     words = x.split()
                     here = slice(first[k], first[k + 1])
-                    hit = at[here][np.isin(one[here], prints.values.to_numpy())] - begin[k]
+                    told, checks = (prints.values.field(j).to_numpy() for j in range(2))
+                    hit = at[here][np.isin(one[here], told) & np.isin(two[here], checks)] - begin[k]
                     marks = np.zeros(len(words) + 1, np.int64)
                     np.add.at(marks, hit, 1)
                     np.add.at(marks, hit + window, -1)
@@ -204,7 +205,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     single = rows.filter("id is not null").join(small(aside, 2_000_000), "id", "left_anti")
     windows = stored(_windows(single, window, _repeated_pairs(single)), "substring-windows")
     least = windows.groupBy("print", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    found = windows.join(least, ["print", "check"]).filter("id > least").select("id", "print")
+    found = windows.join(least, ["print", "check"]).filter("id > least").select("id", F.struct("print", "check").alias("print"))
     prints = stored(found.groupBy("id").agg(F.collect_set("print").alias("prints")), "substring-prints")
     touched = single.join(small(prints.select("id"), 2_000_000), "id", "left_semi").join(prints, "id")
     cut = stored(_cut(touched, window), "substring-cut")

@@ -7,7 +7,6 @@ import pyarrow as pa
 
 _rng = np.random.default_rng(20_240_229)
 BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-STEP = np.uint64(0x9E3779B97F4A7C15)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -17,13 +16,13 @@ FOLD[65:91] += 32
 NOT_LETTERS = np.array([not (c >= 128 or chr(c).isalnum()) for c in range(256)])
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(max(n, 1), STEP, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def multipliers(n: int) -> np.ndarray:
+    """An odd multiplier drawn for each place of a word, the same for all words. They aren't powers of one number, so
+    different words have one hash with a chance of about 2^-60 whatever they are made of."""
+    return np.random.default_rng(20_240_301).integers(0, 2**64, max(n, 64), dtype=np.uint64) | np.uint64(1)
 
 
-_POWERS = powers(64)
+_MULTIPLIERS = multipliers(64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -48,7 +47,7 @@ def hashed_words(texts: pa.Array, separators: np.ndarray = SPACE, fold: np.ndarr
     word = np.cumsum(np.diff(at, prepend=at[0] - 2) != 1) - 1
     place = at - starts[word]
     longest = int(place.max()) + 1
-    part = BYTE[data[at]] * (_POWERS if longest <= len(_POWERS) else powers(longest))[place]
+    part = BYTE[data[at]] * (_MULTIPLIERS if longest <= len(_MULTIPLIERS) else multipliers(longest))[place]
     first = np.searchsorted(at, starts)
     hashes = mixed(np.add.reduceat(part, first))
     row = np.searchsorted(row_ends, starts, side="right")

@@ -114,6 +114,31 @@ def test_ngrams(docs, plain, empty, odd_ids):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in ngram_join(odd_ids).collect()) == [(0, 0), (0, 0), (5, 5), (5, 5), (6, 5)]
 
 
+def thue_morse(n):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_opposite_pattern(spark):
+    """Long words that a polynomial modulo a power of two gives one hash: no link and no removal."""
+    for n in (1024, 2048, 4096, 8192):
+        a, b = thue_morse(n)
+        df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+        assert sorted((r.doc_id, r.component_id) for r in ngram_join(df).collect()) == [(1, 1), (2, 2)]
+        twelve = " ".join(f"w{k}" for k in range(12))
+        df = spark.createDataFrame([(1, f"{twelve} {a}"), (2, f"{twelve} {b}"), (3, f"{twelve} {b}")], "doc_id long, text string")
+        assert sorted((r.doc_id, r.n_removed) for r in substring_dedup(df)[0].collect()) == [(1, 0), (2, 0), (3, 13)]
+
+
+def test_lines_with_long_common_ends(spark):
+    """The common beginning and end of two lines are measured whatever their length."""
+    long_ = "ab cd " * 20_000
+    df = spark.createDataFrame([(1, long_ + "x" + long_[:60]), (2, long_ + "y" + long_[:60]), (3, long_ + "xyzuv" + long_[:60])], "doc_id long, text string")
+    assert sorted((r.doc_id, r.n_dropped) for r in line_dedup(df, least=1).collect()) == [(1, 0), (2, 1), (3, 0)]
+
+
 def test_components(spark):
     rnd = random.Random(1)
     edges = [(rnd.randrange(200), rnd.randrange(200)) for _ in range(150)] + [(1000 + k, 1001 + k) for k in range(40)]
