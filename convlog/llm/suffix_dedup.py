@@ -30,11 +30,11 @@ from convlog.llm.words import mixed
 GRAM = 32  # bytes of an anchor's n-gram
 CHUNK = 1 << 20  # windows hashed at once
 CROWDED = 4096  # contents of one anchor from which windows are dealt by all their bytes
-SHARD = 3 << 20  # bytes of contents in a shard, about
+WIDTH = 20  # bits of a segment's number of windows beside its place
+SHARD = 3 << 19  # bytes of contents in a shard, about
 _PLACE = np.uint64((1 << 21) - 1)  # low bits for a place in a chunk
 END = 0xFF  # a byte that UTF-8 never has: after each content
 _ODD = np.random.default_rng(7).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-REFS = "m long, digest binary, id {id}, doc long, start int, n int"
 
 
 def _grams(data: np.ndarray, size: int) -> np.ndarray:
@@ -83,20 +83,33 @@ def segments(texts: list[bytes], least: int, gram: int) -> Iterator[tuple[np.nda
         yield text[first], at[first] - begins[text[first]], n, grams[(anchor[first] & _PLACE).astype(np.int64)].view(np.int64)
 
 
-def _references(least: int, gram: int, names: list[str]) -> Callable:
-    """From batches (doc, binary, id, and maybe the place of the binary in its document) to REFS."""
+def _anchored(least: int, gram: int) -> Callable:
+    """From batches (doc, binary, and maybe the place of the binary in its document) to segments (m, doc, at)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in slices(batch, CHUNK):
-                texts = [x or b"" for x in piece.column(1).to_pylist()]
-                base = piece.column(3).to_numpy(zero_copy_only=False) if piece.num_columns > 3 else None
-                for text, start, n, m in segments(texts, least, gram):
-                    digests = [hashlib.blake2b(texts[t][s : s + k + least - 1], digest_size=16).digest() for t, s, k in zip(text.tolist(), start.tolist(), n.tolist(), strict=True)]
-                    row = pa.array(text)
-                    start = start if base is None else start + base[text]
-                    columns = [pa.array(m), pa.array(digests, pa.binary()), piece.column(2).take(row), piece.column(0).take(row), pa.array(start, pa.int32()), pa.array(n, pa.int32())]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                doc = piece.column(0).to_numpy()
+                base = piece.column(2).to_numpy() if piece.num_columns > 2 else np.zeros(len(doc), np.int64)
+                for text, start, n, m in segments(piece.column(1).to_pylist(), least, gram):
+                    yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(doc[text]), pa.array((start + base[text]) << WIDTH | n)], ["m", "doc", "at"])
+
+    return read
+
+
+def _digested(least: int, names: list[str]) -> Callable:
+    """From batches (doc, binary, id, segments) to REFS."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in slices(batch, CHUNK):
+                texts, lists = piece.column(1).to_pylist(), piece.column(3)
+                row, parts = pc.list_parent_indices(lists), lists.flatten()
+                at = parts.field(1).to_numpy()
+                start, n = at >> WIDTH, at & ((1 << WIDTH) - 1)
+                digests = [hashlib.blake2b(texts[t][s:e], digest_size=16).digest() for t, s, e in zip(row.to_pylist(), start.tolist(), (start + n + least - 1).tolist(), strict=True)]
+                columns = [parts.field(0), pa.array(digests, pa.binary()), piece.column(2).take(row), piece.column(0).take(row), pa.array(start, pa.int32()), pa.array(n, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     return read
 
@@ -120,22 +133,28 @@ def _cut(least: int, names: list[str]) -> Callable:
 def _order(data: np.ndarray, depth: int) -> np.ndarray:
     """The suffixes of data in the order of their first depth bytes, by doubling."""
     n = len(data)
-    padded = np.concatenate([data, np.full(8, END, np.uint8)]).astype(np.uint64)
-    key = padded[:-7]
-    for k in range(1, 8):
-        key = key << np.uint64(8) | padded[k : k - 7 or None]
-    key, have = key[:n], 8
+    bits = n.bit_length()
+    have = min(8, (64 - bits) // 8)
+    padded = np.concatenate([data, np.full(have, END, np.uint8)]).astype(np.uint64)
+    key = padded[:n]
+    for k in range(1, have):
+        key = key << np.uint64(8) | padded[k : n + k]
+    place, packed = np.arange(n, dtype=np.uint64), 3 * bits <= 64
     while True:
-        order = np.argsort(key)
+        if packed:  # keys with their places are sorted in one
+            both = np.sort(key << np.uint64(bits) | place)
+            order, ordered = (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+        else:
+            order = np.argsort(key)
+            ordered = key[order]
         if have >= depth:
             return order
-        rank = np.empty(n, np.int64)
-        ordered = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
+        rank = np.empty(n, np.uint64)
+        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])]).astype(np.uint64)
         step = min(have, depth - have)
-        after = np.full(n, rank.max() + 1)
+        after = np.full(n, n, np.uint64)
         after[: n - step] = rank[step:]
-        key, have = rank * (int(rank.max()) + 2) + after, have + step
+        key, have = rank << np.uint64(bits) | after, have + step
 
 
 def common_prefixes(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +165,14 @@ def common_prefixes(data: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarra
     bwt = data[order - 1]
     by_byte = np.argsort(bwt, kind="stable")
     same = bwt[by_byte[1:]] == bwt[by_byte[:-1]]
-    to = np.empty(n, np.int64)  # from a row to the row of the suffix one byte longer
+    to = np.empty(n, np.int32)  # from a row to the row of the suffix one byte longer
     to[by_byte] = np.arange(n)
-    after, before = np.full(n, n), np.full(n, -1)  # the next and the last row with the same byte
+    after, before = np.full(n, n, np.int32), np.full(n, -1, np.int32)  # the next and the last row with the same byte
     after[by_byte[:-1][same]], before[by_byte[1:][same]] = by_byte[1:][same], by_byte[:-1][same]
     goes = bwt != END
     divided = np.zeros(n + 1, bool)
     divided[[0, n]] = True
-    left, right = np.array([0]), np.array([n])
+    left, right = np.array([0], np.int32), np.array([n], np.int32)
     for _ in range(least):
         size = right - left
         one = size == 1
@@ -231,14 +250,30 @@ def _shards(least: int) -> Callable:
     return read
 
 
-def _repeated(refs: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """The first place of each content whose anchor occurs twice, and the runs of bytes of all other places."""
-    twice = refs.groupBy("m").agg(F.count("*").alias("times")).filter("times > 1").select("m")
-    live = stored(refs.join(twice, "m", "left_semi"), f"{label}-live")
+def _repeated(rows: DataFrame, base: DataFrame, least: int, gram: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """The contents (m, content, id, doc, start, n) whose anchor occurs twice in rows (doc, binary, maybe a place), each with
+    its first place, and the runs of bytes (doc, start, stop) of all other places. Rows of segments stay narrow until it is
+    known which anchors occur twice."""
+    kind = base.schema["id"].dataType.simpleString()
+    with settings(base.sparkSession):
+        anchored = stored(rows.mapInArrow(_anchored(least, gram), "m long, doc long, at long"), f"{label}-anchored")
+    twice = anchored.groupBy("m").agg(F.count("*").alias("times")).filter("times > 1").select("m")
+    live = stored(anchored.join(twice, "m", "left_semi"), f"{label}-live")
+    dropped(anchored)
+    wanted = live.groupBy("doc").agg(F.collect_list(F.struct("m", "at")).alias("parts"))
+    columns = ["m", "digest", "id", "doc", "start", "n"]
+    refs = stored(base.join(wanted, "doc").select("doc", "text", "id", "parts").mapInArrow(_digested(least, columns), f"m long, digest binary, id {kind}, doc long, start int, n int"), f"{label}-refs")
+    dropped(live)
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc", "start", "n")
-    firsts = stored(live.groupBy("m", "digest").agg(F.min(place).alias("first"), F.count("*").alias("copies")), f"{label}-firsts")
-    later = live.join(firsts.filter("copies > 1"), ["m", "digest"]).filter("doc <> first.doc or start <> first.start").select("doc", "start", "n")
-    return firsts.select("m", "digest", "first.*"), later
+    firsts = stored(refs.groupBy("m", "digest").agg(F.min(place).alias("first"), F.count("*").alias("copies")), f"{label}-firsts")
+    later = refs.join(firsts.filter("copies > 1"), ["m", "digest"]).filter("doc <> first.doc or start <> first.start")
+    later = stored(later.select("doc", "start", (F.col("start") + F.col("n") + least - 1).alias("stop")), f"{label}-later")
+    dropped(refs)
+    wanted = firsts.groupBy("first.doc").agg(F.collect_list(F.struct("m", "first.start", "first.n")).alias("parts"))
+    columns = ["m", "content", "id", "doc", "start", "n"]
+    contents = stored(base.join(wanted, "doc").select("doc", "text", "id", "parts").mapInArrow(_cut(least, columns), f"m long, content binary, id {kind}, doc long, start int, n int"), f"{label}-contents")
+    dropped(firsts)
+    return contents, later
 
 
 def suffix_dedup(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -255,27 +290,15 @@ def suffix_dedup(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text
         raise ValueError(f"least must be above {GRAM}")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
-    refs_of, names = REFS.format(id=kind), [c.strip().split(" ")[0] for c in REFS.format(id="x").split(",")]
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     base = stored(docs.select(F.monotonically_increasing_id().alias("doc"), F.col(id_col).alias("id"), text.alias("text")), "suffix-texts")
-    with settings(spark):
-        refs = stored(base.filter(F.octet_length("text") >= least).select("doc", "text", "id").mapInArrow(_references(least, GRAM, names), refs_of), "suffix-refs")
-    firsts, later = _repeated(refs, "suffix")
-    later = stored(later.select("doc", "start", (F.col("start") + F.col("n") + least - 1).alias("stop")), "suffix-later")
-    dropped(refs)
-    wanted = firsts.groupBy("doc").agg(F.collect_list(F.struct("m", "start", "n")).alias("parts"))
-    cut = base.join(wanted, "doc").select("doc", "text", "id", "parts").mapInArrow(_cut(least, ["m", "content", "id", "doc", "start", "n"]), f"m long, content binary, id {kind}, doc long, start int, n int")
-    contents = stored(cut, "suffix-contents")
+    contents, found = _repeated(base.filter(F.octet_length("text") >= least).select("doc", "text"), base, least, GRAM, "suffix")
     crowded = stored(contents.groupBy("m").agg(F.count("*").alias("k")).filter(F.col("k") > CROWDED).select("m"), "suffix-crowded")
-    found = later
     if not crowded.isEmpty():
-        dense = contents.join(crowded, "m", "left_semi")
-        fine = stored(dense.select("doc", "content", "id", "start").mapInArrow(_references(least, least, names), refs_of), "suffix-fine")
-        fine_firsts, fine_later = _repeated(fine, "suffix-fine")
-        found = found.unionByName(fine_later.select("doc", "start", (F.col("start") + F.col("n") + least - 1).alias("stop")))
-        wanted = fine_firsts.groupBy("doc").agg(F.collect_list(F.struct("m", "start", "n")).alias("parts"))
-        again = base.join(wanted, "doc").select("doc", "text", "id", "parts").mapInArrow(_cut(least, ["m", "content", "id", "doc", "start", "n"]), f"m long, content binary, id {kind}, doc long, start int, n int")
-        contents = stored(contents.join(crowded, "m", "left_anti").unionByName(again), "suffix-all-contents")
+        dense = contents.join(crowded, "m", "left_semi").select("doc", "content", F.col("start").cast("long"))
+        fine, later = _repeated(dense, base, least, least, "suffix-fine")
+        found = found.unionByName(later)
+        contents = stored(contents.join(crowded, "m", "left_anti").unionByName(fine), "suffix-all-contents")
     held = contents.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
     count = max(1, -(-held // SHARD))
     placed = contents.select(F.pmod(F.xxhash64("m"), F.lit(count)).alias("shard"), "content", "doc", "start", "id")
