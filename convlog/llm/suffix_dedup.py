@@ -28,10 +28,10 @@ from convlog.llm.tokenize import slices
 from convlog.llm.words import mixed
 
 GRAM = 32  # bytes of an anchor's n-gram
-CHUNK = 1 << 20  # windows hashed at once
+CHUNK = 1 << 18  # windows hashed at once
 CROWDED = 4096  # contents of one anchor from which windows are dealt by all their bytes
 WIDTH = 20  # bits of a segment's number of windows beside its place
-SHARD = 3 << 19  # bytes of contents in a shard, about
+SHARD = 1 << 20  # bytes of contents in a shard, about
 _PLACE = np.uint64((1 << 21) - 1)  # low bits for a place in a chunk
 END = 0xFF  # a byte that UTF-8 never has: after each content
 _ODD = np.random.default_rng(7).integers(1, 2**62, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
