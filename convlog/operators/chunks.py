@@ -1,4 +1,5 @@
-"""Bounded chunks of a message log: windows where only turns and phases bound them, a fold over turns where characters do."""
+"""Bounded chunks of a message log: windows where only turns and phases bound them, pointers from chunk to chunk where
+characters do."""
 
 from __future__ import annotations
 
@@ -7,8 +8,7 @@ from pyspark.sql import functions as F
 
 from convlog.functions.text import utf16_length
 from convlog.operators.turns import by, ordered, turn_flags
-
-CHUNK = "conv_id long, chunk long, start_id long, end_id long"
+from convlog.store import dropped, stored
 
 
 def plan_by_turns(messages: DataFrame, turns: int, boundary: Column | None = None) -> DataFrame:
@@ -23,64 +23,99 @@ def plan_by_turns(messages: DataFrame, turns: int, boundary: Column | None = Non
     return chunks.select("conv_id", (F.row_number().over(Window.partitionBy("conv_id").orderBy("start_id")) - 1).cast("long").alias("chunk"), "start_id", "end_id", "turns_done")
 
 
-def _segments(messages: DataFrame, boundary: Column) -> DataFrame:
-    """One row a turn (the rest of the log is an open one): first and last id, characters, and the boundary rows in it with
-    the characters from there on."""
-    done = F.coalesce(F.sum(F.col("completes").cast("long")).over(ordered().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = turn_flags(messages).withColumn("segment", done).withColumn("chars", utf16_length(F.coalesce("text", F.lit("")))).withColumn("new_phase", boundary)
-    rest = F.sum("chars").over(Window.partitionBy("conv_id", "segment").orderBy(F.col("message_id").desc()))
-    rows = rows.withColumn("rest", rest)
-    marks = F.collect_list(F.when(F.col("new_phase"), F.struct(F.col("message_id").alias("id"), F.col("rest").alias("rest"))))
-    return rows.groupBy("conv_id", "segment").agg(F.min("message_id").alias("a"), F.max("message_id").alias("z"), F.sum("chars").alias("ch"), F.bool_or("completes").alias("complete"), F.sort_array(marks).alias("marks"))
+BLOCK_ROWS, BLOCK_TURNS = 1 << 14, 1 << 12  # of a log that one task has at once
+
+
+def _numbered_turns(messages: DataFrame, boundary: Column) -> DataFrame:
+    """conv_id, message_id, chars, completes, new_phase, turns and total of each row: completed turns and characters up to it.
+
+    Sums run inside blocks of a log's rows; what a block begins with comes from a row a block, so a log of any length is
+    spread over many tasks.
+    """
+    size = utf16_length(F.coalesce("text", F.lit("")))
+    rows = messages.select("conv_id", "message_id", "is_user", "is_system", size.alias("chars"), F.coalesce(boundary, F.lit(False)).alias("new_phase"))
+    rows = rows.withColumn("block", F.floor(F.col("message_id") / BLOCK_ROWS))
+    keys, inside = ["conv_id", "block"], Window.partitionBy("conv_id", "block").orderBy("message_id")
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    said = F.when(~F.col("is_system"), F.col("is_user"))
+    ends = rows.groupBy(*keys).agg(F.max_by("is_user", F.when(~F.col("is_system"), F.col("message_id"))).alias("said"))
+    ends = ends.select(*keys, F.last("said", ignorenulls=True).over(before).alias("carried"))
+    last = F.coalesce(F.last(said, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
+    rows = rows.join(ends, keys).withColumn("completes", ~F.col("is_system") & ~F.col("is_user") & F.coalesce(last, F.lit(False)))
+    done = F.col("completes").cast("long")
+    sums = rows.groupBy(*keys).agg(F.sum(done).alias("t"), F.sum("chars").alias("c"))
+    sums = sums.select(*keys, *(F.coalesce(F.sum(x).over(before), F.lit(0)).alias(name) for x, name in (("t", "turns_before"), ("c", "chars_before"))))
+    rows = rows.join(sums, keys)
+    return rows.select("conv_id", "message_id", "chars", "completes", "new_phase", (F.col("turns_before") + F.sum(done).over(inside)).alias("turns"), (F.col("chars_before") + F.sum("chars").over(inside)).alias("total"))
+
+
+def chunk_pointers(messages: DataFrame, turns: int, chars: int, boundary: Column | None = None) -> DataFrame:
+    """conv_id, start_id, end_id, planned_end, next_id for each row at which a chunk can start: the first of a log, those
+    after a completed turn, and boundary rows. planned_end is where the chunk would end without a phase that cuts it.
+
+    A chunk that starts there ends at one of the next `turns` completions: the first with `chars` characters if it has just
+    so many or is the first turn, else the one before it; or the last of them. Where the log ends first it ends with the log,
+    or with the last completion if the rest would pass the limit.
+    """
+    rows = _numbered_turns(messages, boundary if boundary is not None else F.lit(False))
+    ends = rows.groupBy("conv_id").agg(F.min("message_id").alias("first_id"), F.max("message_id").alias("last_id"), F.sum("chars").alias("whole"))
+    none, no = F.lit(None).cast("long"), F.lit(False)
+    done = rows.filter("completes")
+    closed = done.select("conv_id", (F.col("turns") - 1).alias("key"), F.col("message_id").alias("at"), F.lit(False).alias("starts"), none.alias("base"), "total", no.alias("phase"))
+    after = done.join(ends, "conv_id").filter("message_id < last_id").select("conv_id", F.col("turns").alias("key"), (F.col("message_id") + 1).alias("at"), F.lit(True).alias("starts"), F.col("total").alias("base"), none.alias("total"), no.alias("phase"))
+    first = ends.select("conv_id", F.lit(0).cast("long").alias("key"), F.col("first_id").alias("at"), F.lit(True).alias("starts"), F.lit(0).cast("long").alias("base"), none.alias("total"), no.alias("phase"))
+    cuts = rows.filter("new_phase").select("conv_id", (F.col("turns") - F.col("completes").cast("long")).alias("key"), F.col("message_id").alias("at"), F.lit(True).alias("starts"), (F.col("total") - F.col("chars")).alias("base"), none.alias("total"), F.lit(True).alias("phase"))
+    every = closed.unionByName(after).unionByName(first).unionByName(cuts)
+    # the first turns behind a block are shown to it too
+    own = F.floor(F.col("key") / BLOCK_TURNS)
+    shown = every.withColumn("block", F.explode(F.when((own > 0) & (F.col("key") % BLOCK_TURNS < turns), F.array(own, own - 1)).otherwise(F.array(own)))).withColumn("here", F.col("block") == own)
+    block = Window.partitionBy("conv_id", "block")
+    ahead = F.collect_list(F.when(~F.col("starts"), F.struct("key", "total", F.col("at").alias("at")))).over(block.orderBy("key").rangeBetween(0, turns - 1))
+    cut = F.min(F.when(F.col("phase"), F.col("at"))).over(block.orderBy("at").rangeBetween(1, Window.unboundedFollowing))
+    placed = shown.withColumn("ahead", ahead).withColumn("cut", cut).filter("starts and here")
+    placed = placed.groupBy("conv_id", "at").agg(*(F.first(c).alias(c) for c in ("key", "base", "ahead", "cut"))).join(ends, "conv_id")
+    turns_ahead = F.array_sort("ahead", lambda a, b: (a["key"] - b["key"]).cast("int"))
+    placed = placed.withColumn("ahead", turns_ahead)
+    limit = F.col("base") + chars
+    full = F.filter("ahead", lambda x: x["total"] >= limit)
+    hit = F.get(full, F.lit(0))
+    before_hit = F.get("ahead", F.size("ahead") - F.size(full) - 1)["at"]
+    by_limit = F.when((F.size("ahead") == F.size(full)) | (hit["total"] == limit), hit["at"]).otherwise(before_hit)
+    last = F.get("ahead", F.size("ahead") - 1)["at"]
+    tail = F.when(F.col("whole") - F.col("base") > chars, F.coalesce(last, F.col("last_id"))).otherwise(F.col("last_id"))
+    planned = F.when(F.size(full) > 0, by_limit).when(F.size("ahead") == turns, last).otherwise(tail)
+    out = placed.withColumn("planned_end", planned).withColumn("end_id", F.when(F.col("cut") <= F.col("planned_end"), F.col("cut") - 1).otherwise(F.col("planned_end")))
+    return out.select("conv_id", F.col("at").alias("start_id"), "end_id", "planned_end", F.when(F.col("end_id") < F.col("last_id"), F.col("end_id") + 1).alias("next_id"), (F.col("at") == F.col("first_id")).alias("first"))
+
+
+def followed(pointers: DataFrame) -> DataFrame:
+    """conv_id, chunk, start_id: the rows reached from each log's first by its pointers (conv_id, start_id, next_id, first),
+    in turn. Jumps are doubled, so the longest log takes as many rounds as its number of chunks has bits; each round is two
+    joins by equal keys and a stored table."""
+    reached = pointers.filter("first").select("conv_id", F.lit(0).cast("long").alias("chunk"), "start_id")
+    jumps, step = stored(pointers.filter("next_id is not null").select("conv_id", "start_id", "next_id")), 1
+    while True:
+        further = reached.join(jumps, ["conv_id", "start_id"]).select("conv_id", (F.col("chunk") + step).alias("chunk"), F.col("next_id").alias("start_id"))
+        more = stored(further)
+        if more.isEmpty():
+            return reached
+        reached = reached.unionByName(more)
+        twice = jumps.select("conv_id", F.col("start_id").alias("next_id"), F.col("next_id").alias("then")).join(jumps, ["conv_id", "next_id"])
+        doubled = stored(twice.select("conv_id", "start_id", F.col("then").alias("next_id")))
+        dropped(jumps)
+        jumps, step = doubled, 2 * step
 
 
 def plan_chunks(messages: DataFrame, turns: int, chars: int, boundary: Column | None = None) -> DataFrame:
-    """conv_id, chunk, start_id, end_id: closes at so many completed turns or at a completion with so many characters; a
-    turn that would pass the limit starts a new chunk, but the first turn is never split; a boundary row starts a new one.
-    The fold runs over a conversation's turns, which hold no text, so it stays small for long logs."""
-    segments = _segments(messages, boundary if boundary is not None else F.lit(False))
-    per = segments.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("a", "z", "ch", "complete", "marks"))).alias("segments"))
-    none = F.lit(None).cast("long")
-    pair = "array<struct<start_id:bigint,end_id:bigint>>"
-
-    def state(cs: Column, t: Column, cc: Column, out: Column) -> Column:
-        return F.struct(cs.cast("long").alias("cs"), t.cast("long").alias("t"), cc.cast("long").alias("cc"), out.cast(pair).alias("out"))
-
-    def emit(out: Column, start: Column, end: Column) -> Column:
-        return F.concat(out, F.array(F.struct(start.cast("long").alias("start_id"), end.cast("long").alias("end_id"))))
-
-    def opened(s: Column, seg: Column) -> Column:
-        fresh = s["cs"].isNull()
-        return state(F.coalesce(s["cs"], seg["a"]), F.when(fresh, F.lit(0)).otherwise(s["t"]), F.when(fresh, F.lit(0)).otherwise(s["cc"]), s["out"])
-
-    def limited(s: Column, seg: Column) -> Column:
-        full = (s["t"] >= 1) & (s["cc"] + seg["ch"] > chars)
-        return F.when(full, state(seg["a"], F.lit(0), F.lit(0), emit(s["out"], s["cs"], seg["a"] - 1))).otherwise(s)
-
-    def cut(s: Column, seg: Column) -> Column:
-        """Phase cuts; cc holds the characters with the segment's own from here on."""
-        begin = state(s["cs"], s["t"], s["cc"] + seg["ch"], s["out"])
-        return F.aggregate(seg["marks"], begin, lambda x, m: F.when(m["id"] > x["cs"], state(m["id"], F.lit(0), m["rest"], emit(x["out"], x["cs"], m["id"] - 1))).otherwise(x))
-
-    def closed(s: Column, seg: Column) -> Column:
-        t = s["t"] + 1
-        over = seg["complete"] & ((t >= turns) | (s["cc"] >= chars))
-        return F.when(over, state(none, F.lit(0), F.lit(0), emit(s["out"], s["cs"], seg["z"]))).otherwise(state(s["cs"], F.when(seg["complete"], t).otherwise(s["t"]), s["cc"], s["out"]))
-
-    def through(value: Column, *steps) -> Column:
-        """Each step sees the one before it as a lambda's variable, so no expression is repeated."""
-        held = F.array(value)
-        for step in steps:
-            held = F.transform(held, step)
-        return held[0]
-
-    def merge(s: Column, seg: Column) -> Column:
-        return through(s, lambda x: opened(x, seg), lambda x: limited(x, seg), lambda x: cut(x, seg), lambda x: closed(x, seg))
-
-    last = F.element_at("segments", -1)["z"]
-    folded = per.select("conv_id", last.alias("last"), F.aggregate("segments", state(none, F.lit(0), F.lit(0), F.array()), merge).alias("s"))
-    chunks = F.when(F.col("s.cs").isNotNull(), emit(F.col("s.out"), F.col("s.cs"), F.col("last"))).otherwise(F.col("s.out"))
-    return folded.select("conv_id", F.posexplode(chunks).alias("chunk", "c")).select("conv_id", F.col("chunk").cast("long").alias("chunk"), "c.start_id", "c.end_id")
+    """conv_id, chunk, start_id, end_id, planned_end: a chunk closes at so many completed turns or at a completion with so many
+    characters; a turn that would pass the limit starts a new chunk, but the first turn is never split; a boundary row
+    starts a new one, and planned_end is where the chunk would have ended without it.
+
+    Where a chunk that starts at some row ends is found for all such rows at once; the chunks are those reached from a
+    log's first row. No row and no task holds a whole log.
+    """
+    pointers = stored(chunk_pointers(messages, max(1, turns), chars, boundary))
+    return followed(pointers).join(pointers, ["conv_id", "start_id"]).select("conv_id", "chunk", "start_id", "end_id", "planned_end")
 
 
 def chunk_sizes(messages: DataFrame, chunks: DataFrame) -> DataFrame:

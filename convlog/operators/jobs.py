@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlog.functions.text import summary_text, token_estimate, utf16_length, visible_text
+from convlog.functions.text import summary_text, token_estimate, visible_text
 from convlog.operators.chunks import chunk_rows, plan_chunks, ready_chunks
 from convlog.operators.lineage import frontier_signature, ordered_text, payload, range_hashes
-from convlog.operators.turns import ready_target, turn_flags
+from convlog.operators.turns import ready_target
 
 
 def extractive(chars: int = 40) -> Callable[[Column], Column]:
@@ -42,19 +42,7 @@ def plan_ready(messages: DataFrame, size: int, turns: int, chars: int, visible:
     a window of `size` turns are planned in chunks of so many turns and characters, phases cut them, and a chunk waits
     until it is ready, with all behind it."""
     leaving = messages.join(ready_target(messages, size), "conv_id").filter("message_id <= target").select(*messages.columns)
-    plan = plan_chunks(leaving, turns, chars, boundary)
-    if boundary is None:
-        return ready_chunks(leaving, plan, turns, chars, visible)
-    # without its phase a chunk ends at the last row unless its turns or its characters are full before
-    flagged = turn_flags(leaving).withColumn("size", utf16_length(F.coalesce("text", F.lit(""))))
-    upto = Window.partitionBy("conv_id").orderBy("message_id").rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max("message_id").over(Window.partitionBy("conv_id"))
-    so_far = flagged.select("conv_id", F.col("message_id").alias("start_id"), F.coalesce(F.count_if("completes").over(upto), F.lit(0)).alias("turns_before"), F.coalesce(F.sum("size").over(upto), F.lit(0)).alias("chars_before"))
-    ends = flagged.withColumn("last", last).groupBy("conv_id").agg(F.first("last").alias("last"), F.count_if(F.col("completes") & (F.col("message_id") < F.col("last"))).alias("turns_all"), F.sum(F.when(F.col("message_id") < F.col("last"), F.col("size"))).alias("chars_all"))
-    placed = plan.join(so_far, ["conv_id", "start_id"]).join(ends, "conv_id")
-    full = (F.col("turns_all") - F.col("turns_before") >= turns) | (F.col("chars_all") - F.col("chars_before") >= chars)
-    planned = F.when(full, F.col("end_id")).otherwise(F.col("last"))
-    return ready_chunks(leaving, placed.select("conv_id", "chunk", "start_id", "end_id", planned.alias("planned_end")), turns, chars, visible)
+    return ready_chunks(leaving, plan_chunks(leaving, turns, chars, boundary), turns, chars, visible)
 
 
 def rollup_prompts(entries: DataFrame, parents: DataFrame) -> DataFrame:

@@ -169,8 +169,8 @@ def x4_roll_up_all(spark, d):
 
 
 def x1_plan_ready(spark, d):
-    """Phases begin at some of the rows; the limit on characters isn't reached."""
-    return jobs.plan_ready(from_events(spark, d), L.SIZE, L.TURNS, 1_000_000, F.col("name") != "view", _boundary())
+    """Phases begin at some of the rows; the limit on characters binds for some chunks."""
+    return jobs.plan_ready(from_events(spark, d), L.SIZE, L.TURNS, L.LIMIT, F.col("name") != "view", _boundary())
 
 
 def x5_rollup_prompts(spark, d):
@@ -387,13 +387,10 @@ SQL = {
       w AS (SELECT conv_id, bool_and(held OR made) AS whole FROM c GROUP BY conv_id)
       SELECT conv_id, start_id, CASE WHEN held THEN 'draft' ELSE 'new' END AS text, CASE WHEN whole THEN 'entry' ELSE 'draft' END AS kind FROM c JOIN w USING (conv_id) WHERE held OR made
       UNION ALL SELECT conv_id, start_id, CASE WHEN deleted THEN 'new' ELSE 'old' END, 'entry' FROM entries JOIN w USING (conv_id) WHERE NOT whole""",
-    "x1_plan_ready": f"""WITH tg AS ({L.SQL['w7_ready_target']}), {L.LOGS}, lv AS (SELECT m.* FROM m JOIN tg USING (conv_id) WHERE message_id <= target), {L.FLAGS.replace('m.*', 'lv.*').replace('FROM m)', 'FROM lv)')},
-      ph AS (SELECT *, sum((name = 'click' AND message_id % 9 = 4)::INT) OVER (PARTITION BY conv_id ORDER BY message_id) AS phase FROM f),
-      b AS (SELECT *, coalesce(sum(completes::INT) OVER (PARTITION BY conv_id, phase ORDER BY message_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS t FROM ph),
-      p AS (SELECT conv_id, phase, t // {L.TURNS} AS part, min(message_id) AS start_id, max(message_id) AS end_id, count(*) FILTER (WHERE completes) AS done, bool_or(name <> 'view' AND NOT is_system) AS seen FROM b GROUP BY ALL),
-      k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1 AS chunk, max(end_id) OVER (PARTITION BY conv_id) AS last_ FROM p),
-      q AS (SELECT k.conv_id, chunk, start_id, end_id, done, seen, last_, count(*) FILTER (WHERE f.completes AND f.message_id >= start_id AND f.message_id < last_) >= {L.TURNS} AS full_ FROM k JOIN f ON f.conv_id = k.conv_id GROUP BY ALL),
-      o AS (SELECT *, min(CASE WHEN NOT (done >= {L.TURNS} OR (full_ AND end_id < last_) OR (NOT full_ AND end_id < last_ AND seen)) THEN chunk END) OVER (PARTITION BY conv_id) AS stop FROM q)
+    "x1_plan_ready": f"""WITH RECURSIVE tg AS ({L.SQL['w7_ready_target']}), {L.LOGS.replace('m AS (', 'm0 AS (')}, m AS (SELECT m0.* FROM m0 JOIN tg USING (conv_id) WHERE message_id <= target), {L.FLAGS}, {L.greedy_sql(L.TURNS, L.LIMIT, L.MARK)},
+      q AS (SELECT p.conv_id, chunk, start_id, end_id, planned_end, count(*) FILTER (WHERE completes) AS done, sum(length(text)) AS chars, bool_or(name <> 'view' AND NOT is_system) AS seen FROM plan p JOIN f ON f.conv_id = p.conv_id AND f.message_id BETWEEN start_id AND end_id GROUP BY ALL),
+      k AS (SELECT *, max(end_id) OVER (PARTITION BY conv_id) AS last_ FROM q),
+      o AS (SELECT *, min(CASE WHEN NOT (done >= {L.TURNS} OR planned_end < last_ OR (end_id < planned_end AND seen) OR (done > 0 AND chars > {L.LIMIT})) THEN chunk END) OVER (PARTITION BY conv_id) AS stop FROM k)
       SELECT conv_id, chunk, start_id, end_id FROM o WHERE stop IS NULL OR chunk < stop""",
     "x2_chunk_prompts": f"""WITH {L.CONV}, {L.FLAGS}, {_CONV_CHUNKS}, t AS (SELECT *, {_TEXT} AS content FROM m WHERE NOT is_system)
       SELECT c.conv_id, chunk, '[' || string_agg('{{"id":' || message_id || ',"role":"' || CASE WHEN is_user THEN 'user' ELSE 'assistant' END || '","speaker":"' || name || '","content":' || to_json(content)::VARCHAR || '}}', ',' ORDER BY message_id) || ']' AS prompt

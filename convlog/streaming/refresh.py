@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from convlog.operators.chunks import plan_by_turns
 from convlog.sources.messages import COLUMNS, from_events
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; where that isn't set a temporary one in local mode, as in tests, and an error
-    on a cluster, whose executors don't share the driver's folders."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and spark.sparkContext.master.partition("[")[0] != "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    return f"{root or tempfile.mkdtemp(prefix='spark-stream-')}/{uuid.uuid4().hex}"
+from convlog.store import shared_folder
 
 
 class PlanRefresher:

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from convlog.functions import text as X
-from convlog.operators import chunks, lineage, rollup, turns
+from convlog.operators import chunks, jobs, lineage, rollup, turns
 from convlog.params import Params
 from convlog.plans.job_queries import model_bodies
 from convlog.streaming.refresh import run_refresh
@@ -58,46 +58,103 @@ def test_limit_never_splits_the_first_turn(spark):
 
 
 def twin(rows, n, limit):
+    """(start, end, planned end) of the chunks of rows (user, system, characters, new phase), row by row."""
     out, i = [], 0
     while i < len(rows):
-        start, t, chars, last, end, k = i, 0, 0, None, None, i - 1
-        while k >= 0 and rows[k][1]:
-            k -= 1
-        waits = k >= 0 and rows[k][0]
+        t, chars, last, waits, planned = 0, 0, None, False, len(rows) - 1
         for j in range(i, len(rows)):
             user, system, size, _ = rows[j]
-            if chars + size > limit and t >= 1:
-                end = last
+            if chars + size > limit and last is not None:
+                planned = last
                 break
             chars += size
-            if not system:
-                if user:
-                    waits = True
-                elif waits:
-                    waits, t, last = False, t + 1, j
-                    if t >= n or chars >= limit:
-                        end = j
-                        break
-        end = len(rows) - 1 if end is None else end
-        end = next((q - 1 for q in range(start + 1, end + 1) if rows[q][3]), end)
-        out.append((start, end))
+            if user and not system:
+                waits = True
+            elif not system and waits:
+                waits, t, last = False, t + 1, j
+                if t >= n or chars >= limit:
+                    planned = j
+                    break
+        end = next((q - 1 for q in range(i + 1, planned + 1) if rows[q][3]), planned)
+        out.append((i, end, planned))
         i = end + 1
     return out
 
 
-def test_chunks_like_the_twin(spark):
-    rnd, logs, rows = random.Random(5), [], []
-    for c in range(200):
-        r = [(rnd.random() < 0.45, rnd.random() < 0.1, rnd.choice([10, 200, 600]), rnd.random() < 0.05) for _ in range(rnd.randint(1, 40))]
-        r = [(u and not s, s, n, b and u and not s) for u, s, n, b in r]
-        logs.append(r)
-        rows += [(c, i, u, s, "n", "x" * n, b) for i, (u, s, n, b) in enumerate(r)]
-    m = spark.createDataFrame(rows, SCHEMA + ", b boolean")
-    for plan, limit in ((chunks.plan_chunks(m, 3, 1000, F.col("b")), 1000), (chunks.plan_by_turns(m, 3, F.col("b")), 10**9)):
-        got = {}
-        for r in plan.orderBy("conv_id", "chunk").collect():
-            got.setdefault(r.conv_id, []).append((r.start_id, r.end_id))
-        assert all(got[c] == twin(logs[c], 3, limit) for c in range(200))
+def ready_twin(rows, seen, n, limit):
+    """The chunks of rows before the first that must wait."""
+    out = []
+    for start, end, planned in twin(rows, n, limit):
+        part, t, waits = rows[start : end + 1], 0, False
+        for user, system, _, _ in part:
+            if user and not system:
+                waits = True
+            elif not system and waits:
+                waits, t = False, t + 1
+        cut = end < planned and any(v and not r[1] for r, v in zip(part, seen[start : end + 1], strict=True))
+        if not (t >= n or planned < len(rows) - 1 or cut or (t > 0 and sum(r[2] for r in part) > limit)):
+            break
+        out.append((start, end))
+    return out
+
+
+def random_logs(seed, count=200, rows=40, phases=0.05):
+    rnd, logs = random.Random(seed), []
+    for _ in range(count):
+        r = [(rnd.random() < 0.45, rnd.random() < 0.1, rnd.choice([0, 10, 200, 500, 600, 1000]), rnd.random() < phases) for _ in range(rnd.randint(1, rows))]
+        logs.append([(u and not s, s, n, b and u and not s) for u, s, n, b in r])
+    return logs
+
+
+def table_of(spark, logs):
+    rows = [(c, i, u, s, "n", "x" * n, b) for c, r in enumerate(logs) for i, (u, s, n, b) in enumerate(r)]
+    return spark.createDataFrame(rows, SCHEMA + ", b boolean")
+
+
+def by_log(df, *columns):
+    got = {}
+    for r in df.orderBy("conv_id", "start_id").collect():
+        got.setdefault(r.conv_id, []).append(tuple(r[c] for c in columns))
+    return got
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_chunks_like_the_twin(spark, monkeypatch, blocks):
+    if blocks:  # many blocks a log
+        monkeypatch.setattr(chunks, "BLOCK_ROWS", 5)
+        monkeypatch.setattr(chunks, "BLOCK_TURNS", 4)
+    logs = random_logs(5)
+    m = table_of(spark, logs)
+    plan = chunks.plan_chunks(m, 3, 1000, F.col("b"))
+    assert by_log(plan, "start_id", "end_id", "planned_end") == {c: twin(r, 3, 1000) for c, r in enumerate(logs)}
+    assert all(k == i for part in by_log(plan, "chunk").values() for i, (k,) in enumerate(part))
+    if not blocks:
+        got = by_log(chunks.plan_by_turns(m, 3, F.col("b")), "start_id", "end_id")
+        assert got == {c: [x[:2] for x in twin(r, 3, 10**9)] for c, r in enumerate(logs)}
+
+
+def test_one_long_log(spark, monkeypatch):
+    """A log of many blocks and chunks; no boundary, and nothing but boundaries."""
+    monkeypatch.setattr(chunks, "BLOCK_ROWS", 100)
+    monkeypatch.setattr(chunks, "BLOCK_TURNS", 50)
+    logs = random_logs(6, 2, 4000, 0.01) + [[(True, False, 1, True)] * 60, [(False, True, 5, False)] * 9]
+    plan = chunks.plan_chunks(table_of(spark, logs), 7, 3000, F.col("b"))
+    assert by_log(plan, "start_id", "end_id", "planned_end") == {c: twin(r, 7, 3000) for c, r in enumerate(logs)}
+    empty = spark.createDataFrame([], SCHEMA)
+    assert chunks.plan_chunks(empty, 7, 3000).count() == 0
+
+
+def test_ready_like_the_twin(spark):
+    """Chunks that may be summarised, with phases, texts without visible parts and a limit that binds."""
+    logs = random_logs(7, 400, 30, 0.15)
+    m = table_of(spark, logs).withColumn("v", F.col("message_id") % 3 == 0)
+    targets = {r.conv_id: r.target for r in turns.ready_target(m, 2).collect()}
+    want = {}
+    for c, r in enumerate(logs):
+        upto = r[: targets.get(c, -1) + 1]
+        if found := ready_twin(upto, [i % 3 == 0 for i in range(len(upto))], 2, 1000):
+            want[c] = found
+    assert by_log(jobs.plan_ready(m, 2, 2, 1000, F.col("v"), F.col("b")), "start_id", "end_id") == want
 
 
 def entries(spark, *levels, width=1):
