@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlog.operators.lineage import RECORD, ordered_text, payload
@@ -25,30 +28,59 @@ def rollup_due(entries: DataFrame, group_1: int, group_n: int) -> DataFrame:
     return full.groupBy("conv_id").agg(F.min("level").alias("level"))
 
 
-def roll_up(entries: DataFrame, group_1: int, group_n: int, levels: int = LEVELS) -> DataFrame:
+def joined_texts(texts: Column) -> Column:
+    """The default summariser of roll-ups: the children's texts, a line each."""
+    return F.array_join(texts, "\n")
+
+
+def _parents(children: DataFrame, keys: list[str], level: Column, summariser: Callable[[Column], Column] | None) -> DataFrame:
+    """A parent of each group of children: their range, a digest of them, and a text by the summariser, which gets the
+    children's texts in order, those of deleted ones empty; where all are deleted it isn't asked, and the parent is."""
+    child = payload(F.col("level"), F.col("start_id"), F.col("end_id"), F.col("source_hash"), F.col("text"), F.col("deleted"))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("start_id", F.when(~F.col("deleted"), F.col("text")).otherwise("").alias("t")))), lambda x: x["t"])
+    made = children.groupBy(*keys).agg(
+        F.min("start_id").alias("start_id"), F.max("end_id").alias("end_id"), F.every("deleted").alias("deleted"), texts.alias("texts"), F.sha2(ordered_text(child, F.col("start_id"), RECORD), 256).alias("source_hash")
+    )
+    text = F.when(F.col("deleted"), F.lit("")).otherwise((summariser or joined_texts)(F.col("texts")))
+    return made.select("conv_id", (level + 1).cast("int").alias("level"), "start_id", "end_id", "deleted", text.alias("text"), "source_hash")
+
+
+def _levels(entries: DataFrame, least_group: int) -> int:
+    """Up to which level entries can come, from one count of them."""
+    r = entries.groupBy("conv_id").agg(F.count("*").alias("n"), F.max("level").alias("top")).agg(F.max("n"), F.max("top")).first()
+    return min(LEVELS, r[1] + int(math.log(r[0], least_group)) + 1) if r[0] else 1
+
+
+def roll_up(entries: DataFrame, group_1: int, group_n: int, levels: int | None = None, summariser: Callable[[Column], Column] | None = None) -> DataFrame:
     """entries (conv_id, level, start_id, end_id, deleted, text, source_hash) with every due run replaced by its parent, one
-    ascending pass a level. A parent covers its children's range, carries a digest of them, joins their texts (the place
-    of a summariser), and is deleted if all of them are. Runs must be neighbours; check with run_errors()."""
+    ascending pass a level, up to `levels` or until none is due. A parent covers its children's range, carries a digest of
+    them, has a text by the summariser, and is deleted if all of them are. Runs must be neighbours; check with run_errors()."""
     live = entries.select("conv_id", "level", "start_id", "end_id", "deleted", "text", "source_hash")
-    for level in range(1, levels):
+    for level in range(1, levels or _levels(live, min(group_1, group_n))):
         cap = _capacity(level, group_1, group_n)
         here = live.filter(F.col("level") == level)
-        if level > 1 and here.isEmpty():
-            break
         w = Window.partitionBy("conv_id").orderBy("start_id")
         n = F.count("*").over(Window.partitionBy("conv_id"))
         placed = here.withColumn("rn", F.row_number().over(w) - 1).withColumn("runs", F.floor((n - 1) / cap)).withColumn("run", F.floor(F.col("rn") / cap))
-        child = payload(F.col("level"), F.col("start_id"), F.col("end_id"), F.col("source_hash"), F.col("text"), F.col("deleted"))
-        parents = placed.filter("run < runs").groupBy("conv_id", "run").agg(
-            F.min("start_id").alias("start_id"), F.max("end_id").alias("end_id"), F.every("deleted").alias("deleted"),
-            ordered_text(F.when(~F.col("deleted"), F.col("text")).otherwise(""), F.col("start_id"), "\n").alias("text"),
-            F.sha2(ordered_text(child, F.col("start_id"), RECORD), 256).alias("source_hash"),
-        )
-        parents = parents.select("conv_id", F.lit(level + 1).alias("level"), "start_id", "end_id", "deleted", F.when(F.col("deleted"), F.lit("")).otherwise(F.col("text")).alias("text"), "source_hash")
+        parents = _parents(placed.filter("run < runs"), ["conv_id", "run"], F.lit(level), summariser)
         live = live.filter(F.col("level") != level).unionByName(placed.filter("run >= runs").select(*live.columns)).unionByName(parents)
     return live
 
 
+def roll_up_once(entries: DataFrame, group_1: int, group_n: int, summariser: Callable[[Column], Column] | None = None) -> DataFrame:
+    """entries after one roll-up of each log where one is due: of its lowest level that holds too many, the oldest run. A run
+    whose entries aren't neighbours stays as it is."""
+    live = entries.select("conv_id", "level", "start_id", "end_id", "deleted", "text", "source_hash")
+    cap = F.when(F.col("level") == 1, group_1).otherwise(group_n)
+    w = Window.partitionBy("conv_id", "level").orderBy("start_id")
+    due = live.join(rollup_due(live, group_1, group_n), ["conv_id", "level"]).withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= cap)
+    gap = F.col("start_id") != F.lag("end_id").over(w) + 1
+    broken = F.max(F.coalesce(gap, F.lit(False))).over(Window.partitionBy("conv_id"))
+    due = due.withColumn("gap", gap).withColumn("broken", broken).filter("not broken")
+    parents = _parents(due, ["conv_id", "level"], F.col("level"), summariser)
+    return live.join(due.select("conv_id", "level", "start_id"), ["conv_id", "level", "start_id"], "left_anti").unionByName(parents)
+
+
 def run_errors(entries: DataFrame) -> DataFrame:
     """Entries that don't follow on the one before: conv_id, start_id, expected."""
     expected = F.coalesce(F.lag("end_id").over(Window.partitionBy("conv_id").orderBy("start_id")) + 1, F.lit(0))

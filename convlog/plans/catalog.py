@@ -12,7 +12,7 @@ from convlog.sources.messages import from_events
 from convlog.streaming.refresh import r1_incremental_refresh
 
 QUERIES = {**log_queries.QUERIES, **table_queries.QUERIES, **job_queries.QUERIES, "r1_incremental_refresh": r1_incremental_refresh}
-SQL = {**log_queries.SQL, **table_queries.SQL, **job_queries.SQL, "r1_incremental_refresh": log_queries.SQL["w8_chunk_plan"]}
+SQL = {**log_queries.SQL, **table_queries.SQL, **job_queries.SQL, "r1_incremental_refresh": log_queries.EDITED_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -259,6 +259,8 @@ _ALIGN = """al AS (SELECT st.conv_id, st.start, (SELECT min(message_id) FROM m W
     ELSE coalesce((SELECT max(message_id) FROM m WHERE m.conv_id = al.conv_id AND is_user AND NOT is_system AND message_id <= first_), 0) END AS aligned FROM al)"""
 _CJK = "length(regexp_replace({0}, '[^㐀-鿿豈-﫿]', '', 'g'))"
 
+# the plan of logs whose row 5 was edited: the user's is the assistant's now and the other way round, but for system rows
+EDITED_SQL = f"WITH {LOGS.replace('m AS (', 'm0 AS (')}, m AS (SELECT * REPLACE (CASE WHEN message_id = 5 THEN NOT is_user AND NOT is_system ELSE is_user END AS is_user) FROM m0), {FLAGS}, {CHUNKS_SQL} SELECT * FROM chunks"
 SQL = {
     "s1_message_scan": f"WITH {CONV} SELECT * FROM m",
     "p1_non_system": f"WITH {CONV} SELECT conv_id, message_id, name FROM m WHERE NOT is_system",
