@@ -16,14 +16,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from convlog.functions.text import CJK, escaped, token_estimate, trim
+from convlog.store import stored
 
-SMALL = 100_000  # rows of a table that is sent to every task
+SENT = 16 << 20  # bytes of a table that is sent to every task
+PATTERNS = 10_000  # patterns that a task tries on each text
 WORD = r"[\p{L}\p{N}_]+"
 GRAM = 3  # characters
 
 
 def _few(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= SMALL else df
+    """df with a broadcast hint if the optimizer counts no more than SENT bytes for it: of a stored table the size of its
+    files, of others an upper estimate. No job is run for it."""
+    return F.broadcast(df) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SENT else df
 
 
 def available(entries: DataFrame) -> DataFrame:
@@ -88,8 +92,10 @@ def pattern(key: str) -> tuple[str, int, bool] | None:
 def _by_pattern(texts: DataFrame, keys: DataFrame) -> tuple[DataFrame, list[str]]:
     """(text_id, raw) of the keys that are patterns and found in a text as it is written; and those keys. They are
     compiled in the tasks, so they go there whole."""
-    found = [(r.raw, pattern(r.raw)) for r in keys.filter(F.col("raw").startswith("/")).select("raw").distinct().collect()]
-    found = [(k, p) for k, p in found if p]
+    listed = keys.filter(F.col("raw").startswith("/")).select("raw").distinct().limit(PATTERNS + 1).collect()
+    if len(listed) > PATTERNS:
+        raise ValueError(f"more than {PATTERNS} patterns")
+    found = [(k, p) for k, p in ((r.raw, pattern(r.raw)) for r in listed) if p]
 
     @F.pandas_udf(ArrayType(StringType()))
     def hits(text: pd.Series) -> pd.Series:
@@ -114,23 +120,25 @@ def _by_words(folded: DataFrame, needles: DataFrame) -> DataFrame:
     keyed = _few(needles.select("needle", "cased", "whole", "longest", F.substr("longest", F.lit(1), F.lit(GRAM)).alias("gram")))
     met = words.select("word").distinct().select("word", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, "gram")
     met = met.filter(F.col("word").contains(F.col("longest"))).select("word", "needle", "cased", "whole")
-    return words.join(_few(met), "word").select("text_id", "needle", "cased", "whole").distinct()
+    return words.join(_few(stored(met)), "word").select("text_id", "needle", "cased", "whole").distinct()
 
 
 def key_hits(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """(text_id, raw, cased, whole): the keys (raw, cased, whole) that occur in each text (text_id, text)."""
-    keys = keys.filter("raw <> ''").distinct()
+    """(text_id, raw, cased, whole): the keys (raw, cased, whole) that occur in each text (text_id, text). Texts are composed
+    once, into a stored table; at most PATTERNS keys may be patterns."""
+    keys = stored(keys.filter("raw <> ''").distinct())
     by_pattern, patterns = _by_pattern(texts, keys)
     plain = keys.filter(~F.col("raw").isin(patterns)) if patterns else keys
     composed = normalised(F.col("raw"))
     plain = plain.withColumn("needle", composed).withColumn("needle", F.when(F.col("cased"), F.col("needle")).otherwise(F.lower("needle")))
     runs = F.transform(F.regexp_extract_all(F.lower("needle"), F.lit(WORD), 0), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
     plain = plain.withColumn("longest", F.array_max(runs)["w"])
-    folded = texts.select("text_id", normalised(F.col("text")).alias("whole_text")).withColumn("lower", F.lower("whole_text"))
+    folded = stored(texts.select("text_id", normalised(F.col("text")).alias("whole_text"))).withColumn("lower", F.lower("whole_text"))
+    plain = stored(plain)
     needles = plain.filter("longest is not null").select("needle", "cased", "whole", "longest").distinct()
     likely = _by_words(folded, needles)
     wordless = plain.filter("longest is null").select("needle", "cased", "whole").distinct()
-    tried = folded.join(likely, "text_id").unionByName(folded.join(F.broadcast(wordless), F.col("whole_text").contains(F.col("needle")) | F.col("lower").contains(F.col("needle"))))
+    tried = folded.join(likely, "text_id").unionByName(folded.join(_few(wordless), F.col("whole_text").contains(F.col("needle")) | F.col("lower").contains(F.col("needle"))))
     found = tried.filter(key_matches(F.when(F.col("cased"), F.col("whole_text")).otherwise(F.col("lower")), F.col("needle"), F.col("whole"))).select("text_id", "needle", "cased", "whole")
     hits = found.join(_few(plain.select("raw", "needle", "cased", "whole")), ["needle", "cased", "whole"]).select("text_id", "raw", "cased", "whole")
     return hits.unionByName(by_pattern.join(_few(keys), "raw").select("text_id", "raw", "cased", "whole"))
@@ -143,38 +151,51 @@ def selected(primary: Column, secondary: Column, all_secondary: Column, selectiv
     return (primary > 0) & second
 
 
+IDENTITY = ["world", "uid", "comment", "content"]
+
+
+def _identity() -> Column:
+    """What tells entries apart: equal in these fields, blanks at their ends aside, they are one."""
+    return F.sha2(F.concat_ws("\0", *(trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in IDENTITY)), 256)
+
+
 def match(texts: DataFrame, entries: DataFrame, most: int, tags: DataFrame | None = None) -> DataFrame:
-    """text_id, uid, place, constant, matched_keys, truncated: the entries that fit each text (text_id, text, names):
-    constants, then at most `most` by key, each in order of uid; truncated says that there were more.
+    """text_id, uid, identity, place, constant, matched_keys, truncated: the entries that fit each text (text_id, text, names):
+    constants, then at most `most` by key, each in the host's order (pos; without it uid); truncated says that there were more.
 
     entries: uid, world, comment, content, key, keysecondary, selective, selectiveLogic, constant, caseSensitive,
-    matchWholeWords, only_names, only_tags, exclude; of entries that agree in the first four the first counts. tags
-    (name, tag) are those of names. Empty and null texts have the constants alone.
+    matchWholeWords, only_names, only_tags, exclude. All are matched; of those that fit a text and are one (identity) a
+    constant counts before others, then the first. tags (name, tag) are those of names. Empty and null texts have the
+    constants alone.
     """
     none, off = F.array().cast("array<string>"), F.lit(False)
-    book = entries.dropDuplicates(["uid", "world", "comment", "content"]).select(
-        "uid", F.coalesce("key", none).alias("key"), F.coalesce("keysecondary", none).alias("keysecondary"), F.coalesce("selective", off).alias("selective"), F.coalesce("selectiveLogic", F.lit(0)).alias("logic"), F.coalesce("constant", off).alias("constant"),
+    pos = F.col("pos") if "pos" in entries.columns else F.col("uid")
+    book = entries.select(
+        "uid", pos.alias("pos"), _identity().alias("identity"), F.coalesce("key", none).alias("key"), F.coalesce("keysecondary", none).alias("keysecondary"), F.coalesce("selective", off).alias("selective"), F.coalesce("selectiveLogic", F.lit(0)).alias("logic"), F.coalesce("constant", off).alias("constant"),
         F.coalesce("caseSensitive", off).alias("cased"), F.coalesce("matchWholeWords", off).alias("whole"), "only_names", "only_tags", "exclude",
     )
+    book = stored(book.withColumn("eid", F.monotonically_increasing_id()))  # a row of its own for each entry
     numbered = F.concat(*(_numbered(F.col(c), p) for c, p in (("key", True), ("keysecondary", False))))
-    listed = book.filter("not constant").select("uid", "cased", "whole", F.explode(numbered).alias("k"))
-    listed = listed.select("uid", "cased", "whole", "k.*")
+    listed = book.filter("not constant").select("eid", "cased", "whole", F.explode(numbered).alias("k"))
+    listed = stored(listed.select("eid", "cased", "whole", "k.*"))
     hits = key_hits(texts, listed.select("raw", "cased", "whole")).join(_few(listed), ["raw", "cased", "whole"])
-    counted = hits.groupBy("text_id", "uid").agg(F.count_if("primary").alias("one"), F.count_if(~F.col("primary")).alias("two"), F.sort_array(F.collect_list(F.when(F.col("primary"), F.struct("no", "raw")))).alias("found"))
-    by_key = counted.filter("one > 0").join(_few(book.drop("key", "constant")), "uid").filter(selected(F.col("one"), F.col("two"), F.size("keysecondary"), F.col("selective"), F.col("logic")))
-    by_key = by_key.select("text_id", "uid", F.lit(False).alias("constant"), F.transform("found", lambda x: x["raw"]).alias("matched_keys"), "only_names", "only_tags", "exclude")
+    counted = hits.groupBy("text_id", "eid").agg(F.count_if("primary").alias("one"), F.count_if(~F.col("primary")).alias("two"), F.sort_array(F.collect_list(F.when(F.col("primary"), F.struct("no", "raw")))).alias("found"))
+    by_key = counted.filter("one > 0").join(_few(book.drop("key", "constant")), "eid").filter(selected(F.col("one"), F.col("two"), F.size("keysecondary"), F.col("selective"), F.col("logic")))
+    columns = ["uid", "pos", "identity", "only_names", "only_tags", "exclude"]
+    by_key = by_key.select("text_id", *columns, F.lit(False).alias("constant"), F.transform("found", lambda x: x["raw"]).alias("matched_keys"))
     # constants go with every text: there are as many rows as the result has
-    constants = book.filter("constant").agg(F.collect_list(F.struct("uid", "only_names", "only_tags", "exclude")).alias("c")).first()["c"]
-    fixed = F.array(*(F.struct(F.lit(c.uid).alias("uid"), *(F.lit(c[x]).cast("array<string>").alias(x) for x in ("only_names", "only_tags")), F.lit(c.exclude).cast("boolean").alias("exclude")) for c in constants)) if constants else None
-    found = by_key if fixed is None else by_key.unionByName(texts.select("text_id", F.explode(fixed).alias("e")).select("text_id", "e.uid", F.lit(True).alias("constant"), none.alias("matched_keys"), "e.only_names", "e.only_tags", "e.exclude"))
+    fixed = texts.select("text_id").crossJoin(_few(book.filter("constant").select(*columns)))
+    found = by_key.unionByName(fixed.withColumns({"constant": F.lit(True), "matched_keys": none}))
     if "names" in texts.columns:
         with_tags = texts.select("text_id", "names").join(active_tags(texts, tags), "text_id", "left") if tags is not None else texts.select("text_id", "names", none.alias("tags"))
         found = found.join(with_tags, "text_id").filter(participates(F.col("names"), F.col("tags"), F.col("only_names"), F.col("only_tags"), F.col("exclude")))
+    same = Window.partitionBy("text_id", "identity").orderBy(F.col("constant").desc(), "pos")
+    found = found.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
     w = Window.partitionBy("text_id", "constant")
-    ranked = found.withColumn("rn", F.row_number().over(w.orderBy("uid"))).withColumn("n", F.count("*").over(w))
+    ranked = found.withColumn("rn", F.row_number().over(w.orderBy("pos", "identity"))).withColumn("n", F.count("*").over(w))
     kept = ranked.filter(F.col("constant") | (F.col("rn") <= most)).withColumn("cut", ~F.col("constant") & (F.col("n") > most))
     per = Window.partitionBy("text_id")
-    return kept.select("text_id", "uid", F.row_number().over(per.orderBy(F.col("constant").desc(), "uid")).cast("long").alias("place"), "constant", "matched_keys", F.max("cut").over(per).alias("truncated"))
+    return kept.select("text_id", "uid", "identity", F.row_number().over(per.orderBy(F.col("constant").desc(), "pos", "identity")).cast("long").alias("place"), "constant", "matched_keys", F.max("cut").over(per).alias("truncated"))
 
 
 def budgeted(blocks: DataFrame, most: int | Column, separator: int = 2) -> DataFrame:
@@ -191,10 +212,10 @@ def block_text(header: Column, content: Column) -> Column:
 def references(matched: DataFrame, entries: DataFrame, budget: int) -> DataFrame:
     """text_id, text, tokens, constant_chars, matched_chars, n_entries, truncated: the blocks of the entries matched, constants
     first and the rest within what they leave of the budget; whole blocks only."""
-    book = entries.dropDuplicates(["uid", "world", "comment", "content"]).select("uid", "world", "comment", "content")
+    book = entries.select(_identity().alias("identity"), "uid", "world", "comment", "content").dropDuplicates(["identity"])
     nth = F.row_number().over(Window.partitionBy("text_id", "constant").orderBy("place"))
     header = F.concat_ws("|", F.concat(F.lit("entry "), nth.cast("string")), F.concat(F.coalesce(F.nullif(trim("world"), F.lit("")), F.lit("unnamed")), F.lit("#"), F.col("uid").cast("string")), F.nullif(trim("comment"), F.lit("")), F.when(F.col("constant"), F.lit("constant")).otherwise(F.concat(F.lit("keys="), F.array_join("matched_keys", ","))))
-    blocks = matched.join(_few(book), "uid").select("text_id", nth.cast("long").alias("place"), "constant", "truncated", block_text(header, trim("content")).alias("block")).withColumn("chars", F.length("block"))
+    blocks = matched.drop("uid").join(_few(book), "identity").select("text_id", nth.cast("long").alias("place"), "constant", "truncated", block_text(header, trim("content")).alias("block")).withColumn("chars", F.length("block"))
     fixed = budgeted(blocks.filter("constant"), budget)
     spent = fixed.groupBy("text_id").agg(F.max("used").alias("spent"))
     rest = budgeted(blocks.filter("not constant").join(spent, "text_id", "left"), F.lit(budget) - F.coalesce("spent", F.lit(0))).drop("spent")

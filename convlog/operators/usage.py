@@ -17,27 +17,52 @@ PATHS = {
 }
 RETRIABLE = ["408", "502", "503", "504", "520", "521", "522", "523", "524"]
 STREAM_ENDS = ["message_stop", "message-end", "response.completed"]
+ERROR_TEXT = r"(?i)^\s*\[(?:API(?:[\s_-]+)?(?:Error|错误|錯誤)|[^\]]*\bAPI)\]"
 STREAM_REASON = ["$.choices[0].finish_reason", "$.choices[0].stop_reason", "$.finish_reason", "$.stop_reason", "$.stopReason", "$.delta.stop_reason", "$.candidates[0].finishReason"]
 
 
+NUMERIC = r"^\s*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?\s*$"
+
+
+def _number(v: Column) -> Column:
+    """A finite number of 0 or more from a variant: a number, or a string that is one; nothing else counts."""
+    kind = F.schema_of_variant(v)
+    text = F.try_variant_get(v, "$", "string")
+    other = kind.isin("BOOLEAN", "VOID") | kind.startswith("OBJECT") | kind.startswith("ARRAY")
+    n = F.when(kind == "STRING", F.when(text.rlike(NUMERIC), text.try_cast("double"))).when(~other, F.try_variant_get(v, "$", "double"))
+    return F.when((n >= 0) & (n < float("inf")), n)
+
+
+def _present(payload: Column, path: str) -> Column:
+    """The value at a path; null where there is none or it is null."""
+    v = F.try_variant_get(payload, path, "variant")
+    return F.when(~F.is_variant_null(v), v)
+
+
 def _count(payload: Column, paths: list[str]) -> Column:
-    """The first finite number of 0 or more, rounded down, in a parsed payload."""
-    found = (F.try_variant_get(payload, p, "double") for p in paths)
-    return F.coalesce(*(F.when((v >= 0) & (v < float("inf")), F.floor(v)) for v in found))
+    """The first number of 0 or more, rounded down, in a parsed payload."""
+    return F.coalesce(*(F.floor(_number(F.try_variant_get(payload, p, "variant"))) for p in paths))
+
+
+def _bounded(text: Column, most: int = 200) -> Column:
+    """Trimmed and cut; null where it is blank."""
+    return F.substring(F.nullif(trim(text), F.lit("")), 1, most)
 
 
 def _string(payload: Column, paths: list[str], most: int = 200) -> Column:
-    """The first value that is there, trimmed and cut; null where it is blank."""
-    return F.substring(F.nullif(trim(F.coalesce(*(F.try_variant_get(payload, p, "string") for p in paths))), F.lit("")), 1, most)
+    """The first value that is there, if it is a string that isn't blank, trimmed and cut."""
+    v = F.coalesce(*(_present(payload, p) for p in paths))
+    return _bounded(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")), most)
 
 
 def completion_metadata(calls: DataFrame) -> DataFrame:
-    """calls (…, payload, response) with counters, finish_reason and response_characters; total is the sum where it isn't
-    given. A payload that isn't JSON has none. Each payload is parsed once."""
+    """calls (…, payload, response) with counters, finish_reason, model and response_characters; total is the sum where it
+    isn't given. A payload that isn't JSON has none; a model it doesn't name is that of the column model, if there is one.
+    Each payload is parsed once."""
     p = F.col("_parsed")
     out = calls.withColumn("_parsed", F.try_parse_json("payload"))
     counters = {name: _count(p, PATHS[name]) for name in ("prompt_tokens", "completion_tokens", "reasoning_tokens", "total_tokens")}
-    out = out.withColumns(counters | {"finish_reason": _string(p, PATHS["finish_reason"]), "response_characters": F.length("response").cast("long")})
+    out = out.withColumns(counters | {"finish_reason": _string(p, PATHS["finish_reason"]), "model": _string(p, ["$.model"]) if "model" not in calls.columns else F.when(_present(p, "$.model").isNotNull(), _string(p, ["$.model"])).otherwise(_bounded(F.col("model"))), "response_characters": F.length("response").cast("long")})
     return out.withColumn("total_tokens", F.coalesce("total_tokens", F.col("prompt_tokens") + F.col("completion_tokens"))).drop("_parsed")
 
 
@@ -59,27 +84,38 @@ PROVIDERS = ["main", "openai-compatible"]
 
 def input_tokens(payload: Column) -> Column:
     """Tokens of an input, rounded: a stated total, else the fresh ones with what caches took and gave; null where none is
-    stated. Looked for under usage.usageMetadata, usage, usageMetadata or at the top, the first that is there."""
+    stated. Looked for in the innermost of usage and usageMetadata that are objects, else at the top."""
     v = F.try_parse_json(payload)
-    at = F.coalesce(*(F.try_variant_get(v, p, "variant") for p in ("$.usage.usageMetadata", "$.usage", "$.usageMetadata")), v)
+
+    def record(of: Column, path: str) -> Column:
+        inner = F.try_variant_get(of, path, "variant")
+        return F.when(F.schema_of_variant(inner).startswith("OBJECT"), inner)
+
+    usage = F.coalesce(record(v, "$.usage"), record(v, "$"))
+    at = F.coalesce(record(usage, "$.usageMetadata"), usage)
+    rounded = lambda n: F.floor(n + 0.5)
 
     def count(name: str) -> Column:
-        n = F.try_variant_get(at, f"$.{name}", "double")
-        kind = F.schema_of_variant(F.try_variant_get(at, f"$.{name}", "variant"))
-        return F.when((n >= 0) & (n < float("inf")) & (kind != "BOOLEAN"), F.floor(n + 0.5))
+        return rounded(_number(F.try_variant_get(at, f"$.{name}", "variant")))
 
-    cached = sum((F.coalesce(*map(count, names), F.lit(0)) for names in INPUT_CACHED), F.lit(0))
+    cached = sum((F.coalesce(rounded(_number(F.coalesce(*(_present(at, f"$.{x}") for x in names)))), F.lit(0)) for names in INPUT_CACHED), F.lit(0))
     return F.coalesce(*map(count, INPUT_TOTAL), *(count(x) + cached for x in INPUT_FRESH))
 
 
 def stored_metadata(calls: DataFrame) -> DataFrame:
-    """calls (…, provider, requested_max_tokens, response_characters, counters, finish_reason, fallback_from) that are valid:
-    a known provider, and whole numbers of 0 or more for the limit and the length. Other counters that aren't such
-    numbers, blank reasons and unknown fall-backs become null."""
-    whole = lambda name: F.when((F.col(name) >= 0) & (F.col(name) == F.floor(name)), F.col(name).cast("long"))
+    """calls (…, provider, requested_max_tokens, response_characters, counters, finish_reason, source, model, fallback_from)
+    that are valid: a known provider, and numbers of 0 or more for the limit and the length. Counters are rounded down; what
+    isn't a number of 0 or more, or a string that is one, blank texts and unknown fall-backs become null."""
+    kinds = dict(calls.dtypes)
+
+    def whole(name: str) -> Column:
+        c = F.when(F.col(name).rlike(NUMERIC), F.col(name).try_cast("double")) if kinds[name] == "string" else F.lit(None) if kinds[name] == "boolean" else F.col(name)
+        return F.when((c >= 0) & (c < float("inf")), F.floor(c).cast("long"))
+
     counters = ("prompt_tokens", "completion_tokens", "reasoning_tokens", "total_tokens", "requested_max_tokens", "response_characters")
-    kept = calls.filter(F.col("provider").isin(PROVIDERS)).withColumns({name: whole(name) for name in counters})
-    kept = kept.withColumn("finish_reason", F.substring(F.nullif(trim(F.col("finish_reason")), F.lit("")), 1, 200)).withColumn("fallback_from", F.when(F.col("fallback_from").isin(PROVIDERS), F.col("fallback_from")))
+    texts = {name: _bounded(F.col(name)) for name in ("finish_reason", "source", "model") if name in kinds}
+    kept = calls.filter(F.col("provider").isin(PROVIDERS)).withColumns({name: whole(name) for name in counters} | texts)
+    kept = kept.withColumn("fallback_from", F.when(F.col("fallback_from").isin(PROVIDERS), F.col("fallback_from")))
     return kept.filter("requested_max_tokens is not null and response_characters is not null")
 
 
@@ -144,31 +180,65 @@ def stream_events(pieces: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
     return blocks.select("conv_id", "no", F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit("message")).alias("event"), F.array_join(data, "\n").alias("data")).filter("data <> ''")
 
 
+USAGE_DEPTH = 5  # levels of a usage map
+
+
+def merged_usage(usages: DataFrame, depth: int = USAGE_DEPTH) -> DataFrame:
+    """conv_id, root, path, number, text: what the usage maps (conv_id, no, root, map: a variant) of a stream say together, by
+    the path of keys to each value: the largest number of 0 or more, or where there is none the first text or boolean."""
+    spark, at, leaves = usages.sparkSession, usages.select("conv_id", "no", "root", F.lit("").alias("path"), F.col("map").alias("value")), None
+    for _ in range(depth):
+        inner = at.filter(F.schema_of_variant("value").startswith("OBJECT"))
+        step = inner.lateralJoin(spark.tvf.variant_explode(F.col("value").outer()).select("key", F.col("value").alias("held")))
+        at = step.select("conv_id", "no", "root", F.concat("path", F.lit("."), F.col("key")).alias("path"), F.col("held").alias("value"))
+        kind = F.schema_of_variant("value")
+        here = at.filter(~kind.startswith("OBJECT") & ~kind.startswith("ARRAY") & (kind != "VOID"))
+        leaves = here if leaves is None else leaves.unionByName(here)
+    number = _number(F.col("value"))
+    told = leaves.select("conv_id", "no", "root", "path", number.alias("number"), F.when(number.isNull(), F.try_variant_get("value", "$", "string")).alias("text"))
+    merged = told.groupBy("conv_id", "root", "path").agg(F.max("number").alias("number"), F.min_by("text", F.when(F.col("text").isNotNull(), F.col("no"))).alias("text"))
+    return merged.select("conv_id", "root", F.substr("path", F.lit(2)).alias("path"), "number", F.when(F.col("number").isNull(), F.col("text")).alias("text"))
+
+
+def ended_events(events: DataFrame, id_prefix: str = "error-") -> DataFrame:
+    """events (conv_id, no, event, data) of whole streams up to the event that ends each, with parsed (variant), reason and
+    ends. A stream ends at [DONE], at an event or type that says so, or with done = true; a finish reason makes it whole
+    too, but what follows still counts. Streams without an end, with an error or with data that isn't JSON are left out."""
+    done = F.col("data") == "[DONE]"
+    kind = F.coalesce(_string(F.col("parsed"), ["$.type"]), F.nullif(trim(F.col("event")), F.lit("")))
+    true = F.schema_of_variant(F.try_variant_get("parsed", "$.done", "variant")) == "BOOLEAN"
+    ends = done | F.coalesce(kind.isin(STREAM_ENDS), F.lit(False)) | F.coalesce(true & F.try_variant_get("parsed", "$.done", "boolean"), F.lit(False))
+    read = events.withColumn("parsed", F.try_parse_json("data")).withColumns({"ends": ends, "reason": _string(F.col("parsed"), STREAM_REASON)})
+    stream = Window.partitionBy("conv_id")
+    upto = F.min(F.when(F.col("ends"), F.col("no"))).over(stream)
+    kept = read.withColumn("upto", upto).filter("upto is null or no <= upto")
+    bad = ~done & (F.col("parsed").isNull() | stream_error(F.col("event"), F.col("data"), id_prefix))
+    told = kept.withColumn("bad", F.max(bad).over(stream)).withColumn("whole", F.max(F.col("ends") | F.col("reason").isNotNull()).over(stream))
+    return told.filter("whole and not bad").drop("bad", "whole", "upto")
+
+
 def stream_completion(events: DataFrame) -> DataFrame:
-    """conv_id, response, finish_reason, model, and the largest usage counters, of streams with an end.
+    """conv_id, response, finish_reason, model and counters of streams that came to their end (see ended_events).
 
-    A stream ends by [DONE], an event or type that says so, done = true, or any finish reason. Model and usage may also
-    stand under message or response, as in streams that open with one of them.
+    Usage maps, also those under message or response, are merged key by key before a counter is looked for, so that no key's
+    number stands for another's. A stream whose text begins as an error report does is left out too.
     """
     v = F.col("parsed")
-    parsed = events.withColumn("parsed", F.try_parse_json("data"))
+    parsed = ended_events(events)
     text = F.coalesce(*(F.try_variant_get(v, p, "string") for p in ("$.choices[0].delta.content", "$.delta.text")), F.lit(""))
-    counters = {name: [q for p in PATHS[name] for q in (p, *(p.replace("$.", f"$.{at}.") for at in ("message", "response") if p.startswith("$.usage.")))] for name in ("prompt_tokens", "completion_tokens")}
-    kind = F.coalesce(_string(v, ["$.type"]), F.nullif(trim(F.col("event")), F.lit("")))
-    told = parsed.select(
-        "conv_id", "no", text.alias("t"), _string(v, STREAM_REASON).alias("reason"), _string(v, ["$.model", "$.message.model", "$.response.model"]).alias("model"),
-        *(F.greatest(F.lit(None).cast("bigint"), *(_count(v, [p]) for p in paths)).alias(name) for name, paths in counters.items()),
-        ((F.col("data") == "[DONE]") | kind.isin(STREAM_ENDS) | F.coalesce(F.try_variant_get(v, "$.done", "boolean"), F.lit(False))).alias("ends"),
-    )
+    told = parsed.select("conv_id", "no", text.alias("t"), "reason", _string(v, ["$.model", "$.message.model", "$.response.model"]).alias("model"))
     rolled = told.groupBy("conv_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]), "").alias("response"),
         F.max_by("reason", F.when(F.col("reason").isNotNull(), F.col("no"))).alias("finish_reason"),
         F.min_by("model", F.when(F.col("model").isNotNull(), F.col("no"))).alias("model"),
-        F.max("prompt_tokens").alias("prompt_tokens"),
-        F.max("completion_tokens").alias("completion_tokens"),
-        F.bool_or(F.coalesce("ends", F.lit(False)) | F.col("reason").isNotNull()).alias("ended"),
     )
-    return rolled.filter("ended").drop("ended")
+    roots = F.array(*(F.struct(F.lit(root).alias("root"), F.try_variant_get(v, p, "variant").alias("map")) for root, p in (("usage", "$.usage"), ("usage", "$.message.usage"), ("usage", "$.response.usage"), ("usageMetadata", "$.usageMetadata"))))
+    maps = parsed.select("conv_id", "no", F.explode(roots).alias("u")).select("conv_id", "no", "u.root", "u.map").filter("map is not null")
+    named = merged_usage(maps).filter("number is not null").select("conv_id", F.concat_ws(".", F.lit("$"), "root", "path").alias("path"), F.floor("number").alias("n"))
+    counters = ("prompt_tokens", "completion_tokens")
+    wanted = named.filter(F.col("path").isin([p for name in counters for p in PATHS[name]]))
+    found = wanted.groupBy("conv_id").agg(*(F.coalesce(*(F.max(F.when(F.col("path") == p, F.col("n"))) for p in PATHS[name])).alias(name) for name in counters))
+    return rolled.filter(~F.col("response").rlike(ERROR_TEXT)).join(found, "conv_id", "left")
 
 
 def keep_latest(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:

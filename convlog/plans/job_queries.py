@@ -79,7 +79,7 @@ def a20_injected_blocks(spark, d):
 
 
 def a21_report_counts(spark, d):
-    return jobs.report_counts(rollup.roll_up(L._entries(spark, d), *L.CAPS, levels=2))
+    return jobs.report_counts(rollup.roll_up(L._entries(spark, d), *L.CAPS))
 
 
 def model_bodies(t):
@@ -165,7 +165,7 @@ def x3_summarise(spark, d):
 
 def x4_roll_up_all(spark, d):
     m = from_events(spark, d)
-    return rollup.roll_up(jobs.summarise(m, chunks.plan_by_turns(m, L.TURNS)), *L.CAPS, levels=4).select("conv_id", "level", "start_id", "end_id")
+    return rollup.roll_up(jobs.summarise(m, chunks.plan_by_turns(m, L.TURNS)), *L.CAPS).select("conv_id", "level", "start_id", "end_id")
 
 
 def x1_plan_ready(spark, d):
@@ -261,6 +261,7 @@ def a14_token_breakdown(spark, d):
 INPUTS = [
     '{"usage":{"total_input_tokens":"#","prompt_tokens":1}}', '{"promptTokenCount":#.5}', '{"usage":{"usageMetadata":{"prompt_token_count":#}}}', '{"usage":{"input_tokens":#,"cache_creation_input_tokens":3,"cacheReadInputTokens":"4"}}',
     '{"usageMetadata":{"inputTokens":#}}', '{"usage":{"prompt_tokens":-#,"input_tokens":null}}', "no json #", '{"usage":{"prompt_tokens":true,"inputTokens":#}}',
+    '{"usage":null,"prompt_tokens":#}', '{"usage":"x","prompt_tokens":#}',
 ]
 
 
@@ -278,6 +279,7 @@ def f9_stored_metadata(spark, d):
     calls = t.select(
         "event_id", F.get(F.array(F.lit("main"), F.lit("openai-compatible"), F.lit("other"), F.lit(None)), (v % 4).cast("int")).alias("provider"), (v % 10 - 1).alias("requested_max_tokens"), (F.col("user_id") / 2).alias("response_characters"), (v % 7 - 3).alias("prompt_tokens"),
         (v % 9).alias("completion_tokens"), F.lit(None).cast("long").alias("reasoning_tokens"), (v % 5 + 0.5).alias("total_tokens"), F.when(v % 3 == 0, "  ").otherwise(" stop ").alias("finish_reason"), F.when(v % 2 == 0, "main").otherwise("x").alias("fallback_from"),
+        F.lit(" s ").alias("source"), F.when(v % 2 == 0, " ").otherwise("m").alias("model"),
     )
     return usage.stored_metadata(calls)
 
@@ -348,9 +350,8 @@ SQL = {
       z AS (SELECT *, floor(exact) AS low, b - sum(floor(exact)) OVER (PARTITION BY conv_id) AS left_, row_number() OVER (PARTITION BY conv_id ORDER BY exact - floor(exact) DESC, idx) AS place FROM y)
       SELECT conv_id, name, tokens, (CASE WHEN total <= b THEN tokens ELSE low + CASE WHEN place <= left_ THEN 1 ELSE 0 END END)::BIGINT AS share FROM z""",
     "a20_injected_blocks": f"{L.STACK} SELECT conv_id, count(*) FILTER (WHERE text <> '') AS blocks FROM entries GROUP BY conv_id",
-    "a21_report_counts": f"""{_RUNS}, live AS (SELECT conv_id, 1 AS level, end_id, deleted, text FROM r WHERE rn // 2 >= k UNION ALL
-        SELECT conv_id, 2, max(end_id), bool_and(deleted), coalesce(string_agg(text, chr(10) ORDER BY start_id), '') FROM r WHERE rn // 2 < k GROUP BY conv_id, rn // 2)
-      SELECT conv_id, count(*) FILTER (WHERE NOT deleted) AS active, count(*) FILTER (WHERE deleted) AS deleted_entries, count(DISTINCT level) AS levels, max(end_id) AS covered, sum(ceil(length(text) / 4.0))::BIGINT AS tokens FROM live GROUP BY conv_id""",
+    "a21_report_counts": f"""WITH RECURSIVE {L.STACK_IN}, {L.NODES}
+      SELECT conv_id, count(*) FILTER (WHERE NOT deleted) AS active, count(*) FILTER (WHERE deleted) AS deleted_entries, count(DISTINCT level) AS levels, max(end_id) AS covered, sum(ceil(length(text) / 4.0))::BIGINT AS tokens FROM frontier GROUP BY conv_id""",
     "t3_models": "SELECT DISTINCT 'm' || p_partkey % 57 AS model FROM part",
     "t4_newest": "SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id",
     "u4_frontiers_differ": f"{L.STACK} SELECT DISTINCT conv_id FROM entries WHERE conv_id % 5 = 0 OR conv_id % 7 = 0",
@@ -370,10 +371,10 @@ SQL = {
         (CASE form WHEN 'p' THEN o[4] ELSE o[2] END)::BIGINT AS examples, ctx::BIGINT AS recent_context, (CASE form WHEN 'p' THEN o[5] ELSE i3[1] END)::BIGINT AS summary,
         (CASE form WHEN 'c' THEN spare - list_sum(i2) + i3[2] WHEN 't' THEN i3[2] ELSE o[6] END)::BIGINT AS other, (CASE form WHEN 'c' THEN 0 WHEN 't' THEN spare + o[1] - list_sum(i2) ELSE spare END)::BIGINT AS unclassified,
         CASE WHEN form <> 'p' THEN ctx::BIGINT END AS context_tokens, form <> 'p' AS detailed, form = 'c' AS measured FROM g""",
-    "f10_input_tokens": "SELECT event_id, CASE event_id % 8 WHEN 0 THEN event_id WHEN 1 THEN event_id + 1 WHEN 2 THEN event_id WHEN 3 THEN event_id + 7 WHEN 4 THEN event_id WHEN 7 THEN event_id END AS tokens FROM events",
+    "f10_input_tokens": "SELECT event_id, CASE event_id % 10 WHEN 1 THEN event_id + 1 WHEN 3 THEN event_id + 7 WHEN 5 THEN NULL WHEN 6 THEN NULL ELSE event_id END AS tokens FROM events",
     "f9_stored_metadata": """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'main' ELSE 'openai-compatible' END AS provider, event_id % 10 - 1 AS requested_max_tokens, user_id // 2 AS response_characters, CASE WHEN event_id % 7 >= 3 THEN event_id % 7 - 3 END AS prompt_tokens,
-      event_id % 9 AS completion_tokens, NULL::BIGINT AS reasoning_tokens, NULL::BIGINT AS total_tokens, CASE WHEN event_id % 3 <> 0 THEN 'stop' END AS finish_reason, CASE WHEN event_id % 2 = 0 THEN 'main' END AS fallback_from
-      FROM events WHERE event_id % 4 < 2 AND event_id % 10 > 0 AND user_id % 2 = 0""",
+      event_id % 9 AS completion_tokens, NULL::BIGINT AS reasoning_tokens, event_id % 5 AS total_tokens, CASE WHEN event_id % 3 <> 0 THEN 'stop' END AS finish_reason, CASE WHEN event_id % 2 = 0 THEN 'main' END AS fallback_from, 's' AS source, CASE WHEN event_id % 2 = 1 THEN 'm' END AS model
+      FROM events WHERE event_id % 4 < 2 AND event_id % 10 > 0""",
     "f12_response_shape": """SELECT event_id, x.* EXCLUDE (k) FROM events JOIN (VALUES (0, 'object', 'choices,id', 'index,message', 'content,role', 'array', 'missing', 'missing', true), (1, 'object', 'choices,usage', 'finish_reason,text', '', 'missing', 'string', 'missing', true),
       (2, 'object', '[REDACTED]-k,content', '', '', 'missing', 'missing', 'string', false), (3, 'array', '', '', '', 'missing', 'missing', 'missing', false), (4, 'string', '', '', '', 'missing', 'missing', 'missing', false),
       (5, 'number', '', '', '', 'missing', 'missing', 'missing', false), (6, 'null', '', '', '', 'missing', 'missing', 'missing', false), (7, 'missing', '', '', '', 'missing', 'missing', 'missing', false),

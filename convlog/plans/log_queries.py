@@ -89,7 +89,16 @@ def _first_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 PHASE_SQL = "phase AS (SELECT conv_id, max(message_id) AS phase_start FROM m JOIN cur USING (conv_id) WHERE name = 'click' AND message_id % 9 = 4 AND message_id <= current_input GROUP BY conv_id)"
 ENTRIES_SQL = """entries AS (SELECT conv_id, 1 AS level, chunk, start_id, end_id, chunk % 7 = 6 AS deleted,
     CASE WHEN chunk % 7 = 6 THEN '' ELSE '1:' || start_id || ':' || end_id END AS text, source_hash FROM hashed)"""
-STACK = f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL}, {HASHES_SQL}, {ENTRIES_SQL}"
+STACK_IN = f"{LOGS}, {FLAGS}, {CHUNKS_SQL}, {HASHES_SQL}, {ENTRIES_SQL}"
+STACK = f"WITH {STACK_IN}"
+# all nodes that ever were, level by level, two children each; those that no parent took are the frontier
+NODES = """nodes AS (
+    SELECT conv_id, 1 AS level, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1 AS ord, count(*) OVER (PARTITION BY conv_id) AS n, start_id, end_id, deleted, text FROM entries
+    UNION ALL
+    SELECT conv_id, level, ord, count(*) OVER (PARTITION BY conv_id) AS n, start_id, end_id, deleted, CASE WHEN deleted THEN '' ELSE text END FROM (
+      SELECT conv_id, level + 1 AS level, ord // 2 AS ord, min(start_id) AS start_id, max(end_id) AS end_id, bool_and(deleted) AS deleted, string_agg(text, chr(10) ORDER BY start_id) AS text
+      FROM nodes WHERE ord // 2 < (n - 1) // 2 GROUP BY conv_id, level + 1, ord // 2)),
+  frontier AS (SELECT * FROM nodes WHERE ord // 2 >= (n - 1) // 2)"""
 
 
 def s1_message_scan(spark, d):
@@ -212,11 +221,11 @@ def w15_carried_text(spark, d):
 
 
 def a2_level_counts(spark, d):
-    return rollup.level_counts(rollup.roll_up(_entries(spark, d), *CAPS, levels=3))
+    return rollup.level_counts(rollup.roll_up(_entries(spark, d), *CAPS))
 
 
 def w12_roll_up(spark, d):
-    return rollup.roll_up(_entries(spark, d), *CAPS, levels=2).select("conv_id", "level", "start_id", "end_id", "deleted", "text")
+    return rollup.roll_up(_entries(spark, d), *CAPS).select("conv_id", "level", "start_id", "end_id", "deleted", "text")
 
 
 def w13_closed_frontier(spark, d):
@@ -301,11 +310,8 @@ SQL = {
       SELECT conv_id, min(message_id) AS changed_from FROM c GROUP BY conv_id""",
     "w15_carried_text": f"""{STACK}, c AS (SELECT conv_id, start_id, coalesce(last_value(CASE WHEN NOT deleted THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY start_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS t FROM entries)
       SELECT conv_id, start_id, CASE WHEN length(t) <= 6 THEN t ELSE '..' || right(t, 4) END AS carried FROM c""",
-    "a2_level_counts": f"""{STACK}, c1 AS (SELECT conv_id, count(*) AS n FROM entries GROUP BY conv_id), c2 AS (SELECT conv_id, n, greatest((n - 1) // 2, 0) AS k FROM c1), c3 AS (SELECT *, greatest((k - 1) // 2, 0) AS j FROM c2)
-      SELECT conv_id, 1 AS level, n - 2 * k AS n FROM c3 UNION ALL SELECT conv_id, 2, k - 2 * j FROM c3 WHERE k - 2 * j > 0 UNION ALL SELECT conv_id, 3, j FROM c3 WHERE j > 0""",
-    "w12_roll_up": f"""{STACK}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1 AS rn, (count(*) OVER (PARTITION BY conv_id) - 1) // 2 AS k FROM entries)
-      SELECT conv_id, 1 AS level, start_id, end_id, deleted, text FROM r WHERE rn // 2 >= k UNION ALL
-      SELECT conv_id, 2, min(start_id), max(end_id), bool_and(deleted), CASE WHEN bool_and(deleted) THEN '' ELSE string_agg(text, chr(10) ORDER BY start_id) END FROM r WHERE rn // 2 < k GROUP BY conv_id, rn // 2""",
+    "a2_level_counts": f"WITH RECURSIVE {STACK_IN}, {NODES} SELECT conv_id, level, count(*) AS n FROM frontier GROUP BY conv_id, level",
+    "w12_roll_up": f"WITH RECURSIVE {STACK_IN}, {NODES} SELECT conv_id, level, start_id, end_id, deleted, text FROM frontier",
     "w13_closed_frontier": f"""WITH RECURSIVE {LOGS}, {FLAGS}, {CHUNKS_SQL}, lv AS (
         SELECT conv_id, 1 AS level, count(*) AS c, greatest((count(*) - 1) // 2, 0) AS nxt, 1::BIGINT AS w FROM chunks GROUP BY conv_id
         UNION ALL SELECT conv_id, level + 1, nxt, greatest((nxt - 1) // 2, 0), w * 2 FROM lv WHERE nxt > 0 AND level < 8)

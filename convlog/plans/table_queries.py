@@ -167,7 +167,8 @@ def _payload():
     v = F.col("event_id")
     one = F.concat(F.lit('{"usage":{"prompt_tokens":'), (v % 900).cast("string"), F.lit(',"completion_tokens":"'), (v % 70).cast("string"), F.lit('","completion_tokens_details":{"reasoning_tokens":'), (v % 9).cast("string"), F.lit('}},"choices":[{"finish_reason":" stop "}]}'))
     two = F.concat(F.lit('{"usage":{"input_tokens":-1},"usageMetadata":{"promptTokenCount":'), (v % 800).cast("string"), F.lit('.7,"totalTokenCount":'), (v % 5000).cast("string"), F.lit('},"stop_reason":"max_tokens"}'))
-    return F.when(v % 3 == 0, one).when(v % 3 == 1, two).otherwise(F.lit("not json"))
+    three = F.concat(F.lit('{"usage":{"prompt_tokens":true,"input_tokens":" '), (v % 300).cast("string"), F.lit(' ","completion_tokens":"","output_tokens":"1e2"},"finish_reason":5,"stop_reason":"x","model":" m "}'))
+    return F.when(v % 3 == 0, one).when(v % 3 == 1, two).when(v % 6 == 2, three).otherwise(F.lit("not json"))
 
 
 def f8_completion_metadata(spark, d):
@@ -196,14 +197,16 @@ ENDS = ["data: [DONE]", 'data: {"type":"response.completed","response":{"usage":
 def a19_stream_completion(spark, d):
     m = from_conversations(spark, d)
     last = F.max("message_id").over(Window.partitionBy("conv_id"))
-    opening = F.when(F.col("message_id") == 0, F.lit('data: {"message":{"model":"m","usage":{"input_tokens":3}}}\n\n')).otherwise("")
+    fault = F.when(F.col("conv_id") % 11 == 3, 'data: {"error":null}\n\n').when(F.col("conv_id") % 13 == 5, "data: {oops\n\n").otherwise("")
+    opening = F.when(F.col("message_id") == 0, F.concat(F.lit('data: {"message":{"model":"m","usage":{"input_tokens":30}}}\n\n'), fault)).otherwise("")
+    late = F.lit('data: {"usage":{"prompt_tokens":99},"choices":[{"delta":{"content":"late"}}]}\n\n')  # behind an end it doesn't count
     body = F.concat(F.lit('data: {"usage":{"prompt_tokens":'), (F.col("message_id") * 3 % 7).cast("string"), F.lit('},"choices":[{"delta":{"content":"'), F.col("name"), F.lit('"}}]}\n\n'))
-    end = F.when(F.col("message_id") == last, F.concat(F.get(F.array(*map(F.lit, ENDS)), (F.col("conv_id") % len(ENDS)).cast("int")), F.lit("\n\n"))).otherwise("")
+    end = F.when(F.col("message_id") == last, F.concat(F.get(F.array(*map(F.lit, ENDS)), (F.col("conv_id") % len(ENDS)).cast("int")), F.lit("\n\n"), F.when(F.col("conv_id") % 8 < 4, late).otherwise(""))).otherwise("")
     return usage.stream_completion(usage.stream_events(m.select("conv_id", F.col("message_id").alias("seq"), F.concat(opening, body, end).alias("piece"))))
 
 
 def _book(spark, d) -> DataFrame:
-    """A dictionary of the benchmark's items; some of them twice."""
+    """A dictionary of the benchmark's items; some of them twice, with other keys or as constants."""
     b = spark.read.parquet(f"{d}/benchmark.parquet")
     words = F.split(F.regexp_replace("text", r"[^A-Za-z ]", ""), " +")
     none = F.array().cast("array<string>")
@@ -215,7 +218,8 @@ def _book(spark, d) -> DataFrame:
         (uid % 4).cast("int").alias("selectiveLogic"), (uid % 19 == 0).alias("constant"), (uid % 4 == 0).alias("caseSensitive"), (uid % 5 < 2).alias("matchWholeWords"), (uid % 17 == 1).alias("disable"), none.alias("decorators"), none.alias("triggers"),
         F.when(uid % 7 == 3, F.array(F.lit("en"))).otherwise(none).alias("only_names"), F.when(uid % 7 == 5, F.array(F.lit("latin"))).otherwise(none).alias("only_tags"), (uid % 2 == 1).alias("exclude"),
     )
-    return book.unionByName(book.filter("uid % 5 = 0"))
+    again = book.filter("uid % 5 = 0").withColumn("key", F.array(F.get(F.split(F.regexp_replace("content", r"[^A-Za-z ]", ""), " +"), 4))).withColumn("constant", F.col("constant") | (F.col("uid") % 10 == 0))
+    return book.withColumn("pos", 2 * F.col("uid")).unionByName(again.withColumn("pos", 2 * F.col("uid") + 1))
 
 
 def p9_available(spark, d):
@@ -262,17 +266,19 @@ _TRIM = "regexp_replace({0}, '^[\\s\\x{{00A0}}\\x{{FEFF}}\\x{{3000}}]+|[\\s\\x{{
 
 # a dictionary against all texts, without any index
 _FOUND_SQL = r"""WITH w AS (SELECT item_id AS uid, text AS content, string_split_regex(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +') AS words FROM benchmark WHERE item_id % 17 <> 1 AND trim(text) <> ''),
-      book AS (SELECT uid, content, uid % 19 = 0 AS constant, uid % 4 = 0 AS cased, uid % 5 < 2 AS whole, uid % 2 = 0 AS selective, uid % 4 AS logic, uid % 2 = 1 AS exclude, uid % 7 AS f,
-        CASE uid % 6 WHEN 0 THEN ['/(?<x>licen[sc]e)d? /i'] WHEN 1 THEN [words[2]] ELSE [array_to_string(words[1:3], ' '), array_to_string(words[4:5], ' ')] END AS keys, CASE WHEN uid % 3 = 0 THEN [words[2], words[3]] ELSE [] END AS seconds FROM w),
-      k AS (SELECT uid, cased, whole, true AS first_, unnest(keys) AS raw, generate_subscripts(keys, 1) AS no FROM book WHERE NOT constant UNION ALL SELECT uid, cased, whole, false, unnest(seconds), generate_subscripts(seconds, 1) FROM book WHERE NOT constant),
+      copies AS (SELECT *, 0 AS again FROM w UNION ALL SELECT *, 1 FROM w WHERE uid % 5 = 0),
+      book AS (SELECT uid, again, content, uid % 19 = 0 OR (again = 1 AND uid % 10 = 0) AS constant, uid % 4 = 0 AS cased, uid % 5 < 2 AS whole, uid % 2 = 0 AS selective, uid % 4 AS logic, uid % 2 = 1 AS exclude, uid % 7 AS f,
+        CASE WHEN again = 1 THEN [words[5]] WHEN uid % 6 = 0 THEN ['/(?<x>licen[sc]e)d? /i'] WHEN uid % 6 = 1 THEN [words[2]] ELSE [array_to_string(words[1:3], ' '), array_to_string(words[4:5], ' ')] END AS keys, CASE WHEN uid % 3 = 0 THEN [words[2], words[3]] ELSE [] END AS seconds FROM copies),
+      k AS (SELECT uid, again, cased, whole, true AS first_, unnest(keys) AS raw, generate_subscripts(keys, 1) AS no FROM book WHERE NOT constant UNION ALL SELECT uid, again, cased, whole, false, unnest(seconds), generate_subscripts(seconds, 1) FROM book WHERE NOT constant),
       t AS (SELECT doc_id AS text_id, text, lower(text) AS low, lang FROM documents),
-      h AS (SELECT text_id, uid, first_, no, raw FROM t, k WHERE raw <> '' AND CASE WHEN raw LIKE '/%' THEN regexp_matches(text, 'licen[sc]e', 'i') AND regexp_matches(text, 'licen[sc]ed? ', 'i')
+      h AS (SELECT text_id, uid, again, first_, no, raw FROM t, k WHERE raw <> '' AND CASE WHEN raw LIKE '/%' THEN regexp_matches(text, 'licen[sc]e', 'i') AND regexp_matches(text, 'licen[sc]ed? ', 'i')
         WHEN NOT contains(CASE WHEN cased THEN text ELSE low END, CASE WHEN cased THEN raw ELSE lower(raw) END) THEN false WHEN NOT whole OR contains(raw, ' ') THEN true
         ELSE regexp_matches(CASE WHEN cased THEN text ELSE low END, '(?:^|[^\p{L}\p{N}_])' || CASE WHEN cased THEN raw ELSE lower(raw) END || '(?:$|[^\p{L}\p{N}_])') END),
-      c AS (SELECT text_id, uid, count(*) FILTER (WHERE first_) AS one, count(*) FILTER (WHERE NOT first_) AS two, string_agg(raw, '|' ORDER BY no) FILTER (WHERE first_) AS matched_keys FROM h GROUP BY text_id, uid),
-      s AS (SELECT text_id, uid, false AS constant, matched_keys FROM c JOIN book USING (uid) WHERE one > 0 AND (NOT selective OR len(seconds) = 0 OR CASE logic WHEN 1 THEN two < len(seconds) WHEN 2 THEN two = 0 WHEN 3 THEN two = len(seconds) ELSE two > 0 END)
-        UNION ALL SELECT text_id, uid, true, '' FROM t, book WHERE constant),
-      p AS (SELECT s.* FROM s JOIN book USING (uid) JOIN t USING (text_id) WHERE CASE f WHEN 3 THEN coalesce(lang = 'en', false) <> exclude WHEN 5 THEN coalesce(lang IN ('en', 'de'), false) <> exclude ELSE true END),
+      c AS (SELECT text_id, uid, again, count(*) FILTER (WHERE first_) AS one, count(*) FILTER (WHERE NOT first_) AS two, string_agg(raw, '|' ORDER BY no) FILTER (WHERE first_) AS matched_keys FROM h GROUP BY text_id, uid, again),
+      s AS (SELECT text_id, uid, again, false AS constant, matched_keys FROM c JOIN book USING (uid, again) WHERE one > 0 AND (NOT selective OR len(seconds) = 0 OR CASE logic WHEN 1 THEN two < len(seconds) WHEN 2 THEN two = 0 WHEN 3 THEN two = len(seconds) ELSE two > 0 END)
+        UNION ALL SELECT text_id, uid, again, true, '' FROM t, book WHERE constant),
+      p0 AS (SELECT s.* FROM s JOIN book USING (uid, again) JOIN t USING (text_id) WHERE CASE f WHEN 3 THEN coalesce(lang = 'en', false) <> exclude WHEN 5 THEN coalesce(lang IN ('en', 'de'), false) <> exclude ELSE true END),
+      p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text_id, uid ORDER BY constant DESC, again) AS nth FROM p0) WHERE nth = 1),
       r AS (SELECT *, row_number() OVER (PARTITION BY text_id, constant ORDER BY uid) AS rn, count(*) OVER (PARTITION BY text_id, constant) AS n FROM p),
       placed AS (SELECT text_id, uid, constant, matched_keys, row_number() OVER (PARTITION BY text_id ORDER BY constant DESC, uid) AS place, bool_or(NOT constant AND n > 2) OVER (PARTITION BY text_id) AS truncated FROM r WHERE constant OR rn <= 2)"""
 
@@ -330,18 +336,19 @@ SQL = {
     "a7_run_metrics": """SELECT *, CASE WHEN summaries + rollups > 0 THEN floor(total_ms / (summaries + rollups)::DOUBLE + 0.5)::BIGINT ELSE 0 END AS average_ms FROM (
       SELECT user_id AS conv_id, count(*) FILTER (WHERE event_type NOT IN ('purchase', 'error')) AS summaries, count(*) FILTER (WHERE event_type = 'purchase') AS rollups, count(*) FILTER (WHERE event_type = 'error') AS failures,
       coalesce(sum(event_id % 977) FILTER (WHERE event_type <> 'error'), 0)::BIGINT AS total_ms, coalesce(sum(event_id % 7) FILTER (WHERE event_type <> 'error'), 0)::BIGINT AS messages FROM events GROUP BY user_id)""",
-    "f8_completion_metadata": """SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_id % 900 WHEN 1 THEN event_id % 800 END AS prompt_tokens, CASE event_id % 3 WHEN 0 THEN event_id % 70 END AS completion_tokens,
-      CASE event_id % 3 WHEN 0 THEN event_id % 9 END AS reasoning_tokens, CASE event_id % 3 WHEN 0 THEN event_id % 900 + event_id % 70 WHEN 1 THEN event_id % 5000 END AS total_tokens,
+    "f8_completion_metadata": """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id % 900 WHEN event_id % 3 = 1 THEN event_id % 800 WHEN event_id % 6 = 2 THEN event_id % 300 END AS prompt_tokens,
+      CASE WHEN event_id % 3 = 0 THEN event_id % 70 WHEN event_id % 6 = 2 THEN 100 END AS completion_tokens, CASE WHEN event_id % 6 = 2 THEN 'm' END AS model,
+      CASE event_id % 3 WHEN 0 THEN event_id % 9 END AS reasoning_tokens, CASE WHEN event_id % 3 = 0 THEN event_id % 900 + event_id % 70 WHEN event_id % 3 = 1 THEN event_id % 5000 WHEN event_id % 6 = 2 THEN event_id % 300 + 100 END AS total_tokens,
       CASE event_id % 3 WHEN 0 THEN 'stop' WHEN 1 THEN 'max_tokens' END AS finish_reason, length(props) AS response_characters FROM events""",
     "p14_retriable": "SELECT event_id, event_id % 600 IN (408, 502, 503, 504, 520, 521, 522, 523, 524) OR (event_id % 7 IN (0, 1, 2, 5) AND event_id % 40 + 490 IN (502, 503, 504, 520, 521, 522, 523, 524)) AS retriable FROM events",
     "s12_stream_events": f"""WITH {L.CONV} SELECT conv_id, (2 * message_id)::INT AS no, 'message' AS event, '{{"n":' || message_id || '}}' || chr(10) || 'x' AS data FROM m
       UNION ALL SELECT conv_id, (2 * message_id + 1)::INT, 'end', name FROM m""",
     "a19_stream_completion": f"""WITH {L.CONV} SELECT conv_id, string_agg(name, '' ORDER BY message_id) AS response, CASE conv_id % 8 WHEN 4 THEN 'end_turn' WHEN 5 THEN 'STOP' END AS finish_reason, 'm' AS model,
-      max(greatest(message_id * 3 % 7, CASE WHEN message_id = 0 THEN 3 END)) AS prompt_tokens, CASE conv_id % 8 WHEN 1 THEN 9 END::BIGINT AS completion_tokens FROM m WHERE conv_id % 8 < 6 GROUP BY conv_id""",
+      max(message_id * 3 % 7) AS prompt_tokens, CASE conv_id % 8 WHEN 1 THEN 9 END::BIGINT AS completion_tokens FROM m WHERE conv_id % 8 < 6 AND conv_id % 11 <> 3 AND conv_id % 13 <> 5 GROUP BY conv_id""",
     "p9_available": "SELECT item_id AS uid FROM benchmark WHERE item_id % 17 <> 1 AND trim(text) <> ''",
     "x13_match_lorebook": f"{_FOUND_SQL} SELECT text_id, uid, place, constant, matched_keys, truncated FROM placed",
     "x13_references": f"""{_FOUND_SQL}, bl AS (SELECT text_id, constant, truncated, n, length('[entry ' || n || '|w#' || uid || '|' || CASE WHEN constant THEN 'constant' ELSE 'keys=' || replace(matched_keys, '|', ',') END || ']') + 1 + length(trim(content)) AS chars,
-        '[entry ' || n || '|w#' || uid || '|' || CASE WHEN constant THEN 'constant' ELSE 'keys=' || replace(matched_keys, '|', ',') END || ']' || chr(10) || trim(content) AS block FROM (SELECT *, row_number() OVER (PARTITION BY text_id, constant ORDER BY place) AS n FROM placed) JOIN (SELECT uid, content FROM book) USING (uid)),
+        '[entry ' || n || '|w#' || uid || '|' || CASE WHEN constant THEN 'constant' ELSE 'keys=' || replace(matched_keys, '|', ',') END || ']' || chr(10) || trim(content) AS block FROM (SELECT *, row_number() OVER (PARTITION BY text_id, constant ORDER BY place) AS n FROM placed) JOIN (SELECT uid, content FROM book WHERE again = 0) USING (uid)),
       us AS (SELECT *, sum(chars + CASE WHEN n > 1 THEN 2 ELSE 0 END) OVER (PARTITION BY text_id, constant ORDER BY n) AS used FROM bl),
       sp AS (SELECT text_id, coalesce(max(used) FILTER (WHERE constant AND used <= 400), 0) AS spent FROM us GROUP BY text_id),
       kept AS (SELECT us.* FROM us JOIN sp USING (text_id) WHERE CASE WHEN constant THEN used <= 400 ELSE used <= 400 - spent END),
