@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlog.llm.common import small, stored, table
+from convlog.llm.common import dropped, small, stored, table
 from convlog.llm.tokenize import slices
 from convlog.llm.words import AS_IS, SPACE, hashed_words, mixed
 
@@ -207,6 +207,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     least = windows.groupBy("print", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     found = windows.join(least, ["print", "check"]).filter("id > least").select("id", F.struct("print", "check").alias("print"))
     prints = stored(found.groupBy("id").agg(F.collect_set("print").alias("prints")), "substring-prints")
+    dropped(windows)
     touched = single.join(small(prints.select("id"), 2_000_000), "id", "left_semi").join(prints, "id")
     cut = stored(_cut(touched, window), "substring-cut")
     changes = cut.select("id", "digest", "n_removed", "kept_sha256").distinct().withColumn("all", F.lit(False)).unionByName(
