@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from convlog.functions.text import trim
+from convlog.operators.state import text_of
+from convlog.operators.tokens import counted_tokens
+
 CATEGORIES = ["system", "character", "world_info", "examples", "recent_context", "summary", "other", "unclassified"]
 COUNTED = ["raw", "summary", "character", "world_info", "examples", "anchors", "instruction", "story", "chat"]
 
@@ -67,3 +73,44 @@ def token_breakdown(records: DataFrame) -> DataFrame:
         "record_id", "total", *(v.cast("long").alias(k) for k, v in shares.items()),
         F.when(c("form") != "parts", context).cast("long").alias("context_tokens"), (c("form") != "parts").alias("detailed"), (c("form") == "chat").alias("measured"),
     )
+
+
+BUCKETS = ["system", "recent_context", "summary", "other"]
+
+
+def message_buckets(snapshots: DataFrame, tag: str = "log_summary") -> DataFrame:
+    """record_id, bucket, text: the texts of a list of messages by what they are for.
+
+    snapshots: record_id, messages (a JSON array of objects with role and content, nested as prompts are), tools (a JSON
+    array). Blocks in the tag are split off first, as `summary`; what is left of a message goes by its role: system and
+    developer to system, user and assistant to recent_context, any other to other, and so do the tools.
+    """
+    messages = snapshots.select("record_id", F.posexplode(F.try_variant_get(F.try_parse_json("messages"), "$", "array<variant>")).alias("at", "m"))
+    plain = F.lower(F.when(F.schema_of_variant(F.try_variant_get("m", "$.role", "variant")) == "STRING", F.try_variant_get("m", "$.role", "string")))
+    rows = messages.select("record_id", "at", text_of(F.col("m"), 3).alias("text"), F.coalesce(plain, F.lit("")).alias("role")).filter(trim(F.col("text")) != "")
+    rows = rows.withColumn("blocks", F.array_join(F.regexp_extract_all("text", F.lit(rf"(?is)<{tag}>.*?</{tag}>"), 0), "\n"))
+    rest = trim(F.when(trim(F.col("blocks")) != "", F.replace("text", F.col("blocks"), F.lit(""))).otherwise(F.col("text")))
+    bucket = F.when(F.col("role").isin("system", "developer"), "system").when(F.col("role").isin("user", "assistant"), "recent_context").otherwise("other")
+    parts = F.array(F.struct(F.lit("summary").alias("bucket"), F.col("blocks").alias("t")), F.struct(bucket.alias("bucket"), rest.alias("t")))
+    told = rows.select("record_id", "at", F.explode(parts).alias("p")).select("record_id", "at", "p.*").filter("t <> ''")
+    tools = F.try_parse_json("tools")
+    more = snapshots.filter(F.size(F.try_variant_get(tools, "$", "array<variant>")) > 0).select("record_id", F.lit(2**31 - 1).alias("at"), F.lit("other").alias("bucket"), F.to_json(tools).alias("t"))
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("at", "t"))), lambda x: x["t"])
+    return told.unionByName(more).groupBy("record_id", "bucket").agg(F.array_join(ordered, "\n").alias("text"))
+
+
+def message_breakdown(snapshots: DataFrame, counter: Callable[[str], float] | None = None, tag: str = "log_summary") -> DataFrame:
+    """record_id, total, the tokens of BUCKETS, unclassified, measured: where the tokens of a list of messages went.
+
+    snapshots: as for message_buckets, with actual_tokens, what the provider measured (null: not yet). The buckets' counts
+    are scaled down to what was measured where they are more; what they don't explain of it is unclassified. Without a
+    measure the total is theirs. Records without any tokens are left out.
+    """
+    counted = counted_tokens(message_buckets(snapshots, tag), counter=counter)
+    seeds = counted.groupBy("record_id").agg(*(F.sum(F.when(F.col("bucket") == b, F.col("tokens"))).alias(f"_{b}") for b in BUCKETS))
+    seeds = snapshots.select("record_id", "actual_tokens").join(seeds, "record_id", "left").withColumns({f"_{b}": F.coalesce(f"_{b}", F.lit(0)) for b in BUCKETS})
+    found = sum((F.col(f"_{b}") for b in BUCKETS), F.lit(0))
+    rows = seeds.withColumn("total", F.coalesce("actual_tokens", found).cast("long")).filter("total > 0")
+    rows = with_shares(rows, "shares", [F.col(f"_{b}") for b in BUCKETS], F.col("total"))
+    shares = [F.col("shares")[k].alias(b) for k, b in enumerate(BUCKETS)]
+    return rows.select("record_id", "total", *shares, F.greatest(F.col("total") - _sum("shares"), F.lit(0)).alias("unclassified"), F.col("actual_tokens").isNotNull().alias("measured"))

@@ -45,6 +45,29 @@ def latest_within(left: DataFrame, right: DataFrame, key: str, seconds: int) ->
     return met.select(*left.columns, F.col("_seen.other").alias("other"), F.col("_seen.captured").alias("captured"))
 
 
+def matched_once(left: DataFrame, right: DataFrame, key: str, seconds: int, prepared: DataFrame | None = None) -> DataFrame:
+    """Each left row (key, id, at) with the latest right row (key, other, captured) since the left row before it of the same
+    key, if that is at most so many seconds older: a left row uses up all that was captured before it, matched or not, so a
+    right row is used once. With prepared (key, at) there must be such a row, too, since the left row before. Left rows
+    without a match have no row; of left rows at one time that of smaller id comes first. One sorted pass over a key's rows.
+    """
+    fields = [c for c in left.columns if c != key]
+    none = F.lit(None)
+    taken, held = left.select(F.struct(*fields)).schema[0].dataType, right.select(F.struct("captured", "other")).schema[0].dataType
+    rows = left.select(key, F.unix_micros("at").alias("_t"), F.lit(2).alias("_side"), F.struct(*fields).alias("_left"), none.cast(held).alias("_right"), F.col("id").alias("_o"))
+    rows = rows.unionByName(right.select(key, F.unix_micros("captured").alias("_t"), F.lit(1).alias("_side"), none.cast(taken).alias("_left"), F.struct("captured", "other").alias("_right"), none.cast(left.schema["id"].dataType).alias("_o")))
+    if prepared is not None:
+        rows = rows.unionByName(prepared.select(key, F.unix_micros("at").alias("_t"), F.lit(0).alias("_side"), none.cast(taken).alias("_left"), none.cast(held).alias("_right"), none.cast(left.schema["id"].dataType).alias("_o")))
+    before = Window.partitionBy(key).orderBy("_t", "_side", "_o", "_right").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_turn", F.coalesce(F.count_if(F.col("_side") == 2).over(before), F.lit(0)))
+    last = F.last(F.when(F.col("_side") == 1, F.struct("_turn", "_t", "_right")), ignorenulls=True).over(before)
+    ready = F.last(F.when(F.col("_side") == 0, F.col("_turn")), ignorenulls=True).over(before)
+    met = rows.withColumn("_last", last).withColumn("_ready", ready).filter("_side = 2 and _last._turn = _turn").filter(F.col("_t") - F.col("_last._t") <= seconds * 1_000_000)
+    if prepared is not None:
+        met = met.filter("_ready = _turn")
+    return met.select(key, *(F.col(f"_left.{c}").alias(c) for c in fields), F.col("_last._right.other").alias("other"), F.col("_last._right.captured").alias("captured"))
+
+
 def branch(entries: DataFrame, branches: DataFrame) -> DataFrame:
     """entries and copies of those of each branch's source (conv_id, new_id) up to the row at which it leaves (upto)."""
     copies = entries.join(branches, "conv_id").filter("end_id <= upto").withColumn("conv_id", F.col("new_id"))

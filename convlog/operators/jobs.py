@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from convlog.functions.text import summary_text, token_estimate, visible_text
 from convlog.operators.chunks import chunk_rows, plan_chunks, ready_chunks
-from convlog.operators.lineage import frontier_signature, ordered_text, payload, range_hashes
+from convlog.operators.lineage import RECORD, frontier_signature, ordered_text, payload, range_hashes
+from convlog.operators.rollup import joined_texts
 from convlog.operators.turns import ready_target
 
 
@@ -71,6 +72,48 @@ def rebuild(entries: DataFrame, messages: DataFrame, chunks: DataFrame, drafts:
     return swapped, now.join(whole, "conv_id", "left_anti")
 
 
+def regenerate(requests: DataFrame, entries: DataFrame, messages: DataFrame, children: DataFrame, summariser: Callable[[Column], Column] | None = None, merge: Callable[[Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(results, refused) of making single entries anew: requests (conv_id, level, start_id, end_id, updated_at).
+
+    An entry must be live, undeleted and as it was when it was asked for (updated_at). One of level 1 is made from its rows,
+    whose hash must be the one it has (or it has none); a higher one from its saved children (conv_id, parent_level,
+    parent_start, level, start_id, end_id, source_hash, text, deleted), which must be neighbours that cover its range and
+    have its digest, and of whom one at least isn't deleted. results have the entry's fields with the new text, and the
+    signature of the log's entries now, for still_valid when they are written; refused are the requests with a reason.
+    """
+    lock = ["conv_id", "level", "start_id", "end_id"]
+    held = requests.join(entries.filter("not deleted").select(*lock, "updated_at", "source_hash"), [*lock, "updated_at"])
+    told = [requests.join(held.select(*lock, "updated_at"), [*lock, "updated_at"], "left_anti").withColumn("reason", F.lit("changed"))]
+    # level 1
+    first = held.filter("level = 1")
+    now = range_hashes(messages, first.select("conv_id", "start_id", "end_id")).withColumnRenamed("source_hash", "now").distinct()
+    size = messages.groupBy("conv_id").agg(F.max("message_id").alias("last"))
+    read = first.join(now, ["conv_id", "start_id", "end_id"], "left").join(size, "conv_id", "left")
+    same = F.coalesce((F.col("end_id") <= F.col("last")) & F.col("now").isNotNull() & ((F.coalesce("source_hash", F.lit("")) == "") | (F.col("source_hash") == F.col("now"))), F.lit(False))
+    told.append(read.filter(~same).select(*requests.columns, F.lit("source").alias("reason")))
+    chunks = read.filter(same).select("conv_id", F.col("start_id").alias("chunk"), "start_id", "end_id").distinct()
+    made = summarise(messages, chunks, summariser).select("conv_id", F.lit(1).alias("level"), "start_id", "end_id", "text", "source_hash")
+    # higher levels
+    higher = held.filter("level > 1")
+    kin = children.select("conv_id", F.col("parent_level").alias("p_level"), F.col("parent_start").alias("p_start"), F.struct("start_id", "end_id", "level", "source_hash", "text", "deleted").alias("c"))
+    kin = kin.groupBy("conv_id", F.col("p_level").alias("level"), F.col("p_start").alias("start_id")).agg(F.sort_array(F.collect_list("c")).alias("c"))
+    own = higher.join(kin, ["conv_id", "level", "start_id"], "left")
+    c = F.col("c")
+    steps = F.forall(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.get(c, i)["start_id"] == F.get(c, i - 1)["end_id"] + 1)
+    ranged = (F.size(c) >= 2) & F.forall(c, lambda x: x["level"] == F.col("level") - 1) & (F.get(c, F.lit(0))["start_id"] == F.col("start_id")) & (F.element_at(c, -1)["end_id"] == F.col("end_id")) & F.when(F.size(c) >= 2, steps)
+    lines = F.transform(c, lambda x: payload(x["level"], x["start_id"], x["end_id"], x["source_hash"], x["text"], x["deleted"]))
+    whole = F.coalesce(ranged & (F.sha2(F.array_join(lines, RECORD), 256) == F.col("source_hash")) & F.exists(c, lambda x: ~x["deleted"]), F.lit(False))
+    told.append(own.filter(~whole).select(*requests.columns, F.lit("children").alias("reason")))
+    texts = F.transform(c, lambda x: F.when(x["deleted"], "").otherwise(x["text"]))
+    parents = own.filter(whole).select(*lock, summary_text((merge or joined_texts)(texts)).alias("text"), "source_hash").filter("text is not null")
+    results = made.unionByName(parents)
+    told.append(held.join(results.select(*lock), lock, "left_anti").join(told[1].unionByName(told[2]).select(*lock), lock, "left_anti").select(*requests.columns, F.lit("empty").alias("reason")))
+    refused = told[0].select(*requests.columns, "reason")
+    for more in told[1:]:
+        refused = refused.unionByName(more)
+    return results.withColumn("deleted", F.lit(False)).join(frontier_signature(entries), "conv_id"), refused
+
+
 def unfinished(chunks: DataFrame, drafts: DataFrame) -> DataFrame:
     """Chunks (conv_id, chunk, start_id, end_id, source_hash) not among the drafts that still hold: the leading ones of each
     log with the same range and hash."""

@@ -11,19 +11,20 @@ STAGES = ["summary", "interceptor", "error"]  # fixed values: of a trace
 def prompt_text(payload: Column, depth: int = 3) -> Column:
     """The text of a JSON prompt: a text as it is; of a list its parts that have any, a line each; of an object its content,
     else its text. Nesting beyond the depth has no text; what isn't JSON has none either."""
-    return _text_of(F.try_parse_json(payload), depth)
+    return text_of(F.try_parse_json(payload), depth)
 
 
-def _text_of(v: Column, depth: int) -> Column:
+def text_of(v: Column, depth: int) -> Column:
+    """prompt_text of a parsed value."""
     kind = F.schema_of_variant(v)
     own = F.when(kind == "STRING", F.try_variant_get(v, "$", "string"))
     text = F.try_variant_get(v, "$.text", "variant")
     of_text = F.when(F.schema_of_variant(text) == "STRING", F.try_variant_get(text, "$", "string"))
     if depth == 0:
         return F.coalesce(own, of_text, F.lit(""))
-    parts = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _text_of(x, depth - 1)), lambda t: t != "")
+    parts = F.filter(F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: text_of(x, depth - 1)), lambda t: t != "")
     content = F.try_variant_get(v, "$.content", "variant")
-    return F.coalesce(own, F.when(kind.startswith("ARRAY"), F.array_join(parts, "\n")), F.when(content.isNotNull(), _text_of(content, depth - 1)), of_text, F.lit(""))
+    return F.coalesce(own, F.when(kind.startswith("ARRAY"), F.array_join(parts, "\n")), F.when(content.isNotNull(), text_of(content, depth - 1)), of_text, F.lit(""))
 
 
 def substituted(text: Column, values: dict[str, str]) -> Column:

@@ -2,10 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from convlog.functions.text import token_estimate
+from convlog.functions.text import token_estimate, trim
+
+
+def counted_tokens(rows: DataFrame, text_col: str = "text", counter: Callable[[str], float] | None = None) -> DataFrame:
+    """rows with tokens and estimated: what counter says of each text, blanks at its ends aside, rounded; the estimate where
+    there is no counter, or it fails or gives no finite number of 0 or more. Blank and null texts have 0, not estimated.
+    Equal texts are counted once: distinct ones go through the counter, and their numbers are joined back by digest."""
+    text = trim(F.coalesce(F.col(text_col), F.lit("")))
+    guess = F.when(text == "", F.lit(0)).otherwise(token_estimate(text)).cast("long")
+    if counter is None:
+        return rows.withColumn("tokens", guess).withColumn("estimated", text != "")
+
+    @F.pandas_udf("double")
+    def told(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> float | None:
+            try:
+                n = float(counter(t))
+            except Exception:  # noqa: BLE001 - a counter that fails is answered by the estimate
+                return None
+            return n if 0 <= n < float("inf") else None
+
+        return texts.map(one).astype("float64")
+
+    keyed = rows.withColumn("_digest", F.sha2(text, 256))
+    distinct = keyed.filter(text != "").groupBy("_digest").agg(F.first(text).alias("_t"))
+    known = distinct.select("_digest", F.floor(told(F.col("_t")) + 0.5).cast("long").alias("_n"))
+    out = keyed.join(known, "_digest", "left").withColumn("tokens", F.coalesce("_n", guess)).withColumn("estimated", F.col("_n").isNull() & (text != ""))
+    return out.select(*rows.columns, "tokens", "estimated")
 
 
 def sampled_tokens(rows: DataFrame, samples: int = 200) -> DataFrame:

@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from convlog.functions.text import token_estimate
 from convlog.operators import chunks, turns
-from convlog.plans import job_queries, log_queries, table_queries
+from convlog.plans import job_queries, log_queries, stream_queries, table_queries
 from convlog.sources.messages import from_events
 from convlog.streaming.refresh import r1_incremental_refresh
 
-QUERIES = {**log_queries.QUERIES, **table_queries.QUERIES, **job_queries.QUERIES, "r1_incremental_refresh": r1_incremental_refresh}
-SQL = {**log_queries.SQL, **table_queries.SQL, **job_queries.SQL, "r1_incremental_refresh": log_queries.EDITED_SQL}
+QUERIES = {**log_queries.QUERIES, **table_queries.QUERIES, **job_queries.QUERIES, **stream_queries.QUERIES, "r1_incremental_refresh": r1_incremental_refresh}
+SQL = {**log_queries.SQL, **table_queries.SQL, **job_queries.SQL, **stream_queries.SQL, "r1_incremental_refresh": log_queries.EDITED_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ def window_sql(unit: str, size: int, source: str = "m") -> str:
 
 def greedy_sql(turns: int, chars: int, boundary: str = "false", size: str = "length(text)") -> str:
     """Rows of m one by one: a chunk's start and planned end, then where a boundary row ends it, then the next one's start.
-    CTEs g (numbered rows), r (a state a row read) and plan (conv_id, chunk, start_id, end_id, planned_end)."""
+    CTEs g (numbered rows), r (a state a row read) and plan (conv_id, chunk, start_id, end_id, planned_end, open_: just the log's
+    end closed it)."""
     over = "r.cc + g.size > {0} AND r.zl IS NOT NULL".format(chars)
     done = "NOT g.is_system AND NOT g.is_user AND r.w"
     full = f"({done} AND (r.t + 1 >= {turns} OR r.cc + g.size >= {chars}))"
@@ -43,15 +44,15 @@ def greedy_sql(turns: int, chars: int, boundary: str = "false", size: str = "len
     planned = f"CASE WHEN {over} THEN r.zl WHEN {full} OR g.message_id = g.last_ THEN g.message_id END"
     return f"""g AS (SELECT conv_id, message_id, is_user, is_system, coalesce({size}, 0) AS size, {boundary} AS mark, max(message_id) OVER (PARTITION BY conv_id) AS last_ FROM m),
   r AS (
-    SELECT DISTINCT conv_id, 0::BIGINT AS i, 0::BIGINT AS start_id, 0::BIGINT AS t, 0::BIGINT AS cc, NULL::BIGINT AS zl, false AS w, NULL::BIGINT AS nb, 0::BIGINT AS chunk, NULL::BIGINT AS from_, NULL::BIGINT AS end_id, NULL::BIGINT AS planned_end FROM g
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, 0::BIGINT AS start_id, 0::BIGINT AS t, 0::BIGINT AS cc, NULL::BIGINT AS zl, false AS w, NULL::BIGINT AS nb, 0::BIGINT AS chunk, NULL::BIGINT AS from_, NULL::BIGINT AS end_id, NULL::BIGINT AS planned_end, false AS open_ FROM g
     UNION ALL
     SELECT conv_id, CASE WHEN p IS NULL THEN i + 1 ELSE e + 1 END, CASE WHEN p IS NULL THEN start_id ELSE e + 1 END, CASE WHEN p IS NULL THEN t ELSE 0 END, CASE WHEN p IS NULL THEN cc ELSE 0 END, CASE WHEN p IS NULL THEN zl END, p IS NULL AND w,
-      CASE WHEN p IS NULL THEN nb END, CASE WHEN p IS NULL THEN chunk ELSE chunk + 1 END, CASE WHEN p IS NOT NULL THEN start_id END, e, p
+      CASE WHEN p IS NULL THEN nb END, CASE WHEN p IS NULL THEN chunk ELSE chunk + 1 END, CASE WHEN p IS NOT NULL THEN start_id END, e, p, open_
     FROM (SELECT *, CASE WHEN nb <= p THEN nb - 1 ELSE p END AS e FROM (
       SELECT r.conv_id, r.i, r.start_id, r.chunk, r.t + ({done})::INT AS t, r.cc + g.size AS cc, CASE WHEN {done} THEN g.message_id ELSE r.zl END AS zl,
-        CASE WHEN g.is_system THEN r.w WHEN g.is_user THEN true ELSE false END AS w, {mark} AS nb, {planned} AS p
+        CASE WHEN g.is_system THEN r.w WHEN g.is_user THEN true ELSE false END AS w, {mark} AS nb, {planned} AS p, coalesce(NOT ({over}), true) AND NOT {full} AS open_
       FROM r JOIN g ON g.conv_id = r.conv_id AND g.message_id = r.i))),
-  plan AS (SELECT conv_id, chunk - 1 AS chunk, from_ AS start_id, end_id, planned_end FROM r WHERE from_ IS NOT NULL)"""
+  plan AS (SELECT conv_id, chunk - 1 AS chunk, from_ AS start_id, end_id, planned_end, open_ FROM r WHERE from_ IS NOT NULL)"""
 
 
 DOCS = """m AS (
@@ -290,8 +291,8 @@ SQL = {
     "a10_non_system_count": f"WITH {LOGS}, r AS (SELECT conv_id, conv_id % 4 AS start, max(message_id) // 2 AS \"end\" FROM m GROUP BY conv_id) SELECT conv_id, start, \"end\", count(*) FILTER (WHERE message_id >= start AND message_id < \"end\" AND NOT is_system) AS n FROM m JOIN r USING (conv_id) GROUP BY ALL",
     "u3_remove_rows": f"WITH {LOGS}, {window_sql('turns', SIZE)} SELECT m.conv_id, message_id, name FROM m LEFT JOIN win USING (conv_id) WHERE is_system OR retained_start IS NULL OR message_id >= retained_start",
     "w8_chunk_plan": f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL} SELECT * FROM chunks",
-    "w8_chunk_fold": f"WITH RECURSIVE {LOGS}, {greedy_sql(3, LIMIT, MARK)} SELECT * FROM plan",
-    "w8_chunk_plan_limited": f"WITH RECURSIVE {DOCS}, {greedy_sql(3, 20_000)} SELECT * FROM plan",
+    "w8_chunk_fold": f"WITH RECURSIVE {LOGS}, {greedy_sql(3, LIMIT, MARK)} SELECT * EXCLUDE (open_) FROM plan",
+    "w8_chunk_plan_limited": f"WITH RECURSIVE {DOCS}, {greedy_sql(3, 20_000)} SELECT * EXCLUDE (open_) FROM plan",
     "a3_chunk_sizes": f"WITH {LOGS}, {FLAGS}, {CHUNKS_SQL} SELECT c.conv_id, chunk, count(*) AS messages, sum(length(text))::BIGINT AS chars FROM chunks c JOIN m ON m.conv_id = c.conv_id AND message_id BETWEEN start_id AND end_id GROUP BY ALL",
     "w10_ready_chunks": f"""WITH {LOGS}, {FLAGS}, {CHUNKS_SQL}, k AS (SELECT *, max(chunk) OVER (PARTITION BY conv_id) = chunk AND conv_id % 2 = 0 AS cut, end_id AS planned FROM chunks),
       e AS (SELECT conv_id, chunk, start_id, CASE WHEN cut THEN start_id ELSE planned END AS end_id, planned FROM k),

@@ -194,15 +194,19 @@ def s12_stream_events(spark, d):
 ENDS = ["data: [DONE]", 'data: {"type":"response.completed","response":{"usage":{"output_tokens":9}}}', "event: message-end\ndata: {}", 'data: {"done":true}', 'data: {"delta":{"stop_reason":" end_turn "}}', 'data: {"candidates":[{"finishReason":"STOP"}]}', 'data: {"done":false}', ""]
 
 
-def a19_stream_completion(spark, d):
-    m = from_conversations(spark, d)
+def stream_pieces(m: DataFrame) -> DataFrame:
+    """conv_id, seq, piece: a stream a conversation, in some with a fault, ended in several ways or not at all."""
     last = F.max("message_id").over(Window.partitionBy("conv_id"))
     fault = F.when(F.col("conv_id") % 11 == 3, 'data: {"error":null}\n\n').when(F.col("conv_id") % 13 == 5, "data: {oops\n\n").otherwise("")
     opening = F.when(F.col("message_id") == 0, F.concat(F.lit('data: {"message":{"model":"m","usage":{"input_tokens":30}}}\n\n'), fault)).otherwise("")
     late = F.lit('data: {"usage":{"prompt_tokens":99},"choices":[{"delta":{"content":"late"}}]}\n\n')  # behind an end it doesn't count
     body = F.concat(F.lit('data: {"usage":{"prompt_tokens":'), (F.col("message_id") * 3 % 7).cast("string"), F.lit('},"choices":[{"delta":{"content":"'), F.col("name"), F.lit('"}}]}\n\n'))
     end = F.when(F.col("message_id") == last, F.concat(F.get(F.array(*map(F.lit, ENDS)), (F.col("conv_id") % len(ENDS)).cast("int")), F.lit("\n\n"), F.when(F.col("conv_id") % 8 < 4, late).otherwise(""))).otherwise("")
-    return usage.stream_completion(usage.stream_events(m.select("conv_id", F.col("message_id").alias("seq"), F.concat(opening, body, end).alias("piece"))))
+    return m.select("conv_id", F.col("message_id").alias("seq"), F.concat(opening, body, end).alias("piece"))
+
+
+def a19_stream_completion(spark, d):
+    return usage.stream_completion(usage.stream_events(stream_pieces(from_conversations(spark, d))))
 
 
 def _book(spark, d) -> DataFrame:
