@@ -241,7 +241,7 @@ def j11_preferred_snapshots(spark, d):
 
 
 def x7_inspections(spark, d):
-    return context.inspections(from_events(spark, d), L._first_entries(spark, d), L.SIZE, _boundary(), F.col("message_id") % 2 == 0)
+    return context.inspections(from_events(spark, d), L._first_entries(spark, d), L.SIZE, _boundary(), F.col("message_id") % 2 == 0, (4, 2)).withColumn("warnings", F.array_join("warnings", ","))
 
 
 def _records(spark, d):
@@ -415,9 +415,11 @@ SQL = {
       st AS (SELECT conv_id, least(retained_start, greatest(0, coalesce(covered + 1, 0))) AS start FROM win LEFT JOIN cov USING (conv_id)), {L._ALIGN}, {L.PHASE_SQL},
       g AS (SELECT m.conv_id, count(*) AS removed, sum(ceil(length(text) / 4.0))::BIGINT AS tokens_removed FROM m JOIN aligned USING (conv_id) WHERE message_id < aligned AND NOT is_system GROUP BY m.conv_id),
       ca AS (SELECT e.* FROM e LEFT JOIN phase USING (conv_id) LEFT JOIN cur USING (conv_id) WHERE NOT deleted AND (phase_start IS NULL OR coalesce(current_input % 2 = 0, false) OR start_id >= phase_start)),
-      h AS (SELECT conv_id, count(*) AS n, ceil(length(string_agg({_BLOCK}, chr(10) ORDER BY start_id)) / 4.0)::BIGINT AS tokens FROM ca GROUP BY conv_id), lv AS (SELECT conv_id, count(*) AS n FROM e WHERE NOT deleted GROUP BY conv_id)
-      SELECT a.conv_id, aligned AS safe_start, coalesce(removed, 0) AS removed, coalesce(tokens_removed, 0) AS tokens_removed, CASE WHEN aligned > 0 THEN coalesce(h.n, 0) ELSE 0 END AS entries_carried,
-        CASE WHEN aligned > 0 THEN coalesce(lv.n, 0) - coalesce(h.n, 0) ELSE 0 END AS entries_left, CASE WHEN aligned > 0 THEN coalesce(tokens, 0) ELSE 0 END AS tokens_injected FROM aligned a LEFT JOIN g USING (conv_id) LEFT JOIN h USING (conv_id) LEFT JOIN lv USING (conv_id)""",
+      h AS (SELECT conv_id, count(*) AS n, ceil(length(string_agg({_BLOCK}, chr(10) ORDER BY start_id)) / 4.0)::BIGINT AS tokens FROM ca GROUP BY conv_id), lv AS (SELECT conv_id, count(*) AS n FROM e WHERE NOT deleted GROUP BY conv_id), hd AS (SELECT conv_id, count(*) AS held FROM e GROUP BY conv_id),
+      x AS (SELECT a.conv_id, 'normal' AS kind, aligned AS safe_start, current_input AS retained_end, coalesce(removed, 0) AS removed, coalesce(tokens_removed, 0) AS tokens_removed, CASE WHEN aligned > 0 THEN coalesce(h.n, 0) ELSE 0 END AS entries_carried,
+        CASE WHEN aligned > 0 THEN coalesce(lv.n, 0) - coalesce(h.n, 0) ELSE 0 END AS entries_left, CASE WHEN aligned > 0 THEN coalesce(tokens, 0) ELSE 0 END AS tokens_injected, coalesce(covered, -1) AS covered, CASE WHEN held > 4 THEN 'rollup_due' ELSE '' END AS warnings
+        FROM aligned a JOIN cur USING (conv_id) LEFT JOIN g USING (conv_id) LEFT JOIN h USING (conv_id) LEFT JOIN lv USING (conv_id) LEFT JOIN cov USING (conv_id) LEFT JOIN hd USING (conv_id))
+      SELECT *, greatest(tokens_removed - tokens_injected, 0) AS tokens_saved FROM x""",
     "f11_response_text": "SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'a' || event_id WHEN 1 THEN 'b' || event_id WHEN 2 THEN 'c' || event_id WHEN 3 THEN 'd' || event_id WHEN 4 THEN '[' || event_id || ']' END AS response FROM events",
     "f16_generation_signature": "SELECT DISTINCT conv_id, sha256('{\"id\":' || conv_id || ',\"tokens\":3000,\"model\":\"default\"}') AS signature FROM conversations",
     "s4_valid_provenance": f"""{L.STACK}, p AS (SELECT *, (row_number() OVER (PARTITION BY conv_id ORDER BY start_id) - 1) // 3 AS run FROM entries), q AS (SELECT * FROM p WHERE conv_id % 4 <> 0 OR start_id % 5 <> 0),

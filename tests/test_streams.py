@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from convlog.operators import chunks, lineage
 from convlog.params import Params
-from convlog.streaming import refresh
+from convlog.streaming import assembly, refresh
 from convlog.streaming.buckets import Buckets
 from convlog.streaming.open_chunks import Open, open_chunks, state_provider
 from test_logs import SCHEMA, by_log, random_logs, table_of, twin
@@ -158,3 +158,44 @@ def test_publish(spark, tmp_path):
     assert texts() == want
     assert not refresh.publish(store, 1, new, owners)[0] and not refresh.publish(store, 2, new.filter("conv_id > 1"), owners)[0]
     assert texts() == want and store.last() == 1
+
+
+def test_assembly(spark, tmp_path):
+    """Pieces cut anywhere and out of turn; streams that close, break, stay open, and pieces behind an end."""
+    body = {
+        1: 'data: {"choices":[{"delta":{"content":"é"}}]}\r\n\r\n: note\n\nevent: message-end\ndata: {}\n\ndata: {"choices":[{"delta":{"content":"late"}}]}\n\n',
+        2: 'data: {"choices":[{"delta":{"content":"open"}}]}\n\n',
+        3: "data: {oops\n\ndata: [DONE]\n\n",
+        4: "data: 1\ndata: 2\n\n",
+        5: "data: " + "x" * 300 + "\n\n",
+        6: 'data: {"choices":[{"delta":{"content":"whole"}}],"finish_reason":"stop"}\n\n',
+    }
+    rnd, rows = random.Random(2), []
+    for c, text in body.items():
+        cuts = sorted(rnd.sample(range(1, len(text)), 5))
+        rows += [(c, k, text[a:b]) for k, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(text)], strict=True))]
+    rnd.shuffle(rows)
+    parts = [rows[::2], rows[1::2], [(1, 6, "data: [DONE]\n\n")]]
+    for k, part in enumerate(parts):
+        spark.createDataFrame(part, "conv_id long, seq long, piece string").write.mode("append").parquet(f"{tmp_path}/source")
+        with state_provider(spark):
+            stream = spark.readStream.schema("conv_id long, seq long, piece string").parquet(f"{tmp_path}/source")
+            told = assembly.assembled(stream, 1, 250)
+            query = told.writeStream.format("parquet").option("path", f"{tmp_path}/told").option("checkpointLocation", f"{tmp_path}/progress").trigger(once=True).start()
+            query.awaitTermination()
+        if k == 1:
+            time.sleep(2)  # the open ones fall silent
+    told = spark.read.parquet(f"{tmp_path}/told")
+    assert {(r.conv_id, r.response) for r in assembly.completions(told).collect()} >= {(1, "é"), (6, "whole")}
+    states = {}
+    for r in told.collect():
+        states.setdefault(r.conv_id, set()).add(r.status)
+    assert states[1] == {"closed", "late"} and states[2] == {"ended"} and states[3] == {"unreadable"} and states[4] == {"unreadable"} and states[5] == {"too long"} and states[6] == {"ended"}
+    assert {r.status: r.n for r in assembly.rejects(told).collect()} == {"late": 1, "unreadable": 2, "too long": 1}
+    assert 2 not in {r.conv_id for r in assembly.completions(told).collect()}
+
+
+def test_events_in():
+    assert assembly.events_in("event: a\ndata:1\ndata: 2\n\n:c\n\ndata: x\r\rdata: y") == ([("a", "1\n2"), ("message", "x")], "data: y")
+    assert [assembly.ends_stream("message", d) for d in ("[DONE]", "{}", "{", '{"type":"message_stop"}', '{"done":true}', '{"done":1}', "5")] == [True, False, None, True, True, False, False]
+    assert assembly.ends_stream("message-end", "{}")
