@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlog.operators import breakdown, frontier, jobs, tokens, usage
+from convlog.operators import breakdown, frontier, jobs, migration, tokens, usage
 from convlog.plans import job_queries as J
 from convlog.plans import log_queries as L
 from convlog.plans import table_queries as T
 from convlog.sources.messages import from_conversations, from_events
+from convlog.sources.records import latest_details
 from convlog.store import shared_folder
 from convlog.streaming import assembly, refresh
+from convlog.streaming.buckets import Buckets
 from convlog.streaming.open_chunks import open_chunks, state_provider
 
 
@@ -107,7 +109,33 @@ def x9_regenerated(spark, d):
     return results.select("conv_id", "start_id", F.lit("made").alias("outcome")).unionByName(refused.select("conv_id", "start_id", F.col("reason").alias("outcome")))
 
 
-QUERIES = {f.__name__: f for f in (r2_open_chunks, r5_assembled_streams, r4_typed_changes, a16_message_breakdown, h2_counted_tokens, j5_matched_once, a18_merged_usage, x9_regenerated)}
+STATES = [  # of conversation #: whole, older, broken, unknown, from before there were entries
+    '{"schemaVersion":3,"chatUuid":"u","ownerChatId":"o#","stageSummary":{"entries":[{"text":" a# ","sourceStartMessageId":0,"sourceEndMessageId":"1","sourceHash":"h","updatedAt":"t","level":2.9,"manuallyEdited":true},{"deleted":true,"text":"x","sourceStartMessageId":2,"sourceEndMessageId":3,"level":40}]}}',
+    '{"schemaVersion":1,"chatUuid":"u","ownerChatId":"o#","stageSummary":{"text":" old # ","coveredThroughMessageId":5.5,"coveredThroughHash":"g"}}',
+    '{"schemaVersion":"2","chatUuid":"u","ownerChatId":"o#","stageSummary":{"entries":[{"text":"a","sourceStartMessageId":null,"sourceEndMessageId":1},{"text":"b","sourceStartMessageId":3,"sourceEndMessageId":4}],"text":"no"}}',
+    '{"schemaVersion":9,"chatUuid":"u","ownerChatId":"o#","stageSummary":{"text":"x","coveredThroughMessageId":1}}',
+    '{"schemaVersion":2,"chatUuid":"u","ownerChatId":"o#","stageSummary":{"entries":[{"text":" ","sourceStartMessageId":0,"sourceEndMessageId":1},{"text":"b","sourceStartMessageId":0,"sourceEndMessageId":4}],"text":"kept #","coveredThroughMessageId":2,"updatedAt":"w"}}',
+    '{"schemaVersion":3,"chatUuid":"u","stageSummary":{"text":"x","coveredThroughMessageId":1}}',
+    "no json #",
+]
+
+
+def s2_migrated_states(spark, d):
+    form = F.get(F.array(*map(F.lit, STATES)), (F.col("conv_id") % len(STATES)).cast("int"))
+    states = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id").distinct().select("conv_id", F.replace(form, F.lit("#"), F.col("conv_id").cast("string")).alias("state"))
+    return migration.migrated(states)
+
+
+def s11_record_details(spark, d):
+    """Records of events: the index has all, details lie in buckets of users; for a fifth of the users the last one's."""
+    t = spark.read.parquet(f"{d}/events.parquet").select(F.col("user_id").alias("conv_id"), (F.col("event_id") % 50).alias("mes_id"), F.col("event_id").alias("pos"), F.col("props").alias("prompt"))
+    store = Buckets(spark, shared_folder(spark), {"details": "conv_id long, pos long, prompt string"}, 16)
+    store.commit(0, {"details": t.filter("pos % 3 <> 0")}, list(range(16)))
+    logs = t.filter("conv_id % 5 = 2").select("conv_id").distinct().withColumn("last_id", F.lit(30))
+    return latest_details(t.select("conv_id", "mes_id", "pos"), store, logs)
+
+
+QUERIES = {f.__name__: f for f in (r2_open_chunks, r5_assembled_streams, r4_typed_changes, a16_message_breakdown, h2_counted_tokens, j5_matched_once, a18_merged_usage, x9_regenerated, s2_migrated_states, s11_record_details)}
 
 _A19 = T.SQL["a19_stream_completion"]
 SQL = {
@@ -132,4 +160,9 @@ SQL = {
       SELECT conv_id, path, max(n) AS number, CASE WHEN max(n) IS NULL THEN arg_min(s, no) END AS text FROM l GROUP BY conv_id, path""",
     "x9_regenerated": f"""{L.STACK} SELECT conv_id, start_id, CASE WHEN (chunk = 1 AND conv_id % 4 = 0) OR deleted THEN 'changed' WHEN conv_id % 3 = 0 AND 1 BETWEEN start_id AND end_id THEN 'source' ELSE 'made' END AS outcome
       FROM entries WHERE chunk < 2""",
+    "s2_migrated_states": """WITH c AS (SELECT DISTINCT conv_id FROM conversations) SELECT conv_id, 'o' || conv_id AS owner, x.* EXCLUDE (k) REPLACE (replace(text, '#', conv_id::VARCHAR) AS text, length(replace(text, '#', conv_id::VARCHAR)) AS char_count)
+      FROM c JOIN (VALUES (0, 0::BIGINT, 2, 0::BIGINT, 1::BIGINT, 'a#', 0::BIGINT, 'h', 't', true, false), (0, 1, 32, 2, 3, '', 0, '', '1970-01-01T00:00:00.000Z', false, true), (1, 0, 1, 0, 5, 'old #', 0, 'g', '1970-01-01T00:00:00.000Z', false, false),
+        (2, 0, 1, 0, 1, 'a', 0, '', '1970-01-01T00:00:00.000Z', false, false), (4, 0, 1, 0, 2, 'kept #', 0, '', 'w', false, false)) x(k, seq, level, start_id, end_id, text, char_count, source_hash, updated_at, manually_edited, deleted) ON conv_id % 7 = k""",
+    "s11_record_details": """WITH l AS (SELECT user_id, max(event_id) AS pos FROM events WHERE event_id % 50 <= 30 AND user_id % 5 = 2 GROUP BY user_id)
+      SELECT l.user_id AS conv_id, pos, props AS prompt FROM l JOIN events ON event_id = pos WHERE pos % 3 <> 0""",
 }
