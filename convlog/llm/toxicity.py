@@ -210,8 +210,10 @@ def log_ratios(docs: DataFrame, values: DataFrame, pairs: DataFrame, always: flo
     rest = held.select("row", F.explode("rest").alias("x")).select("row", "x.key", "x.times").join(values.filter(F.col("often") < least).withColumnRenamed("word", "key"), "key").select("row", "times", "value", "rare")
     more_pairs = held.select("row", F.explode("rest_pairs").alias("x")).select("row", "x.key", "x.times").join(others.withColumnRenamed("pair", "key"), "key").select("row", "times", "value", F.lit(0).alias("rare"))
     parts = {"ratio": F.col("value"), "telling": F.greatest(F.col("value") - TELLING, F.lit(0.0)), "rare": F.col("rare").cast("double")}
-    # sums of decimals agree to the last digit whatever the order of the tasks
-    more = rest.unionByName(more_pairs).groupBy("row").agg(*(F.sum((x * F.col("times")).cast("decimal(28,12)")).cast("double").alias(f"more_{c}") for c, x in parts.items()))
+    # sums of decimals agree to the last digit whatever the order of the tasks; one job after the other, so that its shuffles go
+    decimals = {c: (x * F.col("times")).cast("decimal(28,12)") for c, x in parts.items()}
+    summed = [stored(x.groupBy("row").agg(*(F.sum(d).alias(c) for c, d in decimals.items())), "toxicity-sums") for x in (rest, more_pairs)]
+    more = summed[0].unionByName(summed[1]).groupBy("row").agg(*(F.sum(c).cast("double").alias(f"more_{c}") for c in parts))
     sums = {c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0)) + (always if c == "ratio" else 0.0) for c in parts}
     means = (F.when(F.col("n_words") > 0, x / (F.col("n_words") + 1)).otherwise(0.0).alias(c) for c, x in sums.items())
     return held.drop("rest", "rest_pairs").join(more, "row", "left").select("id", "n_words", *means)
