@@ -229,4 +229,4 @@ def test_refresh_takes_many_files_in_one_batch(spark, tmp_path):
         log(spark, *kinds).withColumn("changed_at", F.lit(k)).repartition(3).write.mode("append").parquet(f"{tmp_path}/source")
         plans = run_refresh(spark, f"{tmp_path}/source", str(tmp_path), 2)
     assert pairs(plans) == [(0, 3), (4, 5)]
-    assert sorted(p.name for p in (tmp_path / "plans").glob("batch=*")) == ["batch=0", "batch=1"]
+    assert sorted(int(p.name) for p in (tmp_path / "commits").glob("0*")) == [0, 1]
