@@ -125,10 +125,10 @@ def test_refresh_equals_the_batch_job(spark, tmp_path):
     params = Params(window_size=1, turns_per_chunk=2, group_1=2, group_n=2, chunk_chars=1000)
     rnd, parts = random.Random(4), [[], []]
     for c in range(9):
-        for i in range(rnd.randint(9, 20)):
-            parts[min(1, i // 12)].append(change(c, i, i % 2 == 0, "y" * rnd.choice([5, 300]), 0))
+        for i in range(rnd.randint(7, 13)):
+            parts[min(1, i // 7)].append(change(c, i, i % 2 == 0, "y" * rnd.choice([5, 300]), 0))
         parts[1].append(change(c, rnd.randint(0, 3), None, "edited", 9)[:2] + (False, False, "n", "edited", 9, "row", None, None))
-    job = refresh.Refresher(spark, str(tmp_path / "a"), params, max_chunks=3, buckets=3)
+    job = refresh.Refresher(spark, str(tmp_path / "a"), params, max_chunks=2, buckets=3)
     for k, part in enumerate(parts):
         batch = spark.createDataFrame(part, CHANGE)
         job(batch, k if k == 0 else job.store.last() + 1)
