@@ -138,16 +138,29 @@ def s11_record_details(spark, d):
 QUERIES = {f.__name__: f for f in (r2_open_chunks, r5_assembled_streams, r4_typed_changes, a16_message_breakdown, h2_counted_tokens, j5_matched_once, a18_merged_usage, x9_regenerated, s2_migrated_states, s11_record_details)}
 
 _A19 = T.SQL["a19_stream_completion"]
+_SPACE = r"\s\x{000B}\x{00A0}\x{FEFF}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+_ENDS = f"'^[{_SPACE}]+|[{_SPACE}]+$'"
+
+
+def _tokens(c: str) -> str:
+    """A token for each CJK character and for each four UTF-16 units of the rest."""
+    cjk, astral = L._CJK.format(c), f"length(regexp_replace({c}, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))"
+    return f"{cjk} + ceil((length({c}) + {astral} - {cjk}) / 4.0)"
+
+
 SQL = {
     "r2_open_chunks": f"WITH RECURSIVE {L.LOGS}, {L.greedy_sql(3, L.LIMIT)} SELECT conv_id, chunk, start_id, end_id FROM plan WHERE NOT open_",
     "r5_assembled_streams": _A19.replace("WHERE conv_id % 8 < 6", "WHERE conv_id % 8 < 4"),
     "r4_typed_changes": f"""WITH {L.LOGS} SELECT CASE WHEN conv_id % 10 = 0 AND n > 4 THEN conv_id + 100000 ELSE conv_id END AS conv_id, CASE WHEN conv_id % 10 = 2 AND message_id > 4 THEN message_id - 1 ELSE message_id END AS message_id, name
       FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM m) WHERE NOT (conv_id % 10 = 2 AND message_id = 4)
       UNION ALL SELECT conv_id + 200000, message_id, name FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n FROM m) WHERE conv_id % 10 = 1 AND message_id <= 9 AND n > 4""",
-    "a16_message_breakdown": f"""WITH {L.CONV}, p AS (SELECT conv_id AS record_id, string_agg(text, chr(10) ORDER BY message_id) FILTER (WHERE name = 'system') AS s, string_agg(text, chr(10) ORDER BY message_id) FILTER (WHERE name IN ('user', 'assistant')) AS c FROM m GROUP BY conv_id),
-      e AS (SELECT record_id, [coalesce(ceil(length(s) / 4.0), 0), coalesce(ceil(length(c) / 4.0), 0), ceil((28 + length(record_id::VARCHAR) + 6) / 4.0), CASE WHEN record_id % 3 = 0 THEN 5 ELSE 0 END] AS t, CASE WHEN record_id % 2 = 0 THEN record_id + 100 END AS measured_ FROM p),
+    "a16_message_breakdown": f"""WITH {L.CONV}, r AS (SELECT conv_id AS record_id, message_id, lower(name) AS role, regexp_replace(text, {_ENDS}, '', 'g') AS t FROM m),
+      q AS (SELECT record_id, string_agg(t, chr(10) ORDER BY message_id) FILTER (WHERE t <> '' AND role IN ('system', 'developer')) AS s, string_agg(t, chr(10) ORDER BY message_id) FILTER (WHERE t <> '' AND role IN ('user', 'assistant')) AS c,
+        string_agg(t, chr(10) ORDER BY message_id) FILTER (WHERE t <> '' AND coalesce(role, '') NOT IN ('system', 'developer', 'user', 'assistant')) AS x, bool_or(message_id = 0 AND t IS NOT NULL) AS told FROM r GROUP BY record_id),
+      p AS (SELECT record_id, coalesce(s, '') AS s, coalesce(c, '') AS c, CASE WHEN told THEN '<log_summary>older ' || record_id || '</log_summary>' ELSE '' END AS b, concat_ws(chr(10), x, CASE WHEN record_id % 3 = 0 THEN '[{{"name":"search"}}]' END) AS o FROM q),
+      e AS (SELECT record_id, [{", ".join(map(_tokens, "scbo"))}] AS t, CASE WHEN record_id % 2 = 0 THEN record_id + 100 END AS measured_ FROM p),
       b AS (SELECT *, coalesce(measured_, list_sum(t)) AS total FROM e), g AS (SELECT *, {J._shares('t', 'total')} AS o FROM b)
-      SELECT record_id, total::BIGINT AS total, o[1]::BIGINT AS system, o[2]::BIGINT AS recent_context, o[3]::BIGINT AS summary, o[4]::BIGINT AS other, greatest(total - list_sum(o), 0)::BIGINT AS unclassified, measured_ IS NOT NULL AS measured FROM g""",
+      SELECT record_id, total::BIGINT AS total, o[1]::BIGINT AS system, o[2]::BIGINT AS recent_context, o[3]::BIGINT AS summary, o[4]::BIGINT AS other, greatest(total - list_sum(o), 0)::BIGINT AS unclassified, measured_ IS NOT NULL AS measured FROM g WHERE total > 0""",
     "h2_counted_tokens": f"""WITH {L.CONV}, w AS (SELECT *, len(string_split_regex(trim(text), '\\s+')) AS n FROM m)
       SELECT conv_id, message_id, CASE WHEN n % 2 = 1 THEN n ELSE ceil(length(text) / 4.0) END::BIGINT AS tokens, n % 2 = 0 AS estimated FROM w""",
     "j5_matched_once": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 200 AS t, CASE WHEN event_type IN ('purchase', 'signup') THEN 2 WHEN event_type = 'view' THEN 1 ELSE 0 END AS side FROM events),
