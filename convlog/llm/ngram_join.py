@@ -290,9 +290,10 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
     nodes = stored(sets.filter("id is not null and n > 0").groupBy(*same).agg(F.min("id").alias("node")), "shingle-nodes")
     groups = stored(nodes.groupBy("prefix", "n", "tokens", "places").agg(F.min("node").alias("group"), F.count("*").alias("members")), "shingle-groups")
     at = stored(nodes.select("node", "prefix", "n").join(groups.select("prefix", "n", "group"), ["prefix", "n"]).select("group", "node", F.col("node").alias("component")), "shingle-members")
-    entries = groups.select("group", "n", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(F.col("e.tokens").alias("token"), F.col("e.places").alias("place"), "group", "n")
-    shared = entries.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-    index = stored(entries.join(shared, "token"), "shingle-index")
+    entries = groups.select("group", "n", "members", F.explode(F.arrays_zip("tokens", "places")).alias("e")).select(F.col("e.tokens").alias("token"), F.col("e.places").alias("place"), "group", "n", "members")
+    # a group of three and more has a bucket even if no other group shares a shingle with it: its members meet there
+    shared = entries.groupBy("token").agg(F.count("*").alias("c"), F.max(F.when(F.col("place") == 0, F.col("members"))).alias("alone")).filter("c > 1 or alone > 2").select("token")
+    index = stored(entries.drop("members").join(shared, "token"), "shingle-index")
     sketches = nodes.select("node", "n", "sketch")
 
     def linked(likely: DataFrame) -> DataFrame:
