@@ -114,13 +114,23 @@ def _numbered(keys: Column, primary: bool) -> Column:
 
 
 def _by_words(folded: DataFrame, needles: DataFrame) -> DataFrame:
-    """(text_id, needle, cased, whole) of the keys that may occur in a text: some word of it holds the key's longest."""
-    words = folded.select("text_id", F.explode(F.array_distinct(F.regexp_extract_all("lower", F.lit(WORD), 0))).alias("word"))
+    """(text_id, key) of the keys that may occur in a text: some word of it holds the key's longest, and begins and ends with
+    it where the key (or its being a whole word) asks for it."""
+    words = folded.select("text_id", F.explode("words").alias("word"))
     grams = F.flatten(F.array(*(_grams(F.col("word"), k) for k in range(1, GRAM + 1))))
-    keyed = _few(needles.select("needle", "cased", "whole", "longest", F.substr("longest", F.lit(1), F.lit(GRAM)).alias("gram")))
+    keyed = _few(needles.select("key", "longest", "begins", "ends", F.substr("longest", F.lit(1), F.lit(GRAM)).alias("gram")))
     met = words.select("word").distinct().select("word", F.explode(F.array_distinct(grams)).alias("gram")).join(keyed, "gram")
-    met = met.filter(F.col("word").contains(F.col("longest"))).select("word", "needle", "cased", "whole")
-    return words.join(_few(stored(met)), "word").select("text_id", "needle", "cased", "whole").distinct()
+    c = F.col
+    held = F.when(c("begins") & c("ends"), c("word") == c("longest")).when(c("begins"), c("word").startswith(c("longest"))).when(c("ends"), c("word").endswith(c("longest"))).otherwise(c("word").contains(c("longest")))
+    met = met.filter(held).select("word", "key")
+    return words.join(_few(stored(met)), "word").select("text_id", "key").distinct()
+
+
+def _longest(needle: Column, strict: Column) -> Column:
+    """n, w (a key's longest word), begins, ends: whether a word of a text that holds it must begin and end with it."""
+    runs, edge = F.regexp_extract_all(F.lower(needle), F.lit(WORD), 0), lambda p: ~F.lower(needle).rlike(p)
+    one = lambda x, i: F.struct(F.length(x).alias("n"), x.alias("w"), ((i > 0) | edge(f"^{WORD}") | strict).alias("begins"), ((i < F.size(runs) - 1) | edge(f"{WORD}$") | strict).alias("ends"))
+    return F.array_max(F.transform(runs, one))
 
 
 def key_hits(texts: DataFrame, keys: DataFrame) -> DataFrame:
@@ -131,15 +141,22 @@ def key_hits(texts: DataFrame, keys: DataFrame) -> DataFrame:
     plain = keys.filter(~F.col("raw").isin(patterns)) if patterns else keys
     composed = normalised(F.col("raw"))
     plain = plain.withColumn("needle", composed).withColumn("needle", F.when(F.col("cased"), F.col("needle")).otherwise(F.lower("needle")))
-    runs = F.transform(F.regexp_extract_all(F.lower("needle"), F.lit(WORD), 0), lambda x: F.struct(F.length(x).alias("n"), x.alias("w")))
-    plain = plain.withColumn("longest", F.array_max(runs)["w"])
-    folded = stored(texts.select("text_id", normalised(F.col("text")).alias("whole_text"))).withColumn("lower", F.lower("whole_text"))
+    strict = F.col("whole") & ~F.col("needle").rlike(CJK) & ~F.col("needle").rlike(r"\s")
+    plain = plain.withColumn("l", _longest(F.col("needle"), strict)).withColumns({"longest": F.col("l.w"), "begins": F.col("l.begins"), "ends": F.col("l.ends")}).drop("l")
+    folded = texts.select("text_id", normalised(F.col("text")).alias("whole_text")).withColumn("words", F.array_distinct(F.regexp_extract_all(F.lower("whole_text"), F.lit(WORD), 0)))
+    folded = stored(folded).withColumn("lower", F.lower("whole_text"))
     plain = stored(plain)
-    needles = plain.filter("longest is not null").select("needle", "cased", "whole", "longest").distinct()
-    likely = _by_words(folded, needles)
+    needles = plain.filter("longest is not null").select("needle", "cased", "whole", "longest", "begins", "ends").distinct()
+    needles = stored(needles.withColumn("key", F.monotonically_increasing_id()))
+    key, three = F.struct("needle", "cased", "whole"), ["text_id", "needle", "cased", "whole"]
+    led = stored(_by_words(folded, needles)).join(_few(needles), "key")
+    sure = ~F.col("cased") & (F.col("needle") == F.col("longest"))  # such a key is in the text if it is in the word
+    likely = led.filter(~sure).groupBy("text_id").agg(F.collect_list(key).alias("likely"))
     wordless = plain.filter("longest is null").select("needle", "cased", "whole").distinct()
-    tried = folded.join(likely, "text_id").unionByName(folded.join(_few(wordless), F.col("whole_text").contains(F.col("needle")) | F.col("lower").contains(F.col("needle"))))
-    found = tried.filter(key_matches(F.when(F.col("cased"), F.col("whole_text")).otherwise(F.col("lower")), F.col("needle"), F.col("whole"))).select("text_id", "needle", "cased", "whole")
+    tried = folded.drop("words").join(likely, "text_id").unionByName(folded.drop("words").join(_few(wordless), F.col("whole_text").contains(F.col("needle")) | F.col("lower").contains(F.col("needle"))).select("text_id", "whole_text", "lower", F.array(key).alias("likely")))
+    # a text's keys are tried in its own row, so that a text is sent once and not once a key
+    met = F.filter("likely", lambda k: key_matches(F.when(k["cased"], F.col("whole_text")).otherwise(F.col("lower")), k["needle"], k["whole"]))
+    found = tried.select("text_id", F.explode(met).alias("k")).select("text_id", "k.*").unionByName(led.filter(sure).select(*three))
     hits = found.join(_few(plain.select("raw", "needle", "cased", "whole")), ["needle", "cased", "whole"]).select("text_id", "raw", "cased", "whole")
     return hits.unionByName(by_pattern.join(_few(keys), "raw").select("text_id", "raw", "cased", "whole"))
 
@@ -184,18 +201,23 @@ def match(texts: DataFrame, entries: DataFrame, most: int, tags: DataFrame | Non
     columns = ["uid", "pos", "identity", "only_names", "only_tags", "exclude"]
     by_key = by_key.select("text_id", *columns, F.lit(False).alias("constant"), F.transform("found", lambda x: x["raw"]).alias("matched_keys"))
     # constants go with every text: there are as many rows as the result has
-    fixed = texts.select("text_id").crossJoin(_few(book.filter("constant").select(*columns)))
-    found = by_key.unionByName(fixed.withColumns({"constant": F.lit(True), "matched_keys": none}))
+    constants, ids = _few(book.filter("constant").select(*columns)), texts.select("text_id")
     if "names" in texts.columns:
         with_tags = texts.select("text_id", "names").join(active_tags(texts, tags), "text_id", "left") if tags is not None else texts.select("text_id", "names", none.alias("tags"))
-        found = found.join(with_tags, "text_id").filter(participates(F.col("names"), F.col("tags"), F.col("only_names"), F.col("only_tags"), F.col("exclude")))
+        ids = stored(with_tags)
+        lets = participates(F.col("names"), F.col("tags"), F.col("only_names"), F.col("only_tags"), F.col("exclude"))
+        by_key, fixed = by_key.join(ids, "text_id").filter(lets), ids.crossJoin(constants).filter(lets)
+    else:
+        fixed = ids.crossJoin(constants)
+    shown = ["text_id", "uid", "pos", "identity", "constant", "matched_keys"]
+    found = by_key.select(*shown).unionByName(fixed.withColumns({"constant": F.lit(True), "matched_keys": none}).select(*shown)).repartition("text_id")  # one exchange for all windows
     same = Window.partitionBy("text_id", "identity").orderBy(F.col("constant").desc(), "pos")
     found = found.withColumn("nth", F.row_number().over(same)).filter("nth = 1")
-    w = Window.partitionBy("text_id", "constant")
+    w, per = Window.partitionBy("text_id", "constant"), Window.partitionBy("text_id")
     ranked = found.withColumn("rn", F.row_number().over(w.orderBy("pos", "identity"))).withColumn("n", F.count("*").over(w))
     kept = ranked.filter(F.col("constant") | (F.col("rn") <= most)).withColumn("cut", ~F.col("constant") & (F.col("n") > most))
-    per = Window.partitionBy("text_id")
-    return kept.select("text_id", "uid", "identity", F.row_number().over(per.orderBy(F.col("constant").desc(), "pos", "identity")).cast("long").alias("place"), "constant", "matched_keys", F.max("cut").over(per).alias("truncated"))
+    place = F.col("rn") + F.when(F.col("constant"), F.lit(0)).otherwise(F.count_if("constant").over(per))
+    return kept.select("text_id", "uid", "identity", place.cast("long").alias("place"), "constant", "matched_keys", F.max("cut").over(per).alias("truncated"))
 
 
 def budgeted(blocks: DataFrame, most: int | Column, separator: int = 2) -> DataFrame:
@@ -206,16 +228,18 @@ def budgeted(blocks: DataFrame, most: int | Column, separator: int = 2) -> DataF
 
 
 def block_text(header: Column, content: Column) -> Column:
-    return F.concat(F.lit("["), escaped(header), F.lit("]\n"), escaped(content))
+    """A block of a header and a content that is escaped already."""
+    return F.concat(F.lit("["), escaped(header), F.lit("]\n"), content)
 
 
 def references(matched: DataFrame, entries: DataFrame, budget: int) -> DataFrame:
     """text_id, text, tokens, constant_chars, matched_chars, n_entries, truncated: the blocks of the entries matched, constants
     first and the rest within what they leave of the budget; whole blocks only."""
-    book = entries.select(_identity().alias("identity"), "uid", "world", "comment", "content").dropDuplicates(["identity"])
+    matched = stored(matched)  # read three times below
+    book = entries.select(_identity().alias("identity"), "uid", "world", "comment", escaped(trim("content")).alias("body")).dropDuplicates(["identity"])  # contents are escaped once an entry
     nth = F.row_number().over(Window.partitionBy("text_id", "constant").orderBy("place"))
     header = F.concat_ws("|", F.concat(F.lit("entry "), nth.cast("string")), F.concat(F.coalesce(F.nullif(trim("world"), F.lit("")), F.lit("unnamed")), F.lit("#"), F.col("uid").cast("string")), F.nullif(trim("comment"), F.lit("")), F.when(F.col("constant"), F.lit("constant")).otherwise(F.concat(F.lit("keys="), F.array_join("matched_keys", ","))))
-    blocks = matched.drop("uid").join(_few(book), "identity").select("text_id", nth.cast("long").alias("place"), "constant", "truncated", block_text(header, trim("content")).alias("block")).withColumn("chars", F.length("block"))
+    blocks = matched.drop("uid").join(_few(book), "identity").select("text_id", nth.cast("long").alias("place"), "constant", "truncated", block_text(header, F.col("body")).alias("block")).withColumn("chars", F.length("block"))
     fixed = budgeted(blocks.filter("constant"), budget)
     spent = fixed.groupBy("text_id").agg(F.max("used").alias("spent"))
     rest = budgeted(blocks.filter("not constant").join(spent, "text_id", "left"), F.lit(budget) - F.coalesce("spent", F.lit(0))).drop("spent")
