@@ -16,13 +16,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from convlog.llm.common import dropped, small, stored, table
+from convlog.llm.common import dropped, file_bytes, small, stored, table
 from convlog.llm.tokenize import slices
 from convlog.llm.words import AS_IS, SPACE, hashed_words, mixed
 
@@ -30,6 +31,7 @@ ROUNDS, LONGEST = 2, 3  # of recompression; words of a symbol
 UNSURE = 4  # words at either end of a window whose symbols depend on what stands around it: 1 for runs, then 1, then 2
 HELD = 2_000_000  # pairs that a task holds before it counts them
 BITS = 27  # bits of the number of bits that mark repeated pairs
+PARTS, PART_BYTES = 16, 16 << 20  # parts of the windows that are verified one after another, and the least size of one
 _rng = np.random.default_rng(99)
 ODD = _rng.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 EMPTY = hashlib.sha256(b"").hexdigest()
@@ -108,7 +110,9 @@ def _repeated_pairs(docs: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(bit >> 6), pa.array((np.uint64(1) << (bit & 63).astype(np.uint64)).view(np.int64))], ["cell", "mask"])
 
     repeated = docs.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).filter("n > 1").select("pair")
-    found = repeated.mapInArrow(bits, "cell long, mask long").groupBy("cell").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    cells = stored(repeated.mapInArrow(bits, "cell long, mask long").groupBy("cell").agg(F.expr("bit_or(mask)").alias("mask")), "substring-cells")
+    found = cells.toArrow()
+    dropped(cells)
     out = np.zeros(1 << (BITS - 6), np.int64)
     out[found.column("cell").to_numpy()] = found.column("mask").to_numpy()
     return out.view(np.uint64)
@@ -152,6 +156,19 @@ def _windows(docs: DataFrame, window: int, marked: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "print long, check int, id long")
 
 
+def _repeated(windows: DataFrame) -> DataFrame:
+    """id, print: the windows of each document that one of smaller id has, from rows (print, check, id). The rows are stored
+    in parts by their print and looked through a part after another, so that only a part of them is shuffled at a time."""
+    held = stored(windows.withColumn("part", F.pmod("print", F.lit(PARTS)).cast("int")), "substring-windows", by="part")
+    rounds, found = min(PARTS, 1 + file_bytes(held) // PART_BYTES), []
+    for k in range(rounds):
+        here = held.filter(F.col("part") % rounds == k).select("print", "check", "id")
+        least = here.groupBy("print", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+        found.append(stored(here.join(least, ["print", "check"]).filter("id > least").select("id", F.struct("print", "check").alias("print")), "substring-found"))
+    dropped(held)
+    return reduce(DataFrame.unionByName, found)
+
+
 def _cut(docs: DataFrame, window: int) -> DataFrame:
     """id, digest, n_removed, kept_text, kept_sha256 from rows (id, text, prints): words that no window with one of the
     prints covers stay."""
@@ -203,12 +220,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
     several = outlines.filter("id is not null").groupBy("id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).filter("a <> b").select("id")
     aside = stored(copies.select("id").join(several, "id", "left_anti"), "substring-aside")
     single = rows.filter("id is not null").join(small(aside, 2_000_000), "id", "left_anti")
-    windows = stored(_windows(single, window, _repeated_pairs(single)), "substring-windows")
-    least = windows.groupBy("print", "check").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    found = windows.join(least, ["print", "check"]).filter("id > least").select("id", F.struct("print", "check").alias("print"))
+    found = _repeated(_windows(single, window, _repeated_pairs(single)))
     prints = stored(found.groupBy("id").agg(F.collect_set("print").alias("prints")), "substring-prints")
-    dropped(windows)
-    touched = single.join(small(prints.select("id"), 2_000_000), "id", "left_semi").join(prints, "id")
+    dropped(found)
+    cutting = stored(prints.select("id"), "substring-ids")  # a table of ids alone, so that it is seen to be small
+    touched = single.join(small(cutting, 2_000_000), "id", "left_semi").join(prints, "id")
     cut = stored(_cut(touched, window), "substring-cut")
     changes = cut.select("id", "digest", "n_removed", "kept_sha256").distinct().withColumn("all", F.lit(False)).unionByName(
         copies.join(aside, "id", "left_semi").select("id", "digest", F.lit(None).cast("long").alias("n_removed"), F.lit(EMPTY).alias("kept_sha256"), F.lit(True).alias("all"))
