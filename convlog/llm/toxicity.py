@@ -19,6 +19,7 @@ to the tables, so all are scored alike whatever the corpus.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,7 @@ TOXIC, ORDINARY, UNLABELLED = 1, 0, 2
 HELD_WORDS = 4_000_000  # words that a task holds before it counts them
 BITS = 26  # bits of the number of bits that mark seen pairs
 START, END = np.uint64(0x5851F42D4C957F2C), np.uint64(0x14057B7EF767814C)  # stand before a text's first word and after its last
+PART_BITS = 2  # bits of the number of parts in which pairs are joined, one after another
 LOW = ~np.uint64(3)  # the two low bits of a word's hash are free for its class
 
 
@@ -59,6 +61,11 @@ def _signed(x: np.ndarray) -> pa.Array:
     return pa.array(x.astype(np.uint64).view(np.int64))
 
 
+def _parts(pairs: DataFrame) -> list[DataFrame]:
+    """Rows by the part of their pair: by the bits above the two that are free."""
+    return [pairs.filter(F.shiftright("pair", 2).bitwiseAND((1 << PART_BITS) - 1) == k) for k in range(1 << PART_BITS)]
+
+
 def counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(word, stem, seen) of all texts, and (pair, before, word, toxic, ordinary) of the texts of the two classes, from rows
     (id, text, kind). All are hashes."""
@@ -131,13 +138,15 @@ def kneser_ney(seen: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame,
     ratio = lambda x: F.log(F.col(f"{x}_toxic") / F.col(f"{x}_ordinary"))
     as_before = before.select(F.col("before").alias("word"), ratio("freed").alias("as_before"))
     values = stored(probable.join(as_before, "word", "left").select("word", (ratio("p") + F.coalesce("as_before", F.lit(0.0))).alias("value"), "rare", often("seen")), "kn-values")
-    joined = pairs.join(probable.select("word", *(f"p_{c}" for c in CLASSES)), "word").join(before, "before")
     full = {c: F.when(F.col(f"all_{c}") > 0, left(c, F.col(f"all_{c}"))).otherwise(0.0) + F.col(f"freed_{c}") * F.col(f"p_{c}") for c in CLASSES}
     beyond = F.log(full["toxic"] / full["ordinary"]) - ratio("p") - ratio("freed")
-    told = stored(joined.select("pair", beyond.alias("value"), often(F.col("toxic") + F.col("ordinary"))), "kn-pairs")
+    told = []
+    for part in _parts(pairs):  # one after another: each part's shuffles go before the next one's come
+        joined = part.join(probable.select("word", *(f"p_{c}" for c in CLASSES)), "word").join(before, "before")
+        told.append(stored(joined.select("pair", beyond.alias("value"), often(F.col("toxic") + F.col("ordinary"))), "kn-pairs"))
     at = values.filter(F.col("word") == int(END.view(np.int64))).first(), as_before.filter(F.col("word") == int(START.view(np.int64))).first()
     dropped(pairs, probable, before)
-    return values, told, (at[0]["value"] if at[0] else 0.0) + (at[1]["as_before"] if at[1] else 0.0)
+    return values, reduce(DataFrame.unionByName, told), (at[0]["value"] if at[0] else 0.0) + (at[1]["as_before"] if at[1] else 0.0)
 
 
 def _frequent(values: DataFrame, key: str, most: int) -> tuple[int, pa.Table]:
@@ -185,6 +194,7 @@ def log_ratios(docs: DataFrame, values: DataFrame, pairs: DataFrame, always: flo
     others = pairs.filter(F.col("often") < least_pair)
     end = int(END.view(np.int64))
     marked = _marked(others.select("pair"))
+    lists_of_pairs = [f"rest_pairs_{k}" for k in range(1 << PART_BITS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -196,27 +206,28 @@ def log_ratios(docs: DataFrame, values: DataFrame, pairs: DataFrame, always: flo
                 sums = [np.bincount(row[hit], weights=x, minlength=rows).astype(float) for x in (of_pair[at[hit]], np.maximum(of_pair[at[hit]] - TELLING, 0))]
                 bit = pair.view(np.uint64) >> np.uint64(64 - BITS)
                 other = ~hit & (((marked[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)) > 0)
-                rest_pairs = _counted(pair[other], row[other], rows)
+                part = (pair >> 2) & ((1 << PART_BITS) - 1)
+                rest_pairs = [_counted(pair[other & (part == k)], row[other & (part == k)], rows) for k in range(1 << PART_BITS)]
                 word = word.view(np.int64)
                 word, row = word[word != end], row[word != end]
                 at, hit = _found(keys, word)
                 sums = [sums[0] + np.bincount(row[hit], weights=of_key[at[hit]], minlength=rows), sums[1] + np.bincount(row[hit], weights=np.maximum(of_key[at[hit]] - TELLING, 0), minlength=rows), np.bincount(row[hit], weights=rare_key[at[hit]], minlength=rows).astype(float)]
                 n = np.bincount(row, minlength=rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, sums), _counted(word[~hit], row[~hit], rows), rest_pairs], ["id", "n_words", "ratio", "telling", "rare", "rest", "rest_pairs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *map(pa.array, sums), _counted(word[~hit], row[~hit], rows), *rest_pairs], ["id", "n_words", "ratio", "telling", "rare", "rest", *lists_of_pairs])
 
     kind, lists = docs.schema["id"].dataType.simpleString(), "array<struct<key:bigint,times:bigint>>"
-    found = docs.select("id", "text").mapInArrow(run, f"id {kind}, n_words long, ratio double, telling double, rare double, rest {lists}, rest_pairs {lists}")
+    found = docs.select("id", "text").mapInArrow(run, f"id {kind}, n_words long, ratio double, telling double, rare double, {', '.join(f'{c} {lists}' for c in ['rest', *lists_of_pairs])}")
     held = stored(found.withColumn("row", F.monotonically_increasing_id()), "toxicity-rows")  # numbered once, as ids may repeat
     rest = held.select("row", F.explode("rest").alias("x")).select("row", "x.key", "x.times").join(values.filter(F.col("often") < least).withColumnRenamed("word", "key"), "key").select("row", "times", "value", "rare")
-    more_pairs = held.select("row", F.explode("rest_pairs").alias("x")).select("row", "x.key", "x.times").join(others.withColumnRenamed("pair", "key"), "key").select("row", "times", "value", F.lit(0).alias("rare"))
+    found_pairs = [held.select("row", F.explode(c).alias("x")).select("row", "x.key", "x.times").join(part.withColumnRenamed("pair", "key"), "key").select("row", "times", "value", F.lit(0).alias("rare")) for c, part in zip(lists_of_pairs, _parts(others), strict=True)]
     parts = {"ratio": F.col("value"), "telling": F.greatest(F.col("value") - TELLING, F.lit(0.0)), "rare": F.col("rare").cast("double")}
-    # sums of decimals agree to the last digit whatever the order of the tasks; one job after the other, so that its shuffles go
+    # sums of decimals agree to the last digit whatever the order of the tasks; one job a part, so that its shuffles go
     decimals = {c: (x * F.col("times")).cast("decimal(28,12)") for c, x in parts.items()}
-    summed = [stored(x.groupBy("row").agg(*(F.sum(d).alias(c) for c, d in decimals.items())), "toxicity-sums") for x in (rest, more_pairs)]
-    more = summed[0].unionByName(summed[1]).groupBy("row").agg(*(F.sum(c).cast("double").alias(f"more_{c}") for c in parts))
+    summed = [stored(x.groupBy("row").agg(*(F.sum(d).alias(c) for c, d in decimals.items())), "toxicity-sums") for x in (rest, *found_pairs)]
+    more = reduce(DataFrame.unionByName, summed).groupBy("row").agg(*(F.sum(c).cast("double").alias(f"more_{c}") for c in parts))
     sums = {c: F.col(c) + F.coalesce(f"more_{c}", F.lit(0.0)) + (always if c == "ratio" else 0.0) for c in parts}
     means = (F.when(F.col("n_words") > 0, x / (F.col("n_words") + 1)).otherwise(0.0).alias(c) for c, x in sums.items())
-    return held.drop("rest", "rest_pairs").join(more, "row", "left").select("id", "n_words", *means)
+    return held.drop("rest", *lists_of_pairs).join(more, "row", "left").select("id", "n_words", *means)
 
 
 FEATURES = ["1.0", "ratio", "rare", "telling", "sqrt(telling)", "ln(1 + n_words) / 10", "ratio * ln(1 + n_words) / 10"]
