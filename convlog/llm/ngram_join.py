@@ -10,8 +10,8 @@ parity sketches first: bit k tells whether an odd number of a set's shingles fal
 bits than their sets do in members, and most unlike pairs go without a look at the sets. What is left is verified on whole
 sets, each sent once to the place of the one that it is compared with.
 
-Links are found in rounds: first the members of a bucket against one leader, then, between what is still apart, all pairs
-that the filters leave. So a bucket of near copies costs as many pairs as it has members, and no link is lost: two nodes
+Links are found in rounds: first the members of a bucket against one leader; then, where many rows of a bucket are still apart,
+pairs inside parts of fixed size of it, dealt anew each time; then, between what is still apart, all pairs that the filters leave. So a bucket of near copies costs as many pairs as it has members, and no link is lost: two nodes
 that are never compared are in one component already. In the last round the largest component of a bucket isn't paired
 with itself, and the join itself compares sketches and asks for the first shingle that two groups share, so that it gives
 each pair that may be similar once. Buckets full of texts that are nearly similar enough cost a comparison of sketches for
@@ -37,6 +37,7 @@ HELD = 2_000_000  # shingles that a task holds before it counts them
 SLOTS = 22  # bits of the table of levels
 BITS = 24  # bits of the number of bits that mark repeated shingles
 BRIEF, CARRIED = 8, 32  # longs of a sketch, and shingles before the one that two sets share, that a join carries
+SAMPLE = 256  # rows of a large bucket that are compared with each other before all are
 PER_TASK = 256  # sets that are compared with one copy of a set
 
 
@@ -252,20 +253,30 @@ def _brief(sketch: Column) -> Column:
     return F.when(F.size(sketch) > BRIEF, folded).otherwise(sketch)
 
 
-def _rest(open_: DataFrame, at: DataFrame, groups: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs of members (a, b) that share a bucket, may be similar and aren't in one component."""
+def _open(open_: DataFrame, at: DataFrame, groups: DataFrame, sketches: DataFrame, seed: int) -> tuple[DataFrame, int]:
+    """The rows of buckets: members with what the join needs, whether they are outside the bucket's largest component, and a
+    salt that deals the bucket into parts of SAMPLE rows; and the most rows outside that a bucket has."""
     c = F.col
     rows = open_.select("token", "place", "group", "n").join(at, "group").join(sketches.select("node", "sketch"), "node").join(groups.select("group", "tokens", "places"), "group")
     ahead = F.array_position("places", c("place")).cast("int") - 1
     before = F.when(ahead > 0, F.slice("tokens", F.greatest(ahead - (CARRIED - 1), F.lit(1)), F.least(ahead, F.lit(CARRIED)))).otherwise(F.array().cast("array<bigint>"))
     rows = stored(rows.select("token", "place", "node", "n", "component", _brief(c("sketch")).alias("sketch"), before.alias("before")), "shingle-rest")
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("c"))
-    largest = stored(sizes.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("largest")), "shingle-largest")
-    rows = rows.join(small(largest, 500_000), "token").withColumn("outside", c("component") != c("largest")).drop("largest")
-    one = rows.filter("outside").select(c("token").alias("t"), *(c(x).alias(f"{x}2") for x in ("place", "node", "n", "component", "sketch", "before")))
+    largest = F.max_by("component", F.struct("c", "component")).alias("largest")
+    largest = stored(sizes.groupBy("token").agg(largest, F.sum("c").alias("rows"), (F.sum("c") - F.max("c")).alias("apart")), "shingle-largest")
+    salt = F.pmod(F.xxhash64("node", "token", F.lit(seed)), F.ceil(c("rows") / SAMPLE))
+    rows = rows.join(small(largest, 500_000), "token").withColumn("outside", c("component") != c("largest")).withColumn("salt", salt).drop("largest", "rows", "apart")
+    return rows, largest.agg(F.max("apart")).first()[0] or 0
+
+
+def _rest(rows: DataFrame, percent: int, sampled: bool) -> DataFrame:
+    """The pairs of members (a, b) that share a bucket, or if sampled a part of it, may be similar and aren't in one component."""
+    c = F.col
+    one = rows.filter("outside").select(c("token").alias("t"), *(c(x).alias(f"{x}2") for x in ("place", "node", "n", "component", "sketch", "before", "salt")))
     apart = (c("component") != c("component2")) & (~c("outside") | (c("node") < c("node2")))
     near = _near(c("n"), c("n2"), c("sketch"), c("sketch2"), percent)
-    met = rows.join(one, (c("token") == c("t")) & apart & _fits(percent) & near & ~F.arrays_overlap("before", "before2"))
+    place = (c("token") == c("t")) & (c("salt") == c("salt2")) if sampled else c("token") == c("t")
+    met = rows.join(one, place & apart & _fits(percent) & near & ~F.arrays_overlap("before", "before2"))
     return met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
 
 
@@ -310,19 +321,25 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
         dropped(likely, links, moved)
         return now
 
-    at = linked(plausible(at.filter("group <> node").select(F.col("group").alias("a"), F.col("node").alias("b")), sketches, percent))
-    for seed in range(stars + 1):
+    heads = at.filter("group <> node").select(F.col("group").alias("a"), F.col("node").alias("b"))
+    if not stars:
+        at = linked(plausible(heads, sketches, percent))
+    seed, most, sampled = 0, None, True
+    while seed < stars or sampled:
         tops = small(stored(at.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")), "shingle-tops"), 500_000)
         lead = F.min(F.struct(F.xxhash64("group", "token", F.lit(seed)).alias("r"), "group", "n", "place")).alias("lead")
         mixed_ = stored(index.join(tops, "group").groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), lead).filter("l <> h"), "shingle-mixed")
         index = stored(index.join(small(mixed_.select("token"), 500_000), "token"), "shingle-index")  # the other buckets stay settled
-        if seed < stars:  # members of a group against the heads of its leaders
+        if seed < stars:  # members of a group against its head, at first, and against the heads of its leaders
             placed = small(at, 500_000)
             one, two = placed.select("group", F.col("node").alias("b"), F.col("component").alias("c1")), placed.select(F.col("group").alias("group2"), F.col("node").alias("a"), F.col("component").alias("c2"))
-            pairs = _leaders(index, small(mixed_, 500_000), percent).join(one, "group").join(two.filter("group2 = a"), "group2")
-            at = linked(plausible(pairs.filter("c1 <> c2").select("a", "b"), sketches, percent))
-        else:
-            at = linked(plausible(_rest(index, small(at, 500_000), groups, sketches, percent), sketches, percent))
+            pairs = _leaders(index, small(mixed_, 500_000), percent).join(one, "group").join(two.filter("group2 = a"), "group2").filter("c1 <> c2").select("a", "b")
+            at = linked(plausible(pairs if seed else pairs.unionByName(heads), sketches, percent))
+        else:  # large buckets in parts first, as long as that leaves half as many rows apart
+            open_, now = _open(index, small(at, 500_000), groups, sketches, seed)
+            sampled, most = now > 2 * SAMPLE and (most is None or 2 * now <= most), now
+            at = linked(plausible(_rest(open_, percent, sampled), sketches, percent))
+        seed += 1
     named = nodes.select("full", "node").join(at.select("node", F.col("component").alias("component_id")), "node").select("full", "component_id")
     placed = sets.select("id", "n", "full").join(named, "full", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
