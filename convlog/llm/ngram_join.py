@@ -11,7 +11,8 @@ bits than their sets do in members, and most unlike pairs go without a look at t
 sets, each sent once to the place of the one that it is compared with.
 
 Links are found in rounds: first the members of a bucket against one leader; then, where many rows of a bucket are still apart,
-pairs inside parts of fixed size of it, dealt anew each time; then, between what is still apart, all pairs that the filters leave. So a bucket of near copies costs as many pairs as it has members, and no link is lost: two nodes
+pairs inside parts of fixed size of it, dealt anew each time; then, between what is still apart, all pairs that the filters leave. Buckets
+of few rows give their pairs at once, by lengths and positions, so only rows of larger ones carry sketches. So a bucket of near copies costs as many pairs as it has members, and no link is lost: two nodes
 that are never compared are in one component already. In the last round the largest component of a bucket isn't paired
 with itself, and the join itself compares sketches and asks for the first shingle that two groups share, so that it gives
 each pair that may be similar once. Buckets full of texts that are nearly similar enough cost a comparison of sketches for
@@ -36,7 +37,8 @@ MIX = np.array([0xD6E8FEB86659FD93, 0xA5A3564E1D3B7C11, 0xC2B2AE3D27D4EB4F, 0x9F
 HELD = 2_000_000  # shingles that a task holds before it counts them
 SLOTS = 22  # bits of the table of levels
 BITS = 24  # bits of the number of bits that mark repeated shingles
-BRIEF, CARRIED = 8, 32  # longs of a sketch, and shingles before the one that two sets share, that a join carries
+BRIEF, CARRIED = 8, 4  # longs of a sketch, and shingles before the one that two sets share, that a join carries
+FEW = 16  # rows of a bucket whose pairs are found before sketches are looked at
 SAMPLE = 256  # rows of a large bucket that are compared with each other before all are
 PER_TASK = 256  # sets that are compared with one copy of a set
 
@@ -116,6 +118,7 @@ def order_tables(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     levels[found.column("slot").to_numpy()] = found.column("level").to_numpy()
     found = rows.groupBy("cell").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     marked[found.column("cell").to_numpy()] = found.column("mask").to_numpy()
+    dropped(rows)
     return levels, marked.view(np.uint64)
 
 
@@ -218,7 +221,8 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
                         break
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    spread = pairs.join(small(stored(pairs.groupBy("a").agg(F.count("*").alias("c")), "shingle-hubs")), "a")
+    counted = stored(pairs.groupBy("a").agg(F.count("*").alias("c")), "shingle-hubs")
+    spread = pairs.join(small(counted), "a")
     spread = stored(spread.select("a", "b", F.pmod(F.xxhash64("b"), F.floor(F.col("c") / PER_TASK) + 1).alias("salt")), "shingle-spread")
     needed = stored(spread.select(F.col("a").alias("node")).union(spread.select(F.col("b").alias("node"))).distinct(), "shingle-needed")
     sets = stored(_whole_sets(docs.join(small(needed.select(F.col("node").alias("id")), 2_000_000), "id").select("id", "text"), words), "shingle-sets")
@@ -226,7 +230,7 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Dat
     others = small(spread, 2_000_000).join(sets.select(F.col("node").alias("b"), "set"), "b").select("a", "salt", "b", "set")
     placed = hubs.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     found = stored(placed.mapInArrow(run, "a long, b long").distinct(), "shingle-links")
-    dropped(spread, needed, sets)
+    dropped(counted, spread, needed, sets)
     return found
 
 
@@ -253,24 +257,39 @@ def _brief(sketch: Column) -> Column:
     return F.when(F.size(sketch) > BRIEF, folded).otherwise(sketch)
 
 
-def _open(open_: DataFrame, at: DataFrame, groups: DataFrame, sketches: DataFrame, seed: int) -> tuple[DataFrame, int]:
-    """The rows of buckets: members with what the join needs, whether they are outside the bucket's largest component, and a
-    salt that deals the bucket into parts of SAMPLE rows; and the most rows outside that a bucket has."""
-    c = F.col
-    rows = open_.select("token", "place", "group", "n").join(at, "group").join(sketches.select("node", "sketch"), "node").join(groups.select("group", "tokens", "places"), "group")
-    ahead = F.array_position("places", c("place")).cast("int") - 1
-    before = F.when(ahead > 0, F.slice("tokens", F.greatest(ahead - (CARRIED - 1), F.lit(1)), F.least(ahead, F.lit(CARRIED)))).otherwise(F.array().cast("array<bigint>"))
-    rows = stored(rows.select("token", "place", "node", "n", "component", _brief(c("sketch")).alias("sketch"), before.alias("before")), "shingle-rest")
+def _open(open_: DataFrame, at: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The rows of buckets: members, their places and components; of each bucket its rows and its largest component; and the
+    most rows outside that one that a bucket has."""
+    rows = stored(open_.select("token", "place", "group", "n").join(at, "group").select("token", "place", "node", "n", "component"), "shingle-rest")
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("c"))
     largest = F.max_by("component", F.struct("c", "component")).alias("largest")
     largest = stored(sizes.groupBy("token").agg(largest, F.sum("c").alias("rows"), (F.sum("c") - F.max("c")).alias("apart")), "shingle-largest")
+    return rows, largest, largest.agg(F.max("apart")).first()[0] or 0
+
+
+def _few(rows: DataFrame, largest: DataFrame, percent: int) -> DataFrame:
+    """The pairs of members (a, b) that share a bucket of FEW rows at most, by lengths and positions, and aren't in one component."""
+    met = rows.join(largest.filter(F.col("rows") <= FEW).select("token"), "token")
+    one = met.select("token", *(F.col(x).alias(f"{x}2") for x in ("place", "node", "n", "component")))
+    met = met.join(one, "token").filter("node < node2 and component <> component2").filter(_fits(percent))
+    return met.select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def _many(rows: DataFrame, largest: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
+    """The rows of larger buckets with what their join needs, whether they are outside the bucket's largest component, and a
+    salt that deals the bucket into parts of SAMPLE rows."""
+    c = F.col
     salt = F.pmod(F.xxhash64("node", "token", F.lit(seed)), F.ceil(c("rows") / SAMPLE))
-    rows = rows.join(small(largest, 500_000), "token").withColumn("outside", c("component") != c("largest")).withColumn("salt", salt).drop("largest", "rows", "apart")
-    return rows, largest.agg(F.max("apart")).first()[0] or 0
+    rows = rows.join(largest.filter(c("rows") > FEW), "token").withColumn("outside", c("component") != c("largest")).withColumn("salt", salt).drop("largest", "rows", "apart")
+    rows = rows.join(nodes.select("node", "tokens", "places", "sketch"), "node")
+    ahead = F.array_position("places", c("place")).cast("int") - 1
+    before = F.when(ahead > 0, F.slice("tokens", F.greatest(ahead - (CARRIED - 1), F.lit(1)), F.least(ahead, F.lit(CARRIED)))).otherwise(F.array().cast("array<bigint>"))
+    return stored(rows.select("token", "place", "node", "n", "component", "outside", "salt", _brief(c("sketch")).alias("sketch"), before.alias("before")), "shingle-many")
 
 
 def _rest(rows: DataFrame, percent: int, sampled: bool) -> DataFrame:
-    """The pairs of members (a, b) that share a bucket, or if sampled a part of it, may be similar and aren't in one component."""
+    """The pairs of members (a, b) that share a large bucket, or if sampled a part of it, may be similar and aren't in one
+    component."""
     c = F.col
     one = rows.filter("outside").select(c("token").alias("t"), *(c(x).alias(f"{x}2") for x in ("place", "node", "n", "component", "sketch", "before", "salt")))
     apart = (c("component") != c("component2")) & (~c("outside") | (c("node") < c("node2")))
@@ -305,12 +324,16 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
     # a group of three and more has a bucket even if no other group shares a shingle with it: its members meet there
     shared = entries.groupBy("token").agg(F.count("*").alias("c"), F.max(F.when(F.col("place") == 0, F.col("members"))).alias("alone")).filter("c > 1 or alone > 2").select("token")
     index = stored(entries.drop("members").join(shared, "token"), "shingle-index")
+    dropped(groups)
+    whole, sets = sets, stored(sets.select("id", "n", "full"), "shingle-rows")
+    dropped(whole)
     sketches = nodes.select("node", "n", "sketch")
 
     def linked(likely: DataFrame) -> DataFrame:
         """Members with their components after the links among pairs (a, b)."""
         likely = stored(likely, "shingle-likely")
         if likely.isEmpty():
+            dropped(likely)
             return at
         links = verified(likely, rows, words, percent)
         placed = small(at, 500_000)
@@ -318,7 +341,7 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
         moved = stored(components(named.select(F.col("one").alias("a"), F.col("two").alias("b"))), "shingle-moved")
         now = at.join(small(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), 500_000), "component", "left")
         now = stored(now.select("group", "node", F.coalesce("to", "component").alias("component")), "shingle-members")
-        dropped(likely, links, moved)
+        dropped(likely, links, moved, at)
         return now
 
     heads = at.filter("group <> node").select(F.col("group").alias("a"), F.col("node").alias("b"))
@@ -326,21 +349,30 @@ def ngram_join(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str =
         at = linked(plausible(heads, sketches, percent))
     seed, most, sampled = 0, None, True
     while seed < stars or sampled:
-        tops = small(stored(at.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")), "shingle-tops"), 500_000)
+        tops = stored(at.groupBy("group").agg(F.min("component").alias("low"), F.max("component").alias("high")), "shingle-tops")
         lead = F.min(F.struct(F.xxhash64("group", "token", F.lit(seed)).alias("r"), "group", "n", "place")).alias("lead")
-        mixed_ = stored(index.join(tops, "group").groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), lead).filter("l <> h"), "shingle-mixed")
-        index = stored(index.join(small(mixed_.select("token"), 500_000), "token"), "shingle-index")  # the other buckets stay settled
+        mixed_ = stored(index.join(small(tops, 500_000), "group").groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), lead).filter("l <> h"), "shingle-mixed")
+        before, index = index, stored(index.join(small(mixed_.select("token"), 500_000), "token"), "shingle-index")  # the other buckets stay settled
+        dropped(tops, before)
         if seed < stars:  # members of a group against its head, at first, and against the heads of its leaders
             placed = small(at, 500_000)
             one, two = placed.select("group", F.col("node").alias("b"), F.col("component").alias("c1")), placed.select(F.col("group").alias("group2"), F.col("node").alias("a"), F.col("component").alias("c2"))
             pairs = _leaders(index, small(mixed_, 500_000), percent).join(one, "group").join(two.filter("group2 = a"), "group2").filter("c1 <> c2").select("a", "b")
             at = linked(plausible(pairs if seed else pairs.unionByName(heads), sketches, percent))
-        else:  # large buckets in parts first, as long as that leaves half as many rows apart
-            open_, now = _open(index, small(at, 500_000), groups, sketches, seed)
-            sampled, most = now > 2 * SAMPLE and (most is None or 2 * now <= most), now
-            at = linked(plausible(_rest(open_, percent, sampled), sketches, percent))
+        else:  # buckets of few rows, once; large ones in parts first, as long as that leaves half as many rows apart
+            members, largest, now = _open(index, small(at, 500_000))
+            sampled, most, first = now > 2 * SAMPLE and (most is None or 2 * now <= most), now, most is None
+            many = _many(members, largest, nodes, seed)
+            pairs = _rest(many, percent, sampled)
+            at = linked(plausible(pairs.unionByName(_few(members, largest, percent)) if first else pairs, sketches, percent))
+            if sampled:
+                before, index = index, stored(index.join(small(largest.filter(F.col("rows") > FEW).select("token"), 500_000), "token"), "shingle-index")
+                dropped(before)
+            dropped(members, largest, many)
+        dropped(mixed_)
         seed += 1
-    named = nodes.select("full", "node").join(at.select("node", F.col("component").alias("component_id")), "node").select("full", "component_id")
+    named = stored(nodes.select("full", "node").join(at.select("node", F.col("component").alias("component_id")), "node").select("full", "component_id"), "shingle-named")
+    dropped(nodes, index, at)
     placed = sets.select("id", "n", "full").join(named, "full", "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
     return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.cast("long").alias("component_id"))
