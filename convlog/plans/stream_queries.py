@@ -11,7 +11,7 @@ from convlog.plans import log_queries as L
 from convlog.plans import table_queries as T
 from convlog.sources.messages import from_conversations, from_events
 from convlog.sources.records import latest_details
-from convlog.store import shared_folder
+from convlog.store import shared_folder, stored
 from convlog.streaming import assembly, refresh
 from convlog.streaming.buckets import Buckets
 from convlog.streaming.open_chunks import open_chunks, state_provider
@@ -31,7 +31,7 @@ def _streamed(spark, parts: list[DataFrame], flow) -> DataFrame:
 
 def r2_open_chunks(spark, d):
     """Logs of events in two parts, the second one beginning earlier for some: chunks told as soon as they close."""
-    m = from_events(spark, d).withColumn("late", F.col("message_id") >= 20 + F.col("conv_id") % 7)
+    m = stored(from_events(spark, d).withColumn("late", F.col("message_id") >= 20 + F.col("conv_id") % 7))
     told = _streamed(spark, [m.filter("not late").drop("late"), m.filter("late").drop("late")], lambda rows: open_chunks(rows, 3, L.LIMIT))
     return told.filter("kind = 'closed'").select("conv_id", "chunk", "start_id", "end_id")
 

@@ -10,8 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -85,15 +84,15 @@ class OpenChunks(StatefulProcessor):
         self.open = handle.getValueState("open", STATE, self.ttl)
         self.early = handle.getListState("early", ROW, self.ttl)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [tuple(None if pd.isna(v) else v for v in r) for part in rows for r in part[["message_id", "is_user", "is_system", "chars", "new_phase"]].itertuples(index=False)]
-        known = tuple(self.open.get()) if self.open.exists() else None
-        waiting = list(map(tuple, self.early.get())) if self.early.exists() else []
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new = [(r.message_id, r.is_user, r.is_system, r.chars, r.new_phase) for r in rows]
+        known = self.open.get()  # each call of a state is a message to the JVM, so none is asked whether it exists
+        waiting = [] if known is None else list(map(tuple, self.early.get()))
         rows = sorted(waiting + new, key=lambda r: r[0])
-        log, told = Open(self.turns, self.chars, known), []
+        log, told = Open(self.turns, self.chars, known and tuple(known)), []
         ids = [int(r[0]) for r in rows]
         first = min(ids, default=0)
-        lost = known is None and not waiting and first > 0  # no state, and the log began before
+        lost = known is None and first > 0  # no state, and the log began before
         again = sorted({i for i in ids if i < log.next_id} | {a for a, b in zip(ids, ids[1:], strict=False) if a == b})
         if lost or again:
             self.open.clear()
@@ -110,9 +109,8 @@ class OpenChunks(StatefulProcessor):
                 self.early.put([(int(r[0]), bool(r[1]), bool(r[2]), int(r[3] or 0), bool(r[4])) for r in rows[k:]])
             elif waiting:
                 self.early.clear()
-        if told:
-            out = pd.DataFrame([(key[0], *t) for t in told], columns=["conv_id", "kind", "chunk", "start_id", "end_id"])
-            yield out.astype({c: "Int64" for c in ("conv_id", "chunk", "start_id", "end_id")})
+        for t in told:
+            yield Row(conv_id=key[0], kind=t[0], chunk=t[1], start_id=t[2], end_id=t[3])
 
     def close(self) -> None:
         pass
@@ -126,7 +124,7 @@ def open_chunks(rows: DataFrame, turns: int, chars: int, boundary: Column | None
     once or by hand, not with availableNow. Needs state stores that transformWithState works with: see state_provider."""
     marked = boundary if boundary is not None else F.lit(False)
     narrow = rows.select("conv_id", "message_id", "is_user", "is_system", utf16_length(F.coalesce("text", F.lit(""))).alias("chars"), F.coalesce(marked, F.lit(False)).alias("new_phase"))
-    return narrow.groupBy("conv_id").transformWithStateInPandas(OpenChunks(turns, chars, ttl_seconds and 1000 * ttl_seconds), TOLD, "Append", "ProcessingTime" if ttl_seconds else "None")
+    return narrow.groupBy("conv_id").transformWithState(OpenChunks(turns, chars, ttl_seconds and 1000 * ttl_seconds), TOLD, "Append", "ProcessingTime" if ttl_seconds else "None")
 
 
 class state_provider:  # noqa: N801
