@@ -34,7 +34,8 @@ from convlog.llm.tokenize import slices
 from convlog.llm.words import FOLD, SPACE, hashed_words, mixed
 
 MIX = np.array([0xD6E8FEB86659FD93, 0xA5A3564E1D3B7C11, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F], np.uint64)
-HELD = 2_000_000  # shingles that a task holds before it counts them
+HELD = 500_000  # shingles that a task holds before it counts them
+SLICE = 1 << 19  # bytes of text that a task cuts into shingles at once
 SLOTS = 22  # bits of the table of levels
 BITS = 24  # bits of the number of bits that mark repeated shingles
 BRIEF, CARRIED = 8, 4  # longs of a sketch, and shingles before the one that two sets share, that a join carries
@@ -82,9 +83,9 @@ def shingle_counts(docs: DataFrame, words: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(n)], ["token", "n"])
 
         for whole in batches:
-            for batch in slices(whole, 2 << 20):
+            for batch in slices(whole, SLICE):
                 for s in shingle_sets(batch.column(1), words):
-                    held.append(s[: np.searchsorted(s, limit)])
+                    held.append(s[: np.searchsorted(s, limit)].copy())  # a view would hold the whole set
                     size += len(held[-1])
                 if size >= HELD:
                     yield flush()
@@ -142,7 +143,7 @@ def prefixes(docs: DataFrame, words: int, percent: int, levels: np.ndarray, mark
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2 << 20):
+            for batch in slices(whole, SLICE):
                 n, full, prefix, tokens, places, sketches = [], [], [], [], [], []
                 for s in shingle_sets(batch.column(1), words):
                     size = len(s)
@@ -188,7 +189,7 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
 def _whole_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2 << 20):
+            for batch in slices(whole, SLICE):
                 sets = [s.tobytes() for s in shingle_sets(batch.column(1), words)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "set"])
 
