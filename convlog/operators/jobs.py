@@ -12,6 +12,7 @@ from convlog.operators.chunks import chunk_rows, plan_chunks, ready_chunks
 from convlog.operators.lineage import RECORD, frontier_signature, ordered_text, payload, range_hashes
 from convlog.operators.rollup import joined_texts
 from convlog.operators.turns import ready_target
+from convlog.store import stored
 
 
 def extractive(chars: int = 40) -> Callable[[Column], Column]:
@@ -79,16 +80,17 @@ def regenerate(requests: DataFrame, entries: DataFrame, messages: DataFrame, chi
     whose hash must be the one it has (or it has none); a higher one from its saved children (conv_id, parent_level,
     parent_start, level, start_id, end_id, source_hash, text, deleted), which must be neighbours that cover its range and
     have its digest, and of whom one at least isn't deleted. results have the entry's fields with the new text, and the
-    signature of the log's entries now, for still_valid when they are written; refused are the requests with a reason.
+    signature of the log's entries now, for still_valid when they are written; refused are the requests with a reason. What
+    is held, read and made is stored, as several steps ask for it.
     """
     lock = ["conv_id", "level", "start_id", "end_id"]
-    held = requests.join(entries.filter("not deleted").select(*lock, "updated_at", "source_hash"), [*lock, "updated_at"])
+    held = stored(requests.join(entries.filter("not deleted").select(*lock, "updated_at", "source_hash"), [*lock, "updated_at"]))
     told = [requests.join(held.select(*lock, "updated_at"), [*lock, "updated_at"], "left_anti").withColumn("reason", F.lit("changed"))]
     # level 1
     first = held.filter("level = 1")
     now = range_hashes(messages, first.select("conv_id", "start_id", "end_id")).withColumnRenamed("source_hash", "now").distinct()
     size = messages.groupBy("conv_id").agg(F.max("message_id").alias("last"))
-    read = first.join(now, ["conv_id", "start_id", "end_id"], "left").join(size, "conv_id", "left")
+    read = stored(first.join(now, ["conv_id", "start_id", "end_id"], "left").join(size, "conv_id", "left"))
     same = F.coalesce((F.col("end_id") <= F.col("last")) & F.col("now").isNotNull() & ((F.coalesce("source_hash", F.lit("")) == "") | (F.col("source_hash") == F.col("now"))), F.lit(False))
     told.append(read.filter(~same).select(*requests.columns, F.lit("source").alias("reason")))
     chunks = read.filter(same).select("conv_id", F.col("start_id").alias("chunk"), "start_id", "end_id").distinct()
@@ -106,7 +108,7 @@ def regenerate(requests: DataFrame, entries: DataFrame, messages: DataFrame, chi
     told.append(own.filter(~whole).select(*requests.columns, F.lit("children").alias("reason")))
     texts = F.transform(c, lambda x: F.when(x["deleted"], "").otherwise(x["text"]))
     parents = own.filter(whole).select(*lock, summary_text((merge or joined_texts)(texts)).alias("text"), "source_hash").filter("text is not null")
-    results = made.unionByName(parents)
+    results = stored(made.unionByName(parents))
     told.append(held.join(results.select(*lock), lock, "left_anti").join(told[1].unionByName(told[2]).select(*lock), lock, "left_anti").select(*requests.columns, F.lit("empty").alias("reason")))
     refused = told[0].select(*requests.columns, "reason")
     for more in told[1:]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from convlog.operators import breakdown, frontier, jobs, migration, tokens, usage
+from convlog.operators import breakdown, chunks, frontier, jobs, lineage, migration, tokens, usage
 from convlog.plans import job_queries as J
 from convlog.plans import log_queries as L
 from convlog.plans import table_queries as T
@@ -100,10 +100,11 @@ def a18_merged_usage(spark, d):
 
 def x9_regenerated(spark, d):
     """The first two chunks of each log are asked for anew; rows of some have changed, some requests are stale."""
-    m = from_events(spark, d)
-    entries = L._entries(spark, d).withColumn("updated_at", F.lit("u"))
+    m = stored(from_events(spark, d))
+    plan = stored(chunks.plan_by_turns(m, L.TURNS))
+    entries = stored(L._named(lineage.range_hashes(m, plan.drop("turns_done"))).withColumn("updated_at", F.lit("u")))
     edited = m.withColumn("text", F.when((F.col("message_id") == 1) & (F.col("conv_id") % 3 == 0), "edited").otherwise(F.col("text")))
-    first = L._plan(spark, d).filter("chunk < 2").select("conv_id", F.lit(1).alias("level"), "start_id", "end_id", F.when((F.col("chunk") == 1) & (F.col("conv_id") % 4 == 0), "old").otherwise("u").alias("updated_at"))
+    first = plan.filter("chunk < 2").select("conv_id", F.lit(1).alias("level"), "start_id", "end_id", F.when((F.col("chunk") == 1) & (F.col("conv_id") % 4 == 0), "old").otherwise("u").alias("updated_at"))
     none = entries.filter(F.lit(False)).select("conv_id", F.lit(2).alias("parent_level"), F.col("start_id").alias("parent_start"), "level", "start_id", "end_id", "source_hash", "text", "deleted")
     results, refused = jobs.regenerate(first, entries, edited, none)
     return results.select("conv_id", "start_id", F.lit("made").alias("outcome")).unionByName(refused.select("conv_id", "start_id", F.col("reason").alias("outcome")))
