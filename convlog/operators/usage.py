@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from convlog.functions.text import redacted, trim
+from convlog.store import stored
 
 # fixed values: where providers put a counter, most telling first; statuses worth another try; events that end a stream
 PATHS = {
@@ -224,7 +225,7 @@ def stream_completion(events: DataFrame) -> DataFrame:
     number stands for another's. A stream whose text begins as an error report does is left out too.
     """
     v = F.col("parsed")
-    parsed = ended_events(events)
+    parsed = stored(ended_events(events))  # each level of the usage maps reads it
     text = F.coalesce(*(F.try_variant_get(v, p, "string") for p in ("$.choices[0].delta.content", "$.delta.text")), F.lit(""))
     told = parsed.select("conv_id", "no", text.alias("t"), "reason", _string(v, ["$.model", "$.message.model", "$.response.model"]).alias("model"))
     rolled = told.groupBy("conv_id").agg(
