@@ -17,6 +17,7 @@ PATHS = {
     "finish_reason": ["$.choices[0].finish_reason", "$.choices[0].stop_reason", "$.finish_reason", "$.stop_reason", "$.stopReason", "$.candidates[0].finishReason"],
 }
 RETRIABLE = ["408", "502", "503", "504", "520", "521", "522", "523", "524"]
+BLANK_LINE = r"\r\n\r\n|\n\n|\r\r"
 STREAM_ENDS = ["message_stop", "message-end", "response.completed"]
 ERROR_TEXT = r"(?i)^\s*\[(?:API(?:[\s_-]+)?(?:Error|错误|錯誤)|[^\]]*\bAPI)\]"
 STREAM_REASON = ["$.choices[0].finish_reason", "$.choices[0].stop_reason", "$.finish_reason", "$.stop_reason", "$.stopReason", "$.delta.stop_reason", "$.candidates[0].finishReason"]
@@ -168,17 +169,27 @@ def retriable(status: Column, message: Column) -> Column:
     return F.coalesce(status.cast("string").isin(RETRIABLE), F.lit(False)) | F.coalesce(F.exists(said, lambda s: s.isin(RETRIABLE)), F.lit(False))
 
 
-def stream_events(pieces: DataFrame, most_bytes: int = 2 << 20) -> DataFrame:
+def stream_events(pieces: DataFrame) -> DataFrame:
     """conv_id, no, event, data from chunks (conv_id, seq, bytes as text) of event streams: blocks end at a blank line,
-    comments are left out, several data lines are joined. Streams over the limit are left out before they are put together."""
-    size = F.sum(F.octet_length("piece")).over(Window.partitionBy("conv_id"))
-    short = pieces.withColumn("size", size).filter(F.col("size") <= most_bytes)
-    whole = short.groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("s"))
-    blocks = whole.select("conv_id", F.posexplode(F.split("s", r"\r\n\r\n|\n\n|\r\r")).alias("no", "block"))
+    comments are left out, several data lines are joined. Streams may have any length: they are put together in units from
+    one place behind a blank line where text goes on to another such place, so that no row holds a whole stream."""
+    stream = Window.partitionBy("conv_id")
+    placed = pieces.filter("piece <> ''").select("conv_id", "piece", F.row_number().over(stream.orderBy("seq", "piece")).alias("at"))
+    parts = placed.select("conv_id", "at", F.posexplode(F.split("piece", rf"(?<={BLANK_LINE})(?=[^\r\n])")).alias("k", "part"))
+    order = stream.orderBy("at", "k")
+    before = F.lag("part").over(order)
+    ended = before.endswith("\r\n\r\n") | before.endswith("\n\n") | before.endswith("\r\r")
+    begun = parts.withColumn("begins", ended & ~F.substring("part", 1, 1).isin("\r", "\n"))
+    units = begun.withColumn("unit", F.count(F.when(F.col("begins"), 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = units.groupBy("conv_id", "unit").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "k", "part"))), lambda x: x["part"]), "").alias("s"))
+    held = whole.select("conv_id", "unit", F.split("s", BLANK_LINE).alias("blocks"))
+    first = F.sum(F.size("blocks") - 1).over(stream.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1))  # a unit's last one is empty or the stream's
+    blocks = held.withColumn("first", F.coalesce(first, F.lit(0))).select("conv_id", "first", F.posexplode("blocks").alias("k", "block"))
     lines = F.split("block", r"\r\n|\n|\r")
     data = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.regexp_replace(x, "^data: ?", ""))
     named = F.transform(F.filter(lines, lambda x: x.startswith("event:")), lambda x: F.regexp_replace(x, "^event: ?", ""))
-    return blocks.select("conv_id", "no", F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit("message")).alias("event"), F.array_join(data, "\n").alias("data")).filter("data <> ''")
+    told = F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit("message"))
+    return blocks.select("conv_id", (F.col("first") + F.col("k")).cast("int").alias("no"), told.alias("event"), F.array_join(data, "\n").alias("data")).filter("data <> ''")
 
 
 USAGE_DEPTH = 5  # levels of a usage map
@@ -228,10 +239,15 @@ def stream_completion(events: DataFrame) -> DataFrame:
     parsed = stored(ended_events(events))  # each level of the usage maps reads it
     text = F.coalesce(*(F.try_variant_get(v, p, "string") for p in ("$.choices[0].delta.content", "$.delta.text")), F.lit(""))
     told = parsed.select("conv_id", "no", text.alias("t"), "reason", _string(v, ["$.model", "$.message.model", "$.response.model"]).alias("model"))
-    rolled = told.groupBy("conv_id").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]), "").alias("response"),
-        F.max_by("reason", F.when(F.col("reason").isNotNull(), F.col("no"))).alias("finish_reason"),
-        F.min_by("model", F.when(F.col("model").isNotNull(), F.col("no"))).alias("model"),
+    inner = told.groupBy("conv_id", F.shiftright("no", 10).alias("part")).agg(  # by a thousand events first: a long stream's are not all held at once
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("no", "t"))), lambda x: x["t"]), "").alias("t"),
+        F.max_by("reason", F.when(F.col("reason").isNotNull(), F.col("no"))).alias("reason"), F.max(F.when(F.col("reason").isNotNull(), F.col("no"))).alias("reason_no"),
+        F.min_by("model", F.when(F.col("model").isNotNull(), F.col("no"))).alias("model"), F.min(F.when(F.col("model").isNotNull(), F.col("no"))).alias("model_no"),
+    )
+    rolled = inner.groupBy("conv_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "t"))), lambda x: x["t"]), "").alias("response"),
+        F.max_by("reason", "reason_no").alias("finish_reason"),
+        F.min_by("model", "model_no").alias("model"),
     )
     roots = F.array(*(F.struct(F.lit(root).alias("root"), F.try_variant_get(v, p, "variant").alias("map")) for root, p in (("usage", "$.usage"), ("usage", "$.message.usage"), ("usage", "$.response.usage"), ("usageMetadata", "$.usageMetadata"))))
     maps = parsed.select("conv_id", "no", F.explode(roots).alias("u")).select("conv_id", "no", "u.root", "u.map").filter("map is not null")
