@@ -18,6 +18,7 @@ PATHS = {
 }
 RETRIABLE = ["408", "502", "503", "504", "520", "521", "522", "523", "524"]
 BLANK_LINE = r"\r\n\r\n|\n\n|\r\r"
+UNIT_BYTES = 1 << 16  # of a stream, in one row while it is put together
 STREAM_ENDS = ["message_stop", "message-end", "response.completed"]
 ERROR_TEXT = r"(?i)^\s*\[(?:API(?:[\s_-]+)?(?:Error|错误|錯誤)|[^\]]*\bAPI)\]"
 STREAM_REASON = ["$.choices[0].finish_reason", "$.choices[0].stop_reason", "$.finish_reason", "$.stop_reason", "$.stopReason", "$.delta.stop_reason", "$.candidates[0].finishReason"]
@@ -171,16 +172,17 @@ def retriable(status: Column, message: Column) -> Column:
 
 def stream_events(pieces: DataFrame) -> DataFrame:
     """conv_id, no, event, data from chunks (conv_id, seq, bytes as text) of event streams: blocks end at a blank line,
-    comments are left out, several data lines are joined. Streams may have any length: they are put together in units from
-    one place behind a blank line where text goes on to another such place, so that no row holds a whole stream."""
+    comments are left out, several data lines are joined. Streams may have any length: they are put together in units of some
+    UNIT_BYTES that begin where text goes on behind a blank line, so that no row holds a whole long stream."""
     stream = Window.partitionBy("conv_id")
     placed = pieces.filter("piece <> ''").select("conv_id", "piece", F.row_number().over(stream.orderBy("seq", "piece")).alias("at"))
-    parts = placed.select("conv_id", "at", F.posexplode(F.split("piece", rf"(?<={BLANK_LINE})(?=[^\r\n])")).alias("k", "part"))
+    parts = placed.select("conv_id", "at", F.posexplode(F.split("piece", rf"(?<={BLANK_LINE})(?=[^\r\n])", 2)).alias("k", "part"))
     order = stream.orderBy("at", "k")
-    before = F.lag("part").over(order)
+    before, size = F.lag("part").over(order), F.sum(F.octet_length("part")).over(order.rowsBetween(Window.unboundedPreceding, -1))
     ended = before.endswith("\r\n\r\n") | before.endswith("\n\n") | before.endswith("\r\r")
-    begun = parts.withColumn("begins", ended & ~F.substring("part", 1, 1).isin("\r", "\n"))
-    units = begun.withColumn("unit", F.count(F.when(F.col("begins"), 1)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    begun = parts.withColumns({"begins": ended & ~F.substring("part", 1, 1).isin("\r", "\n"), "unit": F.floor(size / UNIT_BYTES)})
+    units = begun.withColumn("unit", F.max(F.when(F.col("begins"), F.col("unit"))).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    units = units.withColumn("unit", F.coalesce("unit", F.lit(0)))
     whole = units.groupBy("conv_id", "unit").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "k", "part"))), lambda x: x["part"]), "").alias("s"))
     held = whole.select("conv_id", "unit", F.split("s", BLANK_LINE).alias("blocks"))
     first = F.sum(F.size("blocks") - 1).over(stream.orderBy("unit").rowsBetween(Window.unboundedPreceding, -1))  # a unit's last one is empty or the stream's
